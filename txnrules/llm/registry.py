@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from txnrules.llm import sharding
+from txnrules.llm import quality_rules, sharding
 
 
 def queries():
-    return {"op6_virtual_slots": sharding.op6_virtual_slots}
+    return {
+        "op6_virtual_slots": sharding.op6_virtual_slots,
+        "op10_host_rules": quality_rules.op10_host_rules,
+    }
 
 
 def oracle_sql():
-    return {}
+    return {"op10_host_rules": quality_rules.OP10_SQL}
