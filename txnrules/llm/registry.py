@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from txnrules.llm import quality_rules, sharding
+from txnrules.llm import bpe, quality_rules, sharding
 
 
 def queries():
     return {
         "op6_virtual_slots": sharding.op6_virtual_slots,
+        "op7_transducer_bpe": bpe.op7_transducer_bpe,
         "op10_host_rules": quality_rules.op10_host_rules,
     }
 
