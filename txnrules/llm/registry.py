@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from txnrules.llm import bpe, quality_rules, sharding
+from txnrules.llm import bpe, decontaminate, quality_rules, sharding
 
 
 def queries():
     return {
+        "op1_ngram_decontamination": decontaminate.op1_ngram_decontamination,
         "op6_virtual_slots": sharding.op6_virtual_slots,
         "op7_transducer_bpe": bpe.op7_transducer_bpe,
         "op10_host_rules": quality_rules.op10_host_rules,
@@ -14,4 +15,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op10_host_rules": quality_rules.OP10_SQL}
+    return {"op1_ngram_decontamination": decontaminate.OP1_SQL, "op10_host_rules": quality_rules.OP10_SQL}
