@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from txnrules.llm import bpe, decontaminate, language_id, quality_rules, sharding
+from txnrules.llm import bpe, decontaminate, language_id, quality_classifier, quality_rules, sharding
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_ngram_decontamination": decontaminate.op1_ngram_decontamination,
         "op6_virtual_slots": sharding.op6_virtual_slots,
         "op7_transducer_bpe": bpe.op7_transducer_bpe,
+        "op8_random_indexing": quality_classifier.op8_random_indexing,
         "op9_kneser_ney": language_id.op9_kneser_ney,
         "op10_host_rules": quality_rules.op10_host_rules,
     }
