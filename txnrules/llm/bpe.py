@@ -24,6 +24,7 @@ import mmap
 import os
 import tempfile
 import uuid
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -218,12 +219,12 @@ class Lexicon:
     def entry(self, word: str) -> tuple[bytes, bytes]:
         spelled = word.encode()
         k = self.place(spelled)
-        ids = self.ids[self.ids_at[k] : self.ids_at[k + 1]] if k >= 0 else np.array(self.merges.encode(spelled), np.int32)
-        return ids.tobytes(), self.decode(ids)
+        ids = self.ids[self.ids_at[k] : self.ids_at[k + 1]].tolist() if k >= 0 else self.merges.encode(spelled)
+        return array("i", ids).tobytes(), self.decode(ids)
 
-    def decode(self, ids) -> bytes:
+    def decode(self, ids: list[int]) -> bytes:
         tokens = self.merges.tokens
-        return b"".join([tokens[i] for i in ids.tolist()])
+        return b"".join([tokens[i] for i in ids])
 
     def encode(self, text: str) -> list[tuple[bytes, bytes]]:
         if self.split and any(x in text for x in self.added):
@@ -232,8 +233,8 @@ class Lexicon:
         return self.plain(text)
 
     def special(self, token: str) -> tuple[bytes, bytes]:
-        ids = np.array([self.added[token]], np.int32)
-        return ids.tobytes(), self.decode(ids)
+        ids = [self.added[token]]
+        return array("i", ids).tobytes(), self.decode(ids)
 
     def plain(self, text: str) -> list[tuple[bytes, bytes]]:
         memo, words = self.memo, WORD.findall(text)
@@ -243,8 +244,9 @@ class Lexicon:
             pass
         if len(memo) > MEMO:
             memo.clear()
-        for w in set(words) - memo.keys():
-            memo[w] = self.entry(w)
+        for w in words:
+            if w not in memo:
+                memo[w] = self.entry(w)
         return [memo[w] for w in words]
 
 
