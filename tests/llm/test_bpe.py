@@ -21,7 +21,7 @@ def lexicon(tmp):
 
 
 def ids(lex, text):
-    return np.frombuffer(b"".join(e[0] for e in lex.encode(text)), np.int32).tolist()
+    return np.frombuffer(b"".join(e[0] for e in lex.encode([text])[0]), np.int32).tolist()
 
 
 def test_matches_the_tokenizers_library(tmp_path_factory):
@@ -37,7 +37,7 @@ def test_matches_the_tokenizers_library(tmp_path_factory):
     for text in ("<|endoftext|>", "a<|endoftext|><|endoftext|> b", "they'll  we've\n\n x", "the" * 3000, "".join(rng.choice("thenigrao") for _ in range(20_000))):
         want = TOKENIZER.encode(text, add_special_tokens=False).ids
         assert ids(lex, text) == want
-        assert b"".join(e[1] for e in lex.encode(text)).decode() == TOKENIZER.decode(want, skip_special_tokens=False)
+        assert b"".join(e[1] for e in lex.encode([text])[0]).decode() == TOKENIZER.decode(want, skip_special_tokens=False)
 
 
 def test_transducer_holds_exactly_its_words(tmp_path):
@@ -46,12 +46,20 @@ def test_transducer_holds_exactly_its_words(tmp_path):
     path = str(tmp_path / "l.bin")
     bpe.compile_lexicon([w.decode() for w in words], bpe.read_vocabulary(PATH), path)
     lex = bpe.Lexicon(path)
-    assert [lex.place(w) for w in words] == list(range(len(words)))
-    assert lex.place(b"") == -1 and lex.place(b"abcabcabcabc") == -1
+    assert lex.places(words).tolist() == list(range(len(words)))
+    assert lex.places([b"", b"abcabcabcabc", words[5], b"x"]).tolist() == [-1, -1, 5, -1]
     plain = sum(map(len, words))
     assert len(bpe.transducer(words)["final"]) < plain / 3  # suffixes are shared
 
 
+def test_merging_together_equals_merging_alone():
+    merges = bpe.merges_of(bpe.read_vocabulary(PATH))
+    rng = random.Random(7)
+    words = ["".join(rng.choice("aaathenigré ") for _ in range(rng.randrange(0, 60))).encode() for _ in range(3000)]
+    assert merges.encode_many(words) == [merges.encode(w) if w else [] for w in words]
+    assert merges.encode_many([]) == []
+
+
 def test_summary_keeps_frequent_words():
     counts = bpe.shrunk(bpe.Counter({"a": 9, "b": 5, "c": 1, "d": 1}), 2)
     assert set(counts) == {"a", "b"} and counts["a"] == 8

@@ -40,6 +40,8 @@ LEXICON = 32_768
 SUMMARY = 32_768
 MEMO = 200_000
 SMALL = 256  # documents encoded at a time
+SHORT = 48  # bytes of a word that is merged together with others
+NEVER = 1 << 40
 ENCODED = "key long, ids array<int>, decoded string"
 
 # The pre-tokenizer's fixed pattern, with white space by its Unicode property.
@@ -62,6 +64,10 @@ class Merges:
     def __init__(self, tokens: list[bytes], single: np.ndarray, left: np.ndarray, right: np.ndarray, merged: np.ndarray):
         self.tokens = tokens
         self.single = single.tolist()
+        self.single_ids, self.merged = np.array(single, np.int64), np.array(merged, np.int64)
+        keys = left.astype(np.int64) << 32 | right
+        order = np.argsort(keys)
+        self.pairs, self.pair_rank = keys[order], order
         self.rank = {(a, b): (k, m) for k, (a, b, m) in enumerate(zip(left.tolist(), right.tolist(), merged.tolist(), strict=True))}
 
     def encode(self, word: bytes) -> list[int]:
@@ -89,6 +95,63 @@ class Merges:
                 heapq.heappush(heap, (r[0], h, r[1], ids[h], m))
         return [x for x in ids if x >= 0]
 
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair, NEVER if it doesn't merge."""
+        keys = left << 32 | right
+        place = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+        return np.where(self.pairs[place] == keys, self.pair_rank[place], NEVER)
+
+    def encode_many(self, words: list[bytes]) -> list[list[int]]:
+        """Many words at once: each round merges the lowest-ranked pair of every word wherever it occurs, leftmost first.
+
+        A merge never makes a pair of lower rank than its own, so this gives what one merge at a time gives.
+        """
+        out: list[list[int]] = [[]] * len(words)
+        short = [k for k, w in enumerate(words) if 0 < len(w) <= SHORT]
+        for k, w in enumerate(words):
+            if len(w) > SHORT:
+                out[k] = self.encode(w)
+        if not short:
+            return out
+        ids = self.single_ids[np.frombuffer(b"".join([words[k] for k in short]), np.uint8)]
+        word = np.repeat(np.arange(len(short)), [len(words[k]) for k in short])
+        rank = np.full(len(ids), NEVER)
+        inside = np.flatnonzero(word[:-1] == word[1:])
+        rank[inside] = self.ranks(ids[inside], ids[inside + 1])
+        done_ids, done_word = [], []
+        while len(ids):
+            first = np.flatnonzero(np.diff(word, prepend=-1))
+            sizes = np.diff(np.append(first, len(ids)))
+            best = np.repeat(np.minimum.reduceat(rank, first), sizes)
+            over = best == NEVER
+            if over.any():
+                done_ids.append(ids[over])
+                done_word.append(word[over])
+                ids, word, rank, best = ids[~over], word[~over], rank[~over], best[~over]
+                if not len(ids):
+                    break
+            at = np.flatnonzero(rank == best)
+            new_run = np.diff(at, prepend=-2) != 1
+            at = at[(np.arange(len(at)) - np.flatnonzero(new_run)[np.cumsum(new_run) - 1]) % 2 == 0]
+            ids[at] = self.merged[rank[at]]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            now = at - np.arange(len(at))  # each merge before it took one token away
+            ids, word, rank = ids[keep], word[keep], rank[keep]
+            stale = np.unique(np.concatenate([now, now[now > 0] - 1]))
+            rank[stale] = NEVER
+            stale = stale[stale + 1 < len(ids)]
+            stale = stale[word[stale] == word[stale + 1]]
+            rank[stale] = self.ranks(ids[stale], ids[stale + 1])
+        ids, word = np.concatenate(done_ids), np.concatenate(done_word)
+        order = np.argsort(word, kind="stable")
+        ends = np.cumsum(np.bincount(word, minlength=len(short))).tolist()
+        ids, begin = ids[order].tolist(), 0
+        for k, end in zip(short, ends, strict=True):
+            out[k] = ids[begin:end]
+            begin = end
+        return out
+
 
 def read_vocabulary(path: str) -> dict[str, np.ndarray]:
     """Flat arrays of a byte-level BPE vocabulary file."""
@@ -125,6 +188,7 @@ def transducer(words: list[bytes]) -> dict[str, np.ndarray]:
 
     When the next word leaves a branch, the branch's states are replaced by equal registered ones, last state first.
     An arc's output is the number of words that come before the ones it leads to, so a path's sum is the word's place.
+    `arc` is source state and byte, in ascending order.
     """
     register: dict[tuple, int] = {}
     kept: list[tuple[bool, list[tuple[int, int]]]] = []
@@ -150,18 +214,16 @@ def transducer(words: list[bytes]) -> dict[str, np.ndarray]:
     below = []  # words below each state; targets come before their sources
     for final, arcs in kept:
         below.append(final + sum(below[t] for _, t in arcs))
-    start, label, target, out = [0], bytearray(), [], []
-    for final, arcs in kept:
+    arc, target, out = [], [], []
+    for state, (final, arcs) in enumerate(kept):
         number = int(final)
         for b, t in arcs:
-            label.append(b)
+            arc.append(state << 8 | b)
             target.append(t)
             out.append(number)
             number += below[t]
-        start.append(len(label))
     return {
-        "start": np.array(start, np.int32),
-        "label": np.frombuffer(bytes(label), np.uint8),
+        "arc": np.array(arc, np.int64),
         "target": np.array(target, np.int32),
         "out": np.array(out, np.int32),
         "final": np.array([f for f, _ in kept], np.uint8),
@@ -173,7 +235,7 @@ def compile_lexicon(words: list[str], vocabulary: dict[str, np.ndarray], path: s
     """Write the file of flat arrays: vocabulary, transducer of the words, and their ids."""
     merges = merges_of(vocabulary)
     spelled = sorted({w.encode() for w in words if w})
-    ids = [merges.encode(w) for w in spelled]
+    ids = merges.encode_many(spelled)
     arrays = vocabulary | transducer(spelled)
     arrays |= {"ids_at": np.cumsum([0, *map(len, ids)]).astype(np.int32), "ids": np.array([x for i in ids for x in i], np.int32)}
     head, body, at = {}, [], 0
@@ -188,66 +250,71 @@ def compile_lexicon(words: list[str], vocabulary: dict[str, np.ndarray], path: s
 
 
 class Lexicon:
-    """The memory-mapped file. `entry` gives a word's ids (as int32 bytes) and decoded bytes."""
+    """The memory-mapped file, and a memo of words: their ids (as int32 bytes) and decoded bytes."""
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
             self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
         size = int.from_bytes(self.map[:8], "little")
-        self.base = 8 + size
-        arrays = {n: np.frombuffer(self.map, d, k, self.base + at) for n, (at, k, d) in json.loads(self.map[8 : 8 + size]).items()}
-        self.label_at = self.base + json.loads(self.map[8 : 8 + size])["label"][0]
+        arrays = {n: np.frombuffer(self.map, d, k, 8 + size + at) for n, (at, k, d) in json.loads(self.map[8 : 8 + size]).items()}
         self.merges = merges_of(arrays)
-        self.start, self.target, self.out, self.final, self.ids_at = (memoryview(arrays[n]) for n in ("start", "target", "out", "final", "ids_at"))
-        self.ids, self.root = arrays["ids"], int(arrays["root"][0])
-        self.letters = [bytes([b]) for b in range(256)]
+        self.arc, self.target, self.out, self.final, self.ids_at, self.ids = (arrays[n] for n in ("arc", "target", "out", "final", "ids_at", "ids"))
+        self.root = int(arrays["root"][0])
         self.memo: dict[str, tuple[bytes, bytes]] = {}
         self.added = {self.merges.tokens[k].decode(): k for k in arrays["added"].tolist()}
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
 
-    def place(self, word: bytes) -> int:
-        """The word's place in the lexicon, or -1."""
-        state, number, find, at = self.root, 0, self.map.find, self.label_at
-        for b in word:
-            k = find(self.letters[b], at + self.start[state], at + self.start[state + 1]) - at
-            if k < 0:
-                return -1
-            number += self.out[k]
-            state = self.target[k]
-        return number if self.final[state] else -1
-
-    def entry(self, word: str) -> tuple[bytes, bytes]:
-        spelled = word.encode()
-        k = self.place(spelled)
-        ids = self.ids[self.ids_at[k] : self.ids_at[k + 1]].tolist() if k >= 0 else self.merges.encode(spelled)
-        return array("i", ids).tobytes(), self.decode(ids)
+    def places(self, words: list[bytes]) -> np.ndarray:
+        """Each word's place in the lexicon, or -1; all words walk the transducer together, a byte at a time."""
+        place = np.full(len(words), -1)
+        sizes = np.array([len(w) for w in words])
+        if not len(self.arc) or not len(words):
+            return place
+        flat, begin = np.frombuffer(b"".join(words), np.uint8), np.cumsum(sizes) - sizes
+        at, state, number = np.flatnonzero(sizes), np.full(len(words), self.root), np.zeros(len(words), np.int64)
+        for step in range(int(sizes.max(initial=0))):
+            wanted = state[at] << 8 | flat[begin[at] + step]
+            k = np.minimum(np.searchsorted(self.arc, wanted), len(self.arc) - 1)
+            there = self.arc[k] == wanted
+            at, k = at[there], k[there]
+            number[at] += self.out[k]
+            state[at] = self.target[k]
+            ended = sizes[at] == step + 1
+            place[at[ended]] = np.where(self.final[state[at[ended]]], number[at[ended]], -1)
+            at = at[~ended]
+            if not len(at):
+                break
+        return place
+
+    def learn(self, words: list[str]) -> None:
+        """Put words into the memo: from the lexicon where they are in it, else by merging."""
+        spelled = [w.encode() for w in words]
+        places = self.places(spelled).tolist()
+        unseen = iter(self.merges.encode_many([w for w, k in zip(spelled, places, strict=True) if k < 0]))
+        starts, ids = self.ids_at.tolist(), self.ids
+        for w, k in zip(words, places, strict=True):
+            found = ids[starts[k] : starts[k + 1]].tolist() if k >= 0 else next(unseen)
+            self.memo[w] = array("i", found).tobytes(), self.decode(found)
 
     def decode(self, ids: list[int]) -> bytes:
         tokens = self.merges.tokens
         return b"".join([tokens[i] for i in ids])
 
-    def encode(self, text: str) -> list[tuple[bytes, bytes]]:
+    def words(self, text: str) -> list[str]:
+        """Pre-tokenized words; an added token is a word of its own."""
         if self.split and any(x in text for x in self.added):
-            parts = [x for x in self.split.split(text) if x]
-            return [e for x in parts for e in ([self.special(x)] if x in self.added else self.plain(x))]
-        return self.plain(text)
-
-    def special(self, token: str) -> tuple[bytes, bytes]:
-        ids = [self.added[token]]
-        return array("i", ids).tobytes(), self.decode(ids)
-
-    def plain(self, text: str) -> list[tuple[bytes, bytes]]:
-        memo, words = self.memo, WORD.findall(text)
-        try:
-            return [memo[w] for w in words]
-        except KeyError:
-            pass
+            return [w for part in self.split.split(text) for w in ([part] if part in self.added else WORD.findall(part))]
+        return WORD.findall(text)
+
+    def encode(self, texts: list[str]) -> list[list[tuple[bytes, bytes]]]:
+        """Per text, the memo's entries of its words."""
+        memo, lists = self.memo, [self.words(t) for t in texts]
         if len(memo) > MEMO:
             memo.clear()
-        for w in words:
-            if w not in memo:
-                memo[w] = self.entry(w)
-        return [memo[w] for w in words]
+        for token, k in self.added.items():
+            memo[token] = array("i", [k]).tobytes(), self.decode([k])
+        self.learn(list({w for words in lists for w in words if w not in memo}))
+        return [[memo[w] for w in words] for words in lists]
 
 
 def frequent_words(docs: DataFrame, text: str = "text", size: int = LEXICON, summary: int = SUMMARY) -> list[str]:
@@ -303,8 +370,7 @@ def encode(docs: DataFrame, lexicon: str, key: str = "doc_id", text: str = "text
             for at in range(0, batch.num_rows, SMALL):
                 part = batch.slice(at, SMALL)
                 sizes, ids, decoded = [0], [], []
-                for t in part.column(1).to_pylist():
-                    entries = lex.encode(t) if t else []
+                for entries in lex.encode([t or "" for t in part.column(1).to_pylist()]):
                     ids.append(b"".join([e[0] for e in entries]))
                     decoded.append(b"".join([e[1] for e in entries]).decode("utf-8", "replace"))
                     sizes.append(len(ids[-1]) // 4)
