@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from txnrules.llm import bpe, decontaminate, language_id, quality_classifier, quality_rules, sharding
+from txnrules.llm import bpe, decontaminate, jaccard_join, language_id, quality_classifier, quality_rules, sharding
 
 
 def queries():
     return {
         "op1_ngram_decontamination": decontaminate.op1_ngram_decontamination,
+        "op5_bayesian_jaccard": jaccard_join.op5_bayesian_jaccard,
         "op6_virtual_slots": sharding.op6_virtual_slots,
         "op7_transducer_bpe": bpe.op7_transducer_bpe,
         "op8_random_indexing": quality_classifier.op8_random_indexing,
