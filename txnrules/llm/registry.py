@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from txnrules.llm import bpe, decontaminate, jaccard_join, language_id, line_dedup, quality_classifier, quality_rules, sharding
+from txnrules.llm import bpe, decontaminate, html_text, jaccard_join, language_id, line_dedup, quality_classifier, quality_rules, sharding
 
 
 def queries():
     return {
         "op1_ngram_decontamination": decontaminate.op1_ngram_decontamination,
         "op2_line_dedup": line_dedup.op2_line_dedup,
+        "op3_text_density": html_text.op3_text_density,
         "op5_bayesian_jaccard": jaccard_join.op5_bayesian_jaccard,
         "op6_virtual_slots": sharding.op6_virtual_slots,
         "op7_transducer_bpe": bpe.op7_transducer_bpe,
