@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from txnrules.llm import bpe, decontaminate, html_text, jaccard_join, language_id, line_dedup, quality_classifier, quality_rules, sharding
+from txnrules.llm import bpe, decontaminate, html_text, jaccard_join, language_id, line_dedup, quality_classifier, quality_rules, secrets_scan, sharding
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_ngram_decontamination": decontaminate.op1_ngram_decontamination,
         "op2_line_dedup": line_dedup.op2_line_dedup,
         "op3_text_density": html_text.op3_text_density,
+        "op4_grammar_inference": secrets_scan.op4_grammar_inference,
         "op5_bayesian_jaccard": jaccard_join.op5_bayesian_jaccard,
         "op6_virtual_slots": sharding.op6_virtual_slots,
         "op7_transducer_bpe": bpe.op7_transducer_bpe,
