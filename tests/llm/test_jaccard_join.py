@@ -107,3 +107,13 @@ def test_pruning_keeps_similar_pairs():
     assert len(J.similar(sig, a[:-1], a[1:], limits)) == 0
     bands = S.band_hashes(sig, J.ROWS)
     assert (bands[a] == bands[a + 1]).any(axis=1).all()
+
+
+def test_first_of_each_class(spark):
+    rows = data()
+    docs = spark.createDataFrame([(i, t, 1, "r", 2) for i, t in rows], SCHEMA)
+    got = J.first_of_each(docs)
+    assert got.columns == docs.columns
+    root = brute(rows)[1]
+    want = [min(((rows[i][0] is None, rows[i][0] or 0) for i in range(len(rows)) if root[i] == c)) for c in set(root)]
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got.collect()) == sorted(want)

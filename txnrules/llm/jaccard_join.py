@@ -46,8 +46,11 @@ def least_equal(over: int, under: int, tolerance: float = TOLERANCE) -> dict[int
     return out
 
 
-def prepared(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Written table, a row per document: rid, key, words (normalised), digest (null without words), sig."""
+def prepared(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Written table, a row per document: rid, key, words (normalised), digest (null without words), sig, row (the columns of carry)."""
+    row = F.struct(*[F.col(c) for c in carry] or [F.lit(0).alias("none")])
+    taken = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), row.alias("row"))
+    names = ["key", "words", "digest", "sig", "row"]
 
     def run(batches):
         for batch in batches:
@@ -55,12 +58,11 @@ def prepared(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
             for a, b in S.runs(words):
                 part = words[a:b]
                 sig = S.signatures(*S.word_shingles(part), VALUES)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(part, pa.binary()), pa.array([S.digest(w) if w else None for w in part], pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary())],
-                    ["key", "words", "digest", "sig"],
-                )
+                digests = pa.array([S.digest(w) if w else None for w in part], pa.binary())
+                made = [pa.array(part, pa.binary()), digests, pa.array([x.tobytes() for x in sig], pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *made, batch.column(2).slice(a, b - a)], names)
 
-    made = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, words binary, digest binary, sig binary")
+    made = taken.mapInArrow(run, f"key long, words binary, digest binary, sig binary, row {taken.schema['row'].dataType.simpleString()}")
     return cut(made.select(F.monotonically_increasing_id().alias("rid"), "*"))
 
 
@@ -123,8 +125,18 @@ def similar(sig: np.ndarray, a: np.ndarray, b: np.ndarray, limits: dict[int, int
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", over: int = OVER, under: int = UNDER) -> DataFrame:
-    """rid, key, class_id, first_doc_id, n_links per document."""
-    rows = prepared(docs, key, text)
+    """rid, key, class_id, first_doc_id, n_links, is_first (one row of each class) per document."""
+    return _joined(prepared(docs, key, text), over, under)
+
+
+def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", over: int = OVER, under: int = UNDER) -> DataFrame:
+    """docs with one row of each class, the one with the least id; same columns."""
+    rows = prepared(docs, key, text, tuple(docs.columns))
+    chosen = _joined(rows.select("rid", "key", "words", "digest", "sig"), over, under).filter("is_first").select("rid")
+    return rows.select("rid", "row").join(chosen, "rid", "left_semi").select("row.*")
+
+
+def _joined(rows: DataFrame, over: int, under: int) -> DataFrame:
     texts = cut(rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("rid").alias("node"), F.count("*").alias("copies")))
     chosen = rows.select(F.col("rid").alias("node"), "sig", "words").join(texts.select("node", "copies"), "node")
     candidates = components(stars(_bands(rows.select(F.col("rid").alias("node"), "sig").join(texts.select("node"), "node"))))
