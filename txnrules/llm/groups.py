@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from txnrules.llm.runtime import cut
 
 BLOCK_ROWS, BLOCK_BYTES = 2048, 8_000_000
 MAX_ROUNDS = 60
+MARK_BITS = 26  # 8 MB
 
 
 def stars(bands: DataFrame) -> DataFrame:
@@ -116,6 +118,48 @@ def in_blocks(rows: DataFrame, groups: DataFrame, process: Callable[[list[np.nda
     return dealt.mapInArrow(run, schema)
 
 
+class Marks:
+    """A bitmap of MARK_BITS bits over hashed nodes. A marked node always tests true; others seldom while the bitmap is sparse."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    def test(self, nodes: np.ndarray) -> np.ndarray:
+        bit = _bit(nodes)
+        return (self.words[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _bit(nodes: np.ndarray) -> np.ndarray:
+    return (nodes.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - MARK_BITS)
+
+
+def marks(nodes: DataFrame):
+    """Broadcast Marks of the column node. Its size is fixed (2**MARK_BITS bits), whatever the number of nodes; it only spares rows a shuffle, a join still decides."""
+
+    def run(batches):
+        words = np.zeros(1 << (MARK_BITS - 6), np.uint64)
+        for batch in batches:
+            bit = _bit(batch.column(0).to_numpy())
+            np.bitwise_or.at(words, bit >> np.uint64(6), np.uint64(1) << (bit & np.uint64(63)))
+        some = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(words[some].view(np.int64))], ["word", "bits"])
+
+    told = nodes.select("node").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros(1 << (MARK_BITS - 6), np.uint64)
+    words[told["word"].to_numpy()] = told["bits"].to_numpy().view(np.uint64)
+    return nodes.sparkSession.sparkContext.broadcast(Marks(words))
+
+
+def marked(rows: DataFrame, shared, column: str = "node") -> DataFrame:
+    """rows whose node is marked; only that column goes through Python."""
+
+    @F.pandas_udf("boolean")
+    def test(nodes: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.test(nodes.to_numpy()))
+
+    return rows.filter(test(column))
+
+
 def block_pairs(left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All pairs between the two blocks, or within a single one."""
     if left.all():

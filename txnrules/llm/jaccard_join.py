@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txnrules.llm import shingles as S
-from txnrules.llm.groups import block_pairs, components, in_blocks, local_roots, stars
+from txnrules.llm.groups import block_pairs, components, in_blocks, local_roots, marked, marks, stars
 from txnrules.llm.runtime import cut, table
 
 VALUES, ROWS, CHUNK = 128, 4, 16
@@ -138,9 +138,10 @@ def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", over
 
 def _joined(rows: DataFrame, over: int, under: int) -> DataFrame:
     texts = cut(rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("rid").alias("node"), F.count("*").alias("copies")))
-    chosen = rows.select(F.col("rid").alias("node"), "sig", "words").join(texts.select("node", "copies"), "node")
-    candidates = components(stars(_bands(rows.select(F.col("rid").alias("node"), "sig").join(texts.select("node"), "node"))))
-    found = cut(in_blocks(chosen.withColumn("bytes", F.length("words") + 600), candidates, _verify(over, under), "node long, links long, root long", "bytes"))
+    named = rows.withColumnRenamed("rid", "node")
+    candidates = cut(components(stars(_bands(named.filter("digest IS NOT NULL")))).join(texts.select("node", "copies"), "node"))
+    chosen = marked(named.select("node", "sig", "words"), marks(candidates)).withColumn("bytes", F.length("words") + 600)
+    found = cut(in_blocks(chosen, candidates, _verify(over, under), "node long, links long, root long", "bytes"))
     linked = components(found.select("node", "root"))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     of_text = (
