@@ -1 +1,264 @@
-"""Registered queries."""
+"""Queries for totals (A*), views (V*), rankings (W*), set operations (U*) and report tables (K*)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from txnrules.functions import values as V
+from txnrules.operators import facets, spend, views
+from txnrules.plans import tables
+from txnrules.plans.registry import register
+from txnrules.plans.tables import SPENDING_SQL, TXN_SQL
+from txnrules.sources import sinks
+
+c = F.col
+r2 = lambda x: F.round(x, 2)
+ORDER_SQL = "(date, description, amount, source)"
+MERCHANTS_SQL = f"""{SPENDING_SQL}, mer AS (
+    SELECT merchant, count(*) AS count, coalesce(sum(eff), 0) AS total, count(DISTINCT month) AS months_active, greatest(max(eff), 0) AS max_payment,
+           arg_max(category, {ORDER_SQL}) AS category, arg_max(subcategory, {ORDER_SQL}) AS subcategory,
+           list_sort(list_distinct(flatten(list(tags)))) AS tags FROM sp GROUP BY merchant)"""
+MONTHS_SQL = f"{MERCHANTS_SQL}, mm AS (SELECT merchant, month, sum(eff) AS total FROM sp GROUP BY ALL)"
+CV_SQL = f"""{MONTHS_SQL}, cvs AS (SELECT merchant, CASE WHEN count(*) < 2 OR avg(total) = 0 THEN 0 ELSE stddev_pop(total) / avg(total) END AS signed_cv,
+    CASE WHEN count(*) < 2 OR avg(total) <= 0 THEN 0 ELSE stddev_pop(total) / avg(total) END AS cv FROM mm GROUP BY merchant)"""
+
+
+def spent(name: str, sql: str, build, base: str = SPENDING_SQL) -> None:
+    register(name, f"WITH {base} {sql}")(lambda spark, sf_dir: build(tables.spending(spark, sf_dir)))
+
+
+def merchants(name: str, sql: str, build, base: str = MERCHANTS_SQL) -> None:
+    register(name, f"WITH {base} {sql}")(lambda spark, sf_dir: build(spend.by_merchant(tables.spending(spark, sf_dir))))
+
+
+spent("a01_buckets", "SELECT bucket, count(*) AS n, round(sum(amount), 2) AS total FROM sp GROUP BY bucket", lambda d: d.groupBy("bucket").agg(F.count("*").alias("n"), r2(F.sum("amount")).alias("total")))
+spent("a02_effective_amount", "SELECT category, round(sum(eff), 2) AS total, round(sum(amount), 2) AS raw FROM sp GROUP BY category", lambda d: d.groupBy("category").agg(r2(F.sum("effective_amount")).alias("total"), r2(F.sum("amount")).alias("raw")))
+spent("a03_by_category", "SELECT category, subcategory, count(*) AS count, round(sum(eff), 2) AS total FROM sp GROUP BY ALL", lambda d: spend.by(d, "category", "subcategory").withColumn("total", r2("total")))
+merchants(
+    "a04_by_merchant",
+    "SELECT merchant, count, round(total, 2) AS total, months_active, round(max_payment, 2) AS max_payment, category, subcategory, array_to_string(tags, '|') AS tags FROM mer",
+    lambda m: m.select("merchant", "count", r2("total").alias("total"), "months_active", r2("max_payment").alias("max_payment"), "category", "subcategory", F.array_join("tags", "|").alias("tags")),
+)
+spent("a05_descriptions", "SELECT merchant, description, count(*) AS n FROM sp GROUP BY ALL", lambda d: d.groupBy("merchant", "description").agg(F.count("*").alias("n")))
+spent("a06_merchant_months", "SELECT merchant, month, round(total, 2) AS total FROM mm", lambda d: spend.merchant_months(d).withColumn("total", r2("total")), MONTHS_SQL)
+spent("a07_by_month", "SELECT month, count(*) AS count, round(sum(eff), 2) AS total FROM sp GROUP BY month", lambda d: spend.by(d, "month").withColumn("total", r2("total")))
+spent("a08_num_months", "SELECT count(DISTINCT month) AS num_months FROM sp", spend.num_months)
+merchants("a09_when_active", "SELECT merchant, months_active, round(total / months_active, 2) AS avg_when_active FROM mer", lambda m: m.select("merchant", "months_active", r2("avg_when_active").alias("avg_when_active")))
+spent("a10_variation", "SELECT merchant, round(cv, 4) AS cv, cv < 0.3 AS consistent FROM cvs", lambda d: spend.variation(d).withColumn("cv", F.round("cv", 4)), CV_SQL)
+merchants("a11_monthly_value", "SELECT merchant, round(total / 12, 2) AS monthly_value FROM mer", lambda m: m.select("merchant", r2("monthly_value").alias("monthly_value")))
+_FLOW = """flow AS (SELECT coalesce(sum(abs(amount)) FILTER (bucket = 'income'), 0) AS income, coalesce(sum(amount) FILTER (bucket = 'spending'), 0) AS spending, coalesce(sum(-amount) FILTER (bucket = 'credit'), 0) AS credit,
+    coalesce(sum(amount) FILTER (bucket = 'transfer_in'), 0) AS transfer_in, coalesce(sum(-amount) FILTER (bucket = 'transfer_out'), 0) AS transfer_out, coalesce(sum(abs(amount)) FILTER (bucket = 'investment'), 0) AS investment,
+    sum(amount) AS raw_total, sum(eff) AS merchant_total, count(*) AS count, count(DISTINCT month) AS num_months FROM sp)"""
+FLOW_SQL = f"{SPENDING_SQL}, {_FLOW}"
+_MONEY = ("income", "spending", "credit", "transfer_in", "transfer_out", "investment", "raw_total", "merchant_total", "net_cash_flow", "net_transfers", "monthly_average")
+
+
+def _flow(d):
+    f = spend.cash_flow(d)
+    return f.withColumns({n: r2(n) for n in _MONEY})
+
+
+_FLOW_COLUMNS = """round(income, 2) AS income, round(spending, 2) AS spending, round(credit, 2) AS credit, round(transfer_in, 2) AS transfer_in, round(transfer_out, 2) AS transfer_out, round(investment, 2) AS investment,
+    round(raw_total, 2) AS raw_total, round(merchant_total, 2) AS merchant_total, count, num_months, round(income - spending + credit, 2) AS net_cash_flow, round(transfer_in - transfer_out, 2) AS net_transfers, round((spending + transfer_out) / num_months, 2) AS monthly_average"""
+spent("a12_cash_flow", f"SELECT {_FLOW_COLUMNS} FROM flow", _flow, FLOW_SQL)
+merchants("a13_gross", "SELECT round(sum(total) FILTER (total > 0), 2) AS gross_spending, round(coalesce(-sum(total) FILTER (total < 0), 0), 2) AS credits FROM mer", lambda m: spend.signed_totals(m).select(r2("gross_spending").alias("gross_spending"), r2("credits").alias("credits")))
+spent(
+    "a14_summary",
+    "SELECT count, num_months, round(spending, 2) AS spending, CASE WHEN income > 0 THEN round(income - spending + credit, 2) END AS net_cash_flow FROM flow",
+    lambda d: spend.cash_flow(d).select("count", "num_months", r2("spending").alias("spending"), F.when(c("income") > 0, r2("net_cash_flow")).alias("net_cash_flow")),
+    FLOW_SQL,
+)
+spent("a15_category_shares", "SELECT category, round(total, 2) AS total, round(100 * total / sum(total) OVER (), 1) AS share FROM (SELECT category, sum(eff) AS total FROM sp GROUP BY category) WHERE total > 0", lambda d: spend.category_shares(d).withColumn("total", r2("total")))
+_LOW = f"{SPENDING_SQL}, low AS (SELECT description, round(sum(amount), 2) AS total FROM sp WHERE amount < 0 OR date < DATE '1995-06-01' GROUP BY description)"
+spent(
+    "a16_credit_merchants",
+    "SELECT description, total FROM low WHERE total < 0",
+    lambda d: d.filter("amount < 0 OR date < DATE '1995-06-01'").groupBy("description").agg(r2(F.sum("amount")).alias("total")).filter("total < 0"),
+    _LOW,
+)
+spent(
+    "a17_hierarchy",
+    """SELECT category, subcategory, merchant, round(sum(eff), 2) AS ytd, round(sum(eff) / 12, 2) AS monthly, count(*) AS count, CASE grouping_id(category, subcategory, merchant) WHEN 7 THEN 0 WHEN 3 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS level
+    FROM (SELECT CASE WHEN category = 'Unknown' THEN 'Uncategorized' ELSE category END AS category, subcategory, merchant, eff FROM sp) GROUP BY ROLLUP (category, subcategory, merchant)""",
+    lambda d: spend.hierarchy(d).withColumns({"ytd": r2("ytd"), "monthly": r2("monthly")}),
+)
+spent(
+    "a18_category_types",
+    """SELECT category, round(coalesce(sum(amount) FILTER (bucket = 'spending'), 0), 2) AS spending, round(coalesce(sum(abs(amount)) FILTER (bucket = 'income'), 0), 2) AS income,
+    round(coalesce(sum(abs(amount)) FILTER (bucket = 'investment'), 0), 2) AS investment, round(coalesce(sum(abs(amount)) FILTER (starts_with(bucket, 'transfer')), 0), 2) AS transfers FROM sp GROUP BY category""",
+    lambda d: spend.category_types(d).select("category", *[r2(n).alias(n) for n in ("spending", "income", "investment", "transfers")]),
+)
+merchants("a19_monthly_figure", "SELECT merchant, round(CASE WHEN total / months_active <> 0 THEN total / months_active ELSE total / 12 END, 2) AS monthly FROM mer", lambda m: m.select("merchant", r2(F.coalesce(F.nullif("avg_when_active", F.lit(0.0)), c("total") / 12)).alias("monthly")))
+spent(
+    "a22_discover",
+    """SELECT description, count(*) AS count, round(sum(abs(amount)), 2) AS total, bool_or(amount < 0) AS has_negative FROM sp WHERE category = 'Unknown' GROUP BY description""",
+    lambda d: spend.discover(d).select("description", "count", r2("total").alias("total"), "has_negative"),
+)
+merchants("a23_overview", "SELECT category, count(*) AS merchants, round(sum(total), 2) AS total FROM mer GROUP BY category", lambda m: m.groupBy("category").agg(F.count("*").alias("merchants"), r2(F.sum("total")).alias("total")))
+spent("a24_chart", "SELECT month, round(coalesce(sum(amount) FILTER (bucket = 'spending'), 0), 2) AS spending, round(coalesce(sum(abs(amount)) FILTER (bucket = 'income'), 0), 2) AS income, round(coalesce(sum(abs(amount)) FILTER (bucket = 'investment'), 0), 2) AS investment FROM sp GROUP BY month", lambda d: spend.chart(d).select("month", *[r2(n).alias(n) for n in ("spending", "income", "investment")]))
+spent(
+    "a24_category_by_month",
+    "SELECT month, round(sum(amount) FILTER (category = 'Hardware'), 2) AS \"Hardware\", round(sum(amount) FILTER (category = 'Fasteners'), 2) AS \"Fasteners\" FROM sp WHERE bucket = 'spending' GROUP BY month",
+    lambda d: spend.category_by_month(d, ["Hardware", "Fasteners"]).select("month", r2("Hardware").alias("Hardware"), r2("Fasteners").alias("Fasteners")),
+)
+_FACETS = [facets.Facet("category", "hardware"), facets.Facet("category", "Fasteners"), facets.Facet("month", "1996-01..1997-06"), facets.Facet("tag", "income", True)]
+_FACET_SQL = "lower(category) IN ('hardware', 'fasteners') AND month BETWEEN '1996-01' AND '1997-06' AND NOT list_contains(tags, 'income')"
+spent(
+    "a25_filtered_totals",
+    f"SELECT count(*) AS n, round(coalesce(sum(amount) FILTER (bucket = 'spending'), 0), 2) AS spending, round(coalesce(-sum(amount) FILTER (bucket = 'credit'), 0), 2) AS credit, round(coalesce(sum(amount) FILTER (bucket = 'spending'), 0) + coalesce(sum(amount) FILTER (bucket = 'credit'), 0), 2) AS net FROM sp WHERE {_FACET_SQL}",
+    lambda d: spend.cash_flow(d.filter(facets.facet_filter(_FACETS))).select(c("count").alias("n"), r2("spending").alias("spending"), r2("credit").alias("credit"), r2(c("spending") - c("credit")).alias("net")),
+)
+spent(
+    "a26_grand_total",
+    f"SELECT round(sum(amount), 2) AS total, round(-sum(amount) FILTER (amount < 0), 2) AS credits, round(sum(amount) FILTER (amount > 0), 2) AS gross FROM sp WHERE {_FACET_SQL}",
+    lambda d: d.filter(facets.facet_filter(_FACETS)).agg(r2(F.sum("amount")).alias("total"), r2(-F.sum(F.when(c("amount") < 0, c("amount")))).alias("credits"), r2(F.sum(F.when(c("amount") > 0, c("amount")))).alias("gross")),
+)
+spent(
+    "a28_filtered_merchants",
+    f"SELECT category, subcategory, merchant, count(*) AS n, round(sum(eff), 2) AS total, count(DISTINCT month) AS active FROM sp WHERE {_FACET_SQL} GROUP BY ALL",
+    lambda d: d.filter(facets.facet_filter(_FACETS)).groupBy("category", "subcategory", "merchant").agg(F.count("*").alias("n"), r2(F.sum("effective_amount")).alias("total"), F.countDistinct("month").alias("active")),
+)
+spent(
+    "a29_subcategories",
+    "SELECT category, subcategory, count(DISTINCT merchant) AS merchants, count(*) AS n, round(sum(eff), 2) AS total, array_to_string(list_sort(list_distinct(flatten(list(tags)))), '|') AS tags FROM sp GROUP BY ALL",
+    lambda d: d.groupBy("category", "subcategory").agg(F.countDistinct("merchant").alias("merchants"), F.count("*").alias("n"), r2(F.sum("effective_amount")).alias("total"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("tags")))), "|").alias("tags")),
+)
+spent("a30_income_transfers", "SELECT sum(list_contains(tags, 'income')::INT) AS income, sum(list_contains(tags, 'transfer')::INT) AS transfers FROM sp", lambda d: d.agg(F.sum(spend.tagged("income").cast("int")).alias("income"), F.sum(spend.tagged("transfer").cast("int")).alias("transfers")))
+register(
+    "a31_transactions_by_merchant",
+    f"WITH {SPENDING_SQL}, t AS (SELECT merchant, list(strftime(date, '%Y-%m-%d') || ' ' || description ORDER BY date, description) AS l FROM sp WHERE list_contains(tags, 'large') AND date < DATE '1995-03-01' GROUP BY merchant) SELECT merchant, len(l)::BIGINT AS n, md5(array_to_string(l, chr(10))) AS digest FROM t",
+)(
+    lambda spark, sf_dir: tables.spending(spark, sf_dir)
+    .filter("array_contains(tags, 'large') AND date < DATE '1995-03-01'")
+    .groupBy("merchant")
+    .agg(F.array_sort(F.collect_list(F.struct("date", "description"))).alias("l"))
+    .select("merchant", F.size("l").cast("long").alias("n"), F.md5(F.array_join(F.transform("l", lambda x: F.concat_ws(" ", F.date_format(x["date"], "yyyy-MM-dd"), x["description"])), "\n")).alias("digest"))
+)
+spent("a32_latest_date", "SELECT max(date) AS latest FROM sp", lambda d: d.agg(F.max("date").alias("latest")))
+spent("a33_averages", "SELECT round((spending + transfer_out) / num_months, 2) AS per_month, round(spending / num_months, 2) AS spending FROM flow", lambda d: spend.cash_flow(d).select(r2("monthly_average").alias("per_month"), r2(c("spending") / c("num_months")).alias("spending")), FLOW_SQL)
+merchants("a34_merchant_shares", "SELECT merchant, category, CASE WHEN sum(total) OVER (PARTITION BY category) = 0 THEN 0 ELSE round(100 * total / sum(total) OVER (PARTITION BY category), 1) END AS share FROM mer", lambda m: spend.merchant_shares(m).select("merchant", "category", "share"))
+merchants("a35_tag_usage", "SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM mer) GROUP BY tag", spend.tag_usage)
+
+# Views
+FEATURES_SQL = f"""{CV_SQL}, per AS (SELECT merchant, month AS period, sum(eff) AS s, count(*) AS n FROM sp GROUP BY ALL),
+ov AS (SELECT merchant, count(*) AS n_periods, max(s) AS max_sum, min(s) AS min_sum, avg(s) AS avg_sum, max(n) AS max_count FROM per GROUP BY merchant),
+ft AS (SELECT mer.merchant, mer.count AS n_payments, months_active AS months, mer.total, category, subcategory, tags, signed_cv AS cv, n_periods, max_sum, min_sum, avg_sum, max_count,
+       (SELECT max(eff) FROM sp WHERE sp.merchant = mer.merchant) AS max FROM mer JOIN ov USING (merchant) JOIN cvs USING (merchant))"""
+
+
+def featured(name: str, sql: str, build) -> None:
+    register(name, f"WITH {FEATURES_SQL} {sql}")(lambda spark, sf_dir: build(views.features(tables.spending(spark, sf_dir))))
+
+
+featured("v02_months", "SELECT merchant, months FROM ft", lambda f: f.select("merchant", "months"))
+featured("v03_total", "SELECT merchant, round(total, 2) AS total FROM ft", lambda f: f.select("merchant", r2("total").alias("total")))
+featured("v04_cv", "SELECT merchant, round(cv, 4) AS cv FROM ft", lambda f: f.select("merchant", F.round("cv", 4).alias("cv")))
+featured("v05_tags", "SELECT merchant, array_to_string(tags, '|') AS tags FROM ft", lambda f: f.select("merchant", F.array_join("tags", "|").alias("tags")))
+featured("v06_fields", "SELECT merchant, category, subcategory FROM ft", lambda f: f.select("merchant", "category", "subcategory"))
+featured("v15_composition", "SELECT merchant, n_periods, round(max_sum, 2) AS max_sum, round(min_sum, 2) AS min_sum, round(avg_sum, 2) AS avg_sum, max_count FROM ft", lambda f: f.select("merchant", "n_periods", *[r2(n).alias(n) for n in ("max_sum", "min_sum", "avg_sum")], "max_count"))
+spent(
+    "v07_payment_statistics",
+    "SELECT merchant, round(coalesce(sum(eff), 0), 2) AS s, count(*) AS n, round(avg(eff), 2) AS a, round(max(eff), 2) AS mx, round(min(eff), 2) AS mn, round(coalesce(stddev_samp(eff), 0), 2) AS sd FROM sp GROUP BY merchant",
+    lambda d: spend.by_merchant(d, lists=True).select("merchant", r2(V.list_sum(c("payments"))).alias("s"), F.size("payments").cast("long").alias("n"), r2(V.list_avg(c("payments"))).alias("a"), r2(V.list_max(c("payments"))).alias("mx"), r2(V.list_min(c("payments"))).alias("mn"), r2(V.list_stddev(c("payments"))).alias("sd")),
+)
+spent("v01_payments", "SELECT merchant, md5(array_to_string(list((round(eff * 100)::BIGINT)::VARCHAR ORDER BY date, description, amount, source), ',')) AS digest FROM sp GROUP BY merchant", lambda d: spend.by_merchant(d, lists=True).select("merchant", F.md5(F.array_join(F.transform("payments", lambda x: F.round(x * 100).cast("long").cast("string")), ",")).alias("digest")))
+for _unit, _form in (("month", "%Y-%m"), ("year", "%Y"), ("week", "%Y-W%W"), ("day", "%Y-%m-%d")):
+    spent(
+        f"v13_by_{_unit}",
+        f"SELECT merchant, strftime(date, '{_form}') AS period, round(sum(eff), 2) AS sum, count(*) AS count, round(coalesce(stddev_samp(eff), 0), 2) AS stddev FROM sp GROUP BY ALL",
+        lambda d, u=_unit: views.by_period(d, u).select("merchant", "period", r2("sum").alias("sum"), "count", r2("stddev").alias("stddev")),
+    )
+spent(
+    "v14_nested_lists",
+    "SELECT merchant, round(sum(a), 2) AS sum_of_averages, round(max(m), 2) AS max_of_minima FROM (SELECT merchant, month, avg(eff) AS a, min(eff) AS m FROM sp GROUP BY ALL) GROUP BY merchant",
+    lambda d: views.by_period(d, "month").groupBy("merchant").agg(r2(F.sum("avg")).alias("sum_of_averages"), r2(F.max("min")).alias("max_of_minima")),
+)
+register("v16_periods", f"WITH {TXN_SQL} SELECT count(DISTINCT strftime(date, '%Y-%m')) AS n_months, count(DISTINCT year(date)) AS n_years, count(DISTINCT strftime(date, '%Y-W%W')) AS n_weeks, count(DISTINCT date) AS n_days FROM txn")(lambda spark, sf_dir: views.periods(tables.txn(spark, sf_dir)))
+_OWN = [views.View("big", "total > floor_total"), views.View("bills", "months >= 12 AND mean > 1000", {"mean": "total / months"}), views.View("none", "total < 0 AND n_payments < 0"), views.View("broken", "try_cast(category AS INT) > 0")]
+_OWN_SQL = "SELECT 'big' AS view, merchant FROM ft WHERE total > 1000000 UNION ALL SELECT 'bills', merchant FROM ft WHERE months >= 12 AND total / months > 1000"
+featured("v17_variables", _OWN_SQL, lambda f: views.classify_views(f, _OWN, {"floor_total": "1000000.0"}).select("view", "merchant"))
+featured("v18_filter", "SELECT merchant FROM ft WHERE months >= 12 AND total / months > 1000", lambda f: views.classify_views(f, _OWN[1:2]).select("merchant"))
+featured("v20_ordinary", "SELECT merchant FROM ft WHERE NOT list_has_any(tags, ['income', 'investment', 'transfer'])", lambda f: views.ordinary(f).select("merchant"))
+_VIEW_SQL = {"every_month": "months >= nm.n * 0.75 AND cv < 0.3", "variable": "months >= nm.n * 0.75 AND cv >= 0.3", "periodic": "months >= 2 AND months <= nm.n * 0.5 AND cv < 0.5", "one_off": "months = 1", "large": "max >= 1000", "frequent": "n_payments >= 2 * months", "travel": "lower(category) = 'travel'", "refunds": "total < 0", "uncategorised": "category = 'Unknown'"}
+PLACED_SQL = f"{FEATURES_SQL}, nm AS (SELECT count(DISTINCT month) AS n FROM sp), pl AS (" + " UNION ALL ".join(f"SELECT '{v}' AS view, ft.*, nm.n FROM ft, nm WHERE {w}" for v, w in _VIEW_SQL.items()) + ")"
+
+
+def placed(spark, sf_dir):
+    d = tables.spending(spark, sf_dir)
+    n = views.periods(d).first().n_months
+    return views.classify_views(views.features(d), views.default_views(n)), n
+
+
+register("v19_views", f"WITH {PLACED_SQL} SELECT view, merchant FROM pl")(lambda spark, sf_dir: placed(spark, sf_dir)[0].select("view", "merchant"))
+register("v21_default_views", f"WITH {PLACED_SQL} SELECT view, count(*) AS merchants FROM pl GROUP BY view")(lambda spark, sf_dir: placed(spark, sf_dir)[0].groupBy("view").agg(F.count("*").alias("merchants")))
+register("v22_views_of_merchant", f"WITH {PLACED_SQL} SELECT view, months, round(cv, 4) AS cv, round(total, 2) AS total FROM pl WHERE merchant = 'Widget Co'")(lambda spark, sf_dir: placed(spark, sf_dir)[0].filter("merchant = 'Widget Co'").select("view", "months", F.round("cv", 4).alias("cv"), r2("total").alias("total")))
+featured("v23_expressions", "SELECT merchant, CASE WHEN total / n_payments > 20000 AND category <> 'Heavy' THEN 'dear' ELSE 'cheap' END AS kind FROM ft", lambda f: f.select("merchant", F.when((V.quotient(c("total"), c("n_payments")) > 20000) & ~c("category").isin("Heavy"), "dear").otherwise("cheap").alias("kind")))
+
+
+@register("a20_view_totals", f"WITH {PLACED_SQL} SELECT view, count(*) AS merchants, round(sum(total), 2) AS total, round(sum(CASE WHEN cv < 0.3 THEN total / months ELSE total / n END), 2) AS monthly FROM pl GROUP BY view")
+def a20(spark, sf_dir):
+    p, n = placed(spark, sf_dir)
+    return views.view_totals(p, n).select("view", "merchants", r2("total").alias("total"), r2("monthly").alias("monthly"))
+
+
+@register("a21_view_monthly", f"WITH {PLACED_SQL} SELECT view, merchant, round(CASE WHEN cv < 0.3 THEN total / months ELSE total / n END, 2) AS monthly FROM pl")
+def a21(spark, sf_dir):
+    p, n = placed(spark, sf_dir)
+    return p.select("view", "merchant", r2(F.when(c("cv") < 0.3, c("total") / c("months")).otherwise(c("total") / n)).alias("monthly"))
+
+
+@register("a27_filtered_views", f"WITH {PLACED_SQL} SELECT view, count(*) AS n, round(sum(eff), 2) AS total FROM sp JOIN (SELECT view, merchant FROM pl) USING (merchant) WHERE month BETWEEN '1996-01' AND '1996-06' GROUP BY view")
+def a27(spark, sf_dir):
+    p, _ = placed(spark, sf_dir)
+    d = tables.spending(spark, sf_dir).filter(facets.facet_filter([facets.Facet("month", "1996-01..1996-06")]))
+    return d.join(p.select("view", "merchant"), "merchant").groupBy("view").agg(F.count("*").alias("n"), r2(F.sum("effective_amount")).alias("total"))
+
+
+# Rankings
+def ranked(name: str, sql: str, build) -> None:
+    merchants(name, sql, build)
+
+
+ranked("w01_top_merchants", "SELECT merchant, round(total, 2) AS total FROM mer WHERE total > 0 ORDER BY total DESC, merchant LIMIT 25", lambda m: spend.top(m.filter("total > 0"), 25, F.desc("total"), "merchant").select("merchant", r2("total").alias("total")))
+_EACH = "SELECT category, merchant, row_number() OVER (PARTITION BY category ORDER BY total DESC, merchant) AS rank, greatest(count(*) OVER (PARTITION BY category) - {n}, 0) AS remaining FROM mer"
+ranked(
+    "w02_top_in_categories",
+    f"SELECT category, merchant, rank FROM (SELECT * FROM ({_EACH.format(n=5)}) WHERE rank <= 5 ORDER BY category, rank LIMIT 20)",
+    lambda m: spend.top_in_each(m, "category", 5, F.desc("total"), F.asc("merchant")).orderBy("category", "rank").limit(20).select("category", "merchant", c("rank").cast("long").alias("rank")),
+)
+spent("w03_top_categories", "SELECT category, round(sum(eff), 2) AS total FROM sp GROUP BY category ORDER BY sum(eff) DESC, category LIMIT 15", lambda d: spend.top(spend.by(d, "category"), 15, F.desc("total"), "category").select("category", r2("total").alias("total")))
+
+
+@register("w04_view_merchants", f"WITH {PLACED_SQL}, k AS (SELECT view, merchant, row_number() OVER (PARTITION BY view ORDER BY total DESC, merchant) AS rank, greatest(count(*) OVER (PARTITION BY view) - 20, 0) AS remaining FROM pl) SELECT * FROM k WHERE rank <= 20")
+def w04(spark, sf_dir):
+    p, _ = placed(spark, sf_dir)
+    return spend.top_in_each(p, "view", 20, F.desc("total"), F.asc("merchant")).select("view", "merchant", c("rank").cast("long").alias("rank"), "remaining")
+
+
+spent("w05_top_unknown", "SELECT description, count(*) AS count FROM sp WHERE category = 'Unknown' GROUP BY description ORDER BY sum(abs(amount)) DESC, description LIMIT 10", lambda d: spend.discover(d, 10).select("description", "count"))
+ranked("w06_top_per_category", f"SELECT category, merchant, rank, remaining FROM ({_EACH.format(n=5)}) WHERE rank <= 5", lambda m: spend.top_in_each(m, "category", 5, F.desc("total"), F.asc("merchant")).select("category", "merchant", c("rank").cast("long").alias("rank"), "remaining"))
+spent(
+    "w07_recent",
+    "SELECT merchant, date, description, round(amount, 2) AS amount FROM (SELECT *, row_number() OVER (PARTITION BY merchant ORDER BY date DESC, description, amount, source) AS rank FROM sp) WHERE rank <= 10",
+    lambda d: spend.top_in_each(d, "merchant", 10, F.desc("date"), F.asc("description"), F.asc("amount"), F.asc("source")).select("merchant", "date", "description", r2("amount").alias("amount")),
+)
+ranked("w08_sorted", "SELECT merchant FROM (SELECT merchant FROM mer ORDER BY abs(total) DESC, merchant LIMIT 30) UNION ALL SELECT * FROM (SELECT merchant FROM mer ORDER BY lower(merchant), merchant LIMIT 10)", lambda m: spend.sort_by(m, "total", True, True).limit(30).select("merchant").unionByName(spend.sort_by(m, "merchant", False).limit(10).select("merchant")))
+spent(
+    "w09_top_categories_by_month",
+    "SELECT month, category, round(sum(amount), 2) AS total FROM sp WHERE bucket = 'spending' AND category IN (SELECT category FROM sp WHERE bucket = 'spending' GROUP BY category ORDER BY sum(amount) DESC, category LIMIT 3) GROUP BY ALL",
+    lambda d: d.filter("bucket = 'spending'").join(spend.top(d.filter("bucket = 'spending'").groupBy("category").agg(F.sum("amount").alias("t")), 3, F.desc("t"), "category").select("category"), "category", "left_semi").groupBy("month", "category").agg(r2(F.sum("amount")).alias("total")),
+)
+ranked("w10_by_monthly_value", "SELECT merchant, round(total / 12, 2) AS monthly FROM mer ORDER BY total / 12 DESC, merchant", lambda m: m.orderBy(F.desc("monthly_value"), "merchant").select("merchant", r2("monthly_value").alias("monthly")))
+
+# Set operations
+register("u01_union", "SELECT 'orders' AS kind, count(*) AS n FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem")(
+    lambda spark, sf_dir: tables.otxn(spark, sf_dir).select("description", F.lit("orders").alias("kind")).unionByName(tables.txn(spark, sf_dir).select("description", F.lit("lineitem").alias("kind")), allowMissingColumns=True).groupBy("kind").agg(F.count("*").alias("n"))
+)
+spent("u02_distinct", "SELECT 'tags' AS kind, count(DISTINCT t) AS n FROM (SELECT unnest(tags) AS t FROM sp) UNION ALL SELECT 'months', count(DISTINCT month) FROM sp UNION ALL SELECT 'locations', count(DISTINCT location) FROM sp UNION ALL SELECT 'categories', count(DISTINCT category) FROM sp", lambda d: d.select(F.explode("tags").alias("x")).agg(F.lit("tags").alias("kind"), F.countDistinct("x").alias("n")).unionByName(d.agg(F.lit("months").alias("kind"), F.countDistinct("month").alias("n"))).unionByName(d.agg(F.lit("locations").alias("kind"), F.countDistinct("location").alias("n"))).unionByName(d.agg(F.lit("categories").alias("kind"), F.countDistinct("category").alias("n"))))
+spent("u03_tag_overlap", "SELECT list_has_any(tags, ['tools', 'large']) AS overlap, count(*) AS n FROM sp GROUP BY 1", lambda d: d.groupBy(F.arrays_overlap("tags", F.array(F.lit("tools"), F.lit("large"))).alias("overlap")).agg(F.count("*").alias("n")))
+
+# Report tables
+spent("k02_report_tables", "SELECT category, round(total, 2) AS total, round(100 * total / sum(total) OVER (), 1) AS share FROM (SELECT category, sum(eff) AS total FROM sp GROUP BY category) WHERE total > 0", lambda d: sinks.report_tables(d)["categories"].withColumn("total", r2("total")))
+register("k01_nested")(lambda spark, sf_dir: sinks.merchant_records(tables.spending(spark, sf_dir), 1))
+register("k03_report_records")(lambda spark, sf_dir: sinks.merchant_records(tables.spending(spark, sf_dir), 2))
+spent("k04_discovery_rows", "SELECT description, count(*) AS count, round(sum(abs(amount)), 2) AS total FROM sp WHERE category = 'Unknown' GROUP BY description", lambda d: spend.discover(d).select("description", "count", r2("total").alias("total")))
