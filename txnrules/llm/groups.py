@@ -19,6 +19,7 @@ from txnrules.llm.runtime import cut
 
 BLOCK_ROWS, BLOCK_BYTES = 2048, 8_000_000
 MAX_ROUNDS = 60
+GROUP_ROWS = 2000
 MARK_BITS = 26  # 8 MB
 
 
@@ -73,10 +74,11 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
-def in_blocks(rows: DataFrame, groups: DataFrame, process: Callable[[list[np.ndarray]], Iterator[pa.RecordBatch]], schema: str, size: str) -> DataFrame:
-    """rows (with node, and what else process needs; `size` is a column of bytes) joined to groups (node, root), one call of process per pair of blocks.
+def in_blocks(rows: DataFrame, groups: DataFrame, process: Callable[..., Iterator[pa.RecordBatch]], schema: str, size: str) -> DataFrame:
+    """rows (with node, and what else process needs; `size` is a column of bytes) joined to groups (node, root), one group per pair of blocks.
 
-    process gets (table, left): the rows of the two blocks, and for each row whether it is of the first; for a single block all are.
+    process gets (table, starts, left): rows of one or more whole groups, where each group starts, and for each row whether it is of its
+    group's first block; for a single block all are. Small groups come together, about GROUP_ROWS rows at a time.
     """
     member = rows.join(groups, "node")
     totals = rows.select("node", size).join(groups, "node").groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(size) / BLOCK_BYTES)).cast("int").alias("blocks")).filter("blocks > 1")
@@ -94,26 +96,29 @@ def in_blocks(rows: DataFrame, groups: DataFrame, process: Callable[[list[np.nda
     )
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
-        key = None
+        held: list[pa.RecordBatch] = []  # whole groups, and the rows so far of the last one
+        rows, starts, key = 0, [], None
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids = np.array([batch.column(c).to_numpy() for c in ("root", "first", "second")])
-            starts = np.concatenate([[0], np.flatnonzero((np.diff(ids) != 0).any(axis=0)) + 1, [batch.num_rows]])
-            for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                this = tuple(ids[:, lo].tolist())
-                if held and this != key:
-                    yield from process(*whole(held))
-                    held = []
-                key = this
-                held.append(batch.slice(lo, hi - lo))
-        if held:
-            yield from process(*whole(held))
-
-    def whole(held):
+            cuts = np.flatnonzero((np.diff(ids) != 0).any(axis=0)) + 1
+            new = ([0] if tuple(ids[:, 0].tolist()) != key else []) + cuts.tolist()
+            key, done = tuple(ids[:, -1].tolist()), 0
+            for at in new:
+                if rows + at - done >= GROUP_ROWS:
+                    held.append(batch.slice(done, at - done))
+                    yield from process(*whole(held, starts))
+                    held, rows, starts, done = [], 0, [], at
+                starts.append(rows + at - done)
+            held.append(batch.slice(done))
+            rows += batch.num_rows - done
+        if rows:
+            yield from process(*whole(held, starts))
+
+    def whole(held, starts):
         table = pa.Table.from_batches(held)
-        return table, table["mine"].to_numpy() == table["first"].to_numpy()
+        return table, starts, table["mine"].to_numpy() == table["first"].to_numpy()
 
     return dealt.mapInArrow(run, schema)
 

@@ -78,7 +78,12 @@ def _bands(texts: DataFrame) -> DataFrame:
 def _verify(over: int, under: int):
     limits = least_equal(over, under)
 
-    def process(t: pa.Table, left: np.ndarray):
+    def process(table: pa.Table, starts: list[int], left: np.ndarray):
+        for a, b in zip(starts, [*starts[1:], len(left)], strict=True):
+            if b - a > 1:
+                yield from one(table.slice(a, b - a), left[a:b])
+
+    def one(t: pa.Table, left: np.ndarray):
         node, copies = t["node"].to_numpy(), t["copies"].to_numpy()
         sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint32).reshape(-1, VALUES)
         bands = S.band_hashes(sig, ROWS)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txnrules.llm import shingles as S
-from txnrules.llm.groups import components, in_blocks, stars
+from txnrules.llm.groups import components, in_blocks, marks, stars
 from txnrules.llm.runtime import cut, table
 
 ROWS, BANDS = 4, 10
@@ -67,39 +67,52 @@ def _bands(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(text).mapInArrow(run, "band long, node long")
 
 
-def _texts(docs: DataFrame, text: str) -> DataFrame:
-    """(node, line, bytes) of every line."""
+def _texts(docs: DataFrame, text: str, shared) -> DataFrame:
+    """Written table (node, line, bytes) of the lines whose node is marked."""
 
     def run(batches):
         for batch in batches:
             lines = list({n for t in batch.column(0).cast(pa.binary()).to_pylist() if t for x in t.split(b"\n") if (n := normal(x))})
-            for a, b in S.runs(lines):
-                part = lines[a:b]
-                yield pa.RecordBatch.from_arrays([pa.array([number(S.digest(x)) for x in part], pa.int64()), pa.array(part, pa.binary()), pa.array([len(x) for x in part], pa.int64())], ["node", "line", "bytes"])
+            if not lines:
+                continue
+            node = np.array([number(S.digest(x)) for x in lines], np.int64)
+            at = np.flatnonzero(shared.value.test(node))
+            part = [lines[k] for k in at.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(part, pa.binary()), pa.array([len(x) for x in part], pa.int64())], ["node", "line", "bytes"])
 
-    return docs.select(text).mapInArrow(run, "node long, line binary, bytes long")
+    return cut(docs.select(text).mapInArrow(run, "node long, line binary, bytes long"))
 
 
-def joined_up(sets: list[np.ndarray], left: np.ndarray, over: int = OVER, under: int = UNDER) -> np.ndarray:
-    """Least index of each row's component under exact similarity, comparing rows of the first block with the others.
+def joined_up(shingles: np.ndarray, counts: np.ndarray, left: np.ndarray, over: int = OVER, under: int = UNDER) -> np.ndarray:
+    """Least index of each row's component under exact similarity; rows of the first block are compared with the others (all with all if there is one block).
 
-    Rows are compared with one row at a time through an index of their members; rows already joined with it are left out.
+    Rows are compared with one row at a time through an index of their shingles; rows already joined with it are left out, and nothing is
+    compared any more once all are one component.
     """
-    n = len(sets)
+    n = len(counts)
     root = np.arange(n)
-    sizes = np.array([len(s) for s in sets])
-    members = np.concatenate(sets)
-    row = np.repeat(np.arange(n), sizes)
-    order = np.argsort(members, kind="stable")
-    members, row = members[order], row[order]
-    pick = np.flatnonzero(left)
+    row = np.repeat(root, counts)
+    order = np.lexsort((row, shingles))
+    members, row = shingles[order], row[order]
+    distinct = np.ones(len(members), bool)
+    distinct[1:] = (members[1:] != members[:-1]) | (row[1:] != row[:-1])
+    members, row = members[distinct], row[distinct]
+    sizes = np.bincount(row, minlength=n)
+    first = np.flatnonzero(np.concatenate([[True], members[1:] != members[:-1]]))
+    group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(members))))
+    last = np.append(first[1:], len(members))
+    own = np.argsort(row, kind="stable")
+    at = np.concatenate([[0], np.cumsum(sizes)])
     others = np.ones(n, bool) if left.all() else ~left
-    for i in pick.tolist():
+    for i in np.flatnonzero(left).tolist():
         rest = others & (root != root[i])
         if not rest.any():
+            if left.all():
+                break
             continue
-        lo, hi = np.searchsorted(members, sets[i]), np.searchsorted(members, sets[i], "right")
-        hits = row[np.repeat(lo, hi - lo) + np.arange((hi - lo).sum()) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)]
+        mine = group[own[at[i] : at[i + 1]]]
+        lo, many = first[mine], last[mine] - first[mine]
+        hits = row[np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())]
         common = np.bincount(hits, minlength=n)
         good = np.flatnonzero(rest & (common > 0) & (under * common >= over * (sizes + sizes[i] - common)))
         if len(good):
@@ -108,20 +121,52 @@ def joined_up(sets: list[np.ndarray], left: np.ndarray, over: int = OVER, under:
     return root
 
 
-def _verify(t: pa.Table, left: np.ndarray):
-    node, lines = t["node"].to_numpy(), t["line"].to_pylist()
-    first = np.concatenate([[True], node[1:] != node[:-1]])  # a line comes from every batch that has it
-    at = np.flatnonzero(first)
-    node = node[at]
-    root = node[joined_up(S.split_sets(*S.byte_shingles([lines[k] for k in at.tolist()])), left[at])]
-    other = root != node
-    yield pa.RecordBatch.from_arrays([pa.array(node[other]), pa.array(root[other])], ["node", "root"])
+def pairs_joined(shingles: np.ndarray, counts: np.ndarray, over: int = OVER, under: int = UNDER) -> np.ndarray:
+    """For sets two by two: whether each pair (0, 1), (2, 3) ... is similar; all pairs at once."""
+    row = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((row, shingles, row >> 1))
+    members, row = shingles[order], row[order]
+    distinct = np.ones(len(members), bool)
+    distinct[1:] = (members[1:] != members[:-1]) | (row[1:] != row[:-1])
+    members, row = members[distinct], row[distinct]
+    sizes = np.bincount(row, minlength=len(counts))
+    both = (members[1:] == members[:-1]) & (row[1:] == row[:-1] + 1) & (row[1:] % 2 == 1)
+    common = np.bincount(row[1:][both] >> 1, minlength=len(counts) // 2)
+    return (under * common >= over * (sizes[::2] + sizes[1::2] - common)) & (common > 0)
+
+
+def _verify(t: pa.Table, starts: list[int], left: np.ndarray):
+    """Groups of rows begin at `starts`. A line comes from every batch that has it, so its repetitions are left out first."""
+    node = t["node"].to_numpy()
+    begins = np.zeros(len(node), np.int64)
+    begins[starts] = 1
+    group = np.cumsum(begins) - 1
+    once = np.flatnonzero(np.concatenate([[True], (node[1:] != node[:-1]) | (group[1:] != group[:-1])]))
+    node, group, left = node[once], group[once], left[once]
+    lines = t["line"].take(pa.array(once)).to_pylist()
+    sizes = np.bincount(group)
+    begin = np.cumsum(sizes) - sizes
+    out_node, out_root = [], []
+    of_two = np.flatnonzero(sizes == 2)
+    for k in range(0, len(of_two), 2000):
+        rows = np.repeat(begin[of_two[k : k + 2000]], 2)
+        rows[1::2] += 1
+        good = pairs_joined(*S.byte_shingles([lines[r] for r in rows.tolist()]))
+        out_node.append(node[rows[1::2][good]])
+        out_root.append(node[rows[::2][good]])
+    for g in np.flatnonzero(sizes > 2).tolist():
+        a, b = begin[g], begin[g] + sizes[g]
+        root = joined_up(*S.byte_shingles(lines[a:b]), left[a:b])
+        other = np.flatnonzero(root != np.arange(len(root)))
+        out_node.append(node[a + other])
+        out_root.append(node[a + root[other]])
+    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (out_node, out_root)], ["node", "root"])
 
 
 def classes(docs: DataFrame, text: str) -> DataFrame:
     """(node, root) of the lines that are similar to another line."""
-    candidates = components(stars(_bands(docs, text)))
-    return components(in_blocks(_texts(docs, text), candidates, _verify, "node long, root long", "bytes"))
+    candidates = cut(components(stars(_bands(docs, text))))
+    return components(in_blocks(_texts(docs, text, marks(candidates)), candidates, _verify, "node long, root long", "bytes"))
 
 
 def line_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
