@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages, each applying one operator of txnrules.llm to all that its predecessor kept.
 
-Every stage takes (spark, docs, sf_dir) and returns a DataFrame; stages but the last return the columns of documents. `run` writes each
-stage's result as Parquet to the shared folder and reads it again as the next one's docs.
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; stages but the last return the columns of documents. A stage's result is
+written as Parquet and read again as the next one's docs, as `run` does: a stage starts by deleting the tables that the stage before it left in
+the shared folder, so don't call one on a result that isn't written.
 """
 
 from __future__ import annotations
@@ -10,32 +11,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txnrules.llm import bpe, decontaminate, jaccard_join, line_dedup, quality_classifier
-from txnrules.llm.runtime import cut, table
+from txnrules.llm.runtime import cut, release, table
 
 
 def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores at 0.5 or more; it learns word vectors from docs and weights from the labels."""
+    release(spark)
     found = quality_classifier.score(docs, *quality_classifier.learn(spark, sf_dir, docs))
     return found.filter("score >= 0.5").select("row.*")
 
 
 def lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; of lines that are equal or similar across them, only the first stays in its text."""
+    release(spark)
     return line_dedup.dedup(docs)
 
 
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of every class of similar documents."""
+    release(spark)
     return jaccard_join.first_of_each(docs)
 
 
 def contamination(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
+    release(spark)
     return decontaminate.without_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and the decoded text of every document."""
+    release(spark)
     lexicon = bpe.ship(spark, bpe.frequent_words(docs), bpe.default_vocabulary())
     return bpe.encode(docs, lexicon).select(F.col("key").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").alias("text"))
 
@@ -51,5 +57,5 @@ def run(spark, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
-            docs = cut(docs)
+            docs = cut(docs, keep=True)
     return docs

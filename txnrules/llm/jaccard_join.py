@@ -47,23 +47,22 @@ def least_equal(over: int, under: int, tolerance: float = TOLERANCE) -> dict[int
 
 
 def prepared(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Written table, a row per document: rid, key, words (normalised), digest (null without words), sig, row (the columns of carry)."""
-    row = F.struct(*[F.col(c) for c in carry] or [F.lit(0).alias("none")])
-    taken = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), row.alias("row"))
-    names = ["key", "words", "digest", "sig", "row"]
+    """Written table, a row per document: rid, row (key, text and the columns of carry), digest of the words (null without words), sig."""
+    row = F.struct(*[F.col(c) for c in dict.fromkeys([key, text, *carry])])
+    taken = docs.select(F.col(text).alias("text"), row.alias("row"))
 
     def run(batches):
         for batch in batches:
-            words = [S.normal_words(t) for t in batch.column(1).to_pylist()]
+            words = [S.normal_words(t) for t in batch.column(0).to_pylist()]
             for a, b in S.runs(words):
                 part = words[a:b]
                 sig = S.signatures(*S.word_shingles(part), VALUES)
-                digests = pa.array([S.digest(w) if w else None for w in part], pa.binary())
-                made = [pa.array(part, pa.binary()), digests, pa.array([x.tobytes() for x in sig], pa.binary())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *made, batch.column(2).slice(a, b - a)], names)
+                made = [pa.array([S.digest(w) if w else None for w in part], pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*made, batch.column(1).slice(a, b - a)], ["digest", "sig", "row"])
 
-    made = taken.mapInArrow(run, f"key long, words binary, digest binary, sig binary, row {taken.schema['row'].dataType.simpleString()}")
-    return cut(made.select(F.monotonically_increasing_id().alias("rid"), "*"))
+    made = taken.mapInArrow(run, f"digest binary, sig binary, row {taken.schema['row'].dataType.simpleString()}")
+    stored = cut(made.select(F.monotonically_increasing_id().alias("rid"), "*"))
+    return stored.select("rid", F.col("row")[key].cast("long").alias("key"), F.col("row")[text].alias("text"), "digest", "sig", "row")
 
 
 def _bands(texts: DataFrame) -> DataFrame:
@@ -87,7 +86,7 @@ def _verify(over: int, under: int):
         node, copies = t["node"].to_numpy(), t["copies"].to_numpy()
         sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint32).reshape(-1, VALUES)
         bands = S.band_hashes(sig, ROWS)
-        sets = S.split_sets(*S.word_shingles(t["words"].to_pylist()))
+        sets = S.split_sets(*S.word_shingles([S.normal_words(x) for x in t["text"].to_pylist()]))
         a, b = candidates(bands, left)
         kept = [k[similar(sig, x, y, limits)] for k, x, y in ((np.arange(at, min(at + PAIRS_AT_ONCE, len(a))), a[at : at + PAIRS_AT_ONCE], b[at : at + PAIRS_AT_ONCE]) for at in range(0, len(a), PAIRS_AT_ONCE))]
         kept = np.concatenate(kept) if kept else np.zeros(0, int)
@@ -131,21 +130,21 @@ def similar(sig: np.ndarray, a: np.ndarray, b: np.ndarray, limits: dict[int, int
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", over: int = OVER, under: int = UNDER) -> DataFrame:
     """rid, key, class_id, first_doc_id, n_links, is_first (one row of each class) per document."""
-    return _joined(prepared(docs, key, text), over, under)
+    return _joined(prepared(docs, key, text).drop("row"), over, under)
 
 
 def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", over: int = OVER, under: int = UNDER) -> DataFrame:
     """docs with one row of each class, the one with the least id; same columns."""
     rows = prepared(docs, key, text, tuple(docs.columns))
-    chosen = _joined(rows.select("rid", "key", "words", "digest", "sig"), over, under).filter("is_first").select("rid")
-    return rows.select("rid", "row").join(chosen, "rid", "left_semi").select("row.*")
+    chosen = _joined(rows.drop("row"), over, under).filter("is_first").select("rid")
+    return rows.select("rid", "row").join(chosen, "rid", "left_semi").select("row.*").select(*docs.columns)
 
 
 def _joined(rows: DataFrame, over: int, under: int) -> DataFrame:
     texts = cut(rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("rid").alias("node"), F.count("*").alias("copies")))
     named = rows.withColumnRenamed("rid", "node")
     candidates = cut(components(stars(_bands(named.filter("digest IS NOT NULL")))).join(texts.select("node", "copies"), "node"))
-    chosen = marked(named.select("node", "sig", "words"), marks(candidates)).withColumn("bytes", F.length("words") + 600)
+    chosen = marked(named.select("node", "sig", "text"), marks(candidates)).withColumn("bytes", F.octet_length("text") + 600)
     found = cut(in_blocks(chosen, candidates, _verify(over, under), "node long, links long, root long", "bytes"))
     linked = components(found.select("node", "root"))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))

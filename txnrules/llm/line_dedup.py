@@ -188,9 +188,9 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with every text cut down to the lines that stay; same columns and rows."""
-    row = F.struct(*[F.col(c) for c in docs.columns])
-    own = numbered(docs.select(F.col(key).alias("key"), F.col(text).alias("text"), row.alias("row")))
-    gone = line_table(own, "key", "text").filter("NOT kept").groupBy("rid").agg(F.collect_list("line_no").alias("gone"))
+    stored = numbered(docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row")))
+    own = stored.select("rid", F.col("row")[key].alias("key"), F.col("row")[text].alias("text"), "row")
+    gone = line_table(own.select("rid", "key", "text"), "key", "text").filter("NOT kept").groupBy("rid").agg(F.collect_list("line_no").alias("gone"))
     left = own.join(gone, "rid", "left")
     lines = F.split("text", "\n", -1)
     stay = F.filter(lines, lambda _, i: ~F.array_contains("gone", i))

@@ -20,13 +20,29 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: lineage ends there, and a lost executor loses nothing."""
+_written: list[str] = []
+
+
+def cut(df: DataFrame, keep: bool = False) -> DataFrame:
+    """Write df as a table in the shared folder and read it again: lineage ends there, and a lost executor loses nothing.
+
+    The table stays until `release`, or for good if keep.
+    """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not keep:
+        _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the tables that `cut` wrote. For use once the results made from them are written elsewhere."""
+    jvm = spark.sparkContext._jvm
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
