@@ -56,7 +56,7 @@ KIND_ORDER = {"tag": 0, "category": 1, "subcategory": 2, "location": 3, "merchan
 def facet_values(df: DataFrame) -> DataFrame:
     """kind, value, parent, n: every value that can be filtered on, with its number of transactions."""
     parts = [
-        df.groupBy(F.explode("tags").alias("value")).agg(F.count("*").alias("n")).select(F.lit("tag").alias("kind"), "value", F.lit("").alias("parent"), "n"),
+        df.select(F.explode("tags").alias("value")).groupBy("value").agg(F.count("*").alias("n")).select(F.lit("tag").alias("kind"), "value", F.lit("").alias("parent"), "n"),
         df.groupBy("category").agg(F.count("*").alias("n")).select(F.lit("category").alias("kind"), F.col("category").alias("value"), F.lit("").alias("parent"), "n"),
         df.groupBy("category", "subcategory").agg(F.count("*").alias("n")).select(F.lit("subcategory").alias("kind"), F.col("subcategory").alias("value"), F.col("category").alias("parent"), "n"),
         df.filter("location IS NOT NULL").groupBy("location").agg(F.count("*").alias("n")).select(F.lit("location").alias("kind"), F.col("location").alias("value"), F.lit("").alias("parent"), "n"),

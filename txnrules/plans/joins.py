@@ -1 +1,91 @@
-"""Registered queries."""
+"""Queries for look-ups in a supplemental source (J*): orders as transactions, their line items as the source."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from txnrules.operators import lookup
+from txnrules.plans import tables
+from txnrules.plans.registry import register
+from txnrules.plans.tables import OSRC_SQL, OTXN_SQL
+
+c = F.col
+BOTH = f"WITH {OTXN_SQL}, {OSRC_SQL}"
+ON = {"txn_id": "orderkey"}
+SORT = "o1, o2, o3, amount"
+
+
+def sides(spark, sf_dir):
+    return tables.otxn(spark, sf_dir), tables.osrc(spark, sf_dir)
+
+
+@register("j01_exists", f"{BOTH} SELECT txn_id, txn_id IN (SELECT orderkey FROM osrc WHERE amount > 60000) AS found FROM otxn")
+def j01(spark, sf_dir):
+    t, s = sides(spark, sf_dir)
+    return lookup.exists(t, s.filter("amount > 60000"), ON).select("txn_id", "found")
+
+
+@register("j02_without", f"{BOTH} SELECT txn_id FROM otxn WHERE txn_id NOT IN (SELECT orderkey FROM osrc)")
+def j02(spark, sf_dir):
+    return lookup.without(*sides(spark, sf_dir), ON).select("txn_id")
+
+
+@register("j03_listed", f"{BOTH} SELECT txn_id, l.items FROM otxn LEFT JOIN (SELECT orderkey, array_to_string(list(item ORDER BY {SORT}), '|') AS items FROM osrc WHERE amount > 15000 GROUP BY 1) AS l ON txn_id = l.orderkey")
+def j03(spark, sf_dir):
+    t, s = sides(spark, sf_dir)
+    return lookup.aggregated(t, s, ON, {"items": F.array_join(lookup.listed("item", "ord"), "|")}, where=c("amount") > 15000).select("txn_id", "items")
+
+
+@register(
+    "j04_aggregates",
+    f"{BOTH} SELECT txn_id, coalesce(n, 0) AS n, coalesce(total, 0) AS total, coalesce(least_one, 0) AS least_one, coalesce(greatest_one, 0) AS greatest_one, coalesce(every, true) AS every FROM otxn LEFT JOIN (SELECT orderkey, count(*) AS n, round(sum(amount), 2) AS total, min(amount) AS least_one, max(amount) AS greatest_one, bool_and(amount > 5000) AS every FROM osrc GROUP BY 1) AS a ON txn_id = orderkey",
+)
+def j04(spark, sf_dir):
+    a = {"n": F.count("*"), "total": F.round(F.sum("amount"), 2), "least_one": F.min("amount"), "greatest_one": F.max("amount"), "every": F.every(c("amount") > 5000)}
+    return lookup.aggregated(*sides(spark, sf_dir), ON, a, default={"n": 0, "total": 0.0, "least_one": 0.0, "greatest_one": 0.0, "every": True}).select("txn_id", *a)
+
+
+@register("j05_first", f"{BOTH} SELECT txn_id, coalesce(f.item, 'none') AS item FROM otxn LEFT JOIN (SELECT orderkey, first(item ORDER BY {SORT}) AS item FROM osrc WHERE amount > 25000 GROUP BY 1) AS f ON txn_id = f.orderkey")
+def j05(spark, sf_dir):
+    return lookup.aggregated(*sides(spark, sf_dir), ON, {"item": lookup.first_of("item", "ord")}, where=c("amount") > 25000, default={"item": "none"}).select("txn_id", "item")
+
+
+@register("j06_nth", f"{BOTH} SELECT txn_id, l[2] AS second, l[-1] AS last FROM otxn LEFT JOIN (SELECT orderkey, list(item ORDER BY {SORT}) AS l FROM osrc GROUP BY 1) ON txn_id = orderkey")
+def j06(spark, sf_dir):
+    found = lookup.aggregated(*sides(spark, sf_dir), ON, {"items": lookup.listed("item", "ord")})
+    return found.select("txn_id", lookup.nth("items", 1).alias("second"), lookup.nth("items", -1).alias("last"))
+
+
+@register("j07_uncorrelated", f"{BOTH} SELECT source, count(*) AS n FROM otxn WHERE amount > (SELECT avg(amount) * 3 FROM osrc) GROUP BY 1")
+def j07(spark, sf_dir):
+    t, s = sides(spark, sf_dir)
+    whole = s.agg((F.avg("amount") * 3).alias("limit_of_all"))  # one row
+    return t.join(F.broadcast(whole), c("amount") > c("limit_of_all")).groupBy("source").agg(F.count("*").alias("n"))
+
+
+@register("j08_near_in_time", f"{BOTH} SELECT txn_id, count(*) AS n, round(sum(osrc.amount), 2) AS total FROM otxn JOIN osrc ON txn_id = orderkey AND abs(date_diff('day', osrc.date, otxn.date)) <= 3 GROUP BY 1")
+def j08(spark, sf_dir):
+    t, s = sides(spark, sf_dir)
+    return lookup.near_in_time(t, s, 3, on=ON).groupBy("txn_id").agg(F.count("*").alias("n"), F.round(F.sum("s_amount"), 2).alias("total"))
+
+
+@register("j09_condition", f"{BOTH} SELECT txn_id, coalesce(n, 0) AS n FROM otxn LEFT JOIN (SELECT txn_id AS id, count(*) AS n FROM otxn JOIN osrc ON txn_id = orderkey AND osrc.amount < otxn.amount / 10 AND osrc.date > otxn.date GROUP BY 1) ON id = txn_id")
+def j09(spark, sf_dir):
+    t, s = sides(spark, sf_dir)
+    condition = (c("txn_id") == c("s_orderkey")) & (c("s_amount") < c("amount") / 10) & (c("s_date") > c("date"))
+    return lookup.by_condition(t, s, "txn_id", condition, {"n": F.count("*")}).select("txn_id", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@register("j10_two_sources", f"{BOTH}, j AS (SELECT orderkey, count(*) AS n, count(DISTINCT p_brand) AS brands FROM osrc JOIN part ON o2 = p_partkey WHERE amount > 1000 AND p_size > 10 GROUP BY 1) SELECT txn_id, coalesce(n, 0) AS n, coalesce(brands, 0) AS brands FROM otxn LEFT JOIN j ON txn_id = orderkey")
+def j10(spark, sf_dir):
+    t, s = sides(spark, sf_dir)
+    parts = tables.table(spark, sf_dir, "part").filter("p_size > 10")
+    both = s.filter("amount > 1000").join(parts, c("ord.b") == c("p_partkey"))
+    return lookup.aggregated(t, both, ON, {"n": F.count("*"), "brands": F.countDistinct("p_brand")}, default={"n": 0, "brands": 0}).select("txn_id", "n", "brands")
+
+
+@register("j11_let_chain", f"{BOTH} SELECT txn_id, n > 2 AND total > 100000 AS large FROM (SELECT txn_id, coalesce(n, 0) AS n, coalesce(total, 0) AS total FROM otxn LEFT JOIN (SELECT orderkey, count(*) AS n, sum(amount) AS total FROM osrc GROUP BY 1) ON txn_id = orderkey)")
+def j11(spark, sf_dir):
+    """One join gives all aggregates that later bindings use."""
+    found = lookup.aggregated(*sides(spark, sf_dir), ON, {"n": F.count("*"), "total": F.sum("amount")}, default={"n": 0, "total": 0.0})
+    return found.select("txn_id", ((c("n") > 2) & (c("total") > 100000)).alias("large"))
