@@ -161,6 +161,14 @@ spent(
     "SELECT merchant, round(coalesce(sum(eff), 0), 2) AS s, count(*) AS n, round(avg(eff), 2) AS a, round(max(eff), 2) AS mx, round(min(eff), 2) AS mn, round(coalesce(stddev_samp(eff), 0), 2) AS sd FROM sp GROUP BY merchant",
     lambda d: spend.by_merchant(d, lists=True).select("merchant", r2(V.list_sum(c("payments"))).alias("s"), F.size("payments").cast("long").alias("n"), r2(V.list_avg(c("payments"))).alias("a"), r2(V.list_max(c("payments"))).alias("mx"), r2(V.list_min(c("payments"))).alias("mn"), r2(V.list_stddev(c("payments"))).alias("sd")),
 )
+for _id, _sql, _make in (
+    ("v08_count", "count(*)", lambda x: F.size(x).cast("long")),
+    ("v09_avg", "round(avg(eff), 2)", lambda x: r2(V.list_avg(x))),
+    ("v10_max", "round(max(eff), 2)", lambda x: r2(V.list_max(x))),
+    ("v11_min", "round(min(eff), 2)", lambda x: r2(V.list_min(x))),
+    ("v12_stddev", "round(coalesce(stddev_samp(eff), 0), 2)", lambda x: r2(V.list_stddev(x))),
+):
+    spent(_id, f"SELECT merchant, {_sql} AS value FROM sp GROUP BY merchant", lambda d, make=_make: spend.by_merchant(d, lists=True).select("merchant", make(c("payments")).alias("value")))
 spent("v01_payments", "SELECT merchant, md5(array_to_string(list((round(eff * 100)::BIGINT)::VARCHAR ORDER BY date, description, amount, source), ',')) AS digest FROM sp GROUP BY merchant", lambda d: spend.by_merchant(d, lists=True).select("merchant", F.md5(F.array_join(F.transform("payments", lambda x: F.round(x * 100).cast("long").cast("string")), ",")).alias("digest")))
 for _unit, _form in (("month", "%Y-%m"), ("year", "%Y"), ("week", "%Y-W%W"), ("day", "%Y-%m-%d")):
     spent(
