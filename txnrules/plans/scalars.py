@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -168,7 +169,7 @@ def k06(spark, sf_dir):
 def scratch(spark) -> str:
     """A folder that driver and executors share, for files that a query writes and reads."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/export-{abs(hash(object()))}" if shared else tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/export"
+    return f"{shared.rstrip('/')}/export-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/export"
 
 
 @register("s01_delimited", f"WITH {_RAW} SELECT source, count(*) AS n, round(sum(amount), 2) AS total FROM (SELECT 'bank' AS source, amount FROM raw WHERE amount IS NOT NULL) GROUP BY 1")
@@ -215,8 +216,7 @@ def s04(spark, sf_dir):
 def s05(spark, sf_dir):
     path = scratch(spark)
     raw(spark, sf_dir).write.csv(path, header=True)
-    there = path if "://" in path else path
-    parts = [ingest.good(ingest.prepare(ingest.read_delimited(spark, there, 5), SHAPE, n)) for n in ("a", "b")]
+    parts = [ingest.good(ingest.prepare(ingest.read_delimited(spark, path, 5), SHAPE, n)) for n in ("a", "b")]
     return ingest.source_counts(ingest.unite(parts))
 
 
