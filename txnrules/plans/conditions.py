@@ -49,7 +49,6 @@ counted(
     lambda: (V.date_part("month", c("date")) == 3) & (V.date_part("year", c("date")) > 1995) & (V.date_part("day", c("date")) < 20) & (V.date_part("weekday", c("date")) < 5) & (V.date_part("day", F.lit(None).cast("date")) == 0),
     "month(date) = 3 AND year(date) > 1995 AND day(date) < 20 AND isodow(date) < 6",
 )
-counted("p17_txn_reference", lambda: (c("txn.location") == "CHINA") & (c("txn.amount") > 0), "location = 'CHINA' AND amount > 0")
 counted("p18_field", lambda: (c("field")["priority"] == "1-URGENT") & c("field")["none"].isNull(), "priority = '1-URGENT'")
 counted(
     "p19_amount_modifiers",
@@ -64,14 +63,13 @@ counted(
 counted("p21_all_modifiers", lambda: V.amount_condition(c("amount"), "<", 0) & V.date_condition(c("date"), month=7) & V.date_condition(F.lit(None).cast("date"), month=7).eqNullSafe(False), "amount < 0 AND month(date) = 7")
 
 
-def _p17(spark, sf_dir):
+@register("p17_txn_reference", f"WITH {TXN_SQL} SELECT source, count(*) AS n, round(sum(amount), 2) AS total FROM txn WHERE location = 'CHINA' AND amount > 0 GROUP BY source")
+def p17(spark, sf_dir):
+    """Columns by the name of their table."""
     kept = tables.txn(spark, sf_dir).alias("txn").filter((F.col("txn.location") == "CHINA") & (F.col("txn.amount") > 0))
     return kept.groupBy("source").agg(F.count("*").alias("n"), F.round(F.sum("amount"), 2).alias("total"))
 
 
-register("p17_txn_reference", f"WITH {TXN_SQL} SELECT source, count(*) AS n, round(sum(amount), 2) AS total FROM txn WHERE location = 'CHINA' AND amount > 0 GROUP BY source")(_p17)
-
-
 @register("p06_fuzzy")
 def p06(spark, sf_dir):
     """Names similar to a misspelt one; the ratio has no SQL form."""
