@@ -41,6 +41,30 @@ def test_tag_soup_and_references():
     assert H.extract("<p>a<b>b</b>c</p>") == "abc"
 
 
+WRAPPERS = ['<div class="layout with-sidebar">%s</div>', '<div class="no-sidebar">%s</div>', '<div class="has-nav menu-open">%s</div>', '<form action="/x">%s</form>', '<div class="sidebar">%s</div>', "%s"]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+@pytest.mark.parametrize("shell", ["<article>%s</article>", "<main>%s</main>", "<div><div class='post'>%s</div></div>"])
+def test_what_wraps_the_page_stays(wrapper, shell):
+    junk = "".join(JUNK[k] for k in ("nav", "aside", "ad", "comments", "related"))
+    assert H.extract(f"<html><head><title>T</title></head><body>{wrapper % (junk + shell % STORY + junk)}</body></html>") == WANT
+
+
+@pytest.mark.parametrize("shell", ["<article>%s</article>", "<div><div class='post'>%s</div></div>"])
+def test_long_comments_and_teasers_do_not_replace_the_story(shell):
+    more = "<section class='comment-list'>" + "<article><p>A reader writes at length about this and that and more.</p></article>" * 40 + "</section>"
+    teasers = "<aside><article><h2>Other</h2><p>A teaser.</p></article></aside>"
+    assert H.extract(f"<body><div>{shell % STORY}</div>{more}{teasers}</body>") == WANT
+
+
+@pytest.mark.parametrize("head", ["<head><title>T</title><meta charset=utf-8>", "<head><title>T</title><noscript><link href=x></noscript>", "<head><script>a()</script>", "<head>"])
+@pytest.mark.parametrize("body", ["<body>%s</body>", "%s"])
+def test_open_head(head, body):
+    assert H.extract(f"<!DOCTYPE html><html>{head}{body % f'<article>{STORY}</article>'}</html>") == WANT
+    assert H.extract(f"<html>{head}plain text") == "plain text"
+
+
 def test_deep_and_long_pages():
     assert H.extract("<div>" * 5000 + "deep") == "deep"
     assert len(H.extract("<article>" + "<p>word word</p>" * 50_000)) == 10 * 50_000 - 1

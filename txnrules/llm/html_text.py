@@ -4,7 +4,8 @@ A page becomes a tree: tags that HTML closes implicitly are closed (a new block
 formatting left open ends with its block), raw text of scripts and styles is kept apart, character references are decoded.
 Parts that are not the article are set aside: elements that by tag hold no article text (scripts, styles, forms, navigation, site
 headers and footers, asides ...), and elements whose class, id or role names an advert, menu, notice, sidebar, sharing bar or
-comments.
+comments: by a whole class (`left-sidebar`), not by a part of one that says something else (`with-sidebar`). What wraps the page is not set
+aside, whatever its tag or name (`settle`).
 
 For every other node, with c characters, t tags, lc characters and lt tags in links in its subtree, the composite text density is
 characters per tag times the logarithm of (c / lc) * (t / lt), to a base that grows with the links' part of the text (`density`).
@@ -39,19 +40,29 @@ ENDS_PARAGRAPH = frozenset(
 )
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPE = frozenset("table ul ol dl select div section article main body html".split())
-# Words of class, id and role that name what is not the article.
-NOT_ARTICLE_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|breadcrumbs?|comments?|commentlist|consent|contentinfo|cookies?|disqus|disclaimer|footer|gdpr|masthead|menu|modal|nav|navbar|navigation|navigationmenu|newsletter|notice|notification|pager|pagination|popup|promo|promoted|promotion|related|replies|respond|share|sharing|sidebar|site-header|skip|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])",
-    re.IGNORECASE,
+# Classes, ids and roles that name what is not the article: one of the names, alone or with other names and words of place or form.
+READERS = r"comments?|commentlist|disqus|replies|respond"
+NAMES = (
+    rf"ads?|adverts?|advertisement|advertising|banner|breadcrumbs?|{READERS}|consent|contentinfo|cookies?|disclaimer|footer|gdpr|masthead|menu|modal|nav|navbar|navigation|navigationmenu|newsletter|notice|notification"
+    r"|pager|pagination|popup|promo|promoted|promotion|related|share|sharing|sidebar|site-header|skip|social|sponsor|sponsored|subscribe|toolbar|widget"
 )
+PLACES = (
+    r"\d+|all|area|articles?|author|bar|body|bottom|box|block|buttons?|center|col|column|container|content|desktop|entry|footer|form|global|google|group|header|icons?|inner|inline|items?|label|left|links?|list|main|media|meta|mobile"
+    r"|module|news|outer|overlay|page|panel|policy|posts?|primary|right|row|secondary|section|site|slot|small|sticky|stories|story|sub|text|thread|title|to|top|unit|user|wrap|wrapper|zone"
+)
+NOT_ARTICLE_NAME = re.compile(rf"(?:(?:{PLACES})[_-]+)*(?:{NAMES})(?:[_-]+(?:{NAMES}|{PLACES}))*", re.IGNORECASE)
+READERS_NAME = re.compile(rf"(?:^|[\s_-])(?:{READERS})(?:$|[\s_-])", re.IGNORECASE)
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+NEVER, BY_TAG, BY_NAME, OF_READERS = 1, 2, 3, 4  # why an element is set aside
 SPACES = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "aside", "chars", "tags", "link_chars", "link_tags", "density", "score")
+    __slots__ = ("tag", "parent", "children", "why", "aside", "chars", "tags", "link_chars", "link_tags", "density", "score")
 
-    def __init__(self, tag: str, parent: Node | None, aside: bool):
-        self.tag, self.parent, self.aside = tag, parent, aside
+    def __init__(self, tag: str, parent: Node | None, why: int):
+        """why: its own reason to be set aside, 0 if none; `settle` decides."""
+        self.tag, self.parent, self.why, self.aside = tag, parent, why, False
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.score = 0.0
@@ -62,30 +73,49 @@ class Tree(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = Node("html", None, False)
+        self.root = Node("html", None, 0)
         self.open, self.order = self.root, [self.root]
 
     def handle_starttag(self, tag, attrs):
         if tag in ("html", "body") and any(n.tag == tag for n in self.order[:8]):
             return
+        if tag == "head" and self.open is not self.root:
+            return
+        if tag not in IN_HEAD:
+            self._end_head()
         if tag in ENDS_PARAGRAPH:
             self._close({"p"}, stop=SCOPE)
         if tag in SIBLINGS:
             self._close(SIBLINGS[tag], stop=SCOPE)
-        node = Node(tag, self.open, self.open.aside or self._aside(tag, attrs))
+        node = Node(tag, self.open, self._why(tag, attrs))
         self.open.children.append(node)
         self.order.append(node)
         if tag not in VOID:
             self.open = node
 
-    def _aside(self, tag, attrs):
-        if tag in NOT_TEXT or tag in NOT_ARTICLE:
-            return True
-        if tag == "header" and not self._within("article", "main"):
-            return True
+    def _why(self, tag, attrs):
+        if tag in NOT_TEXT:
+            return NEVER
+        if tag in NOT_ARTICLE or (tag == "header" and not self._within("article", "main")):
+            return BY_TAG
         if tag in ("html", "body", "article", "main"):
-            return False
-        return any(k == "hidden" or (k in ("class", "id", "role") and v and NOT_ARTICLE_NAME.search(v)) or (k == "aria-hidden" and v == "true") for k, v in attrs)
+            return 0
+        why = 0
+        for k, v in attrs:
+            if k == "hidden" or (k == "aria-hidden" and v == "true"):
+                why = why or BY_NAME
+            elif k in ("class", "id", "role") and v and any(NOT_ARTICLE_NAME.fullmatch(x) for x in v.split()):
+                why = OF_READERS if READERS_NAME.search(v) else why or BY_NAME
+        return why
+
+    def _end_head(self):
+        """What may not stand in a head ends an open one."""
+        node = self.open
+        while node is not self.root and node.tag in ("head", "noscript"):
+            if node.tag == "head":
+                self.open = node.parent
+                return
+            node = node.parent
 
     def _within(self, *tags):
         node = self.open
@@ -120,9 +150,55 @@ class Tree(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_data(self, data):
+        if self.open.tag == "head" and data.strip():
+            self._end_head()
         self.open.children.append(data)
 
 
+def settle(tree: Tree) -> None:
+    """Decides which nodes are set aside: those with a reason, and all in them, unless that would take the page itself.
+
+    A reason doesn't count for an element that holds the page's `main`; nor, if every `article` and `main` would be set aside, for one that
+    holds an article or more than half of the body's text outside links. Elements of readers' comments, and asides, footers and menus around
+    articles (teasers), are no such wrappers of articles. Scripts and the like never hold text.
+    """
+    if any(n.why > NEVER for n in tree.order):
+        _lift(tree)
+    for n in tree.order:
+        n.aside = n.why > 0 or (n.parent is not None and n.parent.aside)
+
+
+def _lift(tree: Tree) -> None:
+    never, linked, inside, plain = set(), set(), set(), {}
+    for n in tree.order:  # parents first
+        up = n.parent
+        if n.why == NEVER or up in never:
+            never.add(n)
+        if n.tag == "a" or up in linked:
+            linked.add(n)
+        if n.why > NEVER or up in inside:
+            inside.add(n)
+        plain[n] = 0 if n in never or n in linked else sum(len(x.strip()) for x in n.children if isinstance(x, str))
+    for n in reversed(tree.order):
+        if n.parent:
+            plain[n.parent] += plain[n]
+    marks = [n for n in tree.order if n.tag in ("article", "main") and n not in never]
+    marked = any(n not in inside for n in marks)
+    around: dict[Node, str] = {}
+    for n in marks:
+        up = n.parent
+        while up and around.get(up) not in (n.tag, "main"):
+            around[up] = n.tag
+            up = up.parent
+    for n in tree.order:
+        if n.why in (BY_TAG, BY_NAME) and (
+            around.get(n) == "main"
+            or not marked
+            and (around.get(n) == "article" and n.tag not in ("aside", "footer", "nav", "menu") or 2 * plain[n] > plain[tree.root])
+        ):
+            n.why = 0
+
+
 def measure(tree: Tree) -> None:
     """Counts, densities and scores of all nodes that are not set aside."""
     live = [n for n in tree.order if not n.aside]
@@ -211,6 +287,7 @@ def extract(html: str | None) -> str:
     tree = Tree()
     tree.feed(html)
     tree.close()
+    settle(tree)
     measure(tree)
     return " ".join(blocks(main_part(tree)))
 
