@@ -71,6 +71,17 @@ def test_large_groups_in_blocks(spark, monkeypatch):
     check(J.join(spark.createDataFrame([(i, t, 1, "r", 2) for i, t in rows], SCHEMA)).collect(), rows)
 
 
+def test_small_groups_in_blocks_by_bytes(spark, monkeypatch):
+    """Groups of two and three long texts, some of whose blocks are empty."""
+    monkeypatch.setattr(groups, "BLOCK_BYTES", 1000)
+    rng = random.Random(13)
+    rows = []
+    for g in range(30):
+        base = [f"w{g}x{rng.randrange(10_000)}" for _ in range(150)]
+        rows += [(len(rows) + k, " ".join([*base, f"end{k}"])) for k in range(2 + g % 2)]
+    check(J.join(spark.createDataFrame([(i, t, 1, "r", 2) for i, t in rows], SCHEMA)).collect(), rows)
+
+
 def test_empty_table(spark):
     assert J.join(spark.createDataFrame([], SCHEMA)).count() == 0
 

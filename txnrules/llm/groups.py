@@ -78,7 +78,8 @@ def in_blocks(rows: DataFrame, groups: DataFrame, process: Callable[..., Iterato
     """rows (with node, and what else process needs; `size` is a column of bytes) joined to groups (node, root), one group per pair of blocks.
 
     process gets (table, starts, left): rows of one or more whole groups, where each group starts, and for each row whether it is of its
-    group's first block; for a single block all are. Small groups come together, about GROUP_ROWS rows at a time.
+    group's first block; for a single block all are. Of two blocks both have rows: a pair with an empty block is left out, as the other block
+    is compared with itself in its own task. Small groups come together, about GROUP_ROWS rows at a time.
     """
     member = rows.join(groups, "node")
     totals = rows.select("node", size).join(groups, "node").groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(size) / BLOCK_BYTES)).cast("int").alias("blocks")).filter("blocks > 1")
@@ -108,17 +109,26 @@ def in_blocks(rows: DataFrame, groups: DataFrame, process: Callable[..., Iterato
             for at in new:
                 if rows + at - done >= GROUP_ROWS:
                     held.append(batch.slice(done, at - done))
-                    yield from process(*whole(held, starts))
+                    yield from whole(held, starts)
                     held, rows, starts, done = [], 0, [], at
                 starts.append(rows + at - done)
             held.append(batch.slice(done))
             rows += batch.num_rows - done
         if rows:
-            yield from process(*whole(held, starts))
+            yield from whole(held, starts)
 
     def whole(held, starts):
         table = pa.Table.from_batches(held)
-        return table, starts, table["mine"].to_numpy() == table["first"].to_numpy()
+        first = table["first"].to_numpy()
+        left, single = table["mine"].to_numpy() == first, first == table["second"].to_numpy()
+        sizes = np.diff(np.append(starts, len(left)))
+        ours = np.add.reduceat(left.astype(np.int64), starts)
+        good = single[starts] | ((ours > 0) & (ours < sizes))
+        if not good.all():
+            rows, sizes = np.flatnonzero(np.repeat(good, sizes)), sizes[good]
+            table, left, starts = table.take(pa.array(rows)), left[rows], (np.cumsum(sizes) - sizes).tolist()
+        if starts:
+            yield from process(table, starts, left)
 
     return dealt.mapInArrow(run, schema)
 
