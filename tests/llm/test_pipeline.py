@@ -81,6 +81,20 @@ def test_run_matches_brute_force(spark, folder):
     assert 302 not in got and 308 not in got
 
 
+def test_exact_copies_leave_no_husks(spark, tmp_path):
+    """The lines stage empties copies; of what it empties, and of other texts without words, one row at most comes out."""
+    rng = random.Random(43)
+    line = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    copied, others = "\n".join(line(20) for _ in range(3)), [line(30) for _ in range(5)]
+    rows = [(i, copied) for i in range(40)] + [(100 + i, t) for i, t in enumerate(others)] + [(200, ""), (201, " \t"), (202, "?!"), (203, "?!")]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i, _ in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, line(14))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert sorted(i for i, r in got.items() if r.text.strip()) == [0, 100, 101, 102, 103, 104, 202]
+    assert sum(r.n_tokens == 0 for r in got.values()) == 1 and len(got) == 8
+
+
 def test_stages_keep_the_columns(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:

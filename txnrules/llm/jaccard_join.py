@@ -10,7 +10,8 @@ Per document: class_id (the same for documents joined by a chain of links), firs
 of at least 0.8, copies included, itself not). Links are counted inside the tasks and only sums and stars leave them,
 so no list of pairs is ever made; nothing is capped. The working copy of the texts in the shared folder is about the size of the input.
 
-Nulls: a text that is null or has no word has no links and a class of its own. A text of fewer than WORDS words is one shingle of all its
+Nulls: a text that is null or has no word has no links and a class of its own; `first_of_each` takes texts without words that are equal but for
+white space for copies of each other, and keeps every null. A text of fewer than WORDS words is one shingle of all its
 words. Null and repeated ids are kept as they are: rows count, not ids. Repeated rows are copies. Other columns are not read. An empty
 table gives an empty result.
 """
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from txnrules.llm import shingles as S
 from txnrules.llm.groups import block_pairs, components, in_blocks, local_roots, marked, marks, stars
-from txnrules.llm.runtime import cut, table
+from txnrules.llm.runtime import cut, table, union_all
 
 VALUES, ROWS, CHUNK = 128, 4, 16
 OVER, UNDER = 4, 5  # similarity of at least 0.8
@@ -47,22 +48,24 @@ def least_equal(over: int, under: int, tolerance: float = TOLERANCE) -> dict[int
 
 
 def prepared(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Written table, a row per document: rid, row (key, text and the columns of carry), digest of the words (null without words), sig."""
+    """Written table, a row per document: rid, row (key, text and the columns of carry), digest of the words (null without words), sig, blank (digest of a text without words)."""
     row = F.struct(*[F.col(c) for c in dict.fromkeys([key, text, *carry])])
     taken = docs.select(F.col(text).alias("text"), row.alias("row"))
 
     def run(batches):
         for batch in batches:
-            words = [S.normal_words(t) for t in batch.column(0).to_pylist()]
+            texts = batch.column(0).to_pylist()
+            words = [S.normal_words(t) for t in texts]
             for a, b in S.runs(words):
                 part = words[a:b]
                 sig = S.signatures(*S.word_shingles(part), VALUES)
                 made = [pa.array([S.digest(w) if w else None for w in part], pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary())]
-                yield pa.RecordBatch.from_arrays([*made, batch.column(1).slice(a, b - a)], ["digest", "sig", "row"])
+                blank = pa.array([None if w or t is None else S.digest(b" ".join(t.encode().split())) for w, t in zip(part, texts[a:b], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*made, blank, batch.column(1).slice(a, b - a)], ["digest", "sig", "blank", "row"])
 
-    made = taken.mapInArrow(run, f"digest binary, sig binary, row {taken.schema['row'].dataType.simpleString()}")
+    made = taken.mapInArrow(run, f"digest binary, sig binary, blank binary, row {taken.schema['row'].dataType.simpleString()}")
     stored = cut(made.select(F.monotonically_increasing_id().alias("rid"), "*"))
-    return stored.select("rid", F.col("row")[key].cast("long").alias("key"), F.col("row")[text].alias("text"), "digest", "sig", "row")
+    return stored.select("rid", F.col("row")[key].cast("long").alias("key"), F.col("row")[text].alias("text"), "digest", "sig", "blank", "row")
 
 
 def _bands(texts: DataFrame) -> DataFrame:
@@ -130,13 +133,15 @@ def similar(sig: np.ndarray, a: np.ndarray, b: np.ndarray, limits: dict[int, int
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", over: int = OVER, under: int = UNDER) -> DataFrame:
     """rid, key, class_id, first_doc_id, n_links, is_first (one row of each class) per document."""
-    return _joined(prepared(docs, key, text).drop("row"), over, under)
+    return _joined(prepared(docs, key, text).drop("row", "blank"), over, under)
 
 
 def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", over: int = OVER, under: int = UNDER) -> DataFrame:
-    """docs with one row of each class, the one with the least id; same columns."""
+    """docs with one row of each class, and of each group of equal texts without words, the one with the least id; same columns."""
     rows = prepared(docs, key, text, tuple(docs.columns))
-    chosen = _joined(rows.drop("row"), over, under).filter("is_first").select("rid")
+    chosen = _joined(rows.filter("digest IS NOT NULL").drop("row", "blank"), over, under).filter("is_first").select("rid")
+    wordless = rows.filter("blank IS NOT NULL").groupBy("blank").agg(F.min(F.struct(F.col("key").isNull(), "key", "rid")).getField("rid").alias("rid")).select("rid")
+    chosen = union_all([chosen, wordless, rows.filter("digest IS NULL AND blank IS NULL").select("rid")])
     return rows.select("rid", "row").join(chosen, "rid", "left_semi").select("row.*").select(*docs.columns)
 
 
