@@ -1,7 +1,10 @@
 import random
 
+import numpy as np
+
 from txnrules.llm import groups
 from txnrules.llm import line_dedup as D
+from txnrules.llm import shingles as S
 
 SCHEMA = "doc_id long, text string, rid string, node int, gone int"
 
@@ -76,5 +79,15 @@ def test_one_line_of_each_class_stays(spark):
         assert sum(r.kept for r in rows if r.class_id == c) == 1
 
 
+def test_pairs_at_the_threshold_are_candidates():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 62, (3000, 90), dtype=np.uint64)
+    sets = np.stack([base[:, :80], base[:, 10:]], axis=1)  # similarity 70 / 90
+    sets[:, 1, -1] = base[:, 0]
+    sets[:, 1, -2] = base[:, 1]  # 72 / 88, the least above 0.8
+    bands = S.band_hashes(S.signatures(sets.ravel(), np.full(6000, 80), D.VALUES), D.ROWS)
+    assert (bands[::2] == bands[1::2]).any(axis=1).sum() >= 2999
+
+
 def test_empty_table(spark):
     assert D.dedup(spark.createDataFrame([], SCHEMA)).count() == 0

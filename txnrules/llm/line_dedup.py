@@ -2,7 +2,7 @@
 
 Lines are the \\n-separated parts of the texts; compared is their normal form: ASCII letters lower-cased, runs of white space one
 space, ends trimmed. A line's set is its BYTES-byte shingles (a shorter line is one shingle). MinHash signatures of BANDS bands of
-ROWS values find candidates (a pair of similarity 0.8 is missed with a chance of 0.5 %, one of 0.9 with 1e-5), exact Jaccard
+ROWS values find candidates (a pair of similarity 0.8 is missed with a chance of 3e-5, one of 0.9 with 1e-9), exact Jaccard
 similarity of at least OVER / UNDER verifies them, and distributed union-find joins verified pairs into components. Of each
 component the first line stays: first by document id, then by place in the document; all other lines of the component go, equal ones
 included. Lines without a letter, digit or other visible character are kept where they are and belong to no component.
@@ -27,7 +27,7 @@ from txnrules.llm import shingles as S
 from txnrules.llm.groups import components, in_blocks, marks, stars
 from txnrules.llm.runtime import cut, table
 
-ROWS, BANDS = 4, 10
+ROWS, BANDS = 4, 20
 VALUES = ROWS * BANDS
 OVER, UNDER = 4, 5
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
