@@ -1,12 +1,13 @@
-"""Candidate groups from band hashes, block pairs within groups, and connected components, as Spark jobs.
+"""Buckets of shared band hashes, block pairs within groups, and connected components, as Spark jobs.
 
-Rows with equal band hashes are joined to the least of them (a star, never all pairs); the components of these stars
-are candidate groups, so any two rows that share a band are in one group. A group goes to one task if it is small; a large one is cut
-into blocks by hash, and each pair of blocks is a task, so no task holds more than two blocks.
+A bucket is the set of nodes that share a band hash; bands with the same members are one bucket, and bands of one node are none. A
+bucket (or another group) goes to one task if it is small; a large one is cut into blocks by hash, and each pair of blocks is a task, so no
+task holds more than two blocks, and pairs are compared where they are and never listed.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,34 +18,40 @@ from pyspark.sql import functions as F
 
 from txnrules.llm.runtime import cut
 
-BLOCK_ROWS, BLOCK_BYTES = 2048, 8_000_000
+BLOCK_ROWS, BLOCK_BYTES = 1024, 8_000_000
 MAX_ROUNDS = 60
 GROUP_ROWS = 2000
-MARK_BITS = 26  # 8 MB
+KNOWN = 1_000_000  # nodes that a task remembers having told
+MOST_BITS = 30  # of a bitmap of marks: 128 MB
 
 
-def stars(bands: DataFrame) -> DataFrame:
-    """Edges (node, leader) from rows (band, node): one shuffle by band, sorted, then one streaming pass with constant memory."""
+class Fresh:
+    """Nodes that a task sees for the first time; forgets when full, so that a node may come again."""
 
-    def run(batches):
-        last = leader = None
-        for batch in batches:
-            band, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(band):
-                continue
-            first = np.flatnonzero(np.diff(band)) + 1
-            first = np.concatenate([[0], first])
-            leaders = node[first].copy()
-            if band[0] == last:
-                leaders[0] = leader
-            of = np.repeat(leaders, np.diff(np.append(first, len(band))))
-            last, leader = band[-1], leaders[-1]
-            other = node != of
-            if other.any():
-                yield pa.RecordBatch.from_arrays([pa.array(node[other]), pa.array(of[other])], ["node", "leader"])
+    def __init__(self):
+        self.known: set[int] = set()
+
+    def of(self, nodes: np.ndarray) -> np.ndarray:
+        """Indexes of nodes not known before, each once."""
+        nodes, first = np.unique(nodes, return_index=True)
+        fresh = [i for i, x in zip(first.tolist(), nodes.tolist(), strict=True) if x not in self.known]
+        if len(self.known) > KNOWN:
+            self.known.clear()
+        self.known.update(nodes.tolist())
+        return np.array(fresh, np.int64)
 
-    dealt = bands.select("band", "node").repartition("band").sortWithinPartitions("band", "node")
-    return dealt.mapInArrow(run, "node long, leader long").distinct()
+
+def buckets(bands: DataFrame) -> DataFrame:
+    """(root, node): the members of every bucket of the rows (band, node), which may repeat; root names the bucket.
+
+    Bands that one node alone has fall out in an aggregation that combines before its shuffle, so a band that very many rows have costs no task more
+    than another; only the rest is shuffled by members.
+    """
+    shared = cut(bands.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("band"))
+    members = cut(bands.join(shared, "band", "left_semi").distinct())
+    sets = members.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.shiftright(F.xxhash64("node"), 24)).alias("s"))
+    once = sets.groupBy("n", "x", "s").agg(F.min("band").alias("band")).select("band")
+    return cut(members.join(once, "band", "left_semi").select(F.col("band").alias("root"), "node"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -134,35 +141,37 @@ def in_blocks(rows: DataFrame, groups: DataFrame, process: Callable[..., Iterato
 
 
 class Marks:
-    """A bitmap of MARK_BITS bits over hashed nodes. A marked node always tests true; others seldom while the bitmap is sparse."""
+    """A bitmap over hashed nodes. A marked node always tests true; others seldom while the bitmap is sparse."""
 
-    def __init__(self, words: np.ndarray):
-        self.words = words
+    def __init__(self, words: np.ndarray, bits: int):
+        self.words, self.bits = words, bits
 
     def test(self, nodes: np.ndarray) -> np.ndarray:
-        bit = _bit(nodes)
+        bit = _bit(nodes, self.bits)
         return (self.words[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
 
 
-def _bit(nodes: np.ndarray) -> np.ndarray:
-    return (nodes.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - MARK_BITS)
+def _bit(nodes: np.ndarray, bits: int) -> np.ndarray:
+    return (nodes.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
 
 
 def marks(nodes: DataFrame):
-    """Broadcast Marks of the column node. Its size is fixed (2**MARK_BITS bits), whatever the number of nodes; it only spares rows a shuffle, a join still decides."""
+    """Broadcast Marks of the column node of a written table: 16 to 32 bits a node, at most 2**MOST_BITS. It only spares rows a shuffle, a join still
+    decides: beyond some 10**8 nodes more rows than needed are shuffled."""
+    bits = min(MOST_BITS, max(16, math.ceil(math.log2(16 * nodes.count() + 1))))
 
     def run(batches):
-        words = np.zeros(1 << (MARK_BITS - 6), np.uint64)
+        words = np.zeros(1 << (bits - 6), np.uint64)
         for batch in batches:
-            bit = _bit(batch.column(0).to_numpy())
+            bit = _bit(batch.column(0).to_numpy(), bits)
             np.bitwise_or.at(words, bit >> np.uint64(6), np.uint64(1) << (bit & np.uint64(63)))
         some = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(words[some].view(np.int64))], ["word", "bits"])
 
     told = nodes.select("node").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    words = np.zeros(1 << (MARK_BITS - 6), np.uint64)
+    words = np.zeros(1 << (bits - 6), np.uint64)
     words[told["word"].to_numpy()] = told["bits"].to_numpy().view(np.uint64)
-    return nodes.sparkSession.sparkContext.broadcast(Marks(words))
+    return nodes.sparkSession.sparkContext.broadcast(Marks(words, bits))
 
 
 def marked(rows: DataFrame, shared, column: str = "node") -> DataFrame:

@@ -6,6 +6,9 @@ time; with a uniform prior, the chance that the similarity reaches OVER / UNDER
 Beta(m + 1, n - m + 1), and a pair is dropped as soon as that falls below TOLERANCE. The remaining pairs are verified
 exactly. 32 bands of 4 values miss a pair of similarity 0.8 with a chance below 1e-7.
 
+That is done twice: bucket by bucket on signatures alone, where the pairs that aren't dropped only join their texts into candidate groups, and
+then within these groups, where texts are at hand, pair by pair. Chance bands between unlike texts so never chain groups together.
+
 Per document: class_id (the same for documents joined by a chain of links), first_doc_id (least id in the class), n_links (documents of a similarity
 of at least 0.8, copies included, itself not). Links are counted inside the tasks and only sums and stars leave them,
 so no list of pairs is ever made; nothing is capped. The working copy of the texts in the shared folder is about the size of the input.
@@ -24,13 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txnrules.llm import shingles as S
-from txnrules.llm.groups import block_pairs, components, in_blocks, local_roots, marked, marks, stars
+from txnrules.llm.groups import Fresh, block_pairs, buckets, components, in_blocks, local_roots, marked, marks
 from txnrules.llm.runtime import cut, table, union_all
 
 VALUES, ROWS, CHUNK = 128, 4, 16
 OVER, UNDER = 4, 5  # similarity of at least 0.8
 TOLERANCE = 1e-6
 PAIRS_AT_ONCE = 100_000
+FEW = 32  # rows of a bucket whose pairs are compared together with those of others
 
 
 def least_equal(over: int, under: int, tolerance: float = TOLERANCE) -> dict[int, int]:
@@ -48,7 +52,7 @@ def least_equal(over: int, under: int, tolerance: float = TOLERANCE) -> dict[int
 
 
 def prepared(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Written table, a row per document: rid, row (key, text and the columns of carry), digest of the words (null without words), sig, blank (digest of a text without words)."""
+    """Written table, a row per document: rid, row (key, text and the columns of carry), digest of the words (null without words), half (its first 64 bits), sig, blank (digest of a text without words)."""
     row = F.struct(*[F.col(c) for c in dict.fromkeys([key, text, *carry])])
     taken = docs.select(F.col(text).alias("text"), row.alias("row"))
 
@@ -59,22 +63,74 @@ def prepared(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tu
             for a, b in S.runs(words):
                 part = words[a:b]
                 sig = S.signatures(*S.word_shingles(part), VALUES)
-                made = [pa.array([S.digest(w) if w else None for w in part], pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary())]
+                digests = [S.digest(w) if w else None for w in part]
+                half = pa.array([None if d is None else int.from_bytes(d[:8], "little", signed=True) for d in digests], pa.int64())
+                made = [pa.array(digests, pa.binary()), half, pa.array([x.tobytes() for x in sig], pa.binary())]
                 blank = pa.array([None if w or t is None else S.digest(b" ".join(t.encode().split())) for w, t in zip(part, texts[a:b], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*made, blank, batch.column(1).slice(a, b - a)], ["digest", "sig", "blank", "row"])
+                yield pa.RecordBatch.from_arrays([*made, blank, batch.column(1).slice(a, b - a)], ["digest", "half", "sig", "blank", "row"])
 
-    made = taken.mapInArrow(run, f"digest binary, sig binary, blank binary, row {taken.schema['row'].dataType.simpleString()}")
+    made = taken.mapInArrow(run, f"digest binary, half long, sig binary, blank binary, row {taken.schema['row'].dataType.simpleString()}")
     stored = cut(made.select(F.monotonically_increasing_id().alias("rid"), "*"))
-    return stored.select("rid", F.col("row")[key].cast("long").alias("key"), F.col("row")[text].alias("text"), "digest", "sig", "blank", "row")
+    return stored.select("rid", F.col("row")[key].cast("long").alias("key"), F.col("row")[text].alias("text"), "digest", "half", "sig", "blank", "row")
+
 
+def _bands(rows: DataFrame) -> DataFrame:
+    """(band, half) of every text, once a task."""
 
-def _bands(texts: DataFrame) -> DataFrame:
     def run(batches):
+        fresh = Fresh()
         for batch in batches:
-            h = S.band_hashes(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, VALUES), ROWS)
-            yield pa.RecordBatch.from_arrays([pa.array(h.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), h.shape[1]))], ["band", "node"])
+            node = batch.column(0).to_numpy()
+            at = fresh.of(node)
+            h = S.band_hashes(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, VALUES)[at], ROWS)
+            yield pa.RecordBatch.from_arrays([pa.array(h.ravel()), pa.array(np.repeat(node[at], h.shape[1]))], ["band", "node"])
+
+    return rows.filter("half IS NOT NULL").select("half", "sig").mapInArrow(run, "band long, node long")
+
+
+def _prune(over: int, under: int):
+    """Buckets of rows with node and sig: joins the rows that pruning leaves in a pair, as (node, root)."""
+    limits = least_equal(over, under)
 
-    return texts.select("node", "sig").mapInArrow(run, "band long, node long")
+    def process(table: pa.Table, starts: list[int], left: np.ndarray):
+        node = table["node"].to_numpy()
+        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(-1, VALUES)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for lo, hi in zip(starts, [*starts[1:], len(left)], strict=True):
+            if hi - lo <= FEW:
+                x, y = block_pairs(left[lo:hi])
+                a.append(lo + x)
+                b.append(lo + y)
+            else:
+                x, y = spanning(sig[lo:hi], left[lo:hi], limits)
+                a.append(lo + x)
+                b.append(lo + y)
+        a, b = np.concatenate(a), np.concatenate(b)
+        kept = [k[similar(sig, a[k], b[k], limits)] for k in (np.arange(at, min(at + PAIRS_AT_ONCE, len(a))) for at in range(0, len(a), PAIRS_AT_ONCE))]
+        kept = np.concatenate([np.zeros(0, np.int64), *kept])
+        root = local_roots(len(node), a[kept], b[kept])
+        other = np.flatnonzero(root != np.arange(len(root)))
+        yield pa.RecordBatch.from_arrays([pa.array(node[other]), pa.array(node[root[other]])], ["node", "root"])
+
+    return process
+
+
+def spanning(sig: np.ndarray, left: np.ndarray, limits: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that no chunk drops and that join whatever all such pairs of a large bucket join: a row is compared only with rows it isn't joined with."""
+    root = np.arange(len(sig))
+    others = np.ones(len(sig), bool) if left.all() else ~left
+    a, b = [], []
+    for i in np.flatnonzero(left).tolist():
+        rest = np.flatnonzero(others & (root != root[i]))
+        mine = np.full(len(rest), i)
+        good = rest[similar(sig, mine, rest, limits)]
+        if len(good):
+            joined = np.append(root[good], root[i])
+            root[np.isin(root, joined)] = joined.min()
+            a.append(np.full(len(good), i))
+            b.append(good)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
 def _verify(over: int, under: int):
@@ -146,23 +202,28 @@ def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", over
 
 
 def _joined(rows: DataFrame, over: int, under: int) -> DataFrame:
-    texts = cut(rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("rid").alias("node"), F.count("*").alias("copies")))
-    named = rows.withColumnRenamed("rid", "node")
-    candidates = cut(components(stars(_bands(named.filter("digest IS NOT NULL")))).join(texts.select("node", "copies"), "node"))
-    chosen = marked(named.select("node", "sig", "text"), marks(candidates)).withColumn("bytes", F.octet_length("text") + 600)
-    found = cut(in_blocks(chosen, candidates, _verify(over, under), "node long, links long, root long", "bytes"))
+    texts = cut(rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("rid").alias("node"), F.min("half").alias("half"), F.count("*").alias("copies")))
+    bucketed = cut(buckets(_bands(rows)).withColumnRenamed("node", "half").join(texts.select("half", "node", "copies"), "half").select("root", "node", "copies"))
+    own = cut(marked(rows.withColumnRenamed("rid", "node").select("node", "sig", "text"), marks(bucketed)).withColumn("bytes", F.octet_length("text") + 600))
+    pruned = in_blocks(own.select("node", "sig", F.lit(600).alias("bytes")), bucketed.select("root", "node"), _prune(over, under), "node long, root long", "bytes")
+    candidates = cut(components(pruned).join(bucketed.select("node", "copies").distinct(), "node"))
+    found = cut(in_blocks(own, candidates, _verify(over, under), "node long, links long, root long", "bytes"))
     linked = components(found.select("node", "root"))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
-    of_text = (
+    # The small sides of both joins are written first, so that hot texts and classes of the large side can be split between tasks.
+    of_text = cut(
         texts.join(linked, "node", "left")
         .join(counts, "node", "left")
         .select("digest", F.coalesce("root", "node").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
     narrow = rows.select("rid", "key", "digest")
-    placed = narrow.join(of_text, "digest", "left").select("rid", "key", F.coalesce("class_id", "rid").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    placed = cut(placed)
-    firsts = placed.groupBy("class_id").agg(F.min("key").alias("first_doc_id"), F.min(F.struct(F.col("key").isNull(), "key", "rid")).getField("rid").alias("first_rid"))
-    return placed.join(firsts, "class_id").select("rid", "key", "class_id", "first_doc_id", "n_links", (F.col("rid") == F.col("first_rid")).alias("is_first"))
+    placed = cut(narrow.join(of_text, "digest", "left").select("rid", "key", F.coalesce("class_id", "rid").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+    first = F.min(F.struct(F.col("key").isNull(), "key", "rid")).getField("rid").alias("first_rid")
+    several = cut(placed.groupBy("class_id").agg(F.min("key").alias("first"), first, F.count("*").alias("n")).filter("n > 1").drop("n"))
+    alone = F.col("first_rid").isNull()
+    return placed.join(several, "class_id", "left").select(
+        "rid", "key", "class_id", F.when(alone, F.col("key")).otherwise(F.col("first")).alias("first_doc_id"), "n_links", (alone | (F.col("rid") == F.col("first_rid"))).alias("is_first")
+    )
 
 
 def op5_bayesian_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -1,17 +1,18 @@
 """Fuzzy line deduplication across documents.
 
 Lines are the \\n-separated parts of the texts; compared is their normal form: ASCII letters lower-cased, runs of white space one
-space, ends trimmed. A line's set is its BYTES-byte shingles (a shorter line is one shingle). MinHash signatures of BANDS bands of
+space, ends trimmed. A line's set is its shingles of CHARS characters (a shorter line is one shingle). MinHash signatures of BANDS bands of
 ROWS values find candidates (a pair of similarity 0.8 is missed with a chance of 3e-5, one of 0.9 with 1e-9), exact Jaccard
-similarity of at least OVER / UNDER verifies them, and distributed union-find joins verified pairs into components. Of each
+similarity of at least OVER / UNDER verifies them bucket by bucket, and distributed union-find joins verified pairs into components. Of each
 component the first line stays: first by document id, then by place in the document; all other lines of the component go, equal ones
 included. Lines without a letter, digit or other visible character are kept where they are and belong to no component.
 
-A task that verifies a group compares its lines only until they are one component, so groups of thousands of
-variants cost little more than one comparison each. Lines are narrow rows in the shared folder; only the lines that have a
-candidate are shuffled with their text.
+A task that verifies a bucket compares its lines only until they are one component, so buckets of thousands of
+variants cost little more than one comparison each. Lines are known by 64-bit hashes of their normal forms, and shingles by 64-bit hashes; only the
+lines that have a candidate are shuffled with their text, each once.
 
-Nulls: a null text has no lines and stays null; an empty text has one empty line. Null ids sort last. Repeated ids and repeated rows are
+Nulls: a null text has no lines and stays null; an empty text has one empty line. Null ids sort last. Ties: of lines of one document id the
+one earlier in the input is the first. Repeated ids and repeated rows are
 documents of their own: ids name documents in the result, rows are told apart by their place in the input. Very long texts
 and lines are read whole. Columns other than id and text pass through `dedup` untouched, whatever their names. An empty table gives an empty result.
 """
@@ -22,9 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from txnrules.llm import shingles as S
-from txnrules.llm.groups import components, in_blocks, marks, stars
+from txnrules.llm.groups import Fresh, buckets, components, in_blocks, marks
 from txnrules.llm.runtime import cut, table
 
 ROWS, BANDS = 4, 20
@@ -37,50 +39,54 @@ def normal(line: bytes) -> bytes:
     return b" ".join(line.translate(LOWER).split())
 
 
-def number(digest: bytes) -> int:
-    return int.from_bytes(digest[:8], "little", signed=True)
+def numbers(lines: list[bytes]) -> np.ndarray:
+    """The nodes of normal forms."""
+    return np.fromiter(map(xxh3_64_intdigest, lines), np.uint64, len(lines)).view(np.int64)
 
 
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Written table, a row per document that has a text: rid, key, and per line its node (a 64-bit digest of the normal form, null if blank)."""
+    """Written table, a row per document that has a text: rid, key, per line its node (null if blank), and node and bands of lines that are new to the task."""
+    told = pa.struct([("node", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
+        fresh = Fresh()
         for batch in batches:
-            nodes = [[number(S.digest(n)) if (n := normal(x)) else None for x in t.split(b"\n")] for t in batch.column(2).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.list_(pa.int64()))], ["rid", "key", "nodes"])
-
-    return cut(docs.filter(F.col(text).isNotNull()).select("rid", F.col(key).cast("long").alias("key"), text).mapInArrow(run, "rid long, key long, nodes array<long>"))
-
-
-def _bands(docs: DataFrame, text: str) -> DataFrame:
-    """(band, node) of every line; lines that repeat within a task's batch are told once."""
-
-    def run(batches):
-        for batch in batches:
-            lines = {n for t in batch.column(0).cast(pa.binary()).to_pylist() if t for x in t.split(b"\n") if (n := normal(x))}
-            lines = list(lines)
-            for a, b in S.runs(lines):
-                h = S.band_hashes(S.signatures(*S.byte_shingles(lines[a:b]), VALUES), ROWS)
-                node = np.array([number(S.digest(x)) for x in lines[a:b]], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h.ravel()), pa.array(np.repeat(node, h.shape[1]))], ["band", "node"])
-
-    return docs.select(text).mapInArrow(run, "band long, node long")
+            texts = batch.column(2).cast(pa.binary()).to_pylist()
+            for a, b in S.runs(texts):
+                lines = [normal(x) for t in texts[a:b] for x in t.split(b"\n")]
+                visible = np.fromiter(map(bool, lines), bool, len(lines))
+                node = numbers(lines)
+                many = np.array([t.count(b"\n") + 1 for t in texts[a:b]])
+                lists = pa.ListArray.from_arrays(np.cumsum([0, *many]).astype(np.int32), pa.array(node, mask=~visible))
+                at = np.flatnonzero(visible)
+                at = np.sort(at[fresh.of(node[at])])
+                h = S.band_hashes(S.signatures(*S.char_shingles([lines[k] for k in at.tolist()]), VALUES), ROWS)
+                bands = pa.ListArray.from_arrays(np.arange(len(at) + 1, dtype=np.int32) * BANDS, pa.array(h.ravel()))
+                rows = pa.StructArray.from_arrays([pa.array(node[at]), bands], fields=list(told))
+                new = pa.ListArray.from_arrays(np.searchsorted(at, np.cumsum([0, *many])).astype(np.int32), rows)
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists, new], ["rid", "key", "nodes", "new"])
+
+    schema = "rid long, key long, nodes array<long>, new array<struct<node:long,bands:array<long>>>"
+    return cut(docs.filter(F.col(text).isNotNull()).select("rid", F.col(key).cast("long").alias("key"), text).mapInArrow(run, schema))
 
 
 def _texts(docs: DataFrame, text: str, shared) -> DataFrame:
-    """Written table (node, line, bytes) of the lines whose node is marked."""
+    """Written table (node, line, bytes) of the lines whose node is marked, each once."""
 
     def run(batches):
+        fresh = Fresh()
         for batch in batches:
-            lines = list({n for t in batch.column(0).cast(pa.binary()).to_pylist() if t for x in t.split(b"\n") if (n := normal(x))})
-            if not lines:
-                continue
-            node = np.array([number(S.digest(x)) for x in lines], np.int64)
-            at = np.flatnonzero(shared.value.test(node))
-            part = [lines[k] for k in at.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(part, pa.binary()), pa.array([len(x) for x in part], pa.int64())], ["node", "line", "bytes"])
+            texts = batch.column(0).cast(pa.binary()).to_pylist()
+            for a, b in S.runs(texts):
+                lines = [n for t in texts[a:b] if t for x in t.split(b"\n") if (n := normal(x))]
+                node = numbers(lines)
+                at = np.flatnonzero(shared.value.test(node))
+                at = at[fresh.of(node[at])]
+                part = [lines[k] for k in at.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(part, pa.binary()), pa.array([len(x) for x in part], pa.int64())], ["node", "line", "bytes"])
 
-    return cut(docs.select(text).mapInArrow(run, "node long, line binary, bytes long"))
+    return cut(docs.filter(F.col(text).isNotNull()).select(text).mapInArrow(run, "node long, line binary, bytes long").dropDuplicates(["node"]))
 
 
 def joined_up(shingles: np.ndarray, counts: np.ndarray, left: np.ndarray, over: int = OVER, under: int = UNDER) -> np.ndarray:
@@ -136,36 +142,31 @@ def pairs_joined(shingles: np.ndarray, counts: np.ndarray, over: int = OVER, und
 
 
 def _verify(t: pa.Table, starts: list[int], left: np.ndarray):
-    """Groups of rows begin at `starts`. A line comes from every batch that has it, so its repetitions are left out first."""
-    node = t["node"].to_numpy()
-    begins = np.zeros(len(node), np.int64)
-    begins[starts] = 1
-    group = np.cumsum(begins) - 1
-    once = np.flatnonzero(np.concatenate([[True], (node[1:] != node[:-1]) | (group[1:] != group[:-1])]))
-    node, group, left = node[once], group[once], left[once]
-    lines = t["line"].take(pa.array(once)).to_pylist()
-    sizes = np.bincount(group)
-    begin = np.cumsum(sizes) - sizes
+    """Groups of rows begin at `starts`."""
+    node, lines = t["node"].to_numpy(), t["line"].to_pylist()
+    begin = np.array(starts, np.int64)
+    sizes = np.diff(np.append(begin, len(node)))
     out_node, out_root = [], []
     of_two = np.flatnonzero(sizes == 2)
     for k in range(0, len(of_two), 2000):
         rows = np.repeat(begin[of_two[k : k + 2000]], 2)
         rows[1::2] += 1
-        good = pairs_joined(*S.byte_shingles([lines[r] for r in rows.tolist()]))
+        good = pairs_joined(*S.char_shingles([lines[r] for r in rows.tolist()]))
         out_node.append(node[rows[1::2][good]])
         out_root.append(node[rows[::2][good]])
     for g in np.flatnonzero(sizes > 2).tolist():
         a, b = begin[g], begin[g] + sizes[g]
-        root = joined_up(*S.byte_shingles(lines[a:b]), left[a:b])
+        root = joined_up(*S.char_shingles(lines[a:b]), left[a:b])
         other = np.flatnonzero(root != np.arange(len(root)))
         out_node.append(node[a + other])
         out_root.append(node[a + root[other]])
     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (out_node, out_root)], ["node", "root"])
 
 
-def classes(docs: DataFrame, text: str) -> DataFrame:
-    """(node, root) of the lines that are similar to another line."""
-    candidates = cut(components(stars(_bands(docs, text))))
+def classes(docs: DataFrame, text: str, lines: DataFrame) -> DataFrame:
+    """(node, root) of the lines that are similar to another line; lines is what lines_of wrote."""
+    told = lines.select(F.explode("new").alias("new")).select("new.node", F.explode("new.bands").alias("band"))
+    candidates = buckets(told)
     return components(in_blocks(_texts(docs, text, marks(candidates)), candidates, _verify, "node long, root long", "bytes"))
 
 
@@ -173,11 +174,13 @@ def line_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     """docs needs rid. Per line: rid, key, line_no (from 0), class_id (null for a blank line), kept."""
     written = lines_of(docs, key, text)
     lines = written.select("rid", "key", F.posexplode("nodes").alias("line_no", "node"))
-    placed = cut(lines.join(classes(docs, text), "node", "left").select("rid", "key", "line_no", F.coalesce("root", "node").alias("class_id")))
+    # The small sides of both joins are written first, so that a hot line or class of the large side can be split between tasks.
+    placed = cut(lines.join(cut(classes(docs, text, written)), "node", "left").select("rid", "key", "line_no", F.coalesce("root", "node").alias("class_id")))
     place = F.struct(F.col("key").isNull().alias("none"), "key", "rid", "line_no")
-    first = placed.filter("class_id IS NOT NULL").groupBy("class_id").agg(F.min(place).alias("first"))
+    several = placed.filter("class_id IS NOT NULL").groupBy("class_id").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("class_id", "first.rid", "first.line_no")
+    first = cut(several.select("class_id", F.col("rid").alias("first_rid"), F.col("line_no").alias("first_line")))
     joined = placed.join(first, "class_id", "left")
-    kept = F.col("class_id").isNull() | ((F.col("first.rid") == F.col("rid")) & (F.col("first.line_no") == F.col("line_no")))
+    kept = F.col("first_rid").isNull() | ((F.col("first_rid") == F.col("rid")) & (F.col("first_line") == F.col("line_no")))
     return joined.select("rid", "key", "line_no", "class_id", kept.alias("kept"))
 
 

@@ -7,7 +7,7 @@ import hashlib
 import numpy as np
 
 WORDS = 5  # words of a shingle
-BYTES = 8  # bytes of a character shingle
+CHARS = 5  # characters of a character shingle
 AT_ONCE = 1_000_000  # bytes of text hashed at a time
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 LOWER_OR_SPACE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -72,20 +72,32 @@ def word_shingles(texts: list[bytes], n: int = WORDS) -> tuple[np.ndarray, np.nd
     return mixed(h), counts
 
 
-def byte_shingles(texts: list[bytes], n: int = BYTES) -> tuple[np.ndarray, np.ndarray]:
-    """The n-byte windows of each text, as numbers, and how many; a shorter text, but not an empty one, is one window."""
+def char_shingles(texts: list[bytes], n: int = CHARS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the n-character windows (code points) of each text, and how many; a shorter text, but not an empty one, is one window."""
+    joined = b"".join(texts)
     sizes = np.array([len(t) for t in texts], np.int64)
-    b = np.frombuffer(b"".join(texts) + b"\0" * n, np.uint8).astype(np.uint64)
-    counts = np.maximum(sizes - n, 0) + (sizes > 0)
+    if joined.isascii():
+        c = np.frombuffer(joined, np.uint8)
+    else:
+        starts = np.cumsum(np.concatenate([[0], (np.frombuffer(joined, np.uint8) & 0xC0) != 0x80]))
+        ends = np.cumsum(sizes)
+        sizes = starts[ends] - starts[ends - sizes]
+        c = np.frombuffer(joined.decode().encode("utf-32-le"), np.uint32)
+    c = np.concatenate([c.astype(np.uint64) + np.uint64(1), np.zeros(n, np.uint64)])
+    counts = np.maximum(sizes - n, -1) + 1 + ((sizes > 0) & (sizes < n))
     first = np.cumsum(sizes) - sizes
     of = np.repeat(np.arange(len(texts)), counts)
     at = first[of] + np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
-    window = np.zeros(len(b) - n + 1, np.uint64)
+    window = np.zeros(len(c) - n + 1, np.uint64)
     for k in range(n):
-        window |= b[k : k + len(window)] << np.uint64(8 * k)
+        window = window * SPREAD + c[k : k + len(window)]
     h = window[at]
-    for k in np.flatnonzero((sizes > 0) & (sizes < n)):  # without the bytes of the next text
-        h[np.cumsum(counts)[k] - 1] &= np.uint64((1 << (8 * int(sizes[k]))) - 1)
+    ends = np.cumsum(counts)
+    for k in np.flatnonzero((sizes > 0) & (sizes < n)).tolist():  # without the characters of the next text
+        own = 0
+        for x in [*c[first[k] : first[k] + sizes[k]].tolist(), *[0] * (n - int(sizes[k]))]:
+            own = (own * int(SPREAD) + x) & 0xFFFFFFFFFFFFFFFF
+        h[ends[k] - 1] = own
     return h, counts
 
 
