@@ -31,7 +31,7 @@ def brute(docs):
     """Kept lines by the definition, rows ordered by (id is null, id, row)."""
     rows = [(i is None, i or 0, r, k, D.normal(x.encode()), x) for r, (i, t) in enumerate(docs) if t is not None for k, x in enumerate(t.split("\n"))]
     rows.sort()
-    sets = [{n.decode()[j : j + 5] for j in range(max(1, len(n.decode()) - 4))} if n else set() for *_, n, _ in rows]
+    sets = [{n.decode()[j : j + 7] for j in range(max(1, len(n.decode()) - 6))} if n else set() for *_, n, _ in rows]
     root = list(range(len(rows)))
 
     def find(x):

@@ -17,11 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txnrules.llm.runtime import cut
+from txnrules.llm.shingles import mixed
 
 BLOCK_ROWS, BLOCK_BYTES = 1024, 8_000_000
 MAX_ROUNDS = 60
 GROUP_ROWS = 2000
 KNOWN = 1_000_000  # nodes that a task remembers having told
+PART_ROWS, PACKED_ROWS, MOST_HELD, LARGE = 1_000_000, 1_000_000, 8_000_000, 4096
 MOST_BITS = 30  # of a bitmap of marks: 128 MB
 
 
@@ -41,17 +43,91 @@ class Fresh:
         return np.array(fresh, np.int64)
 
 
-def buckets(bands: DataFrame) -> DataFrame:
-    """(root, node): the members of every bucket of the rows (band, node), which may repeat; root names the bucket.
+def parts_of(spark, rows: int) -> int:
+    """Number of parts that band hashes are dealt into, of about PART_ROWS rows each, and a few for every task."""
+    return max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), rows // PART_ROWS)
 
-    Bands that one node alone has fall out in an aggregation that combines before its shuffle, so a band that very many rows have costs no task more
-    than another; only the rest is shuffled by members.
+
+class Packer:
+    """Band hashes of one task, dealt into parts: a row (part, bands, nodes) packs many of them, so that a shuffle moves 12 bytes a band."""
+
+    def __init__(self, parts: int):
+        self.parts, self.held, self.rows = parts, [], 0
+
+    def add(self, bands: np.ndarray, nodes: np.ndarray):
+        """bands: hashes, a row per node. Yields what is full."""
+        self.held.append((bands.view(np.uint64).ravel(), np.repeat(nodes, bands.shape[1])))
+        self.rows += bands.size
+        if self.rows >= PACKED_ROWS:
+            yield self.flush()
+
+    def flush(self) -> pa.RecordBatch:
+        band = np.concatenate([np.zeros(0, np.uint64), *(x for x, _ in self.held)])
+        node = np.concatenate([np.zeros(0, np.int64), *(x for _, x in self.held)])
+        part = ((band >> np.uint64(32)) % np.uint64(self.parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        part, band, node = part[order], band[order].astype(np.uint32), node[order]
+        some, first = np.unique(part, return_index=True)
+        ends = np.append(first[1:], len(part))[: len(first)].tolist()
+        packed = [[x[a:b].tobytes() for a, b in zip(first.tolist(), ends, strict=True)] for x in (band, node)]
+        self.held, self.rows = [], 0
+        return pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(x, pa.binary()) for x in packed]], ["part", "bands", "nodes"])
+
+
+PACKED = "part long, bands binary, nodes binary"
+
+
+def buckets(packed: DataFrame) -> DataFrame:
+    """Written table (root, node): the members of every bucket of the rows of Packers, in which a band of a node may repeat; root names the bucket.
+
+    A task sorts a part at a time. Of a band that very many nodes have only the nodes that came last are held: the others are told at once.
     """
-    shared = cut(bands.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("band"))
-    members = cut(bands.join(shared, "band", "left_semi").distinct())
-    sets = members.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.shiftright(F.xxhash64("node"), 24)).alias("s"))
-    once = sets.groupBy("n", "x", "s").agg(F.min("band").alias("band")).select("band")
-    return cut(members.join(once, "band", "left_semi").select(F.col("band").alias("root"), "node"))
+
+    def run(batches):
+        now, large, held, rows = None, set(), [], 0
+        for batch in batches:
+            for part, band, node in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if part != now:
+                    yield from told(now, held, large)
+                    now, large, held, rows = part, set(), [], 0
+                held.append((np.frombuffer(band, np.uint32), np.frombuffer(node, np.int64)))
+                rows += len(held[-1][0])
+                if rows >= MOST_HELD:
+                    left = []
+                    yield from told(now, held, large, left)
+                    held, rows = left, len(left[0][0])
+                    if rows >= MOST_HELD // 2:  # a part without large bands: hold on
+                        rows = 0
+        yield from told(now, held, large)
+
+    def told(part, held, large, left=None):
+        """Buckets of the rows held; with `left`, only those of large bands, and what has to stay goes into left."""
+        if not held:
+            return
+        band, node = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+        order = np.lexsort((node, band))
+        band, node = band[order], node[order]
+        new = np.ones(len(band), bool)
+        new[1:] = (band[1:] != band[:-1]) | (node[1:] != node[:-1])
+        band, node = band[new], node[new]
+        first = np.flatnonzero(np.diff(band, prepend=band[:1] + np.uint32(1)))
+        sizes = np.diff(np.append(first, len(band)))
+        big = sizes > LARGE
+        if large:
+            big |= np.isin(band[first], np.fromiter(large, np.uint32, len(large)))
+        sums = np.add.reduceat(mixed(node.view(np.uint64)), first)
+        root = mixed(np.where(big, band[first].astype(np.uint64) | np.uint64(part << 32 & 0xFFFFFFFF00000000), sums ^ mixed(sums + sizes.astype(np.uint64)))).view(np.int64)
+        tell = big if left is not None else big | (sizes > 1)
+        rows = np.repeat(tell, sizes)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(root, sizes)[rows]), pa.array(node[rows])], ["root", "node"])
+        if left is not None:
+            large.update(band[first[big]].tolist())
+            stay = ~rows
+            stay[first[big]] = True
+            left.append((band[stay], node[stay]))
+
+    dealt = packed.repartition("part").sortWithinPartitions("part")
+    return cut(dealt.mapInArrow(run, "root long, node long").distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:

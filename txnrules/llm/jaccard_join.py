@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txnrules.llm import shingles as S
-from txnrules.llm.groups import Fresh, block_pairs, buckets, components, in_blocks, local_roots, marked, marks
+from txnrules.llm.groups import PACKED, Fresh, Packer, block_pairs, buckets, components, in_blocks, local_roots, marked, marks, parts_of
 from txnrules.llm.runtime import cut, table, union_all
 
 VALUES, ROWS, CHUNK = 128, 4, 16
@@ -74,18 +74,19 @@ def prepared(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tu
     return stored.select("rid", F.col("row")[key].cast("long").alias("key"), F.col("row")[text].alias("text"), "digest", "half", "sig", "blank", "row")
 
 
-def _bands(rows: DataFrame) -> DataFrame:
-    """(band, half) of every text, once a task."""
+def _bands(rows: DataFrame, texts: int) -> DataFrame:
+    """Packed bands of every text, once a task; nodes are halves of digests."""
+    parts = parts_of(rows.sparkSession, texts * (VALUES // ROWS))
 
     def run(batches):
-        fresh = Fresh()
+        fresh, packer = Fresh(), Packer(parts)
         for batch in batches:
             node = batch.column(0).to_numpy()
             at = fresh.of(node)
-            h = S.band_hashes(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, VALUES)[at], ROWS)
-            yield pa.RecordBatch.from_arrays([pa.array(h.ravel()), pa.array(np.repeat(node[at], h.shape[1]))], ["band", "node"])
+            yield from packer.add(S.band_hashes(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, VALUES)[at], ROWS), node[at])
+        yield packer.flush()
 
-    return rows.filter("half IS NOT NULL").select("half", "sig").mapInArrow(run, "band long, node long")
+    return rows.filter("half IS NOT NULL").select("half", "sig").mapInArrow(run, PACKED)
 
 
 def _prune(over: int, under: int):
@@ -203,7 +204,7 @@ def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", over
 
 def _joined(rows: DataFrame, over: int, under: int) -> DataFrame:
     texts = cut(rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("rid").alias("node"), F.min("half").alias("half"), F.count("*").alias("copies")))
-    bucketed = cut(buckets(_bands(rows)).withColumnRenamed("node", "half").join(texts.select("half", "node", "copies"), "half").select("root", "node", "copies"))
+    bucketed = cut(buckets(_bands(rows, texts.count())).withColumnRenamed("node", "half").join(texts.select("half", "node", "copies"), "half").select("root", "node", "copies"))
     own = cut(marked(rows.withColumnRenamed("rid", "node").select("node", "sig", "text"), marks(bucketed)).withColumn("bytes", F.octet_length("text") + 600))
     pruned = in_blocks(own.select("node", "sig", F.lit(600).alias("bytes")), bucketed.select("root", "node"), _prune(over, under), "node long, root long", "bytes")
     candidates = cut(components(pruned).join(bucketed.select("node", "copies").distinct(), "node"))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from txnrules.llm import shingles as S
-from txnrules.llm.groups import Fresh, buckets, components, in_blocks, marks
+from txnrules.llm.groups import PACKED, Fresh, Packer, buckets, components, in_blocks, marks, parts_of
 from txnrules.llm.runtime import cut, table
 
 ROWS, BANDS = 4, 20
@@ -45,30 +45,44 @@ def numbers(lines: list[bytes]) -> np.ndarray:
 
 
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Written table, a row per document that has a text: rid, key, per line its node (null if blank), and node and bands of lines that are new to the task."""
-    told = pa.struct([("node", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    """Written table, a row per document that has a text: rid, key, per line its node (null if blank), and the number of lines n."""
 
     def run(batches):
-        fresh = Fresh()
         for batch in batches:
             texts = batch.column(2).cast(pa.binary()).to_pylist()
             for a, b in S.runs(texts):
                 lines = [normal(x) for t in texts[a:b] for x in t.split(b"\n")]
-                visible = np.fromiter(map(bool, lines), bool, len(lines))
-                node = numbers(lines)
+                blank = ~np.fromiter(map(bool, lines), bool, len(lines))
                 many = np.array([t.count(b"\n") + 1 for t in texts[a:b]])
-                lists = pa.ListArray.from_arrays(np.cumsum([0, *many]).astype(np.int32), pa.array(node, mask=~visible))
-                at = np.flatnonzero(visible)
-                at = np.sort(at[fresh.of(node[at])])
-                h = S.band_hashes(S.signatures(*S.char_shingles([lines[k] for k in at.tolist()]), VALUES), ROWS)
-                bands = pa.ListArray.from_arrays(np.arange(len(at) + 1, dtype=np.int32) * BANDS, pa.array(h.ravel()))
-                rows = pa.StructArray.from_arrays([pa.array(node[at]), bands], fields=list(told))
-                new = pa.ListArray.from_arrays(np.searchsorted(at, np.cumsum([0, *many])).astype(np.int32), rows)
+                nodes = pa.ListArray.from_arrays(np.cumsum([0, *many]).astype(np.int32), pa.array(numbers(lines), mask=blank))
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists, new], ["rid", "key", "nodes", "new"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), nodes, pa.array(many)], ["rid", "key", "nodes", "n"])
+
+    return cut(docs.filter(F.col(text).isNotNull()).select("rid", F.col(key).cast("long").alias("key"), text).mapInArrow(run, "rid long, key long, nodes array<long>, n long"))
+
+
+def _new_lines(batch: pa.RecordBatch, wanted):
+    """(lines, nodes) of the texts in the first column, those for which `wanted` (nodes to indexes) asks, a piece of the batch at a time."""
+    texts = batch.column(0).cast(pa.binary()).to_pylist()
+    for a, b in S.runs(texts):
+        lines = [n for t in texts[a:b] for x in t.split(b"\n") if (n := normal(x))]
+        node = numbers(lines)
+        at = wanted(node)
+        yield [lines[k] for k in at.tolist()], node[at]
+
+
+def _bands(docs: DataFrame, text: str, lines: int) -> DataFrame:
+    """Packed bands of every line, once a task."""
+    parts = parts_of(docs.sparkSession, lines * BANDS)
 
-    schema = "rid long, key long, nodes array<long>, new array<struct<node:long,bands:array<long>>>"
-    return cut(docs.filter(F.col(text).isNotNull()).select("rid", F.col(key).cast("long").alias("key"), text).mapInArrow(run, schema))
+    def run(batches):
+        fresh, packer = Fresh(), Packer(parts)
+        for batch in batches:
+            for new, node in _new_lines(batch, fresh.of):
+                yield from packer.add(S.band_hashes(S.signatures(*S.char_shingles(new), VALUES), ROWS), node)
+        yield packer.flush()
+
+    return docs.filter(F.col(text).isNotNull()).select(text).mapInArrow(run, PACKED)
 
 
 def _texts(docs: DataFrame, text: str, shared) -> DataFrame:
@@ -76,15 +90,14 @@ def _texts(docs: DataFrame, text: str, shared) -> DataFrame:
 
     def run(batches):
         fresh = Fresh()
+
+        def wanted(node):
+            at = np.flatnonzero(shared.value.test(node))
+            return at[fresh.of(node[at])]
+
         for batch in batches:
-            texts = batch.column(0).cast(pa.binary()).to_pylist()
-            for a, b in S.runs(texts):
-                lines = [n for t in texts[a:b] if t for x in t.split(b"\n") if (n := normal(x))]
-                node = numbers(lines)
-                at = np.flatnonzero(shared.value.test(node))
-                at = at[fresh.of(node[at])]
-                part = [lines[k] for k in at.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(part, pa.binary()), pa.array([len(x) for x in part], pa.int64())], ["node", "line", "bytes"])
+            for part, node in _new_lines(batch, wanted):
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(part, pa.binary()), pa.array([len(x) for x in part], pa.int64())], ["node", "line", "bytes"])
 
     return cut(docs.filter(F.col(text).isNotNull()).select(text).mapInArrow(run, "node long, line binary, bytes long").dropDuplicates(["node"]))
 
@@ -163,19 +176,19 @@ def _verify(t: pa.Table, starts: list[int], left: np.ndarray):
     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (out_node, out_root)], ["node", "root"])
 
 
-def classes(docs: DataFrame, text: str, lines: DataFrame) -> DataFrame:
-    """(node, root) of the lines that are similar to another line; lines is what lines_of wrote."""
-    told = lines.select(F.explode("new").alias("new")).select("new.node", F.explode("new.bands").alias("band"))
-    candidates = buckets(told)
+def classes(docs: DataFrame, text: str, lines: int) -> DataFrame:
+    """(node, root) of the lines that are similar to another line."""
+    candidates = buckets(_bands(docs, text, lines))
     return components(in_blocks(_texts(docs, text, marks(candidates)), candidates, _verify, "node long, root long", "bytes"))
 
 
 def line_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs needs rid. Per line: rid, key, line_no (from 0), class_id (null for a blank line), kept."""
     written = lines_of(docs, key, text)
+    total = written.agg(F.sum("n")).first()[0] or 0
     lines = written.select("rid", "key", F.posexplode("nodes").alias("line_no", "node"))
     # The small sides of both joins are written first, so that a hot line or class of the large side can be split between tasks.
-    placed = cut(lines.join(cut(classes(docs, text, written)), "node", "left").select("rid", "key", "line_no", F.coalesce("root", "node").alias("class_id")))
+    placed = cut(lines.join(cut(classes(docs, text, total)), "node", "left").select("rid", "key", "line_no", F.coalesce("root", "node").alias("class_id")))
     place = F.struct(F.col("key").isNull().alias("none"), "key", "rid", "line_no")
     several = placed.filter("class_id IS NOT NULL").groupBy("class_id").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("class_id", "first.rid", "first.line_no")
     first = cut(several.select("class_id", F.col("rid").alias("first_rid"), F.col("line_no").alias("first_line")))
@@ -203,5 +216,5 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
     """Every line of all documents with its class and whether it stays."""
-    docs = numbered(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.monotonically_increasing_id().alias("rid"))  # only the table of lines keeps rid
     return line_table(docs).select(F.col("key").alias("doc_id"), "line_no", "class_id", "kept")

@@ -7,7 +7,7 @@ import hashlib
 import numpy as np
 
 WORDS = 5  # words of a shingle
-CHARS = 5  # characters of a character shingle
+CHARS = 7  # characters of a character shingle
 AT_ONCE = 1_000_000  # bytes of text hashed at a time
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 LOWER_OR_SPACE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
