@@ -69,3 +69,42 @@ def test_transforms_keep_the_first_original(spark):
 def test_empty_input(spark):
     register_sql_functions(spark)
     assert R.RuleSet([GENERAL, LARGE]).classify(txn(spark)).count() == 0
+
+
+def test_rules_of_one_name_are_told_apart(spark):
+    rules = [R.Rule("Stream", "has(description, 'NETFLIX')", "Media", tags=["a"], fields={"x": "'first'"}), R.Rule("Stream", "has(description, 'HULU')", "Media2", tags=["b"], fields={"x": "'second'"})]
+    register_sql_functions(spark)
+    found = R.RuleSet(rules).classify(txn(spark, ("NETFLIX", 1), ("HULU", 2), ("HULU NETFLIX", 3))).orderBy("amount").collect()
+    assert [(r.category, list(r.all_rules), list(r.rule_places), list(r.tags), r.extra_x) for r in found] == [("Media", ["Stream"], [0], ["a"], "first"), ("Media2", ["Stream"], [1], ["b"], "second"), ("Media", ["Stream", "Stream"], [0, 1], ["a", "b"], "first")]
+
+
+def test_let_names_stay_in_quoted_text(spark):
+    rule = R.Rule("Due", "contains(description, 'total due') AND total > 5", "Bills", let={"total": "amount"})
+    assert one(spark, [rule], row=("the total due", 7)).category == "Bills"
+
+
+def test_a_failing_rule_is_skipped(spark):
+    broken = ["CAST(description AS INT) > 0", "1 / (amount - amount) > 0", "split(description, ' ')[7] = 'x'", "CAST('x' AS DATE) IS NULL AND false"]
+    rules = [R.Rule(f"Broken {k}", when, "Bad") for k, when in enumerate(broken)] + [GENERAL]
+    assert one(spark, rules).category == "General"
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"
+    found = one(spark, [R.Rule("Field", "amount > 0", "Some", fields={"bad": "CAST(description AS INT)", "good": "'g'"})])
+    assert (found.extra_bad, found.extra_good) == (None, "g")
+
+
+def test_specificity_counts_names_once():
+    assert R.Rule("A", "has(description, 'AB') AND amount > 1 AND amount < 9", "X").specificity() == (50, 1, 1, 2)
+    assert R.Rule("B", "anyof(description, 'AB', 'C') AND location = 'NY'", "X", priority=7).specificity() == (7, 1, 0, 5)
+
+
+def test_rule_table(spark):
+    rules = spark.createDataFrame(
+        [(0, "shop", "Shop", "Retail", "Any", ["a"], ">", 10.0, None, None, None, None), (1, "shop|bar", None, None, None, ["b"], None, None, None, None, None, None)],
+        "ord int, pattern string, merchant string, category string, subcategory string, tags array<string>, amt_op string, amt_lo double, amt_hi double, date_lo date, date_hi date, month int",
+    )
+    rows = spark.createDataFrame([("SHOP 1", 11.0), ("shop 1", 5.0), ("bar", 1.0), ("none", 1.0), (None, 1.0), ("shop", None), ("SHOP 1", 11.0)], "description string, amount double").withColumn("date", F.lit("2025-01-05").cast("date"))
+    matched = R.match_table(rows, rules)
+    plan = matched._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan
+    got = sorted((r.description or "", r.amount or 0.0, r.category or "", tuple(r.tags)) for r in matched.collect())
+    assert got == sorted([("SHOP 1", 11.0, "Retail", ("a", "b"))] * 2 + [("shop 1", 5.0, "", ("b",)), ("bar", 1.0, "", ("b",)), ("none", 1.0, "", ()), ("", 1.0, "", ()), ("shop", 0.0, "", ("b",))])

@@ -39,4 +39,4 @@ def test_variation_and_views(spark):
 def test_empty(spark):
     d = frame(spark, ("a", 1, 1, "x", [])).limit(0)
     assert spend.by_merchant(d).count() == 0 and spend.cash_flow(d).first()["count"] == 0
-    assert views.classify_views(views.features(d), views.default_views(12)).count() == 0
+    assert views.classify_views(views.features(d), views.default_views()).count() == 0

@@ -148,34 +148,47 @@ def element_id(merchant: Column | str) -> Column:
     return F.replace(F.translate(_column(merchant), "'\"", ""), F.lit(" "), F.lit("_"))
 
 
-# What statement lines put before and after a merchant's name.
-PROCESSORS = ("APLPAY", "SQ *", "TST*", "SP ", "PP*", "PAYPAL *")
+# What payment processors put before a merchant's name, and what varies after it, in the order in which they go.
+PROCESSORS = ("APLPAY ", "SQ *", "TST*", "SP ", "PP*", "GOOGLE *")
+ENDINGS = (r"\s+\d{4,}.*$", r"\s+[A-Z]{2}$", r"\s+\d{5}$", r"\s+#\d+")
+NAME_ENDINGS = (*ENDINGS, r"\s+DES:.*$", r"\s+ID:.*$")
 
 
-def core_of(text: Column | str) -> Column:
-    """Description without processor prefix, store numbers, long digit runs, zip code and trailing state."""
-    found = F.upper(clean(text))
+def _without(text: Column, patterns: tuple[str, ...]) -> Column:
+    for pattern in patterns:
+        text = F.regexp_replace(text, "(?i)" + pattern, "")
+    return text
+
+
+def _without_processor(text: Column) -> Column:
     for prefix in PROCESSORS:
-        found = trimmed(strip_prefix(found, prefix))
-    for pattern in (r"\s+[A-Z]{2}$", r"\s+\d{5}(-\d{4})?$", r"#\s*\d+", r"\b\d{4,}\b", r"\s+\d+$"):
-        found = F.regexp_replace(found, pattern, "")
-    return clean(found)
+        text = strip_prefix(text, prefix)
+    return text
 
 
-def suggested_pattern(text: Column | str) -> Column:
-    """Regular expression of the first three words of the core, escaped."""
-    escaped = F.regexp_replace(core_of(text), r"([\\.+*?\[\](){}^$|])", r"\\$1")
-    return F.array_join(F.slice(F.split(escaped, " "), 1, 3), r"\s*")
+def _first_words(text: Column, n: int = 3) -> Column:
+    return F.slice(F.filter(F.split(text, r"\s+"), lambda w: w != ""), 1, n)
 
 
-def suggested_merchant(text: Column | str) -> Column:
-    """First three words of the core, each capitalised, also after an apostrophe."""
-    words = F.slice(F.split(core_of(text), " "), 1, 3)
-    return F.array_join(F.transform(words, lambda w: F.array_join(F.transform(F.split(w, "'"), F.initcap), "'")), " ")
+def suggested_pattern(text: Column | str) -> Column:
+    """Regular expression of the first three words of the description in capitals, without what varies, escaped."""
+    core = trimmed(_without_processor(_without(F.upper(_column(text)), ENDINGS)))
+    return F.array_join(_first_words(F.regexp_replace(core, r"([.*+?^${}()|\[\]\\])", r"\\$1")), r"\s*")
 
 
-def suggested_rule(text: Column | str) -> Column:
-    return F.format_string("[%s]\nmatch: matches('%s')\ncategory: CATEGORY", suggested_merchant(text), suggested_pattern(text))
+def suggested_merchant(text: Column | str) -> Column:
+    """First three words of the description without what varies, every run of letters capitalised, or 'Unknown'."""
+    words = _first_words(_without(_without_processor(_column(text)), NAME_ENDINGS))
+    runs = F.split(F.lower(F.array_join(words, " ")), r"(?<!\p{L})(?=\p{L})")
+    titled = F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.substring(r, F.lit(2), F.length(r)))), "")
+    return F.when(F.size(words) > 0, titled).otherwise("Unknown")
+
+
+def suggested_rule(text: Column | str, tags: Column | None = None) -> Column:
+    """A rule to fill in; tags is an array of suggested tags."""
+    pattern = F.replace(suggested_pattern(text), F.lit('"'), F.lit('\\"'))
+    rule = F.format_string('[%s]\nmatch: contains("%s")\ncategory: CATEGORY\nsubcategory: SUBCATEGORY', suggested_merchant(text), pattern)
+    return rule if tags is None else F.concat(rule, F.when(F.size(tags) > 0, F.concat(F.lit("\ntags: "), F.array_join(tags, ", "))).otherwise(""))
 
 
 def register_sql_functions(spark: SparkSession) -> None:

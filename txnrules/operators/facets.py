@@ -54,18 +54,17 @@ KIND_ORDER = {"tag": 0, "category": 1, "subcategory": 2, "location": 3, "merchan
 
 
 def facet_values(df: DataFrame) -> DataFrame:
-    """kind, value, parent, n: every value that can be filtered on, with its number of transactions."""
-    parts = [
-        df.select(F.explode("tags").alias("value")).groupBy("value").agg(F.count("*").alias("n")).select(F.lit("tag").alias("kind"), "value", F.lit("").alias("parent"), "n"),
-        df.groupBy("category").agg(F.count("*").alias("n")).select(F.lit("category").alias("kind"), F.col("category").alias("value"), F.lit("").alias("parent"), "n"),
-        df.groupBy("category", "subcategory").agg(F.count("*").alias("n")).select(F.lit("subcategory").alias("kind"), F.col("subcategory").alias("value"), F.col("category").alias("parent"), "n"),
-        df.filter("location IS NOT NULL").groupBy("location").agg(F.count("*").alias("n")).select(F.lit("location").alias("kind"), F.col("location").alias("value"), F.lit("").alias("parent"), "n"),
-        df.groupBy("merchant").agg(F.count("*").alias("n")).select(F.lit("merchant").alias("kind"), F.col("merchant").alias("value"), F.lit("").alias("parent"), "n"),
-    ]
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    return found
+    """kind, value, parent, n: every value that can be filtered on, with its number of transactions. One pass over the transactions counts combinations; grouping sets and tags count these."""
+    combined = df.groupBy("category", "subcategory", "location", "merchant", "tags").agg(F.count("*").alias("n"))
+    sets = [["category"], ["category", "subcategory"], ["location"], ["merchant"]]
+    grouped = combined.groupingSets(sets, "category", "subcategory", "location", "merchant").agg(F.sum("n").alias("n"), F.grouping_id().alias("g"))
+    # The bits of g, from category to merchant, say which column a set leaves out.
+    none = F.lit("")
+    kind = F.when(F.col("g") == 0b0111, "category").when(F.col("g") == 0b0011, "subcategory").when(F.col("g") == 0b1101, "location").otherwise("merchant")
+    value = F.when(kind == "category", F.col("category")).when(kind == "subcategory", F.col("subcategory")).when(kind == "location", F.col("location")).otherwise(F.col("merchant"))
+    columns = grouped.select(kind.alias("kind"), value.alias("value"), F.when(kind == "subcategory", F.col("category")).otherwise(none).alias("parent"), "n").filter("kind <> 'location' OR value IS NOT NULL")
+    tags = combined.select(F.explode("tags").alias("value"), "n").groupBy("value").agg(F.sum("n").alias("n")).select(F.lit("tag").alias("kind"), "value", none.alias("parent"), "n")
+    return columns.unionByName(tags)
 
 
 def suggestions(values: DataFrame, typed: str, n: int = 8) -> DataFrame:

@@ -2,23 +2,40 @@
 
 A rule's condition is Spark SQL (the functions of functions.text.register_sql_functions can be used) or a Column. The whole set becomes one
 projection: winners are `coalesce(when(...), ...)` chains in rule order, tags an array of all that match. Specificity depends on the
-rule alone, so rules are sorted on the driver once. A condition that can't be told (null) doesn't match.
+rule alone, so rules are sorted on the driver once. Rules are known by their place in the set, so several may have one name. A condition that
+can't be told (null, or what would raise an error: a failing cast, a division by zero, an index out of range) doesn't match, and the next rules go on.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnrules.functions.text import fallback_merchant
-from txnrules.functions.values import holds
+from txnrules.functions.text import fallback_merchant, java_pattern
+from txnrules.functions.values import amount_condition, date_condition, holds
 
-PATTERN_FUNCTIONS = re.compile(r"\b(has|begins|finds|has_plain|contains|startswith|rlike|regexp)\s*\(|\b(?:r?like|regexp)\b", re.IGNORECASE)
-FIELD_NAMES = re.compile(r"\b(amount|date|month|year|day|weekday|source|location|field)\b", re.IGNORECASE)
+PATTERN_FUNCTIONS = re.compile(r"\b(?:has|begins|finds|has_plain|anyof|similar|contains|startswith|rlike|regexp)\s*\(|\b(?:r?like|regexp)\b", re.IGNORECASE)
+# Names that make a rule more specific by being in its condition, each once.
+FIELD_NAMES = ("amount", "date", "month", "year", "day", "weekday", "source", "field")
 QUOTED = re.compile(r"'((?:[^'\\]|\\.)*)'")
+RULES_AT_ONCE = 1000  # rows of a rule table that are broadcast together
+SALTS = 16
+
+
+@contextmanager
+def lenient(spark: SparkSession) -> Iterator[None]:
+    """Expressions analysed inside give null where they would otherwise raise an error; Spark fixes that when it analyses them."""
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
 
 
 @dataclass
@@ -53,16 +70,18 @@ class Rule:
         return holds(self.when if isinstance(self.when, Column) else F.expr(self.bound(self.when)))
 
     def specificity(self) -> tuple[int, int, int, int]:
-        """(priority, pattern functions, columns referred to outside quotes, length of quoted text)."""
-        text = self.bound(self.when) if isinstance(self.when, str) else ""
+        """(priority, pattern functions, different field names in the condition, length of quoted text)."""
+        text = self.when if isinstance(self.when, str) else ""
         bare = QUOTED.sub("''", text)
-        return self.priority, len(PATTERN_FUNCTIONS.findall(bare)), len(FIELD_NAMES.findall(bare)), sum(map(len, QUOTED.findall(text)))
+        return self.priority, len(PATTERN_FUNCTIONS.findall(bare)), sum(n in text.lower() for n in FIELD_NAMES), sum(map(len, QUOTED.findall(text)))
 
 
 def _substituted(expression: str, known: dict[str, str]) -> str:
-    for name, value in known.items():
-        expression = re.sub(rf"\b{name}\b", lambda _, v=value: f"({v})", expression)
-    return expression
+    """Names replaced outside quoted text."""
+    if not known:
+        return expression
+    names = re.compile(r"'(?:[^'\\]|\\.)*'|\b(?:" + "|".join(map(re.escape, known)) + r")\b")
+    return names.sub(lambda m: m[0] if m[0][0] == "'" else f"({known[m[0]]})", expression)
 
 
 class RuleSet:
@@ -77,52 +96,60 @@ class RuleSet:
     def by_specificity(self) -> list[Rule]:
         return sorted(self.rules, key=lambda r: r.specificity(), reverse=True)  # stable: ties go to the earlier rule
 
-    def _winner(self, rules: list[Rule], value) -> Column:
-        chain = [F.when(self._hits[r.name], value(r)) for r in rules]
-        return F.coalesce(*chain, F.lit(None).cast("string")) if chain else F.lit(None).cast("string")
+    @staticmethod
+    def _winner(places: list[int], value) -> Column:
+        """Of the rules at these places the first that matches gives the value."""
+        return F.coalesce(*[F.when(F.col(f"_rule_{k}"), value(k)) for k in places], F.lit(None).cast("string"))
 
     def classify(self, df: DataFrame) -> DataFrame:
-        """df with merchant, category, subcategory, tags, matched_rule, all_rules, tag_sources and, where rules have them, extra_<field> columns."""
+        """df with merchant, category, subcategory, tags, matched_rule, all_rules, rule_places (of all matching rules in the set, from 0), tag_sources and,
+        where rules have them, extra_<field> columns."""
+        with lenient(df.sparkSession):
+            return self._classified(df)
+
+    def _classified(self, df: DataFrame) -> DataFrame:
         df = df.withColumns({n: F.expr(v) for n, v in self.variables.items()})
-        flags = {f"_rule_{k}": r.condition() for k, r in enumerate(self.rules)}
-        df = df.select("*", *[c.alias(n) for n, c in flags.items()])
-        self._hits = {r.name: F.col(f"_rule_{k}") for k, r in enumerate(self.rules)}
-        with_category = [r for r in self.rules if r.category]
-        ranked = self.by_specificity()
-        merchant_rules = [r for r in ranked if r.category] if self.merchant_from_category_rules else ranked
+        df = df.select("*", *[r.condition().alias(f"_rule_{k}") for k, r in enumerate(self.rules)])
+        rules, places = self.rules, range(len(self.rules))
+        ranked = sorted(places, key=lambda k: rules[k].specificity(), reverse=True)  # stable: ties go to the earlier rule
+        order = list(places) if self.mode == "first" else ranked
+        with_category = [k for k in order if rules[k].category]
+        place = F.coalesce(*[F.when(F.col(f"_rule_{k}"), F.lit(k)) for k in with_category], F.lit(None).cast("int"))
         if self.mode == "first":
-            winner = self._winner(with_category, lambda r: F.lit(r.name))
-            values = {
-                "category": self._winner(with_category, lambda r: F.lit(r.category)),
-                "subcategory": self._winner(with_category, lambda r: F.lit(r.subcategory or "")),
-                "merchant": self._winner(with_category, lambda r: F.lit(r.merchant or r.name)),
-            }
+            subcategory = self._winner(with_category, lambda k: F.lit(rules[k].subcategory or ""))
+            merchant = self._winner(with_category, lambda k: F.lit(rules[k].merchant or rules[k].name))
         else:
-            winner = self._winner([r for r in ranked if r.category], lambda r: F.lit(r.name))
-            values = {
-                "category": self._winner([r for r in ranked if r.category], lambda r: F.lit(r.category)),
-                "subcategory": self._winner([r for r in ranked if r.subcategory], lambda r: F.lit(r.subcategory)),
-                "merchant": self._winner(merchant_rules, lambda r: F.lit(r.merchant or r.name)),
-            }
-        names = sorted({f for r in self.rules for f in r.fields})
-        extras = {f"extra_{n}": F.coalesce(*[F.when(winner == r.name, F.expr(r.bound(r.fields[n])).cast("string")) for r in self.rules if n in r.fields]) for n in names}
-        told = F.concat(_no_entries(), *[F.when(self._hits[r.name], _entries(r)).otherwise(_no_entries()) for r in self.rules if r.tags])
-        told = F.filter(told, lambda e: e["tag"] != "")
-        listed = F.filter(F.concat(F.array().cast("array<string>"), F.array(*[F.when(self._hits[r.name], F.lit(r.name)) for r in self.rules])), lambda n: n.isNotNull())
-        made = df.withColumns({"matched_rule": winner, **{f"_{k}": v for k, v in values.items()}, "_told": told, "all_rules": listed, **extras})
+            subcategory = self._winner([k for k in ranked if rules[k].subcategory], lambda k: F.lit(rules[k].subcategory))
+            merchant = self._winner(with_category if self.merchant_from_category_rules else ranked, lambda k: F.lit(rules[k].merchant or rules[k].name))
+        values = {
+            "_place": place,
+            "matched_rule": self._winner(with_category, lambda k: F.lit(rules[k].name)),
+            "_category": self._winner(with_category, lambda k: F.lit(rules[k].category)),
+            "_subcategory": subcategory,
+            "_merchant": merchant,
+        }
+        told = F.concat(_no_entries(), *[F.when(F.col(f"_rule_{k}"), _entries(rules[k])).otherwise(_no_entries()) for k in places if rules[k].tags])
+        matching = F.array(*[F.when(F.col(f"_rule_{k}"), F.lit(k)) for k in places]) if rules else F.array().cast("array<int>")
+        made = df.withColumns({**values, "_told": F.filter(told, lambda e: e["tag"] != ""), "rule_places": F.filter(matching, lambda k: k.isNotNull())})
+        names = sorted({f for r in rules for f in r.fields})
+        extras = {f"extra_{n}": F.coalesce(*[F.when(F.col("_place") == k, F.expr(rules[k].bound(rules[k].fields[n])).cast("string")) for k in places if n in rules[k].fields]) for n in names}
+        all_names = F.array(*[F.lit(r.name) for r in rules]) if rules else F.array().cast("array<string>")
         tags = F.array_sort(F.array_distinct(F.transform("_told", lambda e: e["tag"])))
         first_of = F.map_from_entries(F.transform(tags, lambda t: F.struct(t, F.filter("_told", lambda e: e["tag"] == t)[0]["rule"])))
+        unmatched = F.col("_category").isNull()
         made = made.withColumns(
             {
-                "match_source": F.when(F.col("_category").isNull(), "auto").otherwise("user"),
-                "merchant": F.coalesce("_merchant", fallback_merchant("description")) if self.mode == "specific" else F.when(F.col("_category").isNull(), fallback_merchant("description")).otherwise(F.col("_merchant")),
+                **extras,
+                "all_rules": F.transform("rule_places", lambda k: F.get(all_names, k)),
+                "match_source": F.when(unmatched, "auto").otherwise("user"),
+                "merchant": F.coalesce("_merchant", fallback_merchant("description")) if self.mode == "specific" else F.when(unmatched, fallback_merchant("description")).otherwise(F.col("_merchant")),
                 "category": F.coalesce("_category", F.lit("Unknown")),
-                "subcategory": F.when(F.col("_category").isNull(), "Unknown").otherwise(F.coalesce("_subcategory", F.lit(""))),
+                "subcategory": F.when(unmatched, "Unknown").otherwise(F.coalesce("_subcategory", F.lit(""))),
                 "tags": tags,
                 "tag_sources": first_of,
             }
         )
-        return made.drop("_category", "_subcategory", "_merchant", "_told", *flags)
+        return made.drop("_place", "_category", "_subcategory", "_merchant", "_told", *[f"_rule_{k}" for k in places])
 
     def audit(self) -> dict[str, object]:
         """Counts and oddities of the set."""
@@ -136,6 +163,7 @@ class RuleSet:
             "special_tags": sorted(set(plain) & {"income", "investment", "transfer", "refund"}),
             "with_let": [r.name for r in self.rules if r.let],
             "with_fields": [r.name for r in self.rules if r.fields],
+            "repeated_names": sorted({r.name for k, r in enumerate(self.rules) if r.name in [x.name for x in self.rules[:k]]}),
         }
 
 
@@ -170,10 +198,10 @@ def all_matches(classified: DataFrame) -> DataFrame:
 
 
 def rule_hits(classified: DataFrame, rules: RuleSet) -> DataFrame:
-    """Hits per rule, rules without any included."""
+    """Hits per rule, by its place in the set; rules without any are included."""
     names = classified.sparkSession.createDataFrame([(k, r.name) for k, r in enumerate(rules.rules)], "ord int, rule string")
-    counted = all_matches(classified).groupBy("rule").agg(F.count("*").alias("n"))
-    return names.join(counted, "rule", "left").select("ord", "rule", F.coalesce("n", F.lit(0)).alias("n"))
+    counted = classified.select(F.explode("rule_places").alias("ord")).groupBy("ord").agg(F.count("*").alias("n"))
+    return names.join(counted, "ord", "left").select("ord", "rule", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def explain(classified: DataFrame) -> DataFrame:
@@ -182,20 +210,47 @@ def explain(classified: DataFrame) -> DataFrame:
     return classified.select(original.alias("original"), F.col("description").alias("text"), F.get("all_rules", F.lit(0)).alias("first_rule"), "matched_rule", (F.col("match_source") == "auto").alias("unknown"))
 
 
-def match_table(df: DataFrame, rules: DataFrame, key: list[str]) -> DataFrame:
+def row_condition(row: dict) -> Column:
+    """A row of a rule table (pattern, amt_op, amt_lo, amt_hi, date_lo, date_hi, month; those that are null don't count) as one condition."""
+    condition = F.col("description").rlike(java_pattern(row["pattern"]))
+    if row.get("amt_op"):
+        condition = condition & amount_condition(F.col("amount"), row["amt_op"], row["amt_lo"], row.get("amt_hi"))
+    if row.get("date_lo") or row.get("date_hi"):
+        condition = condition & date_condition(F.col("date"), first=row.get("date_lo"), last=row.get("date_hi"))
+    if row.get("month"):
+        condition = condition & date_condition(F.col("date"), month=row["month"])
+    return holds(condition)
+
+
+def match_table(df: DataFrame, rules: DataFrame) -> DataFrame:
     """Rules as rows (ord, pattern, merchant, category, subcategory, tags, amt_op, amt_lo, amt_hi, date_lo, date_hi, month): the first matching
-    row with a category gives the fields, all matching rows give tags.
+    row with a category gives the fields, all matching rows give tags. Rows of df without a match are kept, and null descriptions match nothing.
 
-    The rule table is joined to the distinct texts only; Spark broadcasts it where it has measured it small. Rows without a match are kept.
+    The rules are broadcast RULES_AT_ONCE at a time and compared with the distinct texts only. The patterns that a text
+    matches come back to its rows as one array, so nothing has to be regrouped; a text that very many rows have is dealt to SALTS tasks.
     """
-    texts = df.select("description").distinct()
-    hits = texts.join(rules, F.expr("description RLIKE concat('(?iU)', pattern)"))
-    both = df.join(hits, "description")
-    amount_ok = F.expr("""
-        CASE WHEN amt_op IS NULL THEN true WHEN amt_op = '>' THEN amount > amt_lo WHEN amt_op = '>=' THEN amount >= amt_lo WHEN amt_op = '<' THEN amount < amt_lo
-             WHEN amt_op = '<=' THEN amount <= amt_lo WHEN amt_op = '=' THEN abs(amount - amt_lo) < 0.01 ELSE amount BETWEEN amt_lo AND amt_hi END""")
-    date_ok = F.expr("(date_lo IS NULL OR date >= date_lo) AND (date_hi IS NULL OR date <= date_hi) AND (month IS NULL OR month(date) = month)")
-    matched = both.filter(F.coalesce(amount_ok & date_ok, F.lit(False)))
-    first = F.min(F.when(F.col("category").isNotNull(), F.struct("ord", "merchant", "category", "subcategory")))
-    won = matched.groupBy(*key).agg(first.alias("won"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("tags"))
-    return df.join(won, key, "left").select(*df.columns, "won.merchant", "won.category", "won.subcategory", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
+    many = -(-rules.count() // RULES_AT_ONCE)
+    numbered = rules.withColumn("_turn", F.pmod(F.xxhash64("ord"), F.lit(max(many, 1))))
+    texts = df.select("description").filter("description IS NOT NULL").distinct()
+    found = None
+    for k in range(max(many, 1)):
+        hits = texts.join(F.broadcast(numbered.filter(F.col("_turn") == k).drop("_turn")), F.expr("description RLIKE concat('(?iU)', pattern)"))
+        found = hits if found is None else found.unionByName(hits)
+    rule = F.struct("ord", "merchant", "category", "subcategory", "tags", "amt_op", "amt_lo", "amt_hi", "date_lo", "date_hi", "month")
+    of_text = found.groupBy("description").agg(F.array_sort(F.collect_list(rule)).alias("_hits"))  # no more than there are rules
+    salted = of_text.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = df.withColumn("_salt", F.pmod(F.xxhash64("amount", "date"), F.lit(SALTS)).cast("int")).join(salted, ["description", "_salt"], "left")
+
+    def fits(r: Column) -> Column:
+        amount, lo, hi, op = F.col("amount"), r["amt_lo"], r["amt_hi"], r["amt_op"]
+        amount_ok = (
+            F.when(op.isNull(), True).when(op == ">", amount > lo).when(op == ">=", amount >= lo).when(op == "<", amount < lo).when(op == "<=", amount <= lo)
+            .when(op == "=", F.abs(amount - lo) < 0.01).otherwise(amount.between(lo, hi))
+        )
+        date_ok = (r["date_lo"].isNull() | (F.col("date") >= r["date_lo"])) & (r["date_hi"].isNull() | (F.col("date") <= r["date_hi"]))
+        return F.coalesce(amount_ok & date_ok & (r["month"].isNull() | (F.month("date") == r["month"])), F.lit(False))
+
+    fitting = joined.withColumn("_hits", F.filter("_hits", fits))
+    won = F.get(F.filter("_hits", lambda r: r["category"].isNotNull()), F.lit(0))
+    tags = F.array_sort(F.array_distinct(F.flatten(F.transform("_hits", lambda r: r["tags"]))))
+    return fitting.withColumn("_won", won).select(*df.columns, "_won.merchant", "_won.category", "_won.subcategory", F.coalesce(tags, F.array().cast("array<string>")).alias("tags"))

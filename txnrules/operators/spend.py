@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from txnrules.functions.text import suggested_merchant, suggested_pattern
+from txnrules.functions.text import suggested_merchant, suggested_pattern, suggested_rule
 from txnrules.functions.values import period_key
 
 SPECIAL = ("income", "investment", "transfer")
@@ -54,10 +54,10 @@ def num_months(df: DataFrame) -> DataFrame:
     return df.agg(F.countDistinct("month").alias("n")).select(F.when(F.col("n") > 0, F.col("n")).otherwise(12).alias("num_months"))
 
 
-def by_merchant(df: DataFrame, lists: bool = False) -> DataFrame:
-    """Per merchant: count, total, months active, averages, largest payment, tags, category of the last transaction; with `lists` the payments too."""
+def by_merchant(df: DataFrame) -> DataFrame:
+    """Per merchant: count, total, months active, averages, largest payment, tags, category of the last transaction, rule of the first one that has a rule."""
     order = F.struct(*ORDER)
-    more = [F.transform(F.array_sort(F.collect_list(F.struct(*ORDER, "effective_amount"))), lambda x: x["effective_amount"]).alias("payments")] if lists else []
+    rule = [F.min_by("matched_rule", F.when(F.col("matched_rule").isNotNull(), order)).alias("first_rule")] if "matched_rule" in df.columns else []
     found = df.groupBy("merchant").agg(
         F.count("*").alias("count"),
         total().alias("total"),
@@ -66,11 +66,37 @@ def by_merchant(df: DataFrame, lists: bool = False) -> DataFrame:
         F.max_by("category", order).alias("category"),
         F.max_by("subcategory", order).alias("subcategory"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("tags")))).alias("tags"),
-        *more,
+        *rule,
     )
     return found.withColumns({"avg_when_active": F.col("total") / F.col("months_active"), "monthly_value": F.col("total") / 12})
 
 
+def payment_statistics(df: DataFrame) -> DataFrame:
+    """Per merchant: sum, count, avg, max, min and sample deviation (0 for one payment) of its payments."""
+    p = "effective_amount"
+    return df.groupBy("merchant").agg(total().alias("sum"), F.count("*").alias("count"), F.avg(p).alias("avg"), F.max(p).alias("max"), F.min(p).alias("min"), F.coalesce(F.stddev_samp(p), F.lit(0.0)).alias("stddev"))
+
+
+def payments(df: DataFrame, unit: str = "month") -> DataFrame:
+    """merchant, period, payments in order. A list covers one period, so that no merchant's payments are all in one row."""
+    rows = F.array_sort(F.collect_list(F.struct(*ORDER, "effective_amount")))
+    return df.withColumn("period", period_key(unit, F.col("date"))).groupBy("merchant", "period").agg(F.transform(rows, lambda x: x["effective_amount"]).alias("payments"))
+
+
+def transactions(df: DataFrame) -> DataFrame:
+    """merchant, month, its transactions in order."""
+    return df.groupBy("merchant", "month").agg(F.array_sort(F.collect_list(F.struct(*ORDER, "tags"))).alias("transactions"))
+
+
+def description_counts(df: DataFrame) -> DataFrame:
+    return df.groupBy("merchant", "description").agg(F.count("*").alias("n"))
+
+
+def credit_groups(df: DataFrame, *keys: str) -> DataFrame:
+    """Groups (merchants, or finer ones) whose total is negative."""
+    return by(df, *keys).filter("total < 0")
+
+
 def merchant_months(df: DataFrame) -> DataFrame:
     return df.groupBy("merchant", "month").agg(total().alias("total"))
 
@@ -138,21 +164,40 @@ def merchant_shares(merchants: DataFrame) -> DataFrame:
     return merchants.join(sums, "category").select("merchant", "category", "total", F.when(F.col("of") == 0, 0.0).otherwise(F.bround(100 * F.col("total") / F.col("of"), 1)).alias("share"))
 
 
+def type_shares(df: DataFrame) -> DataFrame:
+    """Per category: its spending, income and investment as percent of all spending, income and investment, one decimal; 0 where there is none."""
+    kinds = ("spending", "income", "investment")
+    each = category_types(df)
+    whole = each.agg(*[F.sum(k).alias(f"all_{k}") for k in kinds])  # one row
+    share = lambda k: F.when(F.col(f"all_{k}") == 0, 0.0).otherwise(F.bround(100 * F.col(k) / F.col(f"all_{k}"), 1)).alias(k)
+    return each.join(F.broadcast(whole)).select("category", *[share(k) for k in kinds])
+
+
+def category_averages(df: DataFrame) -> DataFrame:
+    """Per category: total over all months of the data."""
+    months = num_months(df)  # one row
+    return by(df, "category").join(F.broadcast(months)).select("category", (F.col("total") / F.col("num_months")).alias("per_month"))
+
+
 def discover(df: DataFrame, limit: int = 0) -> DataFrame:
-    """Unknown descriptions: count, total size, whether any is negative, three first examples, suggestions; largest first, all if limit is 0."""
-    found = (
-        df.filter(F.col("category") == "Unknown")
-        .groupBy("description")
-        .agg(
-            F.count("*").alias("count"),
-            F.sum(F.abs("amount")).alias("total"),
-            F.max((F.col("amount") < 0).cast("int")).cast("boolean").alias("has_negative"),
-            F.min(F.struct("date", "amount")).alias("first"),
-        )
-        .withColumns({"suggested_merchant": suggested_merchant("description"), "suggested_pattern": suggested_pattern("description")})
+    """Unknown descriptions: count, total size, whether any is negative, the three first examples, suggested name, pattern, tags and rule; largest first, all if limit is 0."""
+    unknown = df.filter(F.col("category") == "Unknown")
+    found = unknown.groupBy("description").agg(
+        F.count("*").alias("count"),
+        F.sum(F.abs("amount")).alias("total"),
+        F.max((F.col("amount") < 0).cast("int")).cast("boolean").alias("has_negative"),
+    )
+    # Spark keeps three rows of a description and task before the window.
+    first = unknown.withColumn("rank", F.row_number().over(Window.partitionBy("description").orderBy("date", "amount", "source"))).filter(F.col("rank") <= 3)
+    examples = first.groupBy("description").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "date", "amount"))), lambda x: F.struct(x["date"].alias("date"), x["amount"].alias("amount"))).alias("examples"))
+    tags = F.when(F.col("has_negative"), F.array(F.lit("refund"))).otherwise(F.array().cast("array<string>"))
+    told = (
+        found.join(examples, "description")
+        .withColumns({"suggested_merchant": suggested_merchant("description"), "suggested_pattern": suggested_pattern("description"), "suggested_tags": tags})
+        .withColumn("suggested_rule", suggested_rule("description", F.col("suggested_tags")))
         .orderBy(F.desc("total"), "description")
     )
-    return found.limit(limit) if limit else found
+    return told.limit(limit) if limit else told
 
 
 def tag_usage(merchants: DataFrame) -> DataFrame:

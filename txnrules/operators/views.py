@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txnrules.functions.values import holds, period_key
-from txnrules.operators.spend import SPECIAL, total, variation
+from txnrules.operators.spend import SPECIAL, total
 
 
 @dataclass
@@ -23,27 +23,56 @@ class View:
     variables: dict[str, str] = field(default_factory=dict)
 
 
-def features(df: DataFrame, unit: str = "month") -> DataFrame:
-    """Per merchant: n_payments, months, total, cv (signed), avg, max, min, stddev of payments, tags, category, subcategory, and over the totals, sizes and
-    averages of its periods of `unit`: n_periods, max_sum, min_sum, avg_sum, max_count. No list of payments is gathered."""
+def merchant_periods(df: DataFrame) -> DataFrame:
+    """merchant, month: what features are made of."""
     order = F.struct("date", "description", "amount", "source")
-    per_merchant = df.groupBy("merchant").agg(
-        F.count("*").alias("n_payments"),
-        F.greatest(F.countDistinct("month"), F.lit(1)).alias("months"),
-        total().alias("total"),
-        F.coalesce(F.avg("effective_amount"), F.lit(0.0)).alias("avg"),
-        F.coalesce(F.max("effective_amount"), F.lit(0.0)).alias("max"),
-        F.coalesce(F.min("effective_amount"), F.lit(0.0)).alias("min"),
-        F.coalesce(F.stddev_samp("effective_amount"), F.lit(0.0)).alias("stddev"),
-        F.array_sort(F.array_distinct(F.transform(F.flatten(F.collect_set("tags")), F.lower))).alias("tags"),
-        F.max_by("category", order).alias("category"),
-        F.max_by("subcategory", order).alias("subcategory"),
+    p = F.col("effective_amount")
+    return df.groupBy("merchant", "month").agg(
+        F.count("*").alias("n"),
+        total().alias("sum"),
+        F.sum(p * p).alias("squares"),
+        F.max(p).alias("max"),
+        F.min(p).alias("min"),
+        F.max(F.struct(order, "category", "subcategory")).alias("last"),
+        F.array_distinct(F.transform(F.flatten(F.collect_set("tags")), F.lower)).alias("tags"),
     )
-    periods = by_period(df, unit)
-    over = periods.groupBy("merchant").agg(
-        F.count("*").alias("n_periods"), F.max("sum").alias("max_sum"), F.min("sum").alias("min_sum"), F.avg("sum").alias("avg_sum"), F.max("count").alias("max_count")
+
+
+def features(df: DataFrame) -> DataFrame:
+    """Per merchant: n_payments, months, total, cv of the monthly totals (signed), avg, max, min, stddev of payments, tags, category, subcategory, and over its months'
+    totals and sizes: n_periods, max_sum, min_sum, avg_sum, max_count. One pass over the transactions, into merchant and month; no list of payments is gathered."""
+    n, s = F.sum("n"), F.sum("sum")
+    spread = F.sqrt(F.greatest(F.sum("squares") - s * s / n, F.lit(0.0)) / F.nullif(n - 1, F.lit(0)))
+    cv = F.when((F.count("*") < 2) | (F.avg("sum") == 0), 0.0).otherwise(F.stddev_pop("sum") / F.avg("sum"))
+    return (
+        merchant_periods(df)
+        .groupBy("merchant")
+        .agg(
+            n.alias("n_payments"),
+            F.count("*").alias("months"),
+            s.alias("total"),
+            cv.alias("cv"),
+            (s / n).alias("avg"),
+            F.max("max").alias("max"),
+            F.min("min").alias("min"),
+            F.coalesce(spread, F.lit(0.0)).alias("stddev"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_set("tags")))).alias("tags"),
+            F.max("last").alias("last"),
+            F.count("*").alias("n_periods"),
+            F.max("sum").alias("max_sum"),
+            F.min("sum").alias("min_sum"),
+            F.avg("sum").alias("avg_sum"),
+            F.max("n").alias("max_count"),
+        )
+        .select("*", "last.category", "last.subcategory")
+        .drop("last")
     )
-    return per_merchant.join(over, "merchant").join(variation(df, signed=True).select("merchant", "cv"), "merchant")
+
+
+def months_in(df: DataFrame) -> DataFrame:
+    """One row: n_months in the data, 12 if there are none; shares the pass of `features`."""
+    found = merchant_periods(df).agg(F.countDistinct("month").alias("n"))
+    return found.select(F.when(F.col("n") > 0, F.col("n")).otherwise(12).alias("n_months"))
 
 
 def by_period(df: DataFrame, unit: str) -> DataFrame:
@@ -90,22 +119,29 @@ def classify_views(merchants: DataFrame, views: list[View], variables: dict[str,
     return named.drop(*[f"_in_{k}" for k in range(len(views))])
 
 
-def default_views(n_months: int) -> list[View]:
-    """Nine views by regularity, size and category; n_months is the number of months in the data."""
-    return [
-        View("every_month", f"months >= {n_months} * 0.75 AND cv < 0.3"),
-        View("variable", f"months >= {n_months} * 0.75 AND cv >= 0.3"),
-        View("periodic", f"months >= 2 AND months <= {n_months} * 0.5 AND cv < 0.5"),
-        View("one_off", "months = 1"),
-        View("large", "max >= 1000"),
-        View("frequent", "n_payments >= 2 * months"),
-        View("travel", "lower(category) = 'travel' OR array_contains(tags, 'travel')"),
-        View("refunds", "total < 0"),
-        View("uncategorised", "category = 'Unknown'"),
-    ]
-
-
-def view_totals(placed: DataFrame, n_months: int) -> DataFrame:
-    """Per view: merchants, total, monthly (average when active for consistent merchants, else total over the months)."""
-    monthly = F.when(F.col("cv") < 0.3, F.col("total") / F.col("months")).otherwise(F.col("total") / n_months)
-    return placed.groupBy("view").agg(F.count("*").alias("merchants"), F.sum("total").alias("total"), F.sum(monthly).alias("monthly"))
+# The default views.
+DEFAULT_VIEWS = {
+    "Total": "true",
+    "Bills": "category = 'Bills' AND months >= 6",
+    "Subscriptions": "category = 'Subscriptions'",
+    "Groceries": "subcategory = 'Grocery'",
+    "Dining": "subcategory IN ('Restaurant', 'Fast Food', 'Delivery')",
+    "Travel": "category = 'Travel'",
+    "Shopping": "category = 'Shopping'",
+    "Health": "category = 'Health'",
+    "Big Purchases": "total > 1000 AND months <= 3",
+}
+
+
+def default_views() -> list[View]:
+    return [View(name, when) for name, when in DEFAULT_VIEWS.items()]
+
+
+def monthly_figure() -> Column:
+    """Average when active for consistent merchants, else total over the months of the data (n_months)."""
+    return F.when(F.col("cv") < 0.3, F.col("total") / F.col("months")).otherwise(F.col("total") / F.col("n_months"))
+
+
+def view_totals(placed: DataFrame) -> DataFrame:
+    """Per view: merchants, total, total and monthly figures of its merchants, average by month of the data; placed has n_months."""
+    return placed.groupBy("view").agg(F.count("*").alias("merchants"), F.sum("total").alias("total"), F.sum(monthly_figure()).alias("monthly"), F.sum(F.col("total") / F.col("n_months")).alias("per_month"))

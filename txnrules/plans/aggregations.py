@@ -34,12 +34,26 @@ def merchants(name: str, sql: str, build, base: str = MERCHANTS_SQL) -> None:
 spent("a01_buckets", "SELECT bucket, count(*) AS n, round(sum(amount), 2) AS total FROM sp GROUP BY bucket", lambda d: d.groupBy("bucket").agg(F.count("*").alias("n"), r2(F.sum("amount")).alias("total")))
 spent("a02_effective_amount", "SELECT category, round(sum(eff), 2) AS total, round(sum(amount), 2) AS raw FROM sp GROUP BY category", lambda d: d.groupBy("category").agg(r2(F.sum("effective_amount")).alias("total"), r2(F.sum("amount")).alias("raw")))
 spent("a03_by_category", "SELECT category, subcategory, count(*) AS count, round(sum(eff), 2) AS total FROM sp GROUP BY ALL", lambda d: spend.by(d, "category", "subcategory").withColumn("total", r2("total")))
-merchants(
+spent(
     "a04_by_merchant",
-    "SELECT merchant, count, round(total, 2) AS total, months_active, round(max_payment, 2) AS max_payment, category, subcategory, array_to_string(tags, '|') AS tags FROM mer",
-    lambda m: m.select("merchant", "count", r2("total").alias("total"), "months_active", r2("max_payment").alias("max_payment"), "category", "subcategory", F.array_join("tags", "|").alias("tags")),
+    f"""SELECT merchant, count, round(total, 2) AS total, months_active, round(max_payment, 2) AS max_payment, category, subcategory, array_to_string(tags, '|') AS tags, first_rule, descriptions
+    FROM mer JOIN (SELECT merchant, arg_min(matched_rule, {ORDER_SQL}) FILTER (matched_rule IS NOT NULL) AS first_rule FROM sp GROUP BY merchant) USING (merchant)
+    JOIN (SELECT merchant, string_agg(description || ':' || n, '|' ORDER BY description) AS descriptions FROM (SELECT merchant, description, count(*) AS n FROM sp GROUP BY ALL) GROUP BY merchant) USING (merchant)""",
+    lambda d: sinks.merchant_records(d).select(
+        "merchant",
+        "count",
+        r2("total").alias("total"),
+        "months_active",
+        r2("max_payment").alias("max_payment"),
+        "category",
+        "subcategory",
+        F.array_join("tags", "|").alias("tags"),
+        "first_rule",
+        F.array_join(F.transform(F.map_entries("descriptions"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), "|").alias("descriptions"),
+    ),
+    MERCHANTS_SQL,
 )
-spent("a05_descriptions", "SELECT merchant, description, count(*) AS n FROM sp GROUP BY ALL", lambda d: d.groupBy("merchant", "description").agg(F.count("*").alias("n")))
+spent("a05_descriptions", "SELECT merchant, description, count(*) AS n FROM sp GROUP BY ALL", spend.description_counts)
 spent("a06_merchant_months", "SELECT merchant, month, round(total, 2) AS total FROM mm", lambda d: spend.merchant_months(d).withColumn("total", r2("total")), MONTHS_SQL)
 spent("a07_by_month", "SELECT month, count(*) AS count, round(sum(eff), 2) AS total FROM sp GROUP BY month", lambda d: spend.by(d, "month").withColumn("total", r2("total")))
 spent("a08_num_months", "SELECT count(DISTINCT month) AS num_months FROM sp", spend.num_months)
@@ -69,12 +83,10 @@ spent(
     FLOW_SQL,
 )
 spent("a15_category_shares", "SELECT category, round(total, 2) AS total, round(100 * total / sum(total) OVER (), 1) AS share FROM (SELECT category, sum(eff) AS total FROM sp GROUP BY category) WHERE total > 0", lambda d: spend.category_shares(d).withColumn("total", r2("total")))
-_LOW = f"{SPENDING_SQL}, low AS (SELECT description, round(sum(amount), 2) AS total FROM sp WHERE amount < 0 OR date < DATE '1995-06-01' GROUP BY description)"
 spent(
     "a16_credit_merchants",
-    "SELECT description, total FROM low WHERE total < 0",
-    lambda d: d.filter("amount < 0 OR date < DATE '1995-06-01'").groupBy("description").agg(r2(F.sum("amount")).alias("total")).filter("total < 0"),
-    _LOW,
+    "SELECT merchant, location, month, round(sum(eff), 2) AS total FROM sp GROUP BY merchant, location, month HAVING sum(eff) < 0",
+    lambda d: spend.credit_groups(d, "merchant", "location", "month").select("merchant", "location", "month", r2("total").alias("total")),
 )
 spent(
     "a17_hierarchy",
@@ -89,10 +101,22 @@ spent(
     lambda d: spend.category_types(d).select("category", *[r2(n).alias(n) for n in ("spending", "income", "investment", "transfers")]),
 )
 merchants("a19_monthly_figure", "SELECT merchant, round(CASE WHEN total / months_active <> 0 THEN total / months_active ELSE total / 12 END, 2) AS monthly FROM mer", lambda m: m.select("merchant", r2(F.coalesce(F.nullif("avg_when_active", F.lit(0.0)), c("total") / 12)).alias("monthly")))
+_DISCOVERED = f"""{SPENDING_SQL}, un AS (SELECT *, row_number() OVER (PARTITION BY description ORDER BY date, amount, source) AS r FROM sp WHERE category = 'Unknown'),
+    di AS (SELECT description, count(*) AS count, round(sum(abs(amount)), 2) AS total, bool_or(amount < 0) AS has_negative, string_agg(strftime(date, '%Y-%m-%d') || ' ' || round(amount, 2), '|' ORDER BY r) FILTER (r <= 3) AS examples,
+        array_to_string(list_transform(regexp_extract_all(description, '[A-Z#0-9]+')[1:3], lambda w: CASE WHEN starts_with(w, 'BRAND#') THEN 'Brand#' || w[7:] ELSE upper(w[1]) || lower(w[2:]) END), ' ') AS suggested_merchant FROM un GROUP BY description)"""
 spent(
     "a22_discover",
-    """SELECT description, count(*) AS count, round(sum(abs(amount)), 2) AS total, bool_or(amount < 0) AS has_negative FROM sp WHERE category = 'Unknown' GROUP BY description""",
-    lambda d: spend.discover(d).select("description", "count", r2("total").alias("total"), "has_negative"),
+    "SELECT description, count, total, has_negative, examples, suggested_merchant, CASE WHEN has_negative THEN 'refund' ELSE '' END AS suggested_tags FROM di",
+    lambda d: spend.discover(d).select(
+        "description",
+        "count",
+        r2("total").alias("total"),
+        "has_negative",
+        F.array_join(F.transform("examples", lambda e: F.concat_ws(" ", F.date_format(e["date"], "yyyy-MM-dd"), r2(e["amount"]).cast("string"))), "|").alias("examples"),
+        "suggested_merchant",
+        F.array_join("suggested_tags", "|").alias("suggested_tags"),
+    ),
+    _DISCOVERED,
 )
 merchants("a23_overview", "SELECT category, count(*) AS merchants, round(sum(total), 2) AS total FROM mer GROUP BY category", lambda m: m.groupBy("category").agg(F.count("*").alias("merchants"), r2(F.sum("total")).alias("total")))
 spent("a24_chart", "SELECT month, round(coalesce(sum(amount) FILTER (bucket = 'spending'), 0), 2) AS spending, round(coalesce(sum(abs(amount)) FILTER (bucket = 'income'), 0), 2) AS income, round(coalesce(sum(abs(amount)) FILTER (bucket = 'investment'), 0), 2) AS investment FROM sp GROUP BY month", lambda d: spend.chart(d).select("month", *[r2(n).alias(n) for n in ("spending", "income", "investment")]))
@@ -124,19 +148,22 @@ spent(
     lambda d: d.groupBy("category", "subcategory").agg(F.countDistinct("merchant").alias("merchants"), F.count("*").alias("n"), r2(F.sum("effective_amount")).alias("total"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("tags")))), "|").alias("tags")),
 )
 spent("a30_income_transfers", "SELECT sum(list_contains(tags, 'income')::INT) AS income, sum(list_contains(tags, 'transfer')::INT) AS transfers FROM sp", lambda d: d.agg(F.sum(spend.tagged("income").cast("int")).alias("income"), F.sum(spend.tagged("transfer").cast("int")).alias("transfers")))
-register(
+spent(
     "a31_transactions_by_merchant",
-    f"WITH {SPENDING_SQL}, t AS (SELECT merchant, list(strftime(date, '%Y-%m-%d') || ' ' || description ORDER BY date, description) AS l FROM sp WHERE list_contains(tags, 'large') AND date < DATE '1995-03-01' GROUP BY merchant) SELECT merchant, len(l)::BIGINT AS n, md5(array_to_string(l, chr(10))) AS digest FROM t",
-)(
-    lambda spark, sf_dir: tables.spending(spark, sf_dir)
-    .filter("array_contains(tags, 'large') AND date < DATE '1995-03-01'")
-    .groupBy("merchant")
-    .agg(F.array_sort(F.collect_list(F.struct("date", "description"))).alias("l"))
-    .select("merchant", F.size("l").cast("long").alias("n"), F.md5(F.array_join(F.transform("l", lambda x: F.concat_ws(" ", F.date_format(x["date"], "yyyy-MM-dd"), x["description"])), "\n")).alias("digest"))
+    f"SELECT merchant, month, count(*) AS n, md5(string_agg(strftime(date, '%Y-%m-%d') || ' ' || description, chr(10) ORDER BY {ORDER_SQL[1:-1]})) AS digest FROM sp GROUP BY ALL",
+    lambda d: spend.transactions(d).select("merchant", "month", F.size("transactions").cast("long").alias("n"), F.md5(F.array_join(F.transform("transactions", lambda x: F.concat_ws(" ", F.date_format(x["date"], "yyyy-MM-dd"), x["description"])), "\n")).alias("digest")),
 )
 spent("a32_latest_date", "SELECT max(date) AS latest FROM sp", lambda d: d.agg(F.max("date").alias("latest")))
 spent("a33_averages", "SELECT round((spending + transfer_out) / num_months, 2) AS per_month, round(spending / num_months, 2) AS spending FROM flow", lambda d: spend.cash_flow(d).select(r2("monthly_average").alias("per_month"), r2(c("spending") / c("num_months")).alias("spending")), FLOW_SQL)
+spent("a33_category_averages", "SELECT category, round(sum(eff) / (SELECT count(DISTINCT month) FROM sp), 2) AS per_month FROM sp GROUP BY category", lambda d: spend.category_averages(d).select("category", r2("per_month").alias("per_month")))
 merchants("a34_merchant_shares", "SELECT merchant, category, CASE WHEN sum(total) OVER (PARTITION BY category) = 0 THEN 0 ELSE round(100 * total / sum(total) OVER (PARTITION BY category), 1) END AS share FROM mer", lambda m: spend.merchant_shares(m).select("merchant", "category", "share"))
+_OF = "CASE WHEN sum({0}) OVER () = 0 THEN 0 ELSE round(100 * {0} / sum({0}) OVER (), 1) END AS {0}"
+spent(
+    "a34_type_shares",
+    f"""SELECT category, {_OF.format("spending")}, {_OF.format("income")}, {_OF.format("investment")} FROM (SELECT category, coalesce(sum(amount) FILTER (bucket = 'spending'), 0) AS spending,
+    coalesce(sum(abs(amount)) FILTER (bucket = 'income'), 0) AS income, coalesce(sum(abs(amount)) FILTER (bucket = 'investment'), 0) AS investment FROM sp GROUP BY category)""",
+    spend.type_shares,
+)
 merchants("a35_tag_usage", "SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM mer) GROUP BY tag", spend.tag_usage)
 
 # Views
@@ -159,17 +186,21 @@ featured("v15_composition", "SELECT merchant, n_periods, round(max_sum, 2) AS ma
 spent(
     "v07_payment_statistics",
     "SELECT merchant, round(coalesce(sum(eff), 0), 2) AS s, count(*) AS n, round(avg(eff), 2) AS a, round(max(eff), 2) AS mx, round(min(eff), 2) AS mn, round(coalesce(stddev_samp(eff), 0), 2) AS sd FROM sp GROUP BY merchant",
-    lambda d: spend.by_merchant(d, lists=True).select("merchant", r2(V.list_sum(c("payments"))).alias("s"), F.size("payments").cast("long").alias("n"), r2(V.list_avg(c("payments"))).alias("a"), r2(V.list_max(c("payments"))).alias("mx"), r2(V.list_min(c("payments"))).alias("mn"), r2(V.list_stddev(c("payments"))).alias("sd")),
+    lambda d: spend.payment_statistics(d).select("merchant", r2("sum").alias("s"), c("count").alias("n"), r2("avg").alias("a"), r2("max").alias("mx"), r2("min").alias("mn"), r2("stddev").alias("sd")),
 )
-for _id, _sql, _make in (
-    ("v08_count", "count(*)", lambda x: F.size(x).cast("long")),
-    ("v09_avg", "round(avg(eff), 2)", lambda x: r2(V.list_avg(x))),
-    ("v10_max", "round(max(eff), 2)", lambda x: r2(V.list_max(x))),
-    ("v11_min", "round(min(eff), 2)", lambda x: r2(V.list_min(x))),
-    ("v12_stddev", "round(coalesce(stddev_samp(eff), 0), 2)", lambda x: r2(V.list_stddev(x))),
+for _id, _sql, _name in (
+    ("v08_count", "count(*)", "count"),
+    ("v09_avg", "round(avg(eff), 2)", "avg"),
+    ("v10_max", "round(max(eff), 2)", "max"),
+    ("v11_min", "round(min(eff), 2)", "min"),
+    ("v12_stddev", "round(coalesce(stddev_samp(eff), 0), 2)", "stddev"),
 ):
-    spent(_id, f"SELECT merchant, {_sql} AS value FROM sp GROUP BY merchant", lambda d, make=_make: spend.by_merchant(d, lists=True).select("merchant", make(c("payments")).alias("value")))
-spent("v01_payments", "SELECT merchant, md5(array_to_string(list((round(eff * 100)::BIGINT)::VARCHAR ORDER BY date, description, amount, source), ',')) AS digest FROM sp GROUP BY merchant", lambda d: spend.by_merchant(d, lists=True).select("merchant", F.md5(F.array_join(F.transform("payments", lambda x: F.round(x * 100).cast("long").cast("string")), ",")).alias("digest")))
+    spent(_id, f"SELECT merchant, {_sql} AS value FROM sp GROUP BY merchant", lambda d, n=_name: spend.payment_statistics(d).select("merchant", (c(n) if n == "count" else r2(n)).alias("value")))
+spent(
+    "v01_payments",
+    "SELECT merchant, month AS period, count(*) AS n, md5(array_to_string(list((round(eff * 100)::BIGINT)::VARCHAR ORDER BY date, description, amount, source), ',')) AS digest FROM sp GROUP BY ALL",
+    lambda d: spend.payments(d).select("merchant", "period", F.size("payments").cast("long").alias("n"), F.md5(F.array_join(F.transform("payments", lambda x: F.round(x * 100).cast("long").cast("string")), ",")).alias("digest")),
+)
 for _unit, _form in (("month", "%Y-%m"), ("year", "%Y"), ("week", "%Y-W%W"), ("day", "%Y-%m-%d")):
     spent(
         f"v13_by_{_unit}",
@@ -187,39 +218,53 @@ _OWN_SQL = "SELECT 'big' AS view, merchant FROM ft WHERE total > 1000000 UNION A
 featured("v17_variables", _OWN_SQL, lambda f: views.classify_views(f, _OWN, {"floor_total": "1000000.0"}).select("view", "merchant"))
 featured("v18_filter", "SELECT merchant FROM ft WHERE months >= 12 AND total / months > 1000", lambda f: views.classify_views(f, _OWN[1:2]).select("merchant"))
 featured("v20_ordinary", "SELECT merchant FROM ft WHERE NOT list_has_any(tags, ['income', 'investment', 'transfer'])", lambda f: views.ordinary(f).select("merchant"))
-_VIEW_SQL = {"every_month": "months >= nm.n * 0.75 AND cv < 0.3", "variable": "months >= nm.n * 0.75 AND cv >= 0.3", "periodic": "months >= 2 AND months <= nm.n * 0.5 AND cv < 0.5", "one_off": "months = 1", "large": "max >= 1000", "frequent": "n_payments >= 2 * months", "travel": "lower(category) = 'travel'", "refunds": "total < 0", "uncategorised": "category = 'Unknown'"}
-PLACED_SQL = f"{FEATURES_SQL}, nm AS (SELECT count(DISTINCT month) AS n FROM sp), pl AS (" + " UNION ALL ".join(f"SELECT '{v}' AS view, ft.*, nm.n FROM ft, nm WHERE {w}" for v, w in _VIEW_SQL.items()) + ")"
+# The default views look at these categories and subcategories.
+_NAMES = {"category": {"Hardware": "Bills", "Fasteners": "Subscriptions", "Devices": "Travel", "Colours": "Shopping", "Heavy": "Health"}, "subcategory": {"Widgets": "Grocery", "Cold": "Restaurant", "Other": "Fast Food", "Small": "Delivery"}}
+_MORE_VIEWS = {"large": "max >= 1000", "refunds": "total < 0", "steady": "months >= 12 AND cv < 0.3"}
+RENAMED_SQL = f"{SPENDING_SQL.replace(', sp AS (', ', sp0 AS (')}, sp AS (SELECT * REPLACE (" + ", ".join(f"CASE {k} " + " ".join(f"WHEN '{x}' THEN '{y}'" for x, y in v.items()) + f" ELSE {k} END AS {k}" for k, v in _NAMES.items()) + ") FROM sp0)"
+PLACED_SQL = (
+    FEATURES_SQL.replace(SPENDING_SQL, RENAMED_SQL)
+    + ", nm AS (SELECT count(DISTINCT month) AS n FROM sp), pl AS ("
+    + " UNION ALL ".join(f"SELECT '{v}' AS view, ft.*, nm.n FROM ft, nm WHERE {w}" for v, w in {**views.DEFAULT_VIEWS, **_MORE_VIEWS}.items())
+    + ")"
+)
+
+
+def renamed(d):
+    for column, names in _NAMES.items():
+        d = d.withColumn(column, F.coalesce(F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[c(column)], c(column)))
+    return d
 
 
 def placed(spark, sf_dir):
-    d = tables.spending(spark, sf_dir)
-    n = views.periods(d).first().n_months
-    return views.classify_views(views.features(d), views.default_views(n)), n
+    """Merchants in the default views and three more, with the number of months in the data."""
+    d = renamed(tables.spending(spark, sf_dir))
+    found = views.classify_views(views.features(d), views.default_views() + [views.View(n, w) for n, w in _MORE_VIEWS.items()])
+    return found.join(F.broadcast(views.months_in(d)))  # one row
 
 
-register("v19_views", f"WITH {PLACED_SQL} SELECT view, merchant FROM pl")(lambda spark, sf_dir: placed(spark, sf_dir)[0].select("view", "merchant"))
-register("v21_default_views", f"WITH {PLACED_SQL} SELECT view, count(*) AS merchants FROM pl GROUP BY view")(lambda spark, sf_dir: placed(spark, sf_dir)[0].groupBy("view").agg(F.count("*").alias("merchants")))
-register("v22_views_of_merchant", f"WITH {PLACED_SQL} SELECT view, months, round(cv, 4) AS cv, round(total, 2) AS total FROM pl WHERE merchant = 'Widget Co'")(lambda spark, sf_dir: placed(spark, sf_dir)[0].filter("merchant = 'Widget Co'").select("view", "months", F.round("cv", 4).alias("cv"), r2("total").alias("total")))
-featured("v23_expressions", "SELECT merchant, CASE WHEN total / n_payments > 20000 AND category <> 'Heavy' THEN 'dear' ELSE 'cheap' END AS kind FROM ft", lambda f: f.select("merchant", F.when((V.quotient(c("total"), c("n_payments")) > 20000) & ~c("category").isin("Heavy"), "dear").otherwise("cheap").alias("kind")))
+def viewed(name: str, sql: str, build) -> None:
+    register(name, f"WITH {PLACED_SQL} {sql}")(lambda spark, sf_dir: build(placed(spark, sf_dir)))
 
 
-@register("a20_view_totals", f"WITH {PLACED_SQL} SELECT view, count(*) AS merchants, round(sum(total), 2) AS total, round(sum(CASE WHEN cv < 0.3 THEN total / months ELSE total / n END), 2) AS monthly FROM pl GROUP BY view")
-def a20(spark, sf_dir):
-    p, n = placed(spark, sf_dir)
-    return views.view_totals(p, n).select("view", "merchants", r2("total").alias("total"), r2("monthly").alias("monthly"))
+viewed("v19_views", "SELECT view, merchant FROM pl", lambda p: p.select("view", "merchant"))
+viewed("v21_default_views", "SELECT view, count(*) AS merchants, round(sum(total), 2) AS total FROM pl GROUP BY view", lambda p: p.groupBy("view").agg(F.count("*").alias("merchants"), r2(F.sum("total")).alias("total")))
+viewed("v22_views_of_merchant", "SELECT view, months, round(cv, 4) AS cv, round(total, 2) AS total FROM pl WHERE merchant = 'Widget Co'", lambda p: p.filter("merchant = 'Widget Co'").select("view", "months", F.round("cv", 4).alias("cv"), r2("total").alias("total")))
+featured("v23_expressions", "SELECT merchant, CASE WHEN total / n_payments > 20000 AND category <> 'Heavy' THEN 'dear' ELSE 'cheap' END AS kind FROM ft", lambda f: f.select("merchant", F.when((V.quotient(c("total"), c("n_payments")) > 20000) & ~c("category").isin("Heavy"), "dear").otherwise("cheap").alias("kind")))
 
 
-@register("a21_view_monthly", f"WITH {PLACED_SQL} SELECT view, merchant, round(CASE WHEN cv < 0.3 THEN total / months ELSE total / n END, 2) AS monthly FROM pl")
-def a21(spark, sf_dir):
-    p, n = placed(spark, sf_dir)
-    return p.select("view", "merchant", r2(F.when(c("cv") < 0.3, c("total") / c("months")).otherwise(c("total") / n)).alias("monthly"))
+viewed(
+    "a20_view_totals",
+    "SELECT view, count(*) AS merchants, round(sum(total), 2) AS total, round(sum(CASE WHEN cv < 0.3 THEN total / months ELSE total / n END), 2) AS monthly, round(sum(total) / any_value(n), 2) AS per_month FROM pl GROUP BY view",
+    lambda p: views.view_totals(p).select("view", "merchants", *[r2(n).alias(n) for n in ("total", "monthly", "per_month")]),
+)
+viewed("a21_view_monthly", "SELECT view, merchant, round(CASE WHEN cv < 0.3 THEN total / months ELSE total / n END, 2) AS monthly FROM pl", lambda p: p.select("view", "merchant", r2(views.monthly_figure()).alias("monthly")))
 
 
 @register("a27_filtered_views", f"WITH {PLACED_SQL} SELECT view, count(*) AS n, round(sum(eff), 2) AS total FROM sp JOIN (SELECT view, merchant FROM pl) USING (merchant) WHERE month BETWEEN '1996-01' AND '1996-06' GROUP BY view")
 def a27(spark, sf_dir):
-    p, _ = placed(spark, sf_dir)
     d = tables.spending(spark, sf_dir).filter(facets.facet_filter([facets.Facet("month", "1996-01..1996-06")]))
-    return d.join(p.select("view", "merchant"), "merchant").groupBy("view").agg(F.count("*").alias("n"), r2(F.sum("effective_amount")).alias("total"))
+    return d.join(placed(spark, sf_dir).select("view", "merchant"), "merchant").groupBy("view").agg(F.count("*").alias("n"), r2(F.sum("effective_amount")).alias("total"))
 
 
 # Rankings
@@ -237,12 +282,11 @@ ranked(
 spent("w03_top_categories", "SELECT category, round(sum(eff), 2) AS total FROM sp GROUP BY category ORDER BY sum(eff) DESC, category LIMIT 15", lambda d: spend.top(spend.by(d, "category"), 15, F.desc("total"), "category").select("category", r2("total").alias("total")))
 
 
-@register("w04_view_merchants", f"WITH {PLACED_SQL}, k AS (SELECT view, merchant, row_number() OVER (PARTITION BY view ORDER BY total DESC, merchant) AS rank, greatest(count(*) OVER (PARTITION BY view) - 20, 0) AS remaining FROM pl) SELECT * FROM k WHERE rank <= 20")
-def w04(spark, sf_dir):
-    p, _ = placed(spark, sf_dir)
-    return spend.top_in_each(p, "view", 20, F.desc("total"), F.asc("merchant")).select("view", "merchant", c("rank").cast("long").alias("rank"), "remaining")
-
-
+viewed(
+    "w04_view_merchants",
+    ", k AS (SELECT view, merchant, row_number() OVER (PARTITION BY view ORDER BY total DESC, merchant) AS rank, greatest(count(*) OVER (PARTITION BY view) - 20, 0) AS remaining FROM pl) SELECT * FROM k WHERE rank <= 20",
+    lambda p: spend.top_in_each(p, "view", 20, F.desc("total"), F.asc("merchant")).select("view", "merchant", c("rank").cast("long").alias("rank"), "remaining"),
+)
 spent("w05_top_unknown", "SELECT description, count(*) AS count FROM sp WHERE category = 'Unknown' GROUP BY description ORDER BY sum(abs(amount)) DESC, description LIMIT 10", lambda d: spend.discover(d, 10).select("description", "count"))
 ranked("w06_top_per_category", f"SELECT category, merchant, rank, remaining FROM ({_EACH.format(n=5)}) WHERE rank <= 5", lambda m: spend.top_in_each(m, "category", 5, F.desc("total"), F.asc("merchant")).select("category", "merchant", c("rank").cast("long").alias("rank"), "remaining"))
 spent(
@@ -250,11 +294,12 @@ spent(
     "SELECT merchant, date, description, round(amount, 2) AS amount FROM (SELECT *, row_number() OVER (PARTITION BY merchant ORDER BY date DESC, description, amount, source) AS rank FROM sp) WHERE rank <= 10",
     lambda d: spend.top_in_each(d, "merchant", 10, F.desc("date"), F.asc("description"), F.asc("amount"), F.asc("source")).select("merchant", "date", "description", r2("amount").alias("amount")),
 )
-ranked("w08_sorted", "SELECT merchant FROM (SELECT merchant FROM mer ORDER BY abs(total) DESC, merchant LIMIT 30) UNION ALL SELECT * FROM (SELECT merchant FROM mer ORDER BY lower(merchant), merchant LIMIT 10)", lambda m: spend.sort_by(m, "total", True, True).limit(30).select("merchant").unionByName(spend.sort_by(m, "merchant", False).limit(10).select("merchant")))
+ranked("w08_sorted", "SELECT merchant, round(total, 2) AS total FROM mer ORDER BY abs(total) DESC, merchant", lambda m: spend.sort_by(m, "total", True, True).select("merchant", r2("total").alias("total")))
+ranked("w08_sorted_by_name", "SELECT merchant, count FROM mer ORDER BY lower(merchant), merchant", lambda m: spend.sort_by(m, "merchant", False).select("merchant", "count"))
 spent(
     "w09_top_categories_by_month",
-    "SELECT month, category, round(sum(amount), 2) AS total FROM sp WHERE bucket = 'spending' AND category IN (SELECT category FROM sp WHERE bucket = 'spending' GROUP BY category ORDER BY sum(amount) DESC, category LIMIT 3) GROUP BY ALL",
-    lambda d: d.filter("bucket = 'spending'").join(spend.top(d.filter("bucket = 'spending'").groupBy("category").agg(F.sum("amount").alias("t")), 3, F.desc("t"), "category").select("category"), "category", "left_semi").groupBy("month", "category").agg(r2(F.sum("amount")).alias("total")),
+    "SELECT month, category, round(sum(amount), 2) AS total FROM sp WHERE bucket = 'spending' AND category IN (SELECT category FROM sp WHERE bucket = 'spending' GROUP BY category ORDER BY sum(amount) DESC, category LIMIT 8) GROUP BY ALL",
+    lambda d: d.filter("bucket = 'spending'").join(spend.top(d.filter("bucket = 'spending'").groupBy("category").agg(F.sum("amount").alias("t")), 8, F.desc("t"), "category").select("category"), "category", "left_semi").groupBy("month", "category").agg(r2(F.sum("amount")).alias("total")),
 )
 ranked("w10_by_monthly_value", "SELECT merchant, round(total / 12, 2) AS monthly FROM mer ORDER BY total / 12 DESC, merchant", lambda m: m.orderBy(F.desc("monthly_value"), "merchant").select("merchant", r2("monthly_value").alias("monthly")))
 
@@ -265,8 +310,51 @@ register("u01_union", "SELECT 'orders' AS kind, count(*) AS n FROM orders UNION
 spent("u02_distinct", "SELECT 'tags' AS kind, count(DISTINCT t) AS n FROM (SELECT unnest(tags) AS t FROM sp) UNION ALL SELECT 'months', count(DISTINCT month) FROM sp UNION ALL SELECT 'locations', count(DISTINCT location) FROM sp UNION ALL SELECT 'categories', count(DISTINCT category) FROM sp", lambda d: d.select(F.explode("tags").alias("x")).agg(F.lit("tags").alias("kind"), F.countDistinct("x").alias("n")).unionByName(d.agg(F.lit("months").alias("kind"), F.countDistinct("month").alias("n"))).unionByName(d.agg(F.lit("locations").alias("kind"), F.countDistinct("location").alias("n"))).unionByName(d.agg(F.lit("categories").alias("kind"), F.countDistinct("category").alias("n"))))
 spent("u03_tag_overlap", "SELECT list_has_any(tags, ['tools', 'large']) AS overlap, count(*) AS n FROM sp GROUP BY 1", lambda d: d.groupBy(F.arrays_overlap("tags", F.array(F.lit("tools"), F.lit("large"))).alias("overlap")).agg(F.count("*").alias("n")))
 
-# Report tables
-spent("k02_report_tables", "SELECT category, round(total, 2) AS total, round(100 * total / sum(total) OVER (), 1) AS share FROM (SELECT category, sum(eff) AS total FROM sp GROUP BY category) WHERE total > 0", lambda d: sinks.report_tables(d)["categories"].withColumn("total", r2("total")))
-register("k01_nested")(lambda spark, sf_dir: sinks.merchant_records(tables.spending(spark, sf_dir), 1))
-register("k03_report_records")(lambda spark, sf_dir: sinks.merchant_records(tables.spending(spark, sf_dir), 2))
-spent("k04_discovery_rows", "SELECT description, count(*) AS count, round(sum(abs(amount)), 2) AS total FROM sp WHERE category = 'Unknown' GROUP BY description", lambda d: spend.discover(d).select("description", "count", r2("total").alias("total")))
+spent(
+    "u02_top_locations",
+    "SELECT location, count(*) AS n, round(sum(abs(amount)), 2) AS size FROM sp WHERE location IS NOT NULL GROUP BY location ORDER BY count(*) DESC, location LIMIT 10",
+    lambda d: spend.top(d.filter("location IS NOT NULL").groupBy("location").agg(F.count("*").alias("n"), r2(F.sum(F.abs("amount"))).alias("size")), 10, F.desc("n"), "location"),
+)
+
+# Report tables: rows of all of them under one form.
+_K02 = f"""{FLOW_SQL}, mer AS (SELECT merchant, sum(eff) AS total FROM sp GROUP BY merchant), cat AS (SELECT category, sum(eff) AS total FROM sp GROUP BY category)"""
+spent(
+    "k02_report_tables",
+    """SELECT 'cash_flow' AS report, 'net' AS key, round(income - spending + credit, 2) AS value FROM flow UNION ALL SELECT 'months', month, round(coalesce(sum(amount) FILTER (bucket = 'spending'), 0), 2) FROM sp GROUP BY month
+    UNION ALL SELECT 'credits', merchant, round(total, 2) FROM mer WHERE total < 0 UNION ALL SELECT 'categories', category, round(100 * total / sum(total) OVER (), 1) FROM cat WHERE total > 0 UNION ALL SELECT 'merchants', merchant, round(total, 2) FROM mer""",
+    lambda d: _report(sinks.report_tables(d)),
+    _K02,
+)
+
+
+def _report(made):
+    rows = [
+        made["cash_flow"].select(F.lit("cash_flow").alias("report"), F.lit("net").alias("key"), r2("net_cash_flow").alias("value")),
+        made["months"].select(F.lit("months"), "month", r2("spending")),
+        made["credits"].select(F.lit("credits"), "merchant", r2("total")),
+        made["categories"].select(F.lit("categories"), "category", c("share")),
+        made["merchants"].select(F.lit("merchants"), "merchant", r2("total")),
+    ]
+    found = rows[0]
+    for r in rows[1:]:
+        found = found.union(r)
+    return found
+
+
+spent("k01_nested", "SELECT merchant, category, subcategory, count, round(total, 2) AS total FROM mer", lambda d: sinks.merchant_records(d, 0).withColumn("total", r2("total")), MERCHANTS_SQL)
+spent(
+    "k03_report_records",
+    f"""SELECT merchant, month, any_value(mer.category) AS category, any_value(mer.subcategory) AS subcategory, round(sum(eff), 2) AS total, count(*) AS n, md5(string_agg(strftime(date, '%Y-%m-%d') || sp.description || ':' || array_to_string(sp.tags, ','), chr(10) ORDER BY {ORDER_SQL[1:-1]})) AS digest
+    FROM sp JOIN mer USING (merchant) GROUP BY ALL""",
+    lambda d: sinks.report_records(d).select(
+        "merchant",
+        "month",
+        "category",
+        "subcategory",
+        r2("total").alias("total"),
+        F.size("transactions").cast("long").alias("n"),
+        F.md5(F.array_join(F.transform("transactions", lambda x: F.concat(F.date_format(x["date"], "yyyy-MM-dd"), x["description"], F.lit(":"), F.array_join(x["tags"], ","))), "\n")).alias("digest"),
+    ),
+    MERCHANTS_SQL,
+)
+spent("k04_discovery_rows", "SELECT description, count, total, suggested_merchant FROM di", lambda d: spend.discover(d).select("description", "count", r2("total").alias("total"), "suggested_merchant"), _DISCOVERED)

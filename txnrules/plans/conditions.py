@@ -124,10 +124,12 @@ def r06(spark, sf_dir):
     return totals(found.withColumn("rule", F.col("tag_sources")["tools"]), "rule")
 
 
-@register("r07_let", f"WITH {TXN_SQL} SELECT CASE WHEN abs(amount) / 12 + abs(amount) / 100 > 3000 THEN 'dear' ELSE 'Unknown' END AS category, {TOTALS} FROM txn GROUP BY ALL")
+@register("r07_let", f"WITH {TXN_SQL} SELECT CASE WHEN abs(amount) / 12 + abs(amount) / 100 > 3000 THEN 'dear' WHEN contains(description, 'RED') THEN 'the red size' ELSE 'Unknown' END AS category, {TOTALS} FROM txn GROUP BY ALL")
 def r07(spark, sf_dir):
-    rule = R.Rule("Dear", "monthly + fee > 3000", "dear", let={"size": "abs(amount)", "monthly": "size / 12", "fee": "size / 100"})
-    return totals(R.RuleSet([rule]).classify(tables.txn(spark, sf_dir)), "category")
+    """Names see earlier ones; quoted text keeps words that are names too."""
+    names = {"size": "abs(amount)", "monthly": "size / 12", "fee": "size / 100", "red": "'RED'"}
+    rules = [R.Rule("Dear", "monthly + fee > 3000", "dear", let=names), R.Rule("Red", "contains(description, red) AND 'monthly fee' = concat('monthly', ' fee')", "the red size", let=names)]
+    return totals(R.RuleSet(rules).classify(tables.txn(spark, sf_dir)), "category")
 
 
 @register("r08_variables", f"WITH {TXN_SQL} SELECT CASE WHEN amount > 30000 AND month(date) = 12 THEN 'gift' ELSE 'Unknown' END AS category, {TOTALS} FROM txn GROUP BY ALL")
@@ -196,9 +198,8 @@ _R2, _R3 = "contains(description, 'WIDGET') AND date BETWEEN DATE '1996-01-01' A
     {TOTALS} FROM txn GROUP BY ALL""",
 )
 def r16(spark, sf_dir):
-    keyed = tables.txn(spark, sf_dir).select("description", "amount", "date").groupBy("description", "amount", "date").agg(F.count("*").alias("times"))
-    found = R.match_table(keyed, _rule_rows(spark), ["description", "amount", "date"])
-    return found.groupBy("category", F.array_join("tags", "|").alias("tags")).agg(F.sum("times").alias("n"), F.round(F.sum(F.col("amount") * F.col("times")), 2).alias("total"))
+    found = R.match_table(tables.txn(spark, sf_dir).select("description", "amount", "date"), _rule_rows(spark))
+    return totals(found.withColumn("tags", F.array_join("tags", "|")), "category", "tags")
 
 
 @register(
@@ -207,8 +208,8 @@ def r16(spark, sf_dir):
 )
 def r17(spark, sf_dir):
     """One rule row as a condition: pattern, amount range and month together."""
-    condition = X.matches("anvil") & V.amount_condition(F.col("amount"), "range", 100, 40000) & V.date_condition(F.col("date"), month=6)
-    return totals(tables.txn(spark, sf_dir).filter(condition), "source")
+    row = {"pattern": "anvil", "amt_op": "range", "amt_lo": 100.0, "amt_hi": 40000.0, "month": 6}
+    return totals(tables.txn(spark, sf_dir).filter(R.row_condition(row)), "source")
 
 
 @register(
@@ -222,21 +223,37 @@ def r18(spark, sf_dir):
 
 @register("r19_failing_rule", f"WITH {TXN_SQL} SELECT CASE WHEN contains(description, 'RED') THEN 'ok' ELSE 'Unknown' END AS category, {TOTALS} FROM txn GROUP BY ALL")
 def r19(spark, sf_dir):
-    """Conditions that can't be told match nothing, and later rules go on."""
-    rules = [R.Rule("Broken", "try_cast(description AS INT) > 0", "bad"), R.Rule("Missing", "field['none'] = 'x'", "bad"), R.Rule("Red", "contains(description, 'RED')", "ok")]
+    """Conditions that would raise an error, or can't be told, match nothing, and later rules go on."""
+    broken = ["CAST(description AS INT) > 0", "amount / (amount - amount) > 0", "split(description, ' ')[99] = 'x'", "element_at(array(1, 2), 9) = 1", "to_date(description) > DATE '1990-01-01'", "field['none'] = 'x'"]
+    rules = [R.Rule(f"Broken {k}", when, "bad") for k, when in enumerate(broken)] + [R.Rule("Red", "contains(description, 'RED')", "ok")]
     return totals(R.RuleSet(rules).classify(tables.txn(spark, sf_dir)), "category")
 
 
-@register("r20_audit", f"WITH {TXN_SQL}, h AS ({_ANY}) SELECT count(*) AS rules, 6 AS with_tags, 2 AS tag_only, 2 AS without_merchant, 3 AS special_tags, sum((n = 0)::INT) AS never_hit FROM h")
+@register(
+    "r01_same_name",
+    f"""WITH {TXN_SQL}, s AS (SELECT amount, CASE WHEN contains(description, 'WIDGET') THEN 'Metal' WHEN contains(description, 'ANVIL') THEN 'Stone' ELSE 'Unknown' END AS category,
+        CASE WHEN contains(description, 'WIDGET') OR contains(description, 'ANVIL') THEN 'Maker' END AS rule, contains(description, 'WIDGET')::INT + contains(description, 'ANVIL')::INT AS hits FROM txn)
+    SELECT category, rule, hits, {TOTALS} FROM s GROUP BY ALL""",
+)
+def r01b(spark, sf_dir):
+    """Two rules of one name are two rules."""
+    rules = [R.Rule("Maker", "contains(description, 'WIDGET')", "Metal"), R.Rule("Maker", "contains(description, 'ANVIL')", "Stone")]
+    found = R.RuleSet(rules).classify(tables.txn(spark, sf_dir))
+    return totals(found.select("amount", "category", F.col("matched_rule").alias("rule"), F.size("all_rules").alias("hits")), "category", "rule", "hits")
+
+
+@register("r14_same_name", f"WITH {TXN_SQL} SELECT 0 AS ord, 'Maker' AS rule, count(*) AS n FROM txn WHERE contains(description, 'WIDGET') UNION ALL SELECT 1, 'Maker', count(*) FROM txn WHERE contains(description, 'ANVIL')")
+def r14b(spark, sf_dir):
+    rules = R.RuleSet([R.Rule("Maker", "contains(description, 'WIDGET')", "Metal"), R.Rule("Maker", "contains(description, 'ANVIL')", "Stone")])
+    return R.rule_hits(rules.classify(tables.txn(spark, sf_dir)), rules)
+
+
+@register("r20_audit", f"WITH {TXN_SQL}, h AS ({_ANY}) SELECT ord, rule, n, n = 0 AS never_hit, rule IN ('Widgets', 'Cold bolts', 'Gizmos', 'Large', 'Income', 'Anvils') AS with_tags, rule IN ('Large', 'Income') AS tag_only, rule IN ('Gizmos', 'Income', 'Anvils') AS special FROM h")
 def r20(spark, sf_dir):
-    """Audit of the rule set, with the rules that never hit in the data."""
-    told = R.RuleSet(RULES).audit()
-    hits = R.rule_hits(tables.classified(spark, sf_dir), R.RuleSet(RULES))
-    return hits.agg(
-        F.count("*").alias("rules"),
-        F.lit(told["with_tags"]).alias("with_tags"),
-        F.lit(len(told["tag_only"])).alias("tag_only"),
-        F.lit(len(told["without_merchant"])).alias("without_merchant"),
-        F.lit(len(told["special_tags"])).alias("special_tags"),
-        F.sum((F.col("n") == 0).cast("int")).alias("never_hit"),
-    )
+    """Audit of the rule set: what each rule has, and how often it hits in the data."""
+    rules = R.RuleSet(RULES)
+    told = rules.audit()
+    special = [r.name for r in RULES if set(told["special_tags"]) & {t.lower() for t in r.tags}]
+    hits = R.rule_hits(tables.classified(spark, sf_dir), rules)
+    named = lambda names: c("rule").isin(*names)
+    return hits.select("ord", "rule", "n", (c("n") == 0).alias("never_hit"), named([r.name for r in RULES if r.tags]).alias("with_tags"), named(told["tag_only"]).alias("tag_only"), named(special).alias("special"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from txnrules.functions import values as V
 from txnrules.functions.similarity import closest
-from txnrules.operators import facets, spend, views
+from txnrules.operators import facets, spend
 from txnrules.operators.facets import Facet
 from txnrules.plans import tables
 from txnrules.plans.aggregations import MERCHANTS_SQL, PLACED_SQL, placed
@@ -56,11 +56,11 @@ def x07(spark, sf_dir):
     return tables.spending(spark, sf_dir).select("month").distinct().orderBy("month")
 
 
-@register("x08_merchant_filters", f"WITH {PLACED_SQL} SELECT DISTINCT merchant FROM pl WHERE view = 'large' AND category = 'Fasteners' AND list_has_any(tags, ['large', 'red']) AND merchant IN (SELECT merchant FROM sp WHERE month = '1996-05' AND contains(lower(location), 'an'))")
+@register("x08_merchant_filters", f"WITH {PLACED_SQL} SELECT DISTINCT merchant FROM pl WHERE view = 'large' AND category = 'Subscriptions' AND list_has_any(tags, ['large', 'red']) AND merchant IN (SELECT merchant FROM sp WHERE month = '1996-05' AND contains(lower(location), 'an'))")
 def x08(spark, sf_dir):
-    p, _ = placed(spark, sf_dir)
+    p = placed(spark, sf_dir)
     rows = tables.spending(spark, sf_dir).filter((c("month") == "1996-05") & F.contains(F.lower("location"), F.lit("an")))
-    kept = p.filter((c("view") == "large") & (c("category") == "Fasteners") & F.arrays_overlap("tags", F.array(F.lit("large"), F.lit("red"))))
+    kept = p.filter((c("view") == "large") & (c("category") == "Subscriptions") & F.arrays_overlap("tags", F.array(F.lit("large"), F.lit("red"))))
     return kept.join(rows.select("merchant"), "merchant", "left_semi").select("merchant").distinct()
 
 
@@ -87,6 +87,4 @@ def x12(spark, sf_dir):
 
 @register("x12_named_views", f"WITH {PLACED_SQL} SELECT view, merchant FROM pl WHERE view IN ('large', 'refunds')")
 def x12b(spark, sf_dir):
-    d = tables.spending(spark, sf_dir)
-    wanted = [v for v in views.default_views(1) if v.name in ("large", "refunds")]
-    return views.classify_views(views.features(d), wanted).select("view", "merchant")
+    return placed(spark, sf_dir).filter(c("view").isin("large", "refunds")).select("view", "merchant")

@@ -71,19 +71,26 @@ on_parts(
 on_parts("f23_currency", "CASE WHEN p_retailprice < 1000 THEN '-' ELSE '' END || '$' || format('{:,.2f}', abs(p_retailprice - 1000)) AS a, format('{:,.0f}', p_size::DOUBLE) || ' EUR' AS b", a=lambda: X.currency(c("p_retailprice") - 1000), b=lambda: X.currency(c("p_size").cast("double"), 0, "{} EUR"))
 on_parts("f28_merchant_id", "replace(replace(p_name || '''s', '''', ''), ' ', '_') AS a", a=lambda: X.element_id(F.concat("p_name", F.lit("'s"))))
 _CORE = r"trim(regexp_replace(upper(p_name), '\s+[A-Z]{2}$', ''))"
-on_parts("f24_suggested_pattern", rf"array_to_string(string_split(regexp_replace({_CORE}, '([\\.+*?])', '\\\1', 'g'), ' ')[1:3], '\s*') AS a", a=lambda: X.suggested_pattern(F.concat(F.lit("SQ * "), "p_name", F.lit(" #12"))))
-on_parts("f26_suggested_rule", rf"'[' || array_to_string(list_transform(string_split({_CORE}, ' ')[1:3], lambda w: upper(w[1]) || lower(w[2:])), ' ') || ']' || chr(10) || 'match: matches(''' || array_to_string(string_split({_CORE}, ' ')[1:3], '\s*') || ''')' || chr(10) || 'category: CATEGORY' AS a", a=lambda: X.suggested_rule(c("p_name")))
+_TITLE = "array_to_string(list_transform(string_split(p_name, ' ')[1:3], lambda w: upper(w[1]) || lower(w[2:])), ' ')"
+on_parts(
+    "f24_suggested_pattern",
+    r"array_to_string(string_split(upper(p_name), ' ')[1:3], '\s*') AS a, array_to_string(string_split(upper(p_name), ' ')[1:2], '\s*') || '\s*C\.\*' AS b",
+    a=lambda: X.suggested_pattern(F.concat(F.lit("Sq *"), "p_name", F.lit(" #12"))),
+    b=lambda: X.suggested_pattern(F.concat(F.lit("google *"), "p_name", F.lit(" c.* 98765 SEATTLE WA"))),
+)
+on_parts(
+    "f25_suggested_merchant",
+    f"{_TITLE} AS a, 'O' || chr(39) || {_TITLE} AS b, 'Unknown' AS d",
+    a=lambda: X.suggested_merchant(F.concat(F.lit("TST*"), F.upper("p_name"), F.lit("  #77 DES:PAYMENT ID:9"))),
+    b=lambda: X.suggested_merchant(F.concat(F.lit("o'"), "p_name")),
+    d=lambda: X.suggested_merchant(F.substring("p_name", 1, 0)),
+)
+_RULE = f"""'[' || {_TITLE.format("p_name")} || ']' || chr(10) || 'match: contains("' || array_to_string(string_split({_CORE}, ' ')[1:3], '\\s*') || '")' || chr(10) || 'category: CATEGORY' || chr(10) || 'subcategory: SUBCATEGORY' || CASE WHEN p_size > 20 THEN chr(10) || 'tags: refund' ELSE '' END"""
+on_parts("f26_suggested_rule", f"{_RULE} AS a", a=lambda: X.suggested_rule(c("p_name"), F.when(c("p_size") > 20, F.array(F.lit("refund"))).otherwise(F.array().cast("array<string>"))))
 on_parts("i11_fallback_merchant", r"array_to_string(list_transform(list_filter(string_split(regexp_replace(p_name || ' ' || p_brand, '[^A-Za-z ]', ' ', 'g'), ' '), lambda w: w <> '')[1:3], lambda w: upper(w[1]) || lower(w[2:])), ' ') AS a", a=lambda: X.fallback_merchant(F.concat_ws(" ", "p_name", "p_brand")))
 on_parts("i10_clean", "p_name AS a", a=lambda: X.clean(F.concat(F.lit("  "), F.replace("p_name", F.lit(" "), F.lit(" \t ")), F.lit("\n"))))
 
 
-@register("f25_suggested_merchant")
-def f25(spark, sf_dir):
-    """Capitals also after an apostrophe, which differs from what SQL engines do."""
-    parts = tables.table(spark, sf_dir, "part")
-    return parts.select("p_partkey", X.suggested_merchant(F.concat(F.lit("o'"), "p_name")).alias("merchant"))
-
-
 @register(
     "f27_period_keys",
     f"WITH {TXN_SQL} SELECT strftime(date, '%Y-%m') AS m, strftime(date, '%Y') AS y, strftime(date, '%Y-W%W') AS w, strftime(date, '%Y-%m-%d') AS d, count(*) AS n FROM txn GROUP BY ALL",
@@ -156,9 +163,13 @@ def i05(spark, sf_dir):
     return one("absolute").unionByName(one("negate"))
 
 
-@register("i06_dropped_rows", f"WITH {_RAW} SELECT CASE WHEN amount IS NULL THEN 'empty' END AS reason, count(*) AS n FROM raw GROUP BY 1")
+@register("i06_dropped_rows", f"WITH {_RAW} SELECT CASE WHEN id::INT % 10 = 3 THEN 'too few columns' WHEN amount IS NULL THEN 'empty' END AS reason, count(*) AS n FROM raw GROUP BY 1")
 def i06(spark, sf_dir):
-    return ingest.prepare(raw(spark, sf_dir), SHAPE, "bank").groupBy("reason").agg(F.count("*").alias("n"))
+    """Every tenth line of an export ends after its second column."""
+    path = scratch(spark)
+    quoted = F.transform(F.array(*[F.coalesce(f"c{k}", F.lit("")) for k in range(5)]), lambda x: F.concat(F.lit('"'), x, F.lit('"')))
+    raw(spark, sf_dir).select(F.array_join(F.when(c("c4").cast("int") % 10 == 3, F.slice(quoted, 1, 2)).otherwise(quoted), ",").alias("value")).write.text(path)
+    return ingest.prepare(ingest.read_delimited(spark, path, 5, header=False), SHAPE, "bank").groupBy("reason").agg(F.count("*").alias("n"))
 
 
 @register("k06_rejects", f"WITH {_RAW} SELECT 'empty' AS reason, description FROM raw WHERE amount IS NULL")
@@ -169,7 +180,11 @@ def k06(spark, sf_dir):
 def scratch(spark) -> str:
     """A folder that driver and executors share, for files that a query writes and reads."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/export-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/export"
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{shared.rstrip('/')}/export-{uuid.uuid4().hex}"
 
 
 @register("s01_delimited", f"WITH {_RAW} SELECT source, count(*) AS n, round(sum(amount), 2) AS total FROM (SELECT 'bank' AS source, amount FROM raw WHERE amount IS NOT NULL) GROUP BY 1")
@@ -188,8 +203,9 @@ def s02(spark, sf_dir):
     path = scratch(spark)
     t = tables.otxn(spark, sf_dir)
     lines = t.select(F.format_string("%s | %s | %s", F.date_format("date", "MM/dd/yyyy"), "description", F.format_number("amount", 2)).alias("value"))
-    lines.unionByName(spark.createDataFrame([("",), ("opening balance",)], "value string")).write.text(path)
-    d = ingest.good(ingest.prepare(ingest.read_pattern(spark, path, r"(\d\d/\d\d/\d{4}) \| (.*?) \| (-?[\d,.]+)"), ingest.CARD, "x"))
+    others = spark.createDataFrame([("",), ("opening balance",)], "value string")
+    lines.unionByName(others).withColumn("value", F.regexp_replace("value", '"', "'")).select(F.col("value").alias("01/01/2001 | a header that looks like a row | 5.00")).write.csv(path, header=True, quote="", sep="\x01", emptyValue="")
+    d = ingest.good(ingest.prepare(ingest.read_pattern(spark, path, r"(\d\d/\d\d/\d{4}) \| (.*?) \| (-?[\d,.]+)", header=True), ingest.CARD, "x"))
     return d.groupBy("description").agg(F.count("*").alias("n"), cents("amount").alias("total"))
 
 
@@ -216,8 +232,7 @@ def s04(spark, sf_dir):
 def s05(spark, sf_dir):
     path = scratch(spark)
     raw(spark, sf_dir).write.csv(path, header=True)
-    parts = [ingest.good(ingest.prepare(ingest.read_delimited(spark, path, 5), SHAPE, n)) for n in ("a", "b")]
-    return ingest.source_counts(ingest.unite(parts))
+    return ingest.source_counts(ingest.read_sources(spark, [(path, "a", SHAPE), (f"{path}-that-is-missing", "none", SHAPE), (path, "b", SHAPE)]))
 
 
 @register("s06_supplemental", f"WITH {OTXN_SQL} SELECT source AS status, count(*) AS n, round(sum(CASE WHEN txn_id % 5 = 0 THEN 0 ELSE amount END), 2) AS total, count(CASE WHEN txn_id % 4 <> 0 THEN 1 END) AS dated FROM otxn GROUP BY 1")
@@ -265,13 +280,19 @@ def _profiled(spark, sf_dir):
         F.col("o_orderpriority").alias("priority"),
         F.when(F.col("o_orderkey") % 4 == 0, "").otherwise(F.concat(F.lit("order "), "o_orderkey")).alias("note"),
         F.concat(F.lit("$"), F.format_number("o_totalprice", 2)).alias("cost"),
+        F.date_format("o_orderdate", "M-d-yyyy").alias("dashed"),
     )
 
 
+_PROFILED = """o AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, format('{:,.2f}', o_totalprice) AS price, o_custkey::VARCHAR AS customer, o_orderpriority AS priority, CASE WHEN o_orderkey % 4 <> 0 THEN 'order ' || o_orderkey END AS note, '$' || format('{:,.2f}', o_totalprice) AS cost, month(o_orderdate) || '-' || day(o_orderdate) || '-' || year(o_orderdate) AS dashed FROM orders),
+    cells AS (SELECT name, value FROM o UNPIVOT INCLUDE NULLS (value FOR name IN (day, price, customer, priority, note, cost, dashed)))"""
+
+
 @register(
     "t01_column_types",
-    """SELECT 'day' AS name, 'date yyyy-MM-dd' AS type UNION ALL SELECT 'price', 'currency' UNION ALL SELECT 'customer', 'number' UNION ALL SELECT 'priority', 'categorical'
-    UNION ALL SELECT CASE WHEN count(*) > 0 THEN 'note' END, 'text' FROM orders UNION ALL SELECT 'cost', 'currency'""",
+    f"""WITH {_PROFILED}, f AS (SELECT name, count(value) AS n, count(DISTINCT value) AS d, avg(regexp_matches(value, '^\\d{{4}}-\\d{{2}}-\\d{{2}}$')::INT) AS iso, avg(regexp_matches(value, '^\\d{{1,2}}-\\d{{1,2}}-\\d{{4}}$')::INT) AS dash,
+        avg(regexp_matches(value, '^\\$[\\d,]+\\.?\\d*$')::INT) AS money, avg(regexp_matches(value, '^-?[\\d,]+\\.?\\d*$')::INT) AS number FROM cells GROUP BY name)
+    SELECT name, CASE WHEN iso >= 0.8 THEN 'date yyyy-MM-dd' WHEN dash >= 0.8 THEN 'date MM-dd-yyyy' WHEN money >= 0.8 OR number >= 0.8 AND name = 'price' THEN 'currency' WHEN number >= 0.8 THEN 'number' WHEN d <= 15 AND n >= 5 THEN 'categorical' ELSE 'text' END AS type FROM f""",
 )
 def t01(spark, sf_dir):
     return profile.column_profile(_profiled(spark, sf_dir)).select("name", "type")
@@ -279,47 +300,66 @@ def t01(spark, sf_dir):
 
 @register(
     "t02_column_profile",
-    """WITH o AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, o_totalprice AS price, o_custkey AS customer, o_orderpriority AS priority, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey END AS note FROM orders)
-    SELECT name, filled, round(1 - filled / n, 6) AS blank_share, "distinct" FROM (
-        SELECT 'day' AS name, count(day) AS filled, count(*) AS n, count(DISTINCT day) AS "distinct" FROM o UNION ALL SELECT 'customer', count(customer), count(*), count(DISTINCT customer) FROM o
-        UNION ALL SELECT 'priority', count(priority), count(*), count(DISTINCT priority) FROM o UNION ALL SELECT 'note', count(note), count(*), count(DISTINCT note) FROM o)""",
+    f"""WITH {_PROFILED}, k AS (SELECT name, array_to_string(list(value ORDER BY value), '|') AS samples FROM (SELECT name, value, row_number() OVER (PARTITION BY name ORDER BY value) AS r FROM (SELECT DISTINCT name, value FROM cells WHERE value IS NOT NULL)) WHERE r <= 5 GROUP BY name)
+    SELECT name, count(value) AS filled, round(1 - count(value) / count(*), 6) AS blank_share, count(DISTINCT value) AS "distinct", any_value(samples) AS samples FROM cells JOIN k USING (name) GROUP BY name""",
 )
 def t02(spark, sf_dir):
-    found = profile.column_profile(_profiled(spark, sf_dir).drop("price", "cost"))
-    return found.select("name", "filled", F.round("blank_share", 6).alias("blank_share"), "distinct")
+    found = profile.column_profile(_profiled(spark, sf_dir))
+    return found.select("name", "filled", F.round("blank_share", 6).alias("blank_share"), "distinct", F.array_join("samples", "|").alias("samples"))
 
 
-@register("t02_value_counts", "SELECT 'priority' AS name, o_orderpriority AS value, count(*) AS n FROM orders GROUP BY 2")
+@register("t02_value_counts", f"WITH {_PROFILED} SELECT name, value, count(*) AS n FROM cells WHERE value IS NOT NULL AND name IN (SELECT name FROM cells GROUP BY name HAVING count(DISTINCT value) <= 20) GROUP BY ALL")
 def t02b(spark, sf_dir):
     return profile.value_counts(_profiled(spark, sf_dir))
 
 
+_SAMPLES = "(SELECT string_agg(description || ' ' || round(amount, 2), '|' ORDER BY description, amount) FROM (SELECT DISTINCT description, amount FROM txn WHERE amount {} 0 ORDER BY description, amount LIMIT {}))"
+
+
 @register(
     "t03_signs",
-    f"""WITH {TXN_SQL}, s AS (SELECT sum((amount > 0)::INT) AS positive, sum((amount < 0)::INT) AS negative, round(sum(greatest(amount, 0)), 2) AS positive_total, round(sum(least(amount, 0)), 2) AS negative_total FROM txn)
-    SELECT positive, negative, positive_total, negative_total, round(positive / (positive + negative), 6) AS positive_share,
-           CASE WHEN positive / (positive + negative) >= 0.7 THEN 'expenses positive' WHEN positive / (positive + negative) <= 0.3 THEN 'expenses negative' ELSE 'mixed' END AS convention, positive / (positive + negative) <= 0.3 AS negate FROM s""",
+    f"""WITH {TXN_SQL}, s AS (SELECT sum((amount >= 0)::INT) AS positive, sum((amount < 0)::INT) AS negative, round(sum(greatest(amount, 0)), 2) AS positive_total, round(-sum(least(amount, 0)), 2) AS negative_total FROM txn), p AS (SELECT *, positive / (positive + negative) AS share FROM s)
+    SELECT positive, negative, positive_total, negative_total, round(share, 6) AS positive_share, share < 0.3 OR share <= 0.7 AND positive_total <= negative_total AS negate, CASE WHEN share < 0.3 OR share <= 0.7 AND positive_total <= negative_total THEN 'expenses negative' ELSE 'expenses positive' END AS convention,
+           {_SAMPLES.format('<', 10)} AS sample_credits FROM p""",
 )
 def t03(spark, sf_dir):
     s = profile.sign_profile(tables.txn(spark, sf_dir))
-    return s.withColumns({n: F.round(n, 6 if n == "positive_share" else 2) for n in ("positive_total", "negative_total", "positive_share")})
+    told = F.array_join(F.transform("sample_credits", lambda x: F.concat_ws(" ", x["description"], F.round(x["amount"], 2).cast("string"))), "|")
+    return s.withColumns({**{n: F.round(n, 6 if n == "positive_share" else 2) for n in ("positive_total", "negative_total", "positive_share")}, "sample_credits": told})
 
 
-@register("t04_amounts", f"WITH {OTXN_SQL} SELECT sum((txn_id % 7 = 0)::INT) AS in_parentheses, sum((txn_id % 7 = 1)::INT) AS with_symbol, 1 AS decimal_forms, 2 AS most_decimals, false AS mixed_decimals FROM otxn")
+@register(
+    "t04_amounts",
+    f"""WITH {OTXN_SQL}, a AS (SELECT description, round(amount, 2) * CASE WHEN txn_id % 7 = 0 THEN -1 ELSE 1 END AS v, txn_id FROM otxn WHERE txn_id % 7 < 2 OR txn_id % 101 <> 0)
+    SELECT sum((txn_id % 7 = 0)::INT) AS in_parentheses, sum((txn_id % 7 = 1)::INT) AS with_symbol, '2' AS decimal_places, false AS mixed, sum((v > 0)::INT) AS positive, sum((v < 0)::INT) AS negative,
+           (SELECT string_agg(description || ' ' || v, '|' ORDER BY description, v) FROM (SELECT * FROM a WHERE v > 0 ORDER BY description, v LIMIT 5)) AS sample_positive, (SELECT string_agg(description || ' ' || v, '|' ORDER BY description, v) FROM (SELECT * FROM a WHERE v < 0 ORDER BY description, v LIMIT 5)) AS sample_negative FROM a""",
+)
 def t04(spark, sf_dir):
-    return profile.amount_notes(raw(spark, sf_dir), "c2")
+    found = profile.amount_notes(raw(spark, sf_dir).withColumn("c1", F.regexp_replace("c1", " store ..$", "")), "c2", "c1")
+    told = lambda n: F.array_join(F.transform(n, lambda x: F.concat_ws(" ", x["description"], F.round(x["amount"], 2).cast("string"))), "|").alias(n)
+    return found.select("in_parentheses", "with_symbol", F.array_join("decimal_places", ",").alias("decimal_places"), "mixed", "positive", "negative", told("sample_positive"), told("sample_negative"))
+
 
+_LAYOUT = "SELECT '{0}' AS file, count(*) AS n, sum(regexp_matches(line, '^\\d{{2}}/\\d{{2}}/\\d{{4}}\\s{{2,}}')::INT) AS dates, sum(regexp_matches(line, '\\s+-?[\\d,]+\\.\\d{{2}}\\s*$')::INT) AS amounts, bool_or(regexp_matches(line, '\\d{{1,3}},\\d{{3}}')) AS thousands, {1} AS delimiter FROM {0}"
 
-@register("t05_layout", f"WITH {OTXN_SQL} SELECT count(*) AS n, 1.0::DOUBLE AS leading_date, 1.0::DOUBLE AS trailing_amount, round(avg((round(amount, 2) >= 1000)::INT), 6) AS thousands, false AS equal_length, 'text' AS layout FROM otxn")
+
+@register(
+    "t05_layout",
+    f"""WITH {OTXN_SQL}, bank AS (SELECT strftime(date, '%m/%d/%Y') || '  ' || description || '  ' || format('{{:,.2f}}', amount) AS line FROM otxn), export AS (SELECT strftime(date, '%m/%d/%Y') || ';' || description || ';' || format('{{:,.2f}}', amount) AS line FROM otxn), prose AS (SELECT description AS line FROM otxn),
+    f AS ({_LAYOUT.format("bank", "NULL")} UNION ALL {_LAYOUT.format("export", "';'")} UNION ALL {_LAYOUT.format("prose", "NULL")})
+    SELECT file, n, dates, amounts, thousands, CASE WHEN dates >= 3 AND amounts >= 3 THEN 'fixed_width' WHEN delimiter IS NOT NULL THEN 'csv' ELSE 'unknown' END AS layout, delimiter FROM f""",
+)
 def t05(spark, sf_dir):
-    t = tables.otxn(spark, sf_dir)
-    lines = t.select(F.format_string("%s  %s  %s", F.date_format("date", "yyyy-MM-dd"), F.regexp_replace("description", "[^a-zA-Z0-9 ]", " "), F.format_number("amount", 2)).alias("value"))
-    return profile.layout(lines).select("n", "leading_date", "trailing_amount", F.round("thousands", 6).alias("thousands"), "equal_length", F.lit("text").alias("layout"))
+    """A statement in columns, a delimited export and plain names."""
+    t = tables.otxn(spark, sf_dir).select(F.date_format("date", "MM/dd/yyyy").alias("day"), "description", F.format_number("amount", 2).alias("money"))
+    files = {"bank": F.concat_ws("  ", "day", "description", "money"), "export": F.concat_ws(";", "day", "description", "money"), "prose": F.col("description")}
+    told = [profile.layout(t.select(line.alias("value"))).select(F.lit(n).alias("file"), "n", "dates", "amounts", "thousands", "layout", "delimiter") for n, line in files.items()]
+    return told[0].unionByName(told[1]).unionByName(told[2])
 
 
-@register("k05_classified", f"WITH {tables.CLASSIFIED_SQL} SELECT strftime(date, '%Y-%m') AS month, category, count(*) AS n FROM cls WHERE date >= DATE '1996-03-01' AND date < DATE '1996-05-01' GROUP BY ALL")
+@register("k05_classified", f"WITH {tables.CLASSIFIED_SQL} SELECT strftime(date, '%Y-%m') AS month, category, count(*) AS n FROM cls GROUP BY ALL")
 def k05(spark, sf_dir):
     path = scratch(spark)
     sinks.write_classified(tables.spending(spark, sf_dir).drop("tag_sources"), path)
-    back = spark.read.option("basePath", path).parquet(path).filter(F.col("month").cast("string").isin("1996-03", "1996-04"))
+    back = spark.read.parquet(path)
     return back.groupBy(F.col("month").cast("string").alias("month"), "category").agg(F.count("*").alias("n"))

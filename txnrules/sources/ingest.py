@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import os
 import re
+import warnings
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,18 +63,25 @@ def location_of(own: Column | None, description: Column) -> Column:
     return trailing if own is None else F.coalesce(F.nullif(trimmed(own), F.lit("")), trailing)
 
 
-def read_delimited(spark: SparkSession, path: str, width: int, separator: str = ",", header: bool = True) -> DataFrame:
-    """All columns as text, by position c0 ... ; short lines have nulls at the end. `separator` may be 'tab'."""
-    schema = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(width)])
-    return spark.read.csv(path, schema=schema, sep="\t" if separator == "tab" else separator, header=header, quote='"', escape='"', multiLine=True, enforceSchema=True, mode="PERMISSIVE")
+def read_delimited(spark: SparkSession, path: str, width: int, separator: str = ",", header: bool = True, multiline: bool = False) -> DataFrame:
+    """All columns as text, by position c0 ... ; short lines have nulls at the end, and their number of cells in _cells. `separator` may be 'tab'.
 
+    With `multiline` quoted cells may hold line ends; a file is then read by one task.
+    """
+    separator = "\t" if separator == "tab" else separator
+    schema = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(width)] + [T.StructField("_line", T.StringType())])
+    read = spark.read.option("columnPruning", False).csv(path, schema=schema, sep=separator, header=header, quote='"', escape='"', multiLine=multiline, enforceSchema=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_line")
+    # Spark keeps the whole line where it has another number of cells than the schema.
+    cells = F.size(F.split(F.regexp_replace("_line", '"(?:[^"]|"")*"', ""), re.escape(separator)))
+    return read.select(*[f"c{k}" for k in range(width)], F.when(F.col("_line").isNotNull(), cells).alias("_cells"))
 
-def read_pattern(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """Lines that match from their start, a column c0 ... per group; other lines are left out."""
+
+def read_pattern(spark: SparkSession, path: str, pattern: str, header: bool = False) -> DataFrame:
+    """Lines that match from their start, a column c0 ... per group; other lines, and with `header` the first of each file, are left out."""
     java = "^(?:" + pattern.replace("(?P<", "(?<") + ")"
     groups = re.compile(pattern).groups
-    lines = spark.read.text(path).filter(F.col("value").rlike(java))
-    return lines.select(*[F.regexp_extract("value", java, k + 1).alias(f"c{k}") for k in range(groups)])
+    lines = spark.read.csv(path, schema="value string", sep="\x01", quote="", escape="\x02", header=header, enforceSchema=True)
+    return lines.filter(F.col("value").rlike(java)).select(*[F.regexp_extract("value", java, k + 1).alias(f"c{k}") for k in range(groups)])
 
 
 def prepare(raw: DataFrame, columns: ColumnMap, source: str) -> DataFrame:
@@ -96,16 +104,18 @@ def prepare(raw: DataFrame, columns: ColumnMap, source: str) -> DataFrame:
         F.lit(source).alias("source"),
         location_of(None if columns.location is None else cell(columns.location), description).alias("location"),
         (F.create_map(*[x for n, c in captured.items() for x in (F.lit(n), c)]) if captured else F.create_map().cast("map<string,string>")).alias("field"),
+        (F.coalesce("_cells", F.lit(columns.width)) < columns.width if "_cells" in raw.columns else F.lit(False)).alias("_short"),
         (cell(columns.date) == "").alias("_no_date"),
         (cell(columns.amount) == "").alias("_no_amount"),
     )
     reason = (
-        F.when(F.col("_no_date") | F.col("_no_amount") | (F.trim("description") == ""), "empty")
+        F.when(F.col("_short"), "too few columns")
+        .when(F.col("_no_date") | F.col("_no_amount") | (F.trim("description") == ""), "empty")
         .when(F.col("date").isNull(), "bad date")
         .when(F.col("amount").isNull(), "bad amount")
         .when(F.col("amount") == 0, "zero amount")
     )
-    return made.withColumn("reason", reason).drop("_no_date", "_no_amount")
+    return made.withColumn("reason", reason).drop("_short", "_no_date", "_no_amount")
 
 
 def good(prepared: DataFrame) -> DataFrame:
@@ -123,7 +133,7 @@ BANK = ColumnMap(date=0, description=1, amount=2, sign="negate")
 
 # Words by which a header names a role.
 ROLES = {
-    "date": ("date", "trans date", "posting date"),
+    "date": ("date",),
     "description": ("description", "merchant", "payee", "memo", "name"),
     "amount": ("amount", "debit", "charge", "value"),
     "location": ("location", "city", "state"),
@@ -147,20 +157,25 @@ def unite(parts: list[DataFrame]) -> DataFrame:
 
 
 def read_sources(spark: SparkSession, sources: list[tuple[str, str, ColumnMap]]) -> DataFrame:
-    """Good rows of all (path, name, columns) that exist; missing files are passed over."""
-    there = [(p, n, c) for p, n, c in sources if "://" in p or os.path.exists(p)]
-    if not there:
-        raise FileNotFoundError("none of the sources exists")
-    return unite([good(prepare(read_delimited(spark, p, c.width), c, n)) for p, n, c in there])
+    """Good rows of all (path, name, columns) that can be read; a source that is missing or can't be read is passed over."""
+    parts = []
+    for path, name, columns in sources:
+        try:
+            parts.append(good(prepare(read_delimited(spark, path, columns.width), columns, name)))
+        except AnalysisException as failed:
+            warnings.warn(f"source {name} is passed over: {failed.getCondition() or failed}", stacklevel=2)
+    if not parts:
+        raise FileNotFoundError("none of the sources can be read")
+    return unite(parts)
 
 
 # Column names that hold money in a supplemental source.
 MONEY = ("amount", "price", "total", "cost", "fee", "tax")
 
 
-def read_supplemental(spark: SparkSession, path: str, date_format: str = "%m/%d/%Y", decimal: str = ".") -> DataFrame:
+def read_supplemental(spark: SparkSession, path: str, date_format: str = "%m/%d/%Y", decimal: str = ".", multiline: bool = False) -> DataFrame:
     """A look-up source: names in lower case, cells trimmed, blank rows dropped, money as numbers (0 where it is none), dates as dates with the text in date_raw."""
-    raw = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True)
+    raw = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=multiline)
     cells = raw.select(*[trimmed(F.col(f"`{c}`")).alias(c.strip().lower()) for c in raw.columns])
     cells = cells.filter(reduce(lambda a, b: a | b, [F.coalesce(F.col(f"`{c}`"), F.lit("")) != "" for c in cells.columns]))
     for c in cells.columns:
@@ -175,7 +190,9 @@ def read_rule_table(spark: SparkSession, path: str) -> DataFrame:
     """Rules as rows: ord, pattern, merchant, category, subcategory, tags; comment lines, blank lines and empty patterns are left out."""
     raw = spark.read.csv(path, header=True, comment="#", quote='"', escape='"')
     tags = F.split(F.coalesce("Tags", F.lit("")), r"\|") if "Tags" in raw.columns else F.array().cast("array<string>")
-    kept = raw.filter(trimmed("Pattern") != "").withColumn("ord", F.monotonically_increasing_id())
+    place = raw.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"))
+    # A rule table is small: it is numbered in one task, by file and line.
+    kept = place.filter(trimmed("Pattern") != "").withColumn("ord", F.row_number().over(Window.orderBy("_file", "_block", "_row")) - 1)
     return kept.select(
         "ord",
         trimmed("Pattern").alias("pattern"),

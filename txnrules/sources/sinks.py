@@ -33,22 +33,27 @@ def write_report(df: DataFrame, folder: str, form: str = "parquet") -> None:
 
 
 def merchant_records(df: DataFrame, detail: int = 1) -> DataFrame:
-    """A nested row per merchant. detail 0: totals; 1: and tags, months; 2: and every transaction. A merchant's transactions are as many as it has."""
+    """A row per merchant: totals; with detail 1 also averages, tags, the first rule, and how often each description occurs (as many as it has)."""
     merchants = spend.by_merchant(df)
     if detail == 0:
         return merchants.select("merchant", "category", "subcategory", "count", "total")
-    if detail == 1:
-        return merchants
-    months = spend.merchant_months(df).groupBy("merchant").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("month", "total")))).alias("by_month"))
-    rows = df.groupBy("merchant").agg(F.array_sort(F.collect_list(F.struct("date", "description", "amount", "source", "tags"))).alias("transactions"))
-    return merchants.join(months, "merchant").join(rows, "merchant")
+    counts = spend.description_counts(df).groupBy("merchant").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("description", "n")))).alias("descriptions"))
+    return merchants.join(counts, "merchant")
+
+
+def report_records(df: DataFrame) -> DataFrame:
+    """Transactions of the report: a row per merchant and month, with the place of the merchant in the hierarchy, the month's total and its transactions."""
+    months = spend.merchant_months(df).join(spend.transactions(df), ["merchant", "month"])
+    return months.join(spend.by_merchant(df).select("merchant", "category", "subcategory"), "merchant")
 
 
 def write_json(df: DataFrame, folder: str, detail: int = 1) -> None:
-    """Merchants as JSON lines, with the summary, months and categories beside them."""
-    merchant_records(df, detail).write.mode("overwrite").json(f"{folder}/merchants")
+    """Merchants as JSON lines, with the summary, months and categories beside them; with detail 2 the transactions too."""
+    merchant_records(df, min(detail, 1)).write.mode("overwrite").json(f"{folder}/merchants")
     for name in ("cash_flow", "months", "categories"):
         report_tables(df)[name].write.mode("overwrite").json(f"{folder}/{name}")
+    if detail > 1:
+        report_records(df).write.mode("overwrite").json(f"{folder}/transactions")
 
 
 def write_discovery(df: DataFrame, path: str, form: str = "csv", limit: int = 0) -> None:
