@@ -1,41 +1,42 @@
 """Language identification with interpolated Kneser-Ney character models.
 
 Letters are lower-cased, everything else becomes one space, and texts start after three pads. Four-gram counts per language
-cover every training text: each task counts its own, Spark adds them up, and all lower orders follow from the table of
-distinct four-grams by grouping (continuation counts). An n-gram is known by a KEY_BITS-bit hash, so a table never has more
-than 2**KEY_BITS rows per language and order; only such tables reach the driver, and the model that is broadcast is
-bounded by them, whatever the corpus. The model is a set of sorted hash arrays: for the n-grams of each order, the fully
-interpolated probability in every language, and for each context the weight of the next lower order.
+cover every training text but those kept apart for calibration: each task counts its own, Spark adds them up, and all lower orders follow from the
+table of distinct four-grams by grouping (continuation counts). Spark also works out the interpolated probability of every n-gram seen in a language, and for each
+context the weight of the next lower order, in joins by language and context. An n-gram is known by a 64-bit hash. The model is a file of
+sorted arrays of hashes with log-probabilities, a language after the other: it grows with the n-grams and languages of the corpus, the driver
+holds one language's arrays at a time, and the workers of a machine share the file memory-mapped.
 
 A text gets, per language, its cross-entropy per character over the whole text; the lowest wins. The score is the winner's
-share of exp(-T * cross-entropy), with T fitted by likelihood on at most CALIBRATION training documents (those with
-the smallest hashes of their ids). `rejected` says that the winner's cross-entropy is above all but one in a thousand
-of that language's calibration texts, with a margin.
+share of exp(-T * cross-entropy). T is fitted by likelihood on at most CALIBRATION training documents, from a tenth of them by
+hash; these are not counted. `rejected` says that the winner's cross-entropy is above that of every calibration text of
+its language, by more than their deviation.
 
-Nulls: a null text, or one without a letter, is `und` with score 0. Rows with a null language teach nothing, nor do
-rows with a null id, which count as held out. Repeated rows count as often as they occur. Ties go to the first language by
-name. Very long texts are read whole, in pieces of bounded memory. Other columns are not read. With nothing to learn from every
+Nulls: a null text, or one without a letter, is `und` with score 0. Rows with a null language teach nothing; rows with a null id count as held
+out in the query. Repeated rows count as often as they occur. Ties go to the first language by
+name. Very long texts are read whole. Other columns are not read. With nothing to learn from every
 text is `und`; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from txnrules.llm.mapped import Writer, opened
 from txnrules.llm.runtime import cut, table
 
-KEY_BITS = 22
-CALIBRATION = 3000
-MAX_LANGUAGES = 500
+CALIBRATION, FOLDS = 3000, 10
 CHARS_AT_ONCE = 1_000_000
 PAD, SPACE = 1, 32
 PAD_TEXT = "\ue000" * 3
 BASE, SPREAD = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
-GRAMS = "lang string, k4 int, p3 int, s3 int, p2 int, s2 int, p1 int, s1 int, n long"
+PARTS = ("k4", "p3", "s3", "p2", "s2", "p1", "s1")
+GRAMS = "lang string, " + ", ".join(f"{p} long" for p in PARTS) + ", n long"
 
 _fold: list[np.ndarray] = []
 
@@ -62,7 +63,7 @@ def folded(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     f = f[keep]
     pad = f == PAD
     at = np.flatnonzero(~pad)
-    return f, at, (np.cumsum(pad)[at] // 3 - 1)
+    return f.astype(np.uint64), at, (np.cumsum(pad)[at] // 3 - 1)
 
 
 def key(chars: list[np.ndarray]) -> np.ndarray:
@@ -70,13 +71,8 @@ def key(chars: list[np.ndarray]) -> np.ndarray:
     h = np.full(len(chars[0]), len(chars), np.uint64)
     for c in chars:
         h = h * BASE + c
-    h ^= h >> np.uint64(29)
-    return ((h * SPREAD) >> np.uint64(64 - KEY_BITS)).astype(np.int32)
-
-
-def back(f: np.ndarray, at: np.ndarray, n: int) -> list[np.ndarray]:
-    """The n characters that end at each position."""
-    return [f[at - k] for k in range(n - 1, -1, -1)]
+    h = (h ^ (h >> np.uint64(29))) * SPREAD
+    return (h ^ (h >> np.uint64(32))).view(np.int64)
 
 
 def pieces(texts: list[str]):
@@ -91,20 +87,10 @@ def pieces(texts: list[str]):
         yield start, len(texts)
 
 
-def four_grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct four-grams, as four arrays of characters, and their counts."""
-    f, at, _ = folded(texts)
-    present = np.zeros(0x110000, bool)
-    present[f] = True
-    letters = np.flatnonzero(present)
-    if len(letters) > 0xFFFF and len(texts) > 1:
-        (a, n), (b, m) = four_grams(texts[: len(texts) // 2]), four_grams(texts[len(texts) // 2 :])
-        return [np.concatenate(x) for x in zip(a, b, strict=True)], np.concatenate([n, m])
-    number = np.zeros(0x110000, np.uint64)
-    number[letters] = np.arange(len(letters), dtype=np.uint64) & np.uint64(0xFFFF)
-    g = number[f]
-    packed, n = np.unique(sum((g[at - k] << np.uint64(16 * k) for k in range(4)), np.uint64(0)), return_counts=True)
-    return [letters[((packed >> np.uint64(16 * k)) & np.uint64(0xFFFF)).astype(np.int64)].astype(np.uint64) for k in (3, 2, 1, 0)], n
+def four_grams(f: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Distinct four-grams that end at the positions, as four arrays of characters, which of them each position has, and their counts."""
+    _, first, which, n = np.unique(key([f[at - k] for k in (3, 2, 1, 0)]), return_index=True, return_inverse=True, return_counts=True)
+    return [f[at[first] - k] for k in (3, 2, 1, 0)], which, n
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
@@ -117,83 +103,67 @@ def count_grams(docs: DataFrame) -> DataFrame:
             for lang in sorted(set(langs)):
                 mine = [t for x, t in zip(langs, texts, strict=True) if x == lang]
                 for a, b in pieces(mine):
-                    c, n = four_grams(mine[a:b])
-                    if len(n):
+                    f, at, _ = folded(mine[a:b])
+                    if len(at):
+                        c, _, n = four_grams(f, at)
                         keys = [key(c), key(c[:3]), key(c[1:]), key(c[1:3]), key(c[2:]), key(c[2:3]), key(c[3:])]
-                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), *map(pa.array, keys), pa.array(n.astype(np.int64))], [x.split()[0] for x in GRAMS.split(", ")])
+                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), *map(pa.array, keys), pa.array(n.astype(np.int64))], ["lang", *PARTS, "n"])
 
-    parts = [F.min(c).alias(c) for c in ("p3", "s3", "p2", "s2", "p1", "s1")]
-    return docs.select("lang", "text").mapInArrow(run, GRAMS).groupBy("lang", "k4").agg(*parts, F.sum("n").alias("n"))
+    return docs.select("lang", "text").mapInArrow(run, GRAMS).groupBy("lang", "k4").agg(*[F.min(c).alias(c) for c in PARTS[1:]], F.sum("n").alias("n"))
 
 
-def order_tables(grams: DataFrame) -> dict[int, pd.DataFrame]:
-    """Per order: lang, key, ctx (its context), low (its lower-order n-gram), n (count; below the top a continuation count)."""
-    four = grams.select("lang", F.col("k4").alias("key"), F.col("p3").alias("ctx"), F.col("s3").alias("low"), "n")
+def interpolated(grams: DataFrame) -> DataFrame:
+    """Rows (lang, part, key, value): log-probabilities of the n-grams seen (part g1 to g4), log-weights of contexts (c1 to c4), and the log-floor of unseen letters (f)."""
     n = F.count("*").alias("n")
+    four = grams.select("lang", F.col("k4").alias("key"), F.col("p3").alias("ctx"), F.col("s3").alias("low"), "n")
     three = grams.groupBy("lang", F.col("s3").alias("key")).agg(F.min("p2").alias("ctx"), F.min("s2").alias("low"), F.min("p1").alias("ctx2"), F.min("s1").alias("low2"), n)
     two = three.groupBy("lang", F.col("low").alias("key")).agg(F.min("ctx2").alias("ctx"), F.min("low2").alias("low"), n)
-    one = two.groupBy("lang", F.col("low").alias("key")).agg(n).select("lang", "key", F.lit(0).alias("ctx"), F.lit(0).alias("low"), "n")
-    return {k: t.select("lang", "key", "ctx", "low", "n").toPandas() for k, t in ((4, four), (3, three), (2, two), (1, one))}
-
-
+    one = two.groupBy("lang", F.col("low").alias("key")).agg(n).select("lang", "key", F.lit(0).cast("long").alias("ctx"), F.lit(0).cast("long").alias("low"), "n")
+    floor = cut(one.groupBy("lang").agg((1 / (F.count("*") + 1)).alias("floor")))
+    lower, out = None, [floor.select("lang", F.lit("f").alias("part"), F.lit(0).cast("long").alias("key"), F.log("floor").alias("value"))]
+    for order, counted in ((1, one), (2, two), (3, three), (4, four)):
+        t = cut(counted.select("lang", "key", "ctx", "low", "n"))
+        ones, twos = F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)
+        discounts = t.groupBy("lang").agg(F.when((ones > 0) & (twos > 0), ones / (ones + 2 * twos)).otherwise(0.5).alias("d"))
+        contexts = cut(t.groupBy("lang", "ctx").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).join(discounts, "lang").withColumn("weight", F.col("d") * F.col("kinds") / F.col("total")))
+        below = floor.select("lang", F.col("floor").alias("p_low")) if lower is None else lower.select("lang", F.col("key").alias("low"), F.col("p").alias("p_low"))
+        joined = t.join(contexts, ["lang", "ctx"]).join(below, ["lang"] if lower is None else ["lang", "low"])
+        lower = cut(joined.select("lang", "key", (F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("total") + F.col("weight") * F.col("p_low")).alias("p")))
+        out.append(lower.select("lang", F.lit(f"g{order}").alias("part"), "key", F.log("p").alias("value")))
+        out.append(contexts.select("lang", F.lit(f"c{order}").alias("part"), F.col("ctx").alias("key"), F.log("weight").alias("value")))
+    found = out[0]
+    for more in out[1:]:
+        found = found.unionByName(more)
+    return found
+
+
+@dataclass
 class Model:
-    """Sorted hash arrays. `grams[k]` has keys and probabilities in every language, `contexts[k]` keys and lower-order weights."""
-
-    def __init__(self, tables: dict[int, pd.DataFrame]):
-        self.languages = sorted(set(tables[4]["lang"]))
-        self.grams, self.contexts = {}, {}
-        self.temperature, self.limits = 1.0, {}
-        number = {x: k for k, x in enumerate(self.languages)}
-        letters = max(1, tables[1]["key"].nunique()) if self.languages else 1
-        self.floor = 1.0 / (letters + 1)
-        for order in (1, 2, 3, 4):
-            self._add(order, tables[order], number)
-
-    def _add(self, order: int, t: pd.DataFrame, number: dict[str, int]) -> None:
-        """Interpolates order `order` with the one below, language by language."""
-        keys, first = np.unique(t["key"].to_numpy(), return_index=True)
-        ctx, low = t["ctx"].to_numpy()[first], t["low"].to_numpy()[first]
-        contexts = np.unique(t["ctx"].to_numpy())
-        p, weight = np.empty((len(keys), len(number))), np.ones((len(contexts), len(number)))
-        lower = np.full((len(keys), len(number)), self.floor) if order == 1 else self._lower(order - 1, low)
-        for lang, k in number.items():
-            mine = t[t["lang"] == lang]
-            n, of = mine["n"].to_numpy(float), np.searchsorted(contexts, mine["ctx"].to_numpy())
-            ones, twos = (n == 1).sum(), (n == 2).sum()
-            discount = ones / (ones + 2 * twos) if ones and twos else 0.5
-            total, kinds = np.bincount(of, n, len(contexts)), np.bincount(of, minlength=len(contexts))
-            seen = total > 0
-            weight[seen, k] = discount * kinds[seen] / total[seen]
-            own = np.zeros(len(keys))
-            own[np.searchsorted(keys, mine["key"].to_numpy())] = np.maximum(n - discount, 0) / total[of]
-            p[:, k] = own + weight[np.searchsorted(contexts, ctx), k] * lower[:, k]
-        self.grams[order], self.contexts[order] = (keys, np.maximum(p, 1e-12).astype(np.float32)), (contexts, weight.astype(np.float32))
-
-    def _lower(self, order: int, wanted: np.ndarray) -> np.ndarray:
-        keys, p = self.grams[order]
-        return p[np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)].astype(float)  # parts of n-grams seen have been seen
-
-    def log_p(self, f: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Log probability of each character in every language."""
-        out = np.empty((len(at), len(self.languages)), np.float32)
-        left, weight = np.arange(len(at)), None
-        for order in (4, 3, 2, 1):
-            keys, p = self.grams[order]
-            mine = key(back(f, at[left], order))
-            place = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
-            hit = keys[place] == mine
-            values = p[place[hit]]
-            out[left[hit]] = np.log(values if weight is None else values * weight[hit])
-            miss = ~hit
-            left = left[miss]
-            if not len(left):
-                return out
-            contexts, w = self.contexts[order]
-            mine = key(back(f, at[left] - 1, order - 1)) if order > 1 else np.zeros(len(left), np.int32)
-            place = np.minimum(np.searchsorted(contexts, mine), len(contexts) - 1)
-            found = np.where((contexts[place] == mine)[:, None], w[place], np.float32(1))
-            weight = found if weight is None else weight[miss] * found
-        out[left] = np.log(weight * np.float32(self.floor))
+    """A shipped file of arrays; per language and part its sorted keys and their values."""
+
+    file: str
+    languages: list[str]
+    size: int
+    temperature: float = 1.0
+    limits: dict[str, float] = field(default_factory=dict)
+
+    def log_p(self, chars: list[np.ndarray]) -> np.ndarray:
+        """Log-probability of the last character of each four-gram in every language."""
+        arrays = opened(self.file)
+        grams = [key(chars[4 - k :]) for k in (1, 2, 3, 4)]
+        contexts = [np.zeros(len(grams[0]), np.int64), *[key(chars[4 - k : 3]) for k in (2, 3, 4)]]
+        out = np.empty((len(self.languages), len(grams[0])))
+        for row, lang in zip(out, range(len(self.languages)), strict=True):
+            left, weight = np.arange(len(row)), np.zeros(len(row))
+            for order in (4, 3, 2, 1):
+                hit, value = _found(arrays, f"{lang}/g{order}", grams[order - 1][left])
+                row[left[hit]] = weight[hit] + value[hit]
+                left, weight = left[~hit], weight[~hit]
+                if not len(left):
+                    break
+                hit, value = _found(arrays, f"{lang}/c{order}", contexts[order - 1][left])
+                weight = weight + np.where(hit, value, 0.0)
+            row[left] = weight + arrays[f"{lang}/f/value"][0]
         return out
 
     def entropies(self, texts: list[str]) -> np.ndarray:
@@ -201,31 +171,23 @@ class Model:
         out = np.full((len(texts), len(self.languages)), np.nan)
         for a, b in pieces(texts):
             f, at, doc = folded(texts[a:b])
-            if not len(at):
+            if not len(at) or not self.languages:
                 continue
             n = np.bincount(doc, minlength=b - a)
-            total = np.zeros((b - a, len(self.languages)))
-            for s in range(0, len(at), CHARS_AT_ONCE):
-                log_p = self.log_p(f, at[s : s + CHARS_AT_ONCE])
-                for k in range(len(self.languages)):
-                    total[:, k] -= np.bincount(doc[s : s + CHARS_AT_ONCE], log_p[:, k], b - a)
+            chars, which, _ = four_grams(f, at)
+            total = np.array([np.bincount(doc, row[which], b - a) for row in self.log_p(chars)]).T
             some = n > 0
-            out[a:b][some] = total[some] / n[some, None]
+            out[a:b][some] = -total[some] / n[some, None]
         return out
 
-    def calibrate(self, texts: list[str], langs: list[str]) -> None:
-        if not texts:
-            return
-        e = self.entropies(texts)
-        some = ~np.isnan(e[:, 0])
-        e, truth = e[some], np.array([self.languages.index(x) for x in np.array(langs, dtype=object)[some]], int)
-        if not len(e):
-            return
-        grid = np.geomspace(0.5, 200, 60)
-        self.temperature = float(grid[np.argmin([-np.log(np.maximum(shares(e, t)[np.arange(len(e)), truth], 1e-9)).mean() for t in grid])])
+    def calibrate(self, e: np.ndarray, truth: np.ndarray) -> None:
+        """e: entropies of texts, truth: places of their languages."""
+        if len(e):
+            grid = np.geomspace(0.5, 200, 60)
+            self.temperature = float(grid[np.argmin([-np.log(np.maximum(shares(e, t)[np.arange(len(e)), truth], 1e-9)).mean() for t in grid])])
         for k, lang in enumerate(self.languages):
             own = e[truth == k, k]
-            self.limits[lang] = float(np.quantile(own, 0.999) * 1.1) if len(own) else float("inf")
+            self.limits[lang] = float(own.max() + own.std()) if len(own) else float("inf")
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, list[bool]]:
         if not self.languages:
@@ -238,6 +200,12 @@ class Model:
         return langs, score, [not n and x[b] > self.limits.get(self.languages[b], np.inf) for n, x, b in zip(none, e, best, strict=True)]
 
 
+def _found(arrays: dict[str, np.ndarray], name: str, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys = arrays[f"{name}/key"]
+    place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return keys[place] == wanted, arrays[f"{name}/value"][place]
+
+
 def shares(e: np.ndarray, temperature: float) -> np.ndarray:
     z = -temperature * (e - e.min(axis=1, keepdims=True))
     return np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
@@ -245,23 +213,44 @@ def shares(e: np.ndarray, temperature: float) -> np.ndarray:
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", calibration: int = CALIBRATION) -> Model:
     """Learn from every row with a text and a language."""
-    known = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    model = Model(order_tables(cut(count_grams(known))))
-    if len(model.languages) > MAX_LANGUAGES:
-        raise ValueError(f"{len(model.languages)} languages; at most {MAX_LANGUAGES} are expected")
-    ids = known.select("id", "lang", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(calibration).select("id").distinct()
-    sample = known.join(F.broadcast(ids), "id", "left_semi").select("text", "lang").limit(2 * calibration).collect()
-    model.calibrate([r.text for r in sample if r.lang in model.languages], [r.lang for r in sample if r.lang in model.languages])
+    spark = docs.sparkSession
+    known = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.xxhash64(key, F.lit("calibration")).alias("h"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    fold = F.pmod("h", F.lit(FOLDS)) == 0
+    last = known.filter(fold).select("h").orderBy("h").limit(calibration).agg(F.max("h")).first()[0]
+    apart = fold & (F.col("h") <= (last if last is not None else -(2**63)))
+    values = cut(interpolated(cut(count_grams(known.filter(~apart)))), by="lang")
+    writer = Writer("languages")
+    languages = sorted(r.lang for r in values.select("lang").distinct().collect())
+    for number, name in enumerate(languages):
+        rows = values.filter(F.col("lang") == name).select("part", "key", F.col("value").cast("float").alias("value")).toArrow()  # one language's n-grams
+        part, keys, value = rows["part"].to_numpy(), rows["key"].to_numpy(), rows["value"].to_numpy()
+        for p in ("f", *[f"{x}{order}" for order in (1, 2, 3, 4) for x in "gc"]):
+            mine = np.flatnonzero(part == p)
+            mine = mine[np.argsort(keys[mine])]
+            writer.add(f"{number}/{p}/key", keys[mine])
+            writer.add(f"{number}/{p}/value", value[mine])
+    model = Model(writer.ship(spark), languages, writer.size)
+    place = {x: k for k, x in enumerate(languages)}
+
+    def run(batches):
+        for batch in batches:
+            langs = batch.column(1).to_pylist()
+            e = model.entropies(batch.column(0).to_pylist())
+            good = [k for k, x in enumerate(langs) if x in place and not np.isnan(e[k, 0])]
+            yield pa.RecordBatch.from_arrays([pa.array([place[langs[k]] for k in good], pa.int32()), pa.array([e[k].tolist() for k in good], pa.list_(pa.float64()))], ["truth", "e"])
+
+    if languages:
+        told = known.filter(apart).select("text", "lang").mapInArrow(run, "truth int, e array<double>").collect()
+        model.calibrate(np.array([r.e for r in told]).reshape(len(told), len(languages)), np.array([r.truth for r in told], int))
     return model
 
 
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: key, lang_pred, score, rejected."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
-            langs, score, rejected = shared.value.predict([t or "" for t in batch.column(1).to_pylist()])
+            langs, score, rejected = model.predict([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], ["key", "lang_pred", "score", "rejected"])
 
     return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, lang_pred string, score double, rejected boolean")
