@@ -1,8 +1,11 @@
 """A corpus pipeline of five stages, each applying one operator of txnrules.llm to all that its predecessor kept.
 
-Every stage takes (spark, docs, sf_dir) and returns a DataFrame; stages but the last return the columns of documents. A stage's result is
-written as Parquet and read again as the next one's docs, as `run` does: a stage starts by deleting the tables that the stage before it left in
-the shared folder, so don't call one on a result that isn't written.
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; stages but the last return the columns of documents, whatever further columns these
+have. A stage's result is lazy and reads tables that the stage wrote in the shared folder: write it before they are deleted, as `run` does, which
+writes it as Parquet and rereads it as the next one's docs.
+
+Nulls, in every stage: a null text is an empty one, and null ids are kept. Repeated rows are documents of their own. Texts are read
+whole, however long. An empty table gives an empty result. Each stage says what that and ties mean for it.
 """
 
 from __future__ import annotations
@@ -11,37 +14,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txnrules.llm import bpe, decontaminate, jaccard_join, line_dedup, quality_classifier
-from txnrules.llm.runtime import cut, release, table
+from txnrules.llm.runtime import cut, delete, table, tables
 
 
 def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores at 0.5 or more; it learns word vectors from docs and weights from the labels."""
-    release(spark)
+    """Documents that the classifier scores at 0.5 or more; it learns word vectors from docs and weights from the labels that are not held out.
+
+    Null and empty texts have a score like any other; equal texts have one score. Without labels of both kinds every score is the labels' mean, or 0.5.
+    """
     found = quality_classifier.score(docs, *quality_classifier.learn(spark, sf_dir, docs))
     return found.filter("score >= 0.5").select("row.*")
 
 
 def lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; of lines that are equal or similar across them, only the first stays in its text."""
-    release(spark)
-    return line_dedup.dedup(docs)
+    """Documents cut down to the lines that are equal or similar to no earlier line; of similar lines the first stays, by id and place (null ids last).
+
+    A document that had words and has none left, because all its lines occur earlier, goes. Null, empty and wordless texts stay as they are.
+    """
+    cleaned = line_dedup.dedup(docs, before="text before")
+    worded = lambda c: F.col(c).rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
+    emptied = worded("text before") & ~worded("text")
+    return cleaned.filter(~F.coalesce(emptied, F.lit(False))).drop("text before")
 
 
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of every class of similar documents."""
-    release(spark)
+    """One document of every class of similar documents, the one with the least id (null ids last, then the earlier row).
+
+    Texts without words that are equal but for white space are one class; every null text stays.
+    """
     return jaccard_join.first_of_each(docs)
 
 
 def contamination(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
-    release(spark)
+    """Documents without any window of a benchmark item; those with null and empty texts stay. An empty benchmark leaves all."""
     return decontaminate.without_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and the decoded text of every document."""
-    release(spark)
+    """doc_id, n_tokens, ids and the decoded text of every document; a null or empty text has no tokens."""
     lexicon = bpe.ship(spark, bpe.frequent_words(docs), bpe.default_vocabulary())
     return bpe.encode(docs, lexicon).select(F.col("key").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").alias("text"))
 
@@ -53,9 +63,15 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's result. What stages write on the way goes once it has been read; only the last stage's docs stay until the caller deletes them."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = cut(docs, keep=True)
+        with tables() as made:
+            found = stage(spark, docs, sf_dir)
+        if name == STAGES[-1][0]:
+            return found
+        with tables() as kept:
+            docs = cut(found)
+        delete(spark, made + before)
+        before = kept
     return docs
