@@ -76,3 +76,130 @@ def test_rows(spark):
     got = sorted(((r.key or 0), r.url, r.text) for r in H.main_text(pages).fillna("").collect())
     assert got == [(0, "v", ""), (1, "u", WANT), (2, "", ""), (2, "", "")]
     assert H.main_text(pages.limit(0)).count() == 0
+
+
+def random_page(rng):
+    """A well-formed page as nested lists [tag, attributes, children]."""
+    words = lambda n: " ".join(rng.choice(["lorem", "ipsum", "dolor", "sit", "a&b", "amet"]) for _ in range(n))
+    inline = lambda: rng.choice([words(rng.randrange(1, 9)), ["b", {}, [words(2)]], ["a", {"href": "/x"}, [words(rng.randrange(1, 4))]], ["span", {}, [words(3), ["i", {}, [words(1)]]]]])
+    para = lambda: ["p", {}, [inline() for _ in range(rng.randrange(1, 6))]]
+
+    def block(depth):
+        kind = rng.randrange(8)
+        if depth == 0 or kind < 3:
+            return para()
+        if kind == 3:
+            return ["ul", {}, [["li", {}, [["a", {"href": "/"}, [words(2)]]]] for _ in range(rng.randrange(1, 6))]]
+        if kind == 4:
+            return [rng.choice(["h1", "h2", "h3"]), {}, [words(4)]]
+        if kind == 5:
+            return [rng.choice(["nav", "aside", "script", "form"]), {}, [words(5) if rng.random() < 0.5 else para()]]
+        tag, attributes = rng.choice([("div", {}), ("section", {}), ("div", {"class": "ad"}), ("article", {}), ("div", {"id": "left-sidebar"})])
+        return [tag, attributes, [block(depth - 1) for _ in range(rng.randrange(1, 5))]]
+
+    return ["html", {}, [["head", {}, [["title", {}, [words(3)]]]], ["body", {}, [block(3) for _ in range(rng.randrange(1, 6))]]]]
+
+
+def markup(node):
+    if isinstance(node, str):
+        return node.replace("&", "&amp;")
+    tag, attributes, children = node
+    return f"<{tag}{''.join(f' {k}={chr(34)}{v}{chr(34)}' for k, v in attributes.items())}>{''.join(map(markup, children))}</{tag}>"
+
+
+def brute_text(page):
+    """The definition, by recursion over a tree whose elements set aside are taken out."""
+    import math
+
+    tree = H.Tree()
+    tree.feed(markup(page))
+    tree.close()
+    H.settle(tree)  # what is set aside has tests of its own
+
+    def copy(n):
+        return [n.tag, [c if isinstance(c, str) else copy(c) for c in n.children if isinstance(c, str) or not c.aside]]
+
+    root = copy(tree.root)
+    inline = lambda n: n[0] in H.INLINE
+
+    def counts(n):
+        c, t, lc, lt = sum(len(" ".join(x.split())) for x in n[1] if isinstance(x, str)), 0, 0, 0
+        for x in n[1]:
+            if not isinstance(x, str):
+                a, b, d, e = counts(x)
+                c, t, lc, lt = c + a, t + b + 1, lc + d, lt + e
+        return (c, t, c, t + 1) if n[0] == "a" else (c, t, lc, lt)
+
+    c, _, lc, _ = counts(root)
+    share = lc / max(c, 1)
+
+    def dense(n):
+        c, t, lc, lt = counts(n)
+        if not c:
+            return 0.0
+        t = max(t, 1)
+        base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
+        return c / t * max(math.log(c / max(lc, 1) * t / max(lt, 1)), 0.0) / max(math.log(base + math.e - 1), 1.0)
+
+    def nodes(n, path=()):
+        yield n, path
+        for x in n[1]:
+            if not isinstance(x, str):
+                yield from nodes(x, (*path, n))
+
+    every = [(n, p) for n, p in nodes(root) if not inline(n) and not any(map(inline, p))]
+    children = lambda n: [x for x in n[1] if not isinstance(x, str) and not inline(x)]
+    top, path = max(every, key=lambda x: dense(x[0]))
+    threshold = min([dense(top), *[d for n in path if (d := dense(n)) > 0]])
+    best, path = max((x for x in every if dense(x[0]) >= threshold), key=lambda x: sum(map(dense, children(x[0]))))
+    chain, at = [*path, best], len(path)
+    for k in range(len(chain) - 1, 0, -1):
+        if chain[k][0] in ("article", "main"):
+            break
+        if any(x is not chain[k] and counts(x)[0] and dense(x) >= threshold for x in children(chain[k - 1]) if x[0] not in ("h1", "h2", "h3", "h4", "h5", "h6")):
+            at = k - 1
+    best, chain = chain[at], chain[: at + 1]
+    head = []
+    if not any(n[0] in ("h1", "h2") for n, _ in nodes(best)):
+        for k in range(len(chain) - 1, 0, -1):
+            beside = children(chain[k - 1])
+            before = [x for x in beside[: [x is chain[k] for x in beside].index(True)] if x[0] in ("h1", "h2")]
+            if before:
+                head = [before[-1]]
+                break
+    texts = []
+
+    def write(n):
+        run = []
+        for x in n[1]:
+            if isinstance(x, str):
+                run.append(x)
+            elif inline(x):
+                run.append(flat(x))
+            else:
+                texts.append("".join(run))
+                run = []
+                write(x)
+        texts.append("".join(run))
+
+    def flat(n):
+        return "".join(x if isinstance(x, str) else flat(x) for x in n[1])
+
+    for n in [*head, best]:
+        write(n)
+    return " ".join(" ".join(x.split()) for x in texts if x.split())
+
+
+def test_random_pages_match_the_definition():
+    import random
+
+    rng = random.Random(71)
+    for _ in range(400):
+        page = random_page(rng)
+        assert H.extract(markup(page)) == brute_text(page), markup(page)
+
+
+def test_sections_and_headings_belong_together():
+    p = "<p>" + "some words of a long paragraph of the text, " * 4 + "</p>"
+    page = f"<body><div class=top><a href=/>home</a></div><div><h1>The title</h1><div><section>{p * 6}</section><section>{p * 2}</section></div></div></body>"
+    assert H.extract(page).startswith("The title some words") and H.extract(page).count("some words") == 4 * 8

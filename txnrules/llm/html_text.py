@@ -9,10 +9,11 @@ aside, whatever its tag or name (`settle`).
 
 For every other node, with c characters, t tags, lc characters and lt tags in links in its subtree, the composite text density is
 characters per tag times the logarithm of (c / lc) * (t / lt), to a base that grows with the links' part of the text (`density`).
-A node's score is the sum of its children's densities. The threshold is the least density on the path from the body to the
-densest node; the main part is the node of the highest score among those at or above the threshold. Where the page marks an article around
-it, that is taken; else its nearest ancestor that has a heading as a child. Within it, blocks of text are joined in page order by one
-space, white space inside a block is one space.
+A node's score is the sum of the densities of its children, where formatting inside a block is part of the block's own text. The threshold is the
+least density on the path from the body to the densest node. The node of the highest score among those at or above the threshold is chosen; it
+grows to an ancestor that has further children at or above the threshold (sections of one text), but not beyond an `article` or `main`. If it has no
+heading, the last one before it among its siblings and its ancestors' siblings belongs to it. Ties go to the node that begins first.
+Blocks of text are joined in page order by one space, white space inside a block is one space.
 
 Nulls: null or empty html gives an empty text. Pages without markup are one block. Deep nesting is handled without recursion; very long
 pages are read whole. Repeated rows are extracted each; null ids and urls stay. Other columns are not read. An empty table gives an empty result.
@@ -54,6 +55,7 @@ NOT_ARTICLE_NAME = re.compile(rf"(?:(?:{PLACES})[_-]+)*(?:{NAMES})(?:[_-]+(?:{NA
 READERS_NAME = re.compile(rf"(?:^|[\s_-])(?:{READERS})(?:$|[\s_-])", re.IGNORECASE)
 IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 NEVER, BY_TAG, BY_NAME, OF_READERS = 1, 2, 3, 4  # why an element is set aside
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SPACES = re.compile(r"\s+")
 
 
@@ -217,7 +219,7 @@ def measure(tree: Tree) -> None:
     share = body.link_chars / max(body.chars, 1)
     for n in live:
         n.density = density(n.chars, n.tags, n.link_chars, n.link_tags, share)
-        if n.parent:
+        if n.parent and n.tag not in INLINE:
             n.parent.score += n.density
 
 
@@ -231,7 +233,8 @@ def density(c: int, t: int, lc: int, lt: int, body_share: float) -> float:
     return c / t * max(math.log(c / max(lc, 1) * t / max(lt, 1)), 0.0) / max(math.log(base + math.e - 1), 1.0)
 
 
-def main_part(tree: Tree) -> Node:
+def main_part(tree: Tree) -> list[Node]:
+    """The chosen node, after its heading if that is outside."""
     live = [n for n in tree.order if not n.aside and n.tag not in INLINE]
     densest = max(live, key=lambda n: n.density)
     threshold, node = densest.density, densest
@@ -239,16 +242,35 @@ def main_part(tree: Tree) -> Node:
         if node.density > 0:
             threshold = min(threshold, node.density)
         node = node.parent
-    best = max((n for n in live if n.density >= threshold), key=lambda n: n.score, default=tree.root)
-    # The article, where the page marks one around the best node; else up to where its heading is.
-    node, heading = best, None
-    while node:
-        if node.tag in ("article", "main"):
-            return node
-        if heading is None and any(isinstance(x, Node) and not x.aside and x.tag in ("h1", "h2") for x in node.children):
-            heading = node
+    best = node = max((n for n in live if n.density >= threshold), key=lambda n: n.score, default=tree.root)
+    while node.parent and node.tag not in ("article", "main"):
+        if any(x is not node and x.chars and x.density >= threshold for x in parts_of(node.parent) if x.tag not in HEADINGS):
+            best = node.parent
+        node = node.parent
+    return [*heading_before(best), best]
+
+
+def parts_of(node: Node) -> list[Node]:
+    """Its child blocks that are not set aside."""
+    return [x for x in node.children if isinstance(x, Node) and not x.aside and x.tag not in INLINE]
+
+
+def heading_before(best: Node) -> list[Node]:
+    """The nearest first- or second-level heading before a node that has none."""
+    stack = [best]
+    while stack:
+        n = stack.pop()
+        if n.tag in ("h1", "h2"):
+            return []
+        stack.extend(parts_of(n))
+    node = best
+    while node.parent:
+        beside = parts_of(node.parent)
+        for x in reversed(beside[: beside.index(node)] if node in beside else []):
+            if x.tag in ("h1", "h2"):
+                return [x]
         node = node.parent
-    return heading or best
+    return []
 
 
 def blocks(part: Node) -> list[str]:
@@ -289,7 +311,7 @@ def extract(html: str | None) -> str:
     tree.close()
     settle(tree)
     measure(tree)
-    return " ".join(blocks(main_part(tree)))
+    return " ".join(text for part in main_part(tree) for text in blocks(part))
 
 
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
