@@ -48,7 +48,7 @@ def test_every_row_gets_a_score(spark, learnt):
 def test_word_vectors_match_brute_force(spark):
     texts = ["the cat sat, on", "the cat!", None, ""]
     columns, signs = Q.index_vectors()
-    want = np.zeros((Q.SLOTS, Q.DIM))
+    want = np.zeros((1 << Q.SLOT_BITS, Q.DIM))
     for t in texts:
         slots, _ = Q.tokens([(t or "").encode()])
         for i, a in enumerate(slots):
@@ -69,4 +69,4 @@ def test_tokens():
 def test_no_labels_of_both_kinds():
     assert Q.Network(np.zeros((0, 64)), np.zeros(0), np.zeros(0, bool)).score(np.zeros((2, 64))).tolist() == [0.5, 0.5]
     assert Q.Network(np.zeros((3, 64)), np.ones(3), np.zeros(3, bool)).score(np.zeros((1, 64))).tolist() == [1.0]
-    assert Q.pooled(pa.array([None, ""]), np.ones((Q.SLOTS, Q.DIM), np.float32)).sum() == 0
+    assert Q.pooled(pa.array([None, ""]), np.ones((1 << Q.SLOT_BITS, Q.DIM), np.float32)).sum() == 0

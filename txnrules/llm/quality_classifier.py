@@ -1,17 +1,18 @@
 """Document quality from random-indexing word vectors and a two-layer numpy network.
 
-Tokens are runs of letters, digits and non-ASCII characters, and runs of other marks; case is kept. A token's hash names one of SLOTS word slots; each slot
+Tokens are runs of letters, digits and non-ASCII characters, and runs of other marks; case is kept. A token's hash names one of 2**SLOT_BITS word slots, so that the table has
+one size whatever the vocabulary, and rare words share slots (README: held-out figures by SLOT_BITS); each slot
 has a fixed sparse index vector of NONZERO entries +1 or -1 in DIM dimensions. A slot's word vector is the sum, over all its
 occurrences in all documents, of the index vectors of the tokens up to REACH places away. Every document adds to these sums:
-each task adds up its own SLOTS x DIM table and Spark sums the tables by slot, so what moves and what is broadcast have
-a fixed size (SLOTS x DIM numbers) whatever the corpus. A document's vector is the mean and the spread of
+each task adds up its own table and Spark sums the tables by slot, so what moves and what is broadcast have
+a fixed size whatever the corpus. A document's vector is the mean and the spread of
 its tokens' scaled word vectors. A network of one tanh layer and one output, trained with numpy on
 at most TRAIN_ROWS labelled documents (those with the smallest hashes of their ids), gives a logit that a temperature, fitted on
 a fifth of those rows kept apart, turns into a probability.
 
 Nulls: a null text is an empty one; an empty text has a zero vector and a score like any other. Labels with a null id or null
 quality teach nothing. Repeated rows are scored each; repeated labels count as often as they occur. Very long texts are read
-whole. Other columns are not read. Without labels of both kinds every score is the labels' mean, or 0.5. An empty table gives
+whole. Ties in the order of labelled rows go by their ids. Other columns are not read. Without labels of both kinds every score is the labels' mean, or 0.5. An empty table gives
 an empty result.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from txnrules.llm.runtime import table
 
-SLOTS, DIM, NONZERO, REACH = 1 << 14, 32, 4, 2
+SLOT_BITS, DIM, NONZERO, REACH = 16, 32, 4, 2
 TRAIN_ROWS = 20_000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 60, 256, 0.01, 1e-5
 BYTES_AT_ONCE = 1_000_000
@@ -47,14 +48,14 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     h = np.add.reduceat(inside, start)
     h ^= h >> np.uint64(31)
     doc = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), start, "right")
-    return ((h * SPREAD) >> np.uint64(50)).astype(np.int64), doc
+    return ((h * SPREAD) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), doc
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     """Columns and signs of the nonzero entries of every slot's index vector."""
     rng = np.random.default_rng(20)
-    columns = np.argsort(rng.random((SLOTS, DIM)), axis=1)[:, :NONZERO]
-    signs = np.tile(np.array([1, -1] * (NONZERO // 2)), (SLOTS, 1))
+    columns = np.argsort(rng.random((1 << SLOT_BITS, DIM)), axis=1)[:, :NONZERO]
+    signs = np.tile(np.array([1, -1] * (NONZERO // 2)), (1 << SLOT_BITS, 1))
     return columns, signs
 
 
@@ -72,27 +73,30 @@ def batches_of(texts: pa.Array):
 
 
 def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """SLOTS x DIM, summed over all documents; each row scaled to length 1, rows never seen are 0."""
+    """A row of DIM per slot, summed over all documents; each row scaled to length 1, rows never seen are 0."""
 
     def run(batches):
-        columns, signs = index_vectors()
-        total = np.zeros(SLOTS * DIM)
+        all_columns, all_signs = index_vectors()
+        rows = np.zeros((1 << SLOT_BITS, DIM))
         for batch in batches:
             for _, texts in batches_of(batch.column(0)):
                 slot, doc = tokens(texts)
+                used, slot = np.unique(slot, return_inverse=True)
+                columns, signs = all_columns[used], all_signs[used]
+                sums = np.zeros(len(used) * DIM)
                 for d in range(1, REACH + 1):
                     both = doc[:-d] == doc[d:]
                     a, b = slot[:-d][both], slot[d:][both]
                     for here, there in ((a, b), (b, a)):
                         for k in range(NONZERO):
-                            total += np.bincount(here * DIM + columns[there, k], signs[there, k], SLOTS * DIM)
-        rows = total.reshape(SLOTS, DIM)
+                            sums += np.bincount(here * DIM + columns[there, k], signs[there, k], len(sums))
+                rows[used] += sums.reshape(-1, DIM)
         some = np.flatnonzero(np.abs(rows).sum(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(rows[some, k].astype(np.int64)) for k in range(DIM)]], ["slot", *[f"v{k}" for k in range(DIM)]])
 
     schema = "slot long, " + ", ".join(f"v{k} long" for k in range(DIM))
     summed = docs.select(text).mapInArrow(run, schema).groupBy("slot").agg(*[F.sum(f"v{k}").alias(f"v{k}") for k in range(DIM)]).toArrow()
-    out = np.zeros((SLOTS, DIM))
+    out = np.zeros((1 << SLOT_BITS, DIM))
     out[summed["slot"].to_numpy()] = np.array([summed[f"v{k}"].to_numpy() for k in range(DIM)]).T
     return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
@@ -171,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, key: str = "d
             yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("y"), lists], ["h", "y", "x"])
 
     of = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(sample), "id").select("text", "h", "y")
-    got = of.mapInArrow(run, "h long, y double, x array<float>").toArrow().sort_by("h")
+    got = of.mapInArrow(run, "h long, y double, x array<float>").orderBy("h", "y").limit(rows).toArrow()  # repeated ids count within the bound
     x = got["x"].combine_chunks().flatten().to_numpy().astype(float).reshape(len(got), 2 * DIM)
     return Network(x, got["y"].to_numpy(), (got["h"].to_numpy() // 7) % 5 == 0)
 
