@@ -2,17 +2,18 @@
 
 Words are runs of ASCII letters (lower-cased), digits and all non-ASCII characters. A benchmark item's windows are its runs
 of N consecutive words; an item of fewer words, but not none, is one window. The windows' hashes go into sorted
-arrays, one per window length; every document's word numbers are hashed over the same lengths with a rolling sum,
-hits in the arrays are verified word by word, and the words inside verified windows are hit.
+arrays, one per window length; every document's words are hashed over the same lengths with a rolling sum,
+hits in the arrays are verified byte by byte, and the words inside verified windows are hit.
 
-The hash set is broadcast, with the size checked: an index holds at most MAX_WINDOWS windows. A larger benchmark is cut
-into several such indexes by item (all of it is used, nothing is capped); documents are then scanned once for each, one index
-in memory at a time, and each scan adds to the findings of the one before. Scanning needs no shuffle; a task holds a few hundred thousand words at a time. A lost
+The hash set is a file of flat arrays that executors map into memory, with the size checked: of at most about MAX_WINDOWS windows, each
+20 bytes and its share of the items' text. Items are cut into pieces of PIECE windows on the executors, and a larger benchmark is dealt by piece
+into several such indexes (all of it is used, nothing is capped); documents are then scanned once for each, one index
+at a time, and each scan adds to the findings of the one before. Scanning needs no shuffle; a task holds the words of about BYTES_AT_ONCE at a time. A lost
 executor's tasks simply run again.
 
 Nulls: a null text, in either table, has no words; null ids are kept for documents, and a null item id counts as the item
-'null'. Repeated items with one id count as one item. Repeated documents are scanned each. Very long texts are scanned whole.
-Other columns are not read. Empty tables: no documents give an empty result, no items give documents without hits.
+'null'. Repeated items with one id count as one item, and an item is told once however often it occurs; ties have no part in this. Repeated documents are scanned each. Very
+long texts are scanned whole. Other columns are not read. Empty tables: no documents give an empty result, no items give documents without hits.
 """
 
 from __future__ import annotations
@@ -25,121 +26,157 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from txnrules.llm import shingles as S
+from txnrules.llm.mapped import Writer, opened
 from txnrules.llm.runtime import cut, table
 
 N = 10
-MAX_WINDOWS = 2_000_000  # in one index: about 16 bytes of hash and 100 of words each
-WORDS_AT_ONCE = 400_000
+MAX_WINDOWS, PIECE = 4_000_000, 10_000
+BYTES_AT_ONCE = 1_000_000
 FOUND = "n_words long, spans array<struct<start:int,end:int>>, items array<string>"
 WORD_BYTES = re.compile(rb"[0-9a-z\x80-\xff]+")
-LOWER_OR_SPACE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-BASE = np.uint64(0x9E3779B97F4A7C15)
-
-
-def words_of(text: str | bytes | None) -> list[bytes]:
-    """Normalised words, as UTF-8."""
-    if not text:
-        return []
-    return (text.encode() if isinstance(text, str) else text).translate(LOWER_OR_SPACE).split()
-
-
-class WindowIndex:
-    """Hash set of windows: word numbers, sorted hashes per length, and the items of each window."""
-
-    def __init__(self, items: list[tuple[str, str | None]], n: int = N):
-        self.number: dict[bytes, int] = {}
-        self.items: dict[tuple[int, ...], list[str]] = {}
-        for item, text in items:
-            ids = [self.number.setdefault(w, len(self.number) + 1) for w in words_of(text)]
-            size = min(n, len(ids))
-            for at in range(len(ids) - size + 1 if size else 0):
-                window = tuple(ids[at : at + size])
-                of = self.items.setdefault(window, [])
-                if not of or of[-1] != item:
-                    of.append(item)
-        self.hashes = {}
-        for size in {len(w) for w in self.items}:
-            rows = np.array([w for w in self.items if len(w) == size], np.uint64)
-            self.hashes[size] = np.unique(rolled(rows.ravel(), size)[::size])
-
-    def find(self, ids: np.ndarray) -> list[tuple[int, int, list[str]]]:
-        """(position, length, items) of every verified window in a run of word numbers; 0 is a word of no item."""
-        found = []
-        known = ids > 0
-        for size, hashes in self.hashes.items():
-            if len(ids) < size:
-                continue
-            run = np.convolve(known, np.ones(size, np.int8), "valid") == size if size > 1 else known
-            at = np.flatnonzero(run)
-            if not len(at):
-                continue
-            mine = rolled(ids.astype(np.uint64), size)[at]
-            place = np.searchsorted(hashes, mine)
-            hit = at[hashes[np.minimum(place, len(hashes) - 1)] == mine]
-            for p in hit.tolist():
-                if items := self.items.get(tuple(ids[p : p + size].tolist())):
-                    found.append((p, size, items))
-        return found
-
-
-def rolled(ids: np.ndarray, size: int) -> np.ndarray:
-    """Hash of the window of `size` word numbers that starts at each position."""
-    mixed = (ids * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (ids >> np.uint64(7))
-    total = np.zeros(len(ids) - size + 1, np.uint64)
-    for k in range(size):
-        total *= BASE
-        total += mixed[k : k + len(total)]
-    return total
-
-
-def indexes(spark: SparkSession, benchmark: DataFrame, key: str = "item_id", text: str = "text", n: int = N, max_windows: int = MAX_WINDOWS) -> list[WindowIndex]:
-    """Indexes over all items, each within max_windows. Items come to the driver one index at a time."""
-    sized = benchmark.select(F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("item"), F.col(text).alias("text"))
-    total = sized.select(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) / 2 + 1)).first()[0] or 0  # no more windows than that
+
+
+class Words:
+    """Words of several normalised texts (words joined by one space): hashes, where they begin and end in the joined bytes, and each text's first."""
+
+    def __init__(self, texts: list[bytes]):
+        self.bytes = b"\n".join(texts) + b"\n"
+        self.hashes, self.begin, text = S.word_hashes(self.bytes, [len(t) + 1 for t in texts])
+        self.many = np.bincount(text, minlength=len(texts))
+        self.first = np.cumsum(self.many) - self.many
+        self.text = text
+        b = np.frombuffer(self.bytes, np.uint8)
+        self.end = np.flatnonzero(((b == 32) | (b == 10)) & np.concatenate([[False], (b[:-1] != 32) & (b[:-1] != 10)]))
+
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """First word and hash of every window of `size` words inside a text."""
+        if len(self.hashes) < size:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        at = np.flatnonzero(self.text[: len(self.text) - size + 1] == self.text[size - 1 :])
+        total = np.zeros(len(self.hashes) - size + 1, np.uint64)
+        for k in range(size):
+            total = total * np.uint64(0x9E3779B97F4A7C15) + self.hashes[k : k + len(total)]
+        return at, S.mixed(total[at])
+
+
+def pieces_of(benchmark: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """Written table (item, size, words, windows): parts of items with their window length, normalised text and number of windows."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for item, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = S.normal_words(t).split()
+                size = min(n, len(words))
+                for at in range(0, len(words) - size + 1 if size else 0, PIECE):
+                    part = words[at : at + PIECE + size - 1]
+                    rows.append((item, size, b" ".join(part), len(part) - size + 1))
+            columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
+            types = (pa.string(), pa.int32(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["item", "size", "words", "windows"])
+
+    named = benchmark.select(F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("item"), F.col(text).alias("text"))
+    return cut(named.mapInArrow(run, "item string, size int, words binary, windows long"))
+
+
+def write_index(spark: SparkSession, pieces: pa.Table) -> str:
+    """Ships an index of the pieces; its name on every executor."""
+    writer = Writer("windows")
+    words = Words(pieces["words"].to_pylist())
+    sizes = pieces["size"].to_numpy()
+    writer.add("text", np.frombuffer(words.bytes, np.uint8))
+    names = [x.encode() for x in pieces["item"].to_pylist()]
+    writer.add("names", np.frombuffer(b"".join(names), np.uint8))
+    writer.add("name_at", np.cumsum([0, *map(len, names)]))
+    for size in sorted(set(sizes.tolist())):
+        at, h = words.windows(size)
+        mine = sizes[words.text[at]] == size
+        at, h = at[mine], h[mine]
+        order = np.argsort(h, kind="stable")
+        writer.add(f"hash/{size}", h[order])
+        writer.add(f"begin/{size}", words.begin[at[order]])
+        writer.add(f"piece/{size}", words.text[at[order]].astype(np.int32))
+    return writer.ship(spark)
+
+
+class Index:
+    """An opened index. `find` gives (text, first word, length, items) of every verified window."""
+
+    def __init__(self, name: str):
+        self.arrays = opened(name)
+        self.sizes = sorted(int(x.split("/")[1]) for x in self.arrays if x.startswith("hash/"))
+        self.maps = {}
+        for size in self.sizes:  # a bitmap of the hashes' first bits spares most searches
+            bits = max(10, int(16 * len(self.arrays[f"hash/{size}"])).bit_length())
+            marks = np.zeros(1 << bits, bool)
+            marks[self.arrays[f"hash/{size}"] >> np.uint64(64 - bits)] = True
+            self.maps[size] = np.uint64(64 - bits), marks
+
+    def find(self, words: Words):
+        for size in self.sizes:
+            at, h = words.windows(size)
+            shift, marks = self.maps[size]
+            some = np.flatnonzero(marks[h >> shift])
+            at, h = at[some], h[some]
+            hashes, begins, pieces = (self.arrays[f"{x}/{size}"] for x in ("hash", "begin", "piece"))
+            lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+            for k in np.flatnonzero(lo < hi).tolist():
+                word = int(at[k])
+                window = words.bytes[int(words.begin[word]) : int(words.end[word + size - 1])]
+                items = {self._name(int(pieces[x])) for x in range(int(lo[k]), int(hi[k])) if self._equals(int(begins[x]), window)}
+                if items:
+                    text = int(words.text[word])
+                    yield text, word - int(words.first[text]), size, items
+
+    def _equals(self, begin: int, window: bytes) -> bool:
+        text = self.arrays["text"]
+        end = begin + len(window)
+        return end < len(text) and text[begin:end].tobytes() == window and int(text[end]) in (32, 10)
+
+    def _name(self, piece: int) -> str:
+        at = self.arrays["name_at"]
+        return self.arrays["names"][at[piece] : at[piece + 1]].tobytes().decode()
+
+
+def indexes(spark: SparkSession, benchmark: DataFrame, key: str = "item_id", text: str = "text", n: int = N, max_windows: int = MAX_WINDOWS) -> list[str]:
+    """Shipped indexes over all items. Pieces come to the driver one index at a time."""
+    pieces = pieces_of(benchmark, key, text, n)
+    total = pieces.agg(F.sum("windows")).first()[0] or 0
     blocks = int(total // max_windows) + 1
-    block = F.pmod(F.xxhash64("item"), F.lit(blocks)) if blocks > 1 else F.lit(0)
-    dealt = sized.withColumn("block", block)
-    return [WindowIndex([(r.item, r.text) for r in dealt.filter(F.col("block") == k).orderBy("item").collect()], n) for k in range(blocks)]
+    block = F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) if blocks > 1 else F.lit(0)
+    return [write_index(spark, pieces.filter(block == k).orderBy("item", "words").toArrow()) for k in range(blocks)]
 
 
-def _scan(docs: DataFrame, index: WindowIndex, last: bool) -> DataFrame:
+def _scan(docs: DataFrame, name: str, last: bool) -> DataFrame:
     """docs has key, text, row, spans and items; the index's findings are added to the last two."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)
     names = ["key", "row", "n_words", "spans", "items"] + ["text"] * (not last)
     carried = docs.schema["row"].dataType.simpleString()
 
     def run(batches):
-        index = shared.value
+        index = Index(name)
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            texts = [S.normal_words(t) for t in batch.column("text").to_pylist()]
             at = 0
             while at < len(texts):
-                start, lists, total = at, [], 0
-                while at < len(texts) and (total < WORDS_AT_ONCE or at == start):
-                    words = words_of(texts[at])
-                    lists.append(list(map(index.number.get, words, [0] * len(words))))
-                    total += len(words) + 1
+                start, total = at, 0
+                while at < len(texts) and (total < BYTES_AT_ONCE or at == start):
+                    total += len(texts[at])
                     at += 1
-                yield rows(index, batch.slice(start, at - start), lists)
-
-    def rows(index, part, lists):
-        flat = []
-        for x in lists:
-            flat += x
-            flat.append(0)  # no window crosses documents
-        ends = np.cumsum([len(x) + 1 for x in lists])
+                yield rows(index, batch.slice(start, at - start), texts[start:at])
+
+    def rows(index, part, texts):
+        words = Words(texts)
         spans = [[(s["start"], s["end"]) for s in x] for x in part.column("spans").to_pylist()]
         items = [set(x) for x in part.column("items").to_pylist()]
-        for p, size, of in index.find(np.array(flat, np.int64)):
-            d = int(np.searchsorted(ends, p, "right"))
-            q = p - (int(ends[d - 1]) if d else 0)
-            spans[d].append((q, q + size))
-            items[d].update(of)
+        for text, word, size, of in index.find(words):
+            spans[text].append((word, word + size))
+            items[text].update(of)
         merged = [[{"start": a, "end": b} for a, b in merge(x)] for x in spans]
         made = {
             "key": part.column("key"),
             "row": part.column("row"),
-            "n_words": pa.array([len(x) for x in lists], pa.int64()),
+            "n_words": pa.array(words.many, pa.int64()),
             "spans": pa.array(merged, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
             "items": pa.array([sorted(x) for x in items], pa.list_(pa.string())),
             "text": part.column("text"),
@@ -198,7 +235,7 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **h
 
 
 def cut_spans(text: str, spans) -> str:
-    at = [m.span() for m in WORD_BYTES.finditer(text.encode().translate(LOWER_OR_SPACE))]
+    at = [m.span() for m in WORD_BYTES.finditer(text.encode().translate(S.LOWER_OR_SPACE))]
     whole, out, last = text.encode(), [], 0
     for s in spans:
         out.append(whole[last : at[s["start"]][0]])

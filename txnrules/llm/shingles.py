@@ -44,21 +44,27 @@ def runs(texts: list[bytes]):
         yield start, len(texts)
 
 
+def word_hashes(joined: bytes, sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and first byte of every word, and its text, of texts of these sizes joined; blanks and line ends part words."""
+    b = np.frombuffer(joined, np.uint8)
+    space = (b == 32) | (b == 10)
+    inside = ~space
+    start = np.flatnonzero(inside & np.concatenate([[True], space[:-1]]))
+    if not len(start):
+        return np.zeros(0, np.uint64), start, start
+    place = np.arange(len(b)) - np.repeat(np.concatenate([[0], start]), np.diff(np.concatenate([[0], start, [len(b)]])))
+    word = mixed(np.add.reduceat(np.where(inside, (b.astype(np.uint64) + np.uint64(1)) * _PLACE[place & 255], np.uint64(0)), start))
+    return word, start, np.searchsorted(np.cumsum(sizes), start, "right")
+
+
 def word_shingles(texts: list[bytes], n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the n-word shingles of texts from normal_words, one text after the other, and each text's number of them.
 
     A text of fewer words, but not none, is one shingle.
     """
-    b = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    space = (b == 32) | (b == 10)
-    inside = ~space
-    start = np.flatnonzero(inside & np.concatenate([[True], space[:-1]]))
-    ends = np.cumsum([len(t) + 1 for t in texts])
+    word, start, doc = word_hashes(b"\n".join(texts) + b"\n", [len(t) + 1 for t in texts])
     if not len(start):
         return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
-    place = np.arange(len(b)) - np.repeat(np.concatenate([[0], start]), np.diff(np.concatenate([[0], start, [len(b)]])))
-    word = mixed(np.add.reduceat(np.where(inside, (b.astype(np.uint64) + np.uint64(1)) * _PLACE[place & 255], np.uint64(0)), start))
-    doc = np.searchsorted(ends, start, "right")
     words = np.bincount(doc, minlength=len(texts))
     size = np.minimum(words, n)
     counts = words - size + (words > 0)
