@@ -18,10 +18,12 @@ result. The added token's string in a text becomes its id, as the tokenizers lib
 
 from __future__ import annotations
 
+import atexit
 import heapq
 import json
 import mmap
 import os
+import shutil
 import tempfile
 import uuid
 from array import array
@@ -345,7 +347,9 @@ def shrunk(counts: Counter, k: int) -> Counter:
 def ship(spark: SparkSession, words: list[str], vocabulary_path: str) -> str:
     """Compile the lexicon and hand the file to Spark; returns its name on every executor."""
     name = f"lexicon-{uuid.uuid4().hex}.bin"
-    path = os.path.join(tempfile.mkdtemp(prefix="spark-"), name)
+    folder = tempfile.mkdtemp(prefix="spark-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # executors fetch the file from the driver while it runs
+    path = os.path.join(folder, name)
     compile_lexicon(words, read_vocabulary(vocabulary_path), path)
     spark.sparkContext.addFile(path)
     return name
