@@ -25,6 +25,16 @@ def test_lookups(spark):
     assert {r.id: (r.n, r.items) for r in found.collect()} == {1: (2, "Book,Cable"), 2: (0, None), None: (0, None)}
 
 
+def test_joins_without_equality(spark):
+    t = spark.createDataFrame([(1, 5.0), (2, 10.0), (3, 99.5), (4, None)], "id int, amount double")
+    s = spark.createDataFrame([("a", 0.0, 10.0), ("b", 5.0, 100.0), ("c", 7.0, 7.0), ("d", None, 9.0)], "name string, low double, high double")
+    found = lookup.in_range(t, s, "amount", "low", "high", 8.0)
+    assert sorted((r.id, r.s_name) for r in found.collect()) == [(1, "a"), (1, "b"), (2, "b"), (3, "b")]
+    below = lookup.by_condition(t, s, "id", F.col("amount") < F.col("s_high"), {"n": F.count("*")})
+    assert "CartesianProduct" not in below._jdf.queryExecution().executedPlan().toString()
+    assert {r.id: r.n for r in below.collect()} == {1: 4, 2: 1, 3: 1, 4: None}
+
+
 def test_facets(spending):
     values = {(r.kind, r.value, r.parent): r.n for r in facets.facet_values(spending).collect()}
     assert values[("merchant", "Car", "")] == 2 and values[("tag", "monthly", "")] == 2 and values[("subcategory", "Unknown", "Unknown")] == 2 and values[("category", "Pay", "")] == 1

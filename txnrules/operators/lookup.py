@@ -58,9 +58,21 @@ def near_in_time(df: DataFrame, source: DataFrame, days: int, date: str = "date"
     return left.join(right, close).drop("_bucket", "_of")
 
 
-def by_condition(df: DataFrame, source: DataFrame, key: str, condition: Column, aggregates: dict[str, Column]) -> DataFrame:
-    """Any condition between df and source (columns of source with prefix s_); matches are aggregated by df's key. Give an equality or a
-    band with `near_in_time` where there is one: a bare inequality compares everything with the source, which Spark broadcasts only if it is small."""
+def in_range(df: DataFrame, source: DataFrame, value: str, low: str, high: str, width: float) -> DataFrame:
+    """Pairs where df's value is in [low, high) of a row of source (columns with the prefix s_), of any number of rows on both sides: ranges are put into
+    buckets of `width`, one row for each they touch, and joined by bucket. A width near the usual range keeps that small."""
+    bucket = lambda c: F.floor(c / width)
+    right = source.select(*[F.col(c).alias(f"s_{c}") for c in source.columns]).filter(F.col(f"s_{low}") < F.col(f"s_{high}"))
+    spread = right.withColumn("_of", F.explode(F.sequence(bucket(F.col(f"s_{low}")), bucket(F.col(f"s_{high}")))))
+    inside = (F.col(value) >= F.col(f"s_{low}")) & (F.col(value) < F.col(f"s_{high}"))
+    return df.withColumn("_bucket", bucket(F.col(value))).join(spread, (F.col("_bucket") == F.col("_of")) & inside).drop("_bucket", "_of")
+
+
+def by_condition(df: DataFrame, source: DataFrame, key: str, condition: Column, aggregates: dict[str, Column], broadcast_rows: int = 100_000) -> DataFrame:
+    """Any condition between df and source (columns of source with prefix s_); matches are aggregated by df's key. A source of at most broadcast_rows, which is
+    counted, is broadcast, so that a bare inequality is no cartesian product; a larger one needs an equality in the condition, or `near_in_time` or `in_range`."""
     right = source.select(*[F.col(c).alias(f"s_{c}") for c in source.columns])
+    if source.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        right = F.broadcast(right)
     found = df.join(right, condition).groupBy(key).agg(*[a.alias(n) for n, a in aggregates.items()])
     return df.join(found, key, "left")

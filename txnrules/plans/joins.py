@@ -76,6 +76,22 @@ def j09(spark, sf_dir):
     return lookup.by_condition(t, s, "txn_id", condition, {"n": F.count("*")}).select("txn_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+@register("j09_theta", f"{BOTH} SELECT txn_id, n FROM otxn JOIN (SELECT txn_id AS id, count(*) AS n FROM otxn JOIN nation ON otxn.amount < n_nationkey * 10000 AND location <> n_name GROUP BY 1) ON id = txn_id")
+def j09b(spark, sf_dir):
+    """A condition without any equality, on a small source."""
+    t = tables.otxn(spark, sf_dir)
+    found = lookup.by_condition(t, tables.table(spark, sf_dir, "nation"), "txn_id", (c("amount") < c("s_n_nationkey") * 10000) & (c("location") != c("s_n_name")), {"n": F.count("*")})
+    return found.filter("n IS NOT NULL").select("txn_id", "n")
+
+
+@register("j09_range", "WITH p AS (SELECT p_partkey, p_retailprice * 10 AS low, p_retailprice * 10 + p_size AS high FROM part) SELECT p_partkey, count(*) AS n FROM orders JOIN p ON o_totalprice / 10 >= low AND o_totalprice / 10 < high GROUP BY 1")
+def j09c(spark, sf_dir):
+    """Orders whose tenth is in the price range of a part."""
+    parts = tables.table(spark, sf_dir, "part").select("p_partkey", (c("p_retailprice") * 10).alias("low"), (c("p_retailprice") * 10 + c("p_size")).alias("high"))
+    orders = tables.table(spark, sf_dir, "orders").select((c("o_totalprice") / 10).alias("tenth"))
+    return lookup.in_range(orders, parts, "tenth", "low", "high", 50.0).groupBy(c("s_p_partkey").alias("p_partkey")).agg(F.count("*").alias("n"))
+
+
 @register("j10_two_sources", f"{BOTH}, j AS (SELECT orderkey, count(*) AS n, count(DISTINCT p_brand) AS brands FROM osrc JOIN part ON o2 = p_partkey WHERE amount > 1000 AND p_size > 10 GROUP BY 1) SELECT txn_id, coalesce(n, 0) AS n, coalesce(brands, 0) AS brands FROM otxn LEFT JOIN j ON txn_id = orderkey")
 def j10(spark, sf_dir):
     t, s = sides(spark, sf_dir)
