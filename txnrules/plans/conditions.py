@@ -25,14 +25,14 @@ def counted(name: str, condition, sql: str | None) -> None:
 
 
 c = F.col
-counted("p01_contains", lambda: X.contains("widget") & X.contains(c("location"), "an"), "contains(description, 'WIDGET') AND contains(upper(location), 'AN')")
+counted("p01_contains", lambda: X.contains("widget") & X.contains(c("location"), "tion_1"), "contains(description, 'WIDGET') AND contains(upper(location), 'TION_1')")
 counted("p02_regex", lambda: X.matches(r"^(red|cold)\s+\w+t\b"), r"regexp_matches(description, '^(RED|COLD)\s+\w+T\b')")
 counted("p02_regex_lookahead", lambda: X.matches(r"^red (?!widget)"), "starts_with(description, 'RED ') AND NOT starts_with(description, 'RED WIDGET')")
 counted("p03_normalized", lambda: X.normalized("cold-bolt"), r"contains(regexp_replace(description, '[\s\-''.*]+', '', 'g'), 'COLDBOLT')")
 counted("p04_anyof", lambda: X.anyof("widget", "anvil"), "contains(description, 'WIDGET') OR contains(description, 'ANVIL')")
-counted("p05_startswith", lambda: X.startswith("red") | X.startswith(c("location"), "ch"), "starts_with(description, 'RED') OR starts_with(upper(location), 'CH')")
+counted("p05_startswith", lambda: X.startswith("red") | X.startswith(c("location"), "nation_2"), "starts_with(description, 'RED') OR starts_with(upper(location), 'NATION_2')")
 counted("p07_exists", lambda: X.filled(c("field")["priority"]) & ~X.filled(c("field")["missing"]), "trim(priority) <> ''")
-counted("p08_equal_text", lambda: X.same(c("location"), "FRANCE") | (c("source") != "F"), "lower(location) = 'france' OR source <> 'F'")
+counted("p08_equal_text", lambda: X.same(c("location"), "nation_3") | (c("source") != "F"), "lower(location) = 'nation_3' OR source <> 'F'")
 counted("p09_compare", lambda: V.chain(F.lit(1000), F.abs("amount"), F.lit(5000)) | (c("amount") >= 90000), "(1000 < abs(amount) AND abs(amount) < 5000) OR amount >= 90000")
 counted("p10_in", lambda: X.within("bolt", c("description")) & ~c("source").isin("X") & X.has_tag(F.split(F.lower(c("field")["segment"]), " "), "MACHINERY"), "contains(description, 'BOLT') AND source NOT IN ('X') AND segment = 'MACHINERY'")
 counted("p11_date_text", lambda: (c("date") >= "1996-02-01") & (c("date") < "1997-01-01"), "date >= DATE '1996-02-01' AND date < DATE '1997-01-01'")
@@ -63,10 +63,10 @@ counted(
 counted("p21_all_modifiers", lambda: V.amount_condition(c("amount"), "<", 0) & V.date_condition(c("date"), month=7) & V.date_condition(F.lit(None).cast("date"), month=7).eqNullSafe(False), "amount < 0 AND month(date) = 7")
 
 
-@register("p17_txn_reference", f"WITH {TXN_SQL} SELECT source, count(*) AS n, round(sum(amount), 2) AS total FROM txn WHERE location = 'CHINA' AND amount > 0 GROUP BY source")
+@register("p17_txn_reference", f"WITH {TXN_SQL} SELECT source, count(*) AS n, round(sum(amount), 2) AS total FROM txn WHERE location = 'NATION_4' AND amount > 0 GROUP BY source")
 def p17(spark, sf_dir):
     """Columns by the name of their table."""
-    kept = tables.txn(spark, sf_dir).alias("txn").filter((F.col("txn.location") == "CHINA") & (F.col("txn.amount") > 0))
+    kept = tables.txn(spark, sf_dir).alias("txn").filter((F.col("txn.location") == "NATION_4") & (F.col("txn.amount") > 0))
     return kept.groupBy("source").agg(F.count("*").alias("n"), F.round(F.sum("amount"), 2).alias("total"))
 
 

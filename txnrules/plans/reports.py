@@ -24,10 +24,10 @@ def filtered(name: str, chosen: list[Facet], sql: str, texts: tuple[str, ...] =
     register(name, f"WITH {SPENDING_SQL} SELECT merchant, month, count(*) AS n, round(sum(amount), 2) AS total FROM sp WHERE {sql} GROUP BY ALL")(query)
 
 
-filtered("x01_facets", [Facet("category", "hardware"), Facet("category", "heavy"), Facet("location", "china"), Facet("tag", "large", True)], "category IN ('Hardware', 'Heavy') AND location = 'CHINA' AND NOT list_contains(tags, 'large')")
+filtered("x01_facets", [Facet("category", "hardware"), Facet("category", "heavy"), Facet("location", "nation_1"), Facet("tag", "large", True)], "category IN ('Hardware', 'Heavy') AND location = 'NATION_1' AND NOT list_contains(tags, 'large')")
 filtered("x02_facet_kinds", [Facet("merchant", "Bolt_Co"), Facet("subcategory", "COLD"), Facet("tag", "TOOLS")], "merchant = 'Bolt Co' AND subcategory = 'Cold' AND list_contains(tags, 'tools')")
 filtered("x03_month_range", [Facet("month", "1996-11..1997-02"), Facet("month", "1998-01")], "month BETWEEN '1996-11' AND '1997-02' OR month = '1998-01'")
-filtered("x04_text_search", [Facet("text", "anvil"), Facet("text", "france")], "contains(lower(description), 'anvil') OR contains(lower(location), 'france')", ("description", "location"))
+filtered("x04_text_search", [Facet("text", "anvil"), Facet("text", "nation_5")], "contains(lower(description), 'anvil') OR contains(lower(location), 'nation_5')", ("description", "location"))
 
 
 @register("x05_months_selected", f"WITH {SPENDING_SQL} SELECT count(DISTINCT month) AS n FROM sp WHERE month BETWEEN '1996-11' AND '1997-02' AND category = 'Heavy'")
@@ -56,10 +56,10 @@ def x07(spark, sf_dir):
     return tables.spending(spark, sf_dir).select("month").distinct().orderBy("month")
 
 
-@register("x08_merchant_filters", f"WITH {PLACED_SQL} SELECT DISTINCT merchant FROM pl WHERE view = 'large' AND category = 'Subscriptions' AND list_has_any(tags, ['large', 'red']) AND merchant IN (SELECT merchant FROM sp WHERE month = '1996-05' AND contains(lower(location), 'an'))")
+@register("x08_merchant_filters", f"WITH {PLACED_SQL} SELECT DISTINCT merchant FROM pl WHERE view = 'large' AND category = 'Subscriptions' AND list_has_any(tags, ['large', 'red']) AND merchant IN (SELECT merchant FROM sp WHERE month = '1996-05' AND contains(lower(location), 'tion_1'))")
 def x08(spark, sf_dir):
     p = placed(spark, sf_dir)
-    rows = tables.spending(spark, sf_dir).filter((c("month") == "1996-05") & F.contains(F.lower("location"), F.lit("an")))
+    rows = tables.spending(spark, sf_dir).filter((c("month") == "1996-05") & F.contains(F.lower("location"), F.lit("tion_1")))
     kept = p.filter((c("view") == "large") & (c("category") == "Subscriptions") & F.arrays_overlap("tags", F.array(F.lit("large"), F.lit("red"))))
     return kept.join(rows.select("merchant"), "merchant", "left_semi").select("merchant").distinct()
 
