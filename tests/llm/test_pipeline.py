@@ -50,7 +50,8 @@ def brute_lines(docs):
     at = [(i, k, x, line_dedup.normal(x.encode())) for i, t in docs if t is not None for k, x in enumerate(t.split("\n"))]
     sets = [{n.decode()[j : j + 7] for j in range(max(1, len(n.decode()) - 6))} if n else set() for *_, n in at]
     root = grouped(len(at), lambda a, b: bool(sets[a]) and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
-    return [(i, None if t is None else "\n".join(x for k, (j, _, x, _) in enumerate(at) if j == i and root[k] == k)) for i, t in docs]
+    cleaned = [(i, t, None if t is None else "\n".join(x for k, (j, _, x, _) in enumerate(at) if j == i and root[k] == k)) for i, t in docs]
+    return [(i, new) for i, old, new in cleaned if not words(old) or words(new)]
 
 
 def brute_near(docs):
