@@ -203,3 +203,37 @@ def test_sections_and_headings_belong_together():
     p = "<p>" + "some words of a long paragraph of the text, " * 4 + "</p>"
     page = f"<body><div class=top><a href=/>home</a></div><div><h1>The title</h1><div><section>{p * 6}</section><section>{p * 2}</section></div></div></body>"
     assert H.extract(page).startswith("The title some words") and H.extract(page).count("some words") == 4 * 8
+
+
+LONG = "<p>" + "some words of a long paragraph of the text, " * 4 + "</p>"
+BROKEN = ["<![foo[x]]>", "<![foo[x", "<![", "<![CDATA[a > b]]>", "<![if !IE]>", "<![endif]>", "<!foo bar>", "<!", "<!-", "<!-->", "<!DOCTYPE", "<!ELEMENT x (y)>", "<!ATTLIST", "<?xml x ?>", "<?", "</>", "</ x>", "<>", "< p>", "<p/", "<a href='x", "&#x;", "&#99999999;", "&", "<!--", "<![%x;[y]]>"]
+
+
+def test_broken_declarations_are_comments():
+    assert H.extract(f"<body><article>{LONG}<![foo[x]]><p>The end of it</p></article></body>").endswith("text, The end of it")
+    for mark in BROKEN:
+        assert H.extract(f"<body><article>{LONG}</article>{mark}").startswith("some words of a long paragraph"), mark
+
+
+def test_random_markup_never_fails():
+    import random
+
+    rng = random.Random(72)
+    parts = [*BROKEN, "<p>", "</p>", "<div class=ad>", "</div>", "<b>", "</i>", "<table>", "<tr>", "<td>", "</table>", "<head>", "<noscript>", "<script>", "</script>", "words ", "é", "\0", "<body>", "<svg>", "<li>", "<main>", "<textarea>"]
+    for _ in range(3000):
+        page = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 25)))
+        assert isinstance(H.extract(page), str), page
+
+
+def test_a_script_in_a_word_leaves_it_whole():
+    assert H.extract("<body><p>foo<script>x()</script>bar <b hidden>no</b>more</p></body>") == "foobar more"
+
+
+def test_deep_and_stray_tags_take_linear_time():
+    import time
+
+    n = 60_000
+    for page in ("<div>" * n + "words" + "</span>" * n, "<b><p>" + "<i>" * n + "words" + "</b>" * n, "<ul>" + "<div>" * n + "<li>words" * n, "words" + "<noscript>" * n + "<br>" * n):
+        began = time.time()
+        assert "words" in H.extract(page)
+        assert time.time() - began < 20

@@ -15,8 +15,8 @@ grows to an ancestor that has further children at or above the threshold (sectio
 heading, the last one before it among its siblings and its ancestors' siblings belongs to it. Ties go to the node that begins first.
 Blocks of text are joined in page order by one space, white space inside a block is one space.
 
-Nulls: null or empty html gives an empty text. Pages without markup are one block. Deep nesting is handled without recursion; very long
-pages are read whole. Repeated rows are extracted each; null ids and urls stay. Other columns are not read. An empty table gives an empty result.
+Nulls: null or empty html gives an empty text. Pages without markup are one block. Deep nesting is handled without recursion and in linear time; very long
+pages are read whole. Broken declarations are comments. Repeated rows are extracted each; null ids and urls stay. Other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,6 +36,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 NOT_TEXT = frozenset("script style noscript template svg math canvas object iframe audio video head title select textarea".split())
 NOT_ARTICLE = frozenset("nav footer aside form menu button dialog fieldset input".split())
+IN_LINES = frozenset("button input".split())
 ENDS_PARAGRAPH = frozenset(
     "address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
@@ -71,12 +72,42 @@ class Node:
 
 
 class Tree(HTMLParser):
-    """Builds the tree; `order` lists the nodes, parents first."""
+    """Builds the tree; `order` lists the nodes, parents first. `depths` has the depths of a tag's open elements, `blocks` those of all that are not inline,
+    so that no tag walks up the page; an element is left once."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", None, 0)
-        self.open, self.order = self.root, [self.root]
+        self.order, self.stack = [self.root], [self.root]
+        self.depths: dict[str, list[int]] = {}
+        self.blocks = [0]
+
+    @property
+    def open(self) -> Node:
+        return self.stack[-1]
+
+    def _enter(self, node: Node) -> None:
+        self.depths.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag not in INLINE:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def _leave(self, depth: int) -> None:
+        """Ends the open element at this depth, and all in it."""
+        while len(self.stack) > depth:
+            node = self.stack.pop()
+            self.depths[node.tag].pop()
+            if self.blocks[-1] == len(self.stack):
+                self.blocks.pop()
+
+    def _innermost(self, tags) -> int:
+        """Depth of the innermost open element of `tags`, 0 if there is none."""
+        return max((self.depths[t][-1] for t in tags if self.depths.get(t)), default=0)
+
+    def parse_marked_section(self, i, report=1):
+        """A marked section (CDATA, conditional, or an unknown one) is a comment up to the next >, as in browsers."""
+        end = self.rawdata.find(">", i + 3)
+        return end + 1 if end >= 0 else -1
 
     def handle_starttag(self, tag, attrs):
         if tag in ("html", "body") and any(n.tag == tag for n in self.order[:8]):
@@ -93,12 +124,12 @@ class Tree(HTMLParser):
         self.open.children.append(node)
         self.order.append(node)
         if tag not in VOID:
-            self.open = node
+            self._enter(node)
 
     def _why(self, tag, attrs):
         if tag in NOT_TEXT:
             return NEVER
-        if tag in NOT_ARTICLE or (tag == "header" and not self._within("article", "main")):
+        if tag in NOT_ARTICLE or (tag == "header" and not self._innermost(["article", "main"])):
             return BY_TAG
         if tag in ("html", "body", "article", "main"):
             return 0
@@ -112,39 +143,20 @@ class Tree(HTMLParser):
 
     def _end_head(self):
         """What may not stand in a head ends an open one."""
-        node = self.open
-        while node is not self.root and node.tag in ("head", "noscript"):
-            if node.tag == "head":
-                self.open = node.parent
-                return
-            node = node.parent
-
-    def _within(self, *tags):
-        node = self.open
-        while node:
-            if node.tag in tags:
-                return True
-            node = node.parent
-        return False
+        depth = self._innermost(["head"])
+        if depth and all(n.tag == "noscript" for n in self.stack[depth + 1 :]):
+            self._leave(depth)
 
     def _close(self, tags, stop):
         """End the innermost open element of `tags`, and all in it, unless an element of `stop` is open inside."""
-        node = self.open
-        while node is not self.root and node.tag not in tags:
-            if node.tag in stop:
-                return
-            node = node.parent
-        if node is not self.root:
-            self.open = node.parent
+        depth = self._innermost(tags)
+        if depth > self._innermost(stop):
+            self._leave(depth)
 
     def handle_endtag(self, tag):
-        node = self.open
-        while node is not self.root and node.tag != tag:
-            if tag in INLINE and node.tag not in INLINE:
-                return  # a stray end of formatting doesn't end blocks
-            node = node.parent
-        if node is not self.root:
-            self.open = node.parent
+        depth = self._innermost([tag])
+        if depth and not (tag in INLINE and self.blocks[-1] > depth):  # a stray end of formatting doesn't end blocks
+            self._leave(depth)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -291,7 +303,7 @@ def blocks(part: Node) -> list[str]:
                 stack.append(iter(x.children))
                 ends.append(block)
                 break
-            elif x.tag == "hr" or x.aside:
+            elif x.tag == "hr" or (x.aside and x.tag not in INLINE and x.tag not in NOT_TEXT and x.tag not in IN_LINES):  # a script in a word leaves it whole
                 out.append("".join(run))
                 run = []
         else:
@@ -307,8 +319,11 @@ def extract(html: str | None) -> str:
     if not html:
         return ""
     tree = Tree()
-    tree.feed(html)
-    tree.close()
+    try:
+        tree.feed(html)
+        tree.close()
+    except (AssertionError, ValueError, IndexError):  # the parser gave up on broken markup; what it has read so far counts, the rest is text
+        tree.handle_data(re.sub(r"<[^<>]*>", " ", tree.rawdata))
     settle(tree)
     measure(tree)
     return " ".join(text for part in main_part(tree) for text in blocks(part))
