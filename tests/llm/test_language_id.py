@@ -77,3 +77,19 @@ def test_foreign_text_is_rejected(spark):
     model = L.train(frame(spark, data(300)))
     _, _, rejected = model.predict(["θεωρία και πράξη του λόγου", data(3)[0][1]])
     assert rejected == [True, False]
+
+
+def test_empty_and_blank_languages_are_learnt(spark):
+    rows = [(i, t, {"aa": "", "bb": " ", "cc": "%=/"}[x]) for i, t, x in data(90)]
+    model = L.train(frame(spark, rows))
+    assert model.languages == ["", " ", "%=/"]
+    got = {r.key: r.lang_pred for r in L.identify(frame(spark, rows), model).collect()}
+    assert np.mean([got[i] == x for i, _, x in rows]) > 0.97
+
+
+def test_arrays_come_in_runs(spark, monkeypatch):
+    rows = frame(spark, data(60))
+    whole = L.train(rows)
+    monkeypatch.setattr(L, "RUN", 7)
+    parts = L.train(rows)
+    assert (whole.entropies(["thing ein eau"]) == parts.entropies(["thing ein eau"])).all() and whole.size == parts.size

@@ -4,15 +4,16 @@ Letters are lower-cased, everything else becomes one space, and texts start afte
 cover every training text but those kept apart for calibration: each task counts its own, Spark adds them up, and all lower orders follow from the
 table of distinct four-grams by grouping (continuation counts). Spark also works out the interpolated probability of every n-gram seen in a language, and for each
 context the weight of the next lower order, in joins by language and context. An n-gram is known by a 64-bit hash. The model is a file of
-sorted arrays of hashes with log-probabilities, a language after the other: it grows with the n-grams and languages of the corpus, the driver
-holds one language's arrays at a time, and the workers of a machine share the file memory-mapped.
+sorted arrays of hashes with log-probabilities, a language after the other. It grows with the n-grams and languages of the corpus (12 bytes an n-gram or context;
+`Model.size` tells): executors sort and pack the arrays, the driver writes them into the file a packed row at a time, and the workers of a machine share it
+memory-mapped. Nothing is pruned.
 
 A text gets, per language, its cross-entropy per character over the whole text; the lowest wins. The score is the winner's
 share of exp(-T * cross-entropy). T is fitted by likelihood on at most CALIBRATION training documents, from a tenth of them by
 hash; these are not counted. `rejected` says that the winner's cross-entropy is above that of every calibration text of
 its language, by more than their deviation.
 
-Nulls: a null text, or one without a letter, is `und` with score 0. Rows with a null language teach nothing; rows with a null id count as held
+Nulls: a null text, or one without a letter, is `und` with score 0. Rows with a null language teach nothing, an empty one is a language like others; rows with a null id count as held
 out in the query. Repeated rows count as often as they occur. Ties go to the first language by
 name. Very long texts are read whole. Other columns are not read. With nothing to learn from every
 text is `und`; an empty table gives an empty result.
@@ -20,6 +21,7 @@ text is `und`; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -32,6 +34,7 @@ from txnrules.llm.runtime import cut, table
 
 CALIBRATION, FOLDS = 3000, 10
 CHARS_AT_ONCE = 1_000_000
+RUN = 65_536  # values that are packed into a row
 PAD, SPACE = 1, 32
 PAD_TEXT = "\ue000" * 3
 BASE, SPREAD = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
@@ -211,6 +214,33 @@ def shares(e: np.ndarray, temperature: float) -> np.ndarray:
     return np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
 
 
+def _add_sorted(writer: Writer, values: DataFrame, languages: list[str]) -> None:
+    """Adds the arrays of all languages and parts. Executors sort the values by language, part and key and pack RUN of them into a row; the driver appends one
+    row after the other to the file and holds a few of them at a time, whatever their number."""
+    numbers = {x: k for k, x in enumerate(languages)}
+
+    def pack(batches):
+        for batch in batches:
+            number, part = np.array([numbers[x] for x in batch.column(0).to_pylist()]), np.array(batch.column(1).to_pylist())
+            keys, value = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            ends = np.flatnonzero((number[1:] != number[:-1]) | (part[1:] != part[:-1])) + 1
+            for a, b in zip([0, *ends], [*ends, len(keys)], strict=True):
+                for c in range(a, b, RUN):
+                    d = min(b, c + RUN)
+                    yield pa.RecordBatch.from_arrays([pa.array([f"{number[c]}/{part[c]}"]), pa.array([keys[c:d].tobytes()]), pa.array([value[c:d].tobytes()])], ["name", "keys", "values"])
+
+    flat = values.select("lang", "part", "key", F.col("value").cast("float").alias("value"))
+    packed = cut(flat.repartitionByRange("lang", "part", "key").sortWithinPartitions("lang", "part", "key").mapInArrow(pack, "name string, keys binary, values binary").withColumn("place", F.monotonically_increasing_id()))
+    for column, kind in (("keys", np.int64), ("values", np.float32)):
+        rows = packed.select("place", "name", column).orderBy("place").toLocalIterator()  # in order of language, part and key
+        for name, own in itertools.groupby(rows, key=lambda r: r["name"]):
+            writer.add_parts(f"{name}/{column[:-1]}", (np.frombuffer(r[column], kind) for r in own), kind)
+    for name in (f"{k}/{p}" for k in range(len(languages)) for p in ("f", *[f"{x}{order}" for order in (1, 2, 3, 4) for x in "gc"])):
+        if f"{name}/key" not in writer.head:
+            writer.add(f"{name}/key", np.zeros(0, np.int64))
+            writer.add(f"{name}/value", np.zeros(0, np.float32))
+
+
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", calibration: int = CALIBRATION) -> Model:
     """Learn from every row with a text and a language."""
     spark = docs.sparkSession
@@ -218,17 +248,12 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     fold = F.pmod("h", F.lit(FOLDS)) == 0
     last = known.filter(fold).select("h").orderBy("h").limit(calibration).agg(F.max("h")).first()[0]
     apart = fold & (F.col("h") <= (last if last is not None else -(2**63)))
-    values = cut(interpolated(cut(count_grams(known.filter(~apart)))), by="lang")
+    grams = cut(count_grams(known.filter(~apart)))
+    languages = sorted(r.lang for r in grams.select("lang").distinct().collect())
     writer = Writer("languages")
-    languages = sorted(r.lang for r in values.select("lang").distinct().collect())
-    for number, name in enumerate(languages):
-        rows = values.filter(F.col("lang") == name).select("part", "key", F.col("value").cast("float").alias("value")).toArrow()  # one language's n-grams
-        part, keys, value = rows["part"].to_numpy(), rows["key"].to_numpy(), rows["value"].to_numpy()
-        for p in ("f", *[f"{x}{order}" for order in (1, 2, 3, 4) for x in "gc"]):
-            mine = np.flatnonzero(part == p)
-            mine = mine[np.argsort(keys[mine])]
-            writer.add(f"{number}/{p}/key", keys[mine])
-            writer.add(f"{number}/{p}/value", value[mine])
+    values = cut(interpolated(grams))
+    if languages:
+        _add_sorted(writer, values, languages)
     model = Model(writer.ship(spark), languages, writer.size)
     place = {x: k for k, x in enumerate(languages)}
 

@@ -13,6 +13,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark import SparkFiles
@@ -34,6 +35,17 @@ class Writer:
         self.file.write(values.tobytes() + b"\0" * (-values.nbytes % 8))
         self.size += values.nbytes + -values.nbytes % 8
 
+    def add_parts(self, name: str, parts: Iterable[np.ndarray], kind: type) -> None:
+        """Appends one array that comes in parts."""
+        begin, n = self.size, 0
+        for values in parts:
+            self.file.write(values.tobytes())
+            n += len(values)
+        used = n * np.dtype(kind).itemsize
+        self.file.write(b"\0" * (-used % 8))
+        self.head[name] = (begin, n, np.dtype(kind).str)
+        self.size += used + -used % 8
+
     def ship(self, spark: SparkSession) -> str:
         head = json.dumps(self.head).encode()
         self.file.write(head + len(head).to_bytes(8, "little"))
