@@ -91,3 +91,15 @@ def test_pairs_at_the_threshold_are_candidates():
 
 def test_empty_table(spark):
     assert D.dedup(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_a_million_equal_lines_take_seconds(spark):
+    import time
+
+    n = 1_000_000
+    docs = spark.createDataFrame([(1, "one line of words, and more of it\n" * n, "r", 5, 6), (2, "another line that is quite different\n" * n + "and its end", "r", 5, 6)], SCHEMA).coalesce(1).cache()
+    docs.count()
+    began = time.time()
+    rows = D.dedup(docs).orderBy("doc_id").collect()
+    assert time.time() - began < 60
+    assert [r.text for r in rows] == ["one line of words, and more of it\n", "another line that is quite different\nand its end"]

@@ -205,13 +205,13 @@ def numbered(docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", before: str | None = None) -> DataFrame:
     """docs with every text cut down to the lines that stay; same columns and rows. With `before`, the whole text too, under that name."""
     stored = numbered(docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row")))
-    own = stored.select("rid", F.col("row")[key].alias("key"), F.col("row")[text].alias("text"), "row")
-    gone = line_table(own.select("rid", "key", "text"), "key", "text").filter("NOT kept").groupBy("rid").agg(F.collect_list("line_no").alias("gone"))
-    left = own.join(gone, "rid", "left")
-    lines = F.split("text", "\n", -1)
-    stay = F.filter(lines, lambda _, i: ~F.array_contains("gone", i))
-    cleaned = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))
-    return left.select(*[cleaned.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns], *([F.col("text").alias(before)] if before else []))
+    own = stored.select("rid", F.col("row")[key].alias("key"), F.col("row")[text].alias("text"))
+    gone = line_table(own, "key", "text").filter("NOT kept").groupBy("rid").agg(F.collect_list("line_no").alias("gone"))
+    left = stored.join(gone, "rid", "left").withColumn("lines", F.split(F.col("row")[text], "\n", -1))
+    # Linear in the lines: the places that stay come from a hash set, then each is looked up.
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    cleaned = F.when(F.col("gone").isNull(), F.col("row")[text]).otherwise(F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n"))
+    return left.select(*[cleaned.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns], *([F.col("row")[text].alias(before)] if before else []))
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
