@@ -13,7 +13,8 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long, key
 PAGES = "page_id long, url string, html string, text int, key string"
 
 
-def write(spark, path, docs, labels, items, pages):
+def write(spark, path, docs, labels, items, pages, vectors=()):
+    spark.createDataFrame(list(vectors), "vec_id long, embedding array<float>, label int, key string").write.parquet(f"{path}/embeddings.parquet")
     spark.createDataFrame([(*d, len(d[1] or ""), "k", "r", 1, "row", 2, "x", 3) for d in docs], DOCS).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int, text string").write.parquet(f"{path}/labels.parquet")
     spark.createDataFrame(items, "item_id long, text string, key string").write.parquet(f"{path}/benchmark.parquet")
@@ -31,7 +32,8 @@ def folder(spark, tmp_path_factory):
     labels = [(i, i % 2, 0, "x") for i in range(40)] + [(None, 1, 0, None), (3, None, None, None), (4, 0, 0, None), (4, 0, 0, None)]
     items = [(1, docs[5][1], "k"), (1, docs[5][1], "k"), (2, None, None), (None, "zz yy", None), (3, "", "k")]
     pages = [(1, "u", "<body><article><h1>Title</h1><p>Some text of the story.</p></article></body>", 3, "k"), (None, None, None, None, None), (2, "u", "", 1, "k"), (2, "u", "", 1, "k")]
-    return write(spark, tmp_path_factory.mktemp("small"), docs, labels, items, pages), docs, pages
+    vectors = [(i, [rng.random() for _ in range(9)], 1, "k") for i in range(40)] + [(None, None, None, None), (41, [], 1, "k"), (42, [None] * 9, 1, "k"), (1, [0.5] * 9, 1, "k"), (None, [0.5] * 9, 1, "k")]
+    return write(spark, tmp_path_factory.mktemp("small"), docs, labels, items, pages, vectors), docs, pages
 
 
 @pytest.fixture(scope="module")
@@ -39,8 +41,8 @@ def empty(spark, tmp_path_factory):
     return write(spark, tmp_path_factory.mktemp("empty"), [], [], [], [])
 
 
-def test_ten_queries():
-    assert len(NAMES) == 10
+def test_thirteen_queries():
+    assert len(NAMES) == 13
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -52,6 +54,13 @@ def test_small_and_empty_folders(spark, folder, empty, name):
     if name == "op3_text_density":
         assert sorted((r.page_id or 0, r.text, r.n_chars) for r in rows) == [(0, "", 0), (1, "Title Some text of the story.", 29), (2, "", 0), (2, "", 0)]
         return
+    if name == "op12_bit_sliced_whitening":
+        assert len(rows) == 8 * 42 and {r.n for r in rows} == {42} and rows[0].identity_error < 1e-9
+        return
+    if name == "op13_vector_packing":
+        whole = {(r.doc_id, r.start): r for r in rows}
+        assert {r.doc_id for r in rows} == {i for i, *_ in docs} and whole[70, 0].doc_tokens == whole[71, 0].doc_tokens == 1
+        return
     lines = sum(t.count("\n") + 1 for _, t, _, _ in docs if t is not None)
     assert len(rows) == (lines if name == "op2_line_dedup" else len(docs))
     if name != "op2_line_dedup":
@@ -70,6 +79,8 @@ def test_small_and_empty_folders(spark, folder, empty, name):
         assert sorted(r.slot for r in rows if r.shard == 0) == list(range(sum(r.shard == 0 for r in rows))) and sum(loads) == sum(len((t or "").encode()) + 1 for _, t, _, _ in docs)
     if name == "op9_kneser_ney":
         assert by[70][0].lang_pred == by[71][0].lang_pred == "und" and by[1][0].lang_pred == "en"
+    if name == "op11_merge_path_alignment":
+        assert by[70][0].n_a == by[71][0].n_links == 0 and by[71][0].groups_sha256 == "" and by[1][0].n_links >= by[1][0].n_groups > 0
     if name == "op10_host_rules":
         assert by[71][0].base_failed and not by[71][0].kept
 

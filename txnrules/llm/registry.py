@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from txnrules.llm import bpe, decontaminate, html_text, jaccard_join, language_id, line_dedup, packing, quality_classifier, quality_rules, secrets_scan, sharding, whitening
+from txnrules.llm import alignment, bpe, decontaminate, html_text, jaccard_join, language_id, line_dedup, packing, quality_classifier, quality_rules, secrets_scan, sharding, whitening
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op8_random_indexing": quality_classifier.op8_random_indexing,
         "op9_kneser_ney": language_id.op9_kneser_ney,
         "op10_host_rules": quality_rules.op10_host_rules,
+        "op11_merge_path_alignment": alignment.op11_merge_path_alignment,
         "op12_bit_sliced_whitening": whitening.op12_bit_sliced_whitening,
         "op13_vector_packing": packing.op13_vector_packing,
     }

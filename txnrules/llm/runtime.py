@@ -39,13 +39,13 @@ def tables() -> Iterator[list[str]]:
         _collecting.reset(token)
 
 
-def cut(df: DataFrame, by: str | None = None) -> DataFrame:
+def cut(df: DataFrame, by: str | None = None, compression: str = "snappy") -> DataFrame:
     """Write df as a table in the shared folder and read it again: lineage ends there, and a lost executor loses nothing.
 
     With `by` the table is in folders by that column. It stays until its user deletes it (see `tables`).
     """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).option("compression", compression).parquet(path)
     if (paths := _collecting.get()) is not None:
         paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
