@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from txnrules.functions.literals import required
 from txnrules.functions.text import register_sql_functions
 from txnrules.operators import rules as R
 
@@ -57,8 +58,6 @@ def test_conditions_that_cannot_be_told_do_not_match(spark):
 def test_invalid_rules_are_refused():
     with pytest.raises(ValueError):
         R.Rule("Nothing", "true")
-    with pytest.raises(Exception):  # noqa: B017
-        R.Rule("Bad pattern", "finds(description, '(')", "X")
 
 
 def test_transforms_keep_the_first_original(spark):
@@ -108,3 +107,94 @@ def test_rule_table(spark):
     assert "CartesianProduct" not in plan
     got = sorted((r.description or "", r.amount or 0.0, r.category or "", tuple(r.tags)) for r in matched.collect())
     assert got == sorted([("SHOP 1", 11.0, "Retail", ("a", "b"))] * 2 + [("shop 1", 5.0, "", ("b",)), ("bar", 1.0, "", ("b",)), ("none", 1.0, "", ()), ("", 1.0, "", ()), ("shop", 0.0, "", ("b",))])
+
+
+@pytest.mark.parametrize(
+    "pattern, literals",
+    [
+        ("netflix", ["netflix"]),
+        ("BOLT|Gizmo", ["bolt", "gizmo"]),
+        ("^red .*(widget|bo)", ["red "]),
+        ("foo(bar)?baz|quux+", ["foo", "quu"]),
+        ("é+cafe", ["cafe"]),
+        ("(?<name>abcd)e", ["abcde"]),
+        (r"AMZN\s*MK(?=TPLACE)", ["tplace"]),
+        (r"\p{L}shop", ["shop"]),
+        ("ab|cdefg", None),
+        (r"^\d+$", None),
+        ("a{0,3}bc", None),
+        ("(?i)abcdef", None),
+        ("[a[bc]def]xyz", None),
+        (r"\Qabc\E", None),
+        ("(unclosed", None),
+        (None, None),
+    ],
+)
+def test_required_literals(pattern, literals):
+    assert required(pattern) == literals
+
+
+def rule_rows(spark, patterns):
+    rows = [(k, p, f"M{k}", f"C{k}", None, [f"t{k}"], None, None, None, None, None, None) for k, p in enumerate(patterns)]
+    return spark.createDataFrame(rows, "ord int, pattern string, merchant string, category string, subcategory string, tags array<string>, amt_op string, amt_lo double, amt_hi double, date_lo date, date_hi date, month int")
+
+
+def test_many_rules_match_as_by_brute_force(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(R, "RULES_AT_ONCE", 3)
+    monkeypatch.setattr(R, "ARRAYS_AT_ONCE", 2)
+    rng = random.Random(31)
+    words = ["NETFLIX", "hulu", "Café", "store 12", "SHOP", "a", "ſtore", "12345", "x-y", "İstanbul", "K9", "BOLT", "", "red widget"]
+    texts = sorted({" ".join(rng.choice(words) for _ in range(rng.randrange(1, 5))) for _ in range(200)})
+    parts = ["net", "flix", r"\d+", "hu.u", "caf[eé]", "(store|shop)", "^red", "bolt$", r"\s", "k9", "istan", "(?=x)x-y", "store", "[a-c]", "shop"]
+    patterns = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 3))) for _ in range(120)] + ["(", "[", None, "(?P<n>netflix)", r"\Qx-y\E", "*x", "store 12"]
+    rules = rule_rows(spark, patterns)
+    frame = spark.createDataFrame([(t,) for t in texts], "description string")
+    found = R.matching_rules(frame, rules)
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in found._jdf.queryExecution().executedPlan().toString()
+    jvm = spark._jvm.java.util.regex.Pattern
+    want, bad = set(), set()
+    for k, p in enumerate(patterns):
+        try:
+            compiled = jvm.compile("(?iU)" + p.replace("(?P<", "(?<")) if p is not None else None
+        except Exception:  # noqa: BLE001
+            compiled = None
+        if compiled is None:
+            bad.add(k)
+        else:
+            want |= {(t, k) for t in texts if compiled.matcher(t).find()}
+    assert {(r.description, r.ord) for r in found.collect()} == want and len(want) > 100
+    assert {r.ord for r in R.rejected_rows(rules).collect()} == bad and len(bad) == 4
+
+
+def test_an_invalid_pattern_is_left_out(spark):
+    rows = spark.createDataFrame([("SHOP 1", 11.0), ("bar", 1.0), (None, 2.0)], "description string, amount double").withColumn("date", F.lit("2025-01-05").cast("date"))
+    got = R.match_table(rows, rule_rows(spark, ["(", "shop", "[z"])).collect()
+    assert sorted((r.description or "", r.category, tuple(r.tags)) for r in got) == [("", None, ()), ("SHOP 1", "C1", ("t1",)), ("bar", None, ())]
+
+
+@pytest.mark.parametrize("mode", ["first", "specific"])
+def test_rules_that_cannot_be_used_are_left_out_alone(spark, mode):
+    bad = [
+        R.Rule("Unknown column", "nothing_such = 'x'", "Bad", tags=["bad"]),
+        R.Rule("Bad pattern", "finds(description, 'STORE(')", "Bad"),
+        R.Rule("Bad infix pattern", "description RLIKE '[a'", "Bad"),
+        R.Rule("No SQL", "amount >", "Bad"),
+        R.Rule("Wrong type", "amount + 1", "Bad"),
+        R.Rule("Bad tag", "amount > 0", tags=["{missing}"]),
+        R.Rule("Bad field", "amount > 0", "Bad", fields={"x": "missing + 1"}),
+    ]
+    register_sql_functions(spark)
+    rules = R.RuleSet([*bad, GENERAL, R.Rule("Java only", r"finds(description, '\\p{Alpha}+')", tags=["word"])], mode)
+    df = txn(spark, ("STORE 12", 150))
+    found = rules.classify(df).collect()[0]
+    assert (found.category, list(found.tags), list(found.all_rules)) == ("General", ["retail", "word"], ["General", "Java only"])
+    assert sorted(rules.left_out(df)) == list(range(7)) and set(rules.audit(df)["left_out"]) == {r.name for r in bad}
+    assert R.RuleSet([GENERAL]).left_out(df) == {} and R.RuleSet(bad[:1]).classify(df).first().category == "Unknown"
+
+
+def test_audit_names_what_rules_use():
+    rules = R.RuleSet([GENERAL, R.Rule("Paid", "orders_n > 0 AND x > 1", "P", let={"x": "amount"}, fields={"f": "'orders_n'"})])
+    told = rules.audit(sources=("orders_n",))
+    assert (told["of_other_sources"], told["with_let"], told["with_fields"], told["left_out"]) == (["Paid"], ["Paid"], ["Paid"], {})

@@ -3,7 +3,8 @@
 A rule's condition is Spark SQL (the functions of functions.text.register_sql_functions can be used) or a Column. The whole set becomes one
 projection: winners are `coalesce(when(...), ...)` chains in rule order, tags an array of all that match. Specificity depends on the
 rule alone, so rules are sorted on the driver once. Rules are known by their place in the set, so several may have one name. A condition that
-can't be told (null, or what would raise an error: a failing cast, a division by zero, an index out of range) doesn't match, and the next rules go on.
+can't be told (null, or what would raise an error: a failing cast, a division by zero, an index out of range) doesn't match, and the next rules go on. A rule that
+can't be used at all (`left_out`: a name that isn't there, an invalid pattern) is passed over in the same way.
 """
 
 from __future__ import annotations
@@ -13,17 +14,24 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
+import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
+from txnrules.functions import literals
 from txnrules.functions.text import fallback_merchant, java_pattern
 from txnrules.functions.values import amount_condition, date_condition, holds
 
 PATTERN_FUNCTIONS = re.compile(r"\b(?:has|begins|finds|has_plain|anyof|similar|contains|startswith|rlike|regexp)\s*\(|\b(?:r?like|regexp)\b", re.IGNORECASE)
 # Names that make a rule more specific by being in its condition, each once.
 FIELD_NAMES = ("amount", "date", "month", "year", "day", "weekday", "source", "field")
+PATTERNS = re.compile(r"\b(?:finds|rlike|regexp|regexp_like)\s*\([^,]+,\s*'((?:[^'\\]|\\.)*)'\)|\b(?:rlike|regexp)\s+'((?:[^'\\]|\\.)*)'", re.IGNORECASE)
 QUOTED = re.compile(r"'((?:[^'\\]|\\.)*)'")
-RULES_AT_ONCE = 1000  # rows of a rule table that are broadcast together
+RULES_AT_ONCE = 1000  # rows of a rule table in one array
+ARRAYS_AT_ONCE = 100  # arrays of so many rules that are broadcast together
 SALTS = 16
 
 
@@ -55,9 +63,6 @@ class Rule:
     def __post_init__(self):
         if not self.category and not self.tags:
             raise ValueError(f"rule {self.name} has neither category nor tags")
-        if isinstance(self.when, str):
-            for _, pattern in re.findall(r"\b(finds|rlike)\([^,]+,\s*'((?:[^'\\]|\\.)*)'\)", self.when):
-                re.compile(pattern.replace("\\\\", "\\"))
 
     def bound(self, expression: str) -> str:
         """The expression with the let names replaced by what they stand for; later names see earlier ones."""
@@ -69,6 +74,16 @@ class Rule:
     def condition(self) -> Column:
         return holds(self.when if isinstance(self.when, Column) else F.expr(self.bound(self.when)))
 
+    def expressions(self) -> list[Column]:
+        """Everything of the rule that has to be analysed."""
+        return [self.condition(), _entries(self), *[F.expr(self.bound(v)) for v in self.fields.values()]]
+
+    def patterns(self) -> list[str]:
+        """Quoted regular expressions of the condition, as Spark reads them."""
+        text = self.bound(self.when) if isinstance(self.when, str) else ""
+        quoted = PATTERNS.findall(text)
+        return [(a or b).replace("\\\\", "\\") for a, b in quoted]
+
     def specificity(self) -> tuple[int, int, int, int]:
         """(priority, pattern functions, different field names in the condition, length of quoted text)."""
         text = self.when if isinstance(self.when, str) else ""
@@ -101,6 +116,36 @@ class RuleSet:
         """Of the rules at these places the first that matches gives the value."""
         return F.coalesce(*[F.when(F.col(f"_rule_{k}"), value(k)) for k in places], F.lit(None).cast("string"))
 
+    def left_out(self, df: DataFrame) -> dict[int, str]:
+        """Places of the rules that can't be used on df, with the reason: no SQL, a name or type that df doesn't have, an invalid pattern. `classify` goes on without them.
+
+        Each rule is analysed alone only if the set as a whole can't be.
+        """
+        with lenient(df.sparkSession):
+            return self._left_out(df.withColumns({n: F.expr(v) for n, v in self.variables.items()}))
+
+    def _left_out(self, df: DataFrame) -> dict[int, str]:
+        compile_ = df.sparkSession._jvm.java.util.regex.Pattern.compile
+        reasons: dict[int, str] = {}
+
+        def tried(k: int, what: str, attempt) -> None:
+            try:
+                attempt()
+            except (PySparkException, Py4JJavaError) as failed:
+                condition = failed.getCondition() if isinstance(failed, PySparkException) else None
+                reasons.setdefault(k, f"{what}: {condition or 'not valid'}")
+
+        for k, r in enumerate(self.rules):
+            for pattern in r.patterns():
+                tried(k, f"pattern {pattern}", lambda p=pattern: compile_("(?iU)" + p))
+        try:
+            df.select(*[e for k, r in enumerate(self.rules) if k not in reasons for e in r.expressions()])
+        except PySparkException:
+            for k, r in enumerate(self.rules):
+                if k not in reasons:
+                    tried(k, "expression", lambda r=r: df.select(*r.expressions()))
+        return reasons
+
     def classify(self, df: DataFrame) -> DataFrame:
         """df with merchant, category, subcategory, tags, matched_rule, all_rules, rule_places (of all matching rules in the set, from 0), tag_sources and,
         where rules have them, extra_<field> columns."""
@@ -109,9 +154,12 @@ class RuleSet:
 
     def _classified(self, df: DataFrame) -> DataFrame:
         df = df.withColumns({n: F.expr(v) for n, v in self.variables.items()})
-        df = df.select("*", *[r.condition().alias(f"_rule_{k}") for k, r in enumerate(self.rules)])
-        rules, places = self.rules, range(len(self.rules))
-        ranked = sorted(places, key=lambda k: rules[k].specificity(), reverse=True)  # stable: ties go to the earlier rule
+        without = self._left_out(df)
+        rules = [Rule(r.name, "false", r.category, r.subcategory, r.merchant, [], r.priority) if k in without and r.category else r for k, r in enumerate(self.rules)]
+        rules = [Rule(r.name, "false", tags=["-"]) if k in without and not r.category else r for k, r in enumerate(rules)]
+        df = df.select("*", *[r.condition().alias(f"_rule_{k}") for k, r in enumerate(rules)])
+        places = range(len(rules))
+        ranked = sorted(places, key=lambda k: self.rules[k].specificity(), reverse=True)  # stable: ties go to the earlier rule
         order = list(places) if self.mode == "first" else ranked
         with_category = [k for k in order if rules[k].category]
         place = F.coalesce(*[F.when(F.col(f"_rule_{k}"), F.lit(k)) for k in with_category], F.lit(None).cast("int"))
@@ -151,9 +199,10 @@ class RuleSet:
         )
         return made.drop("_place", "_category", "_subcategory", "_merchant", "_told", *[f"_rule_{k}" for k in places])
 
-    def audit(self) -> dict[str, object]:
-        """Counts and oddities of the set."""
+    def audit(self, df: DataFrame | None = None, sources: tuple[str, ...] = ()) -> dict[str, object]:
+        """Counts and oddities of the set; with df also the rules that can't be used on it. `sources` are names of columns that come from other sources."""
         plain = [t.lower() for r in self.rules for t in r.tags if t[:1] not in ("{", "[")]
+        text = lambda r: QUOTED.sub("''", " ".join([r.bound(r.when) if isinstance(r.when, str) else "", *r.fields.values()]))
         return {
             "rules": len(self.rules),
             "with_tags": sum(bool(r.tags) for r in self.rules),
@@ -164,6 +213,8 @@ class RuleSet:
             "with_let": [r.name for r in self.rules if r.let],
             "with_fields": [r.name for r in self.rules if r.fields],
             "repeated_names": sorted({r.name for k, r in enumerate(self.rules) if r.name in [x.name for x in self.rules[:k]]}),
+            "of_other_sources": [r.name for r in self.rules if any(re.search(rf"\b{re.escape(x)}\b", text(r)) for x in sources)],
+            "left_out": {self.rules[k].name: reason for k, reason in self.left_out(df).items()} if df is not None else {},
         }
 
 
@@ -222,20 +273,69 @@ def row_condition(row: dict) -> Column:
     return holds(condition)
 
 
+def _java(pattern: Column) -> Column:
+    return F.concat(F.lit("(?iU)"), F.replace(pattern, F.lit("(?P<"), F.lit("(?<")))
+
+
+def _compiles(pattern: Column) -> Column:
+    """Whether Java takes the pattern; it is asked once per rule, and a refusal is a null instead of an error."""
+    return F.coalesce(F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), pattern).isNotNull(), F.lit(False))
+
+
+def rejected_rows(rules: DataFrame) -> DataFrame:
+    """Rows of a rule table that `match_table` leaves out: ord, pattern, reason."""
+    reason = F.when(F.col("pattern").isNull(), "no pattern").when(~_compiles(_java(F.col("pattern"))), "invalid pattern")
+    return rules.select("ord", "pattern", reason.alias("reason")).filter("reason IS NOT NULL")
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _required(patterns: pd.Series) -> pd.Series:
+    """Literals of rule patterns; rules only, no transactions, go through it."""
+    return patterns.map(literals.required)
+
+
+def matching_rules(texts: DataFrame, rules: DataFrame) -> DataFrame:
+    """Distinct (description, ord) where the rule's pattern is found in the text; texts has distinct descriptions.
+
+    Rules are looked up by a literal that their matches must have: each literal goes into an index under the one of its grams that fewest texts have, texts are joined with the index
+    on their grams, and candidates are tested for the literal, then for the pattern. Rules without such a literal are tested on every text, as arrays of
+    RULES_AT_ONCE rules that are broadcast ARRAYS_AT_ONCE at a time. So no rule set of any size gives a nested-loop join.
+    """
+    known = rules.filter(F.col("pattern").isNotNull()).select("ord", _java(F.col("pattern")).alias("java"), _required("pattern").alias("literals")).filter(_compiles(F.col("java")))
+    found = _by_literal(texts, known.filter("literals IS NOT NULL"))
+    plain = known.filter("literals IS NULL").select("ord", "java")
+    arrays = -(-plain.count() // RULES_AT_ONCE)
+    for first in range(0, arrays, ARRAYS_AT_ONCE):
+        last = min(first + ARRAYS_AT_ONCE, arrays) - 1
+        numbered = plain.withColumn("_turn", F.pmod(F.xxhash64("ord"), F.lit(arrays)).cast("int")).filter(F.col("_turn").between(first, last))
+        packed = numbered.groupBy("_turn").agg(F.collect_list(F.struct("ord", "java")).alias("_rules"))
+        tried = texts.withColumn("_turn", F.explode(F.sequence(F.lit(first), F.lit(last)))).join(F.broadcast(packed), "_turn")
+        hits = F.filter("_rules", lambda r: F.rlike("description", r["java"]))
+        found = found.unionByName(tried.select("description", F.explode(F.transform(hits, lambda r: r["ord"])).alias("ord")))
+    return found
+
+
+def _by_literal(texts: DataFrame, rules: DataFrame) -> DataFrame:
+    chars = texts.withColumn("_folded", literals.folded("description")).withColumn("_chars", F.split("_folded", "")).filter(F.size("_chars") >= literals.GRAM)
+    of_texts = chars.withColumn("_gram", F.explode(literals.grams(F.col("_chars"))))
+    each = rules.select("ord", "java", F.explode("literals").alias("_literal")).withColumn("_letters", F.split("_literal", ""))
+    of_rules = each.withColumn("_gram", F.explode(literals.grams(F.col("_letters")))).drop("_letters")
+    common = of_texts.select("_gram").join(of_rules.select("_gram").distinct(), "_gram").groupBy("_gram").agg(F.count("*").alias("_n"))
+    rarest = of_rules.join(common, "_gram", "left").groupBy("ord", "java", "_literal").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_gram")).alias("_least"))
+    index = rarest.filter("_least.n > 0").select("ord", "java", "_literal", "_least._gram")  # a gram that no text has: the rule matches none
+    candidates = of_texts.select("description", "_folded", "_gram").join(index, "_gram").filter(F.contains("_folded", F.col("_literal")))
+    return candidates.filter(F.rlike("description", F.col("java"))).select("description", "ord").distinct()
+
+
 def match_table(df: DataFrame, rules: DataFrame) -> DataFrame:
     """Rules as rows (ord, pattern, merchant, category, subcategory, tags, amt_op, amt_lo, amt_hi, date_lo, date_hi, month): the first matching
-    row with a category gives the fields, all matching rows give tags. Rows of df without a match are kept, and null descriptions match nothing.
+    row with a category gives the fields, all matching rows give tags. Rows of df without a match are kept, null descriptions match nothing, and rows of `rejected_rows` are left out.
 
-    The rules are broadcast RULES_AT_ONCE at a time and compared with the distinct texts only. The patterns that a text
-    matches come back to its rows as one array, so nothing has to be regrouped; a text that very many rows have is dealt to SALTS tasks.
+    Patterns are tested on the distinct texts only (`matching_rules`). The rules that a text matches come back to its rows as one array, so nothing has to be
+    regrouped; a text that very many rows have is dealt to SALTS tasks.
     """
-    many = -(-rules.count() // RULES_AT_ONCE)
-    numbered = rules.withColumn("_turn", F.pmod(F.xxhash64("ord"), F.lit(max(many, 1))))
     texts = df.select("description").filter("description IS NOT NULL").distinct()
-    found = None
-    for k in range(max(many, 1)):
-        hits = texts.join(F.broadcast(numbered.filter(F.col("_turn") == k).drop("_turn")), F.expr("description RLIKE concat('(?iU)', pattern)"))
-        found = hits if found is None else found.unionByName(hits)
+    found = matching_rules(texts, rules).join(rules, "ord")
     rule = F.struct("ord", "merchant", "category", "subcategory", "tags", "amt_op", "amt_lo", "amt_hi", "date_lo", "date_hi", "month")
     of_text = found.groupBy("description").agg(F.array_sort(F.collect_list(rule)).alias("_hits"))  # no more than there are rules
     salted = of_text.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
