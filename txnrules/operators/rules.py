@@ -9,6 +9,7 @@ can't be used at all (`left_out`: a name that isn't there, an invalid pattern) i
 
 from __future__ import annotations
 
+import logging
 import re
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -135,6 +136,9 @@ class RuleSet:
                 condition = failed.getCondition() if isinstance(failed, PySparkException) else None
                 reasons.setdefault(k, f"{what}: {condition or 'not valid'}")
 
+        log = logging.getLogger("SQLQueryContextLogger")  # Spark logs each failed analysis at length
+        level = log.level
+        log.setLevel(logging.CRITICAL)
         for k, r in enumerate(self.rules):
             for pattern in r.patterns():
                 tried(k, f"pattern {pattern}", lambda p=pattern: compile_("(?iU)" + p))
@@ -144,6 +148,8 @@ class RuleSet:
             for k, r in enumerate(self.rules):
                 if k not in reasons:
                     tried(k, "expression", lambda r=r: df.select(*r.expressions()))
+        finally:
+            log.setLevel(level)
         return reasons
 
     def classify(self, df: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from txnrules.functions.similarity import with_similarity
 from txnrules.operators import rules as R
 from txnrules.plans import tables
 from txnrules.plans.registry import register
-from txnrules.plans.tables import CLASSIFIED_SQL, FALLBACK_SQL, HITS, RULES, TXN_SQL, case_sql
+from txnrules.plans.tables import CLASSIFIED_SQL, FALLBACK_SQL, HITS, OTXN_SQL, RULES, TXN_SQL, case_sql
 
 
 def counted(name: str, condition, sql: str | None) -> None:
@@ -221,12 +221,27 @@ def r18(spark, sf_dir):
     return told.groupBy("original", "first_rule", "matched_rule", "unknown").agg(F.count("*").alias("n"))
 
 
+_BROKEN = {
+    "Cast": "CAST(description AS INT) > 0",
+    "Zero": "amount / (amount - amount) > 0",
+    "Index": "split(description, ' ')[99] = 'x'",
+    "Element": "element_at(array(1, 2), 9) = 1",
+    "Date": "to_date(description) > DATE '1990-01-01'",
+    "Missing field": "field['none'] = 'x'",
+    "Unknown column": "no_such_column = 'x'",
+    "Invalid pattern": "finds(description, 'RED(')",
+}
+
+
+def _broken_rules():
+    return R.RuleSet([R.Rule(name, when, "bad") for name, when in _BROKEN.items()] + [R.Rule("Red", "contains(description, 'RED')", "ok", let={"x": "amount"}, fields={"size": "x"})])
+
+
 @register("r19_failing_rule", f"WITH {TXN_SQL} SELECT CASE WHEN contains(description, 'RED') THEN 'ok' ELSE 'Unknown' END AS category, {TOTALS} FROM txn GROUP BY ALL")
 def r19(spark, sf_dir):
-    """Conditions that would raise an error, or can't be told, match nothing, and later rules go on."""
-    broken = ["CAST(description AS INT) > 0", "amount / (amount - amount) > 0", "split(description, ' ')[99] = 'x'", "element_at(array(1, 2), 9) = 1", "to_date(description) > DATE '1990-01-01'", "field['none'] = 'x'"]
-    rules = [R.Rule(f"Broken {k}", when, "bad") for k, when in enumerate(broken)] + [R.Rule("Red", "contains(description, 'RED')", "ok")]
-    return totals(R.RuleSet(rules).classify(tables.txn(spark, sf_dir)), "category")
+    """Conditions that would raise an error, can't be told or can't be analysed match nothing, and later rules go on."""
+    X.register_sql_functions(spark)
+    return totals(_broken_rules().classify(tables.txn(spark, sf_dir)), "category")
 
 
 @register(
@@ -257,3 +272,62 @@ def r20(spark, sf_dir):
     hits = R.rule_hits(tables.classified(spark, sf_dir), rules)
     named = lambda names: c("rule").isin(*names)
     return hits.select("ord", "rule", "n", (c("n") == 0).alias("never_hit"), named([r.name for r in RULES if r.tags]).alias("with_tags"), named(told["tag_only"]).alias("tag_only"), named(special).alias("special"))
+
+
+@register(
+    "r20_left_out",
+    f"""WITH {TXN_SQL}, r AS (SELECT unnest([{", ".join(f"'{n}'" for n in [*_BROKEN, "Red"])}]) AS rule)
+    SELECT rule, CASE WHEN rule = 'Red' THEN (SELECT count(*) FROM txn WHERE contains(description, 'RED')) ELSE 0 END AS n, rule IN ('Unknown column', 'Invalid pattern') AS left_out,
+           rule = 'Missing field' AS of_other_source, rule = 'Red' AS with_let, rule = 'Red' AS with_fields FROM r""",
+)
+def r20_left_out(spark, sf_dir):
+    """Audit: rules that can't be used on the data, rules that use another source's columns, and hits."""
+    X.register_sql_functions(spark)
+    rules, df = _broken_rules(), tables.txn(spark, sf_dir)
+    told = rules.audit(df, sources=("field",))
+    named = lambda names: c("rule").isin(*names)
+    flags = {"left_out": told["left_out"], "of_other_source": told["of_other_sources"], "with_let": told["with_let"], "with_fields": told["with_fields"]}
+    return R.rule_hits(rules.classify(df), rules).select("rule", "n", *[named(names).alias(k) for k, names in flags.items()])
+
+
+def _customer_rules(spark, sf_dir):
+    """A rule for every customer, of three forms: the name, its number without zeros, no literal at all; every hundredth is no valid pattern."""
+    key, name = c("c_custkey"), c("c_name")
+    pattern = (
+        F.when(key % 100 == 0, F.concat(F.lit("("), name))
+        .when(key % 50 == 1, F.concat(F.lit(r"^\w{8}#0*"), key.cast("string"), F.lit("$")))
+        .when(key % 2 == 0, F.concat(F.lit("^"), F.lower(name), F.lit("$")))
+        .otherwise(F.concat(F.lit(r"customer\S0*"), key.cast("string"), F.lit(r"\b")))
+    )
+    none = lambda kind: F.lit(None).cast(kind)
+    return tables.table(spark, sf_dir, "customer").select(
+        key.cast("int").alias("ord"),
+        pattern.alias("pattern"),
+        name.alias("merchant"),
+        c("c_mktsegment").alias("category"),
+        F.lit("one").alias("subcategory"),
+        F.array(F.lower("c_mktsegment")).alias("tags"),
+        F.when(key % 3 == 0, ">").alias("amt_op"),
+        F.when(key % 3 == 0, 100000.0).alias("amt_lo"),
+        none("double").alias("amt_hi"),
+        none("date").alias("date_lo"),
+        none("date").alias("date_hi"),
+        none("int").alias("month"),
+    )
+
+
+@register(
+    "r16_many_rules",
+    f"""WITH {OTXN_SQL}, m AS (SELECT otxn.amount, c_custkey % 100 <> 0 AND (c_custkey % 3 <> 0 OR otxn.amount > 100000) AS hit, c_mktsegment, c_name FROM otxn JOIN customer ON description = c_name)
+    SELECT CASE WHEN hit THEN c_mktsegment END AS category, CASE WHEN hit THEN lower(c_mktsegment) ELSE '' END AS tags, count(DISTINCT CASE WHEN hit THEN c_name END) AS merchants, {TOTALS} FROM m GROUP BY ALL""",
+)
+def r16_many(spark, sf_dir):
+    """As many rules as there are customers, on the orders' customers; literals lead to the rules."""
+    found = R.match_table(tables.otxn(spark, sf_dir).select("description", "amount", "date"), _customer_rules(spark, sf_dir))
+    tagged = found.withColumn("tags", F.array_join("tags", "|"))
+    return tagged.groupBy("category", "tags").agg(F.countDistinct("merchant").alias("merchants"), F.count("*").alias("n"), F.round(F.sum("amount"), 2).alias("total"))
+
+
+@register("r16_rejected_rules", "SELECT c_custkey::INT AS ord, '(' || c_name AS pattern, 'invalid pattern' AS reason FROM customer WHERE c_custkey % 100 = 0")
+def r16_rejected(spark, sf_dir):
+    return R.rejected_rows(_customer_rules(spark, sf_dir))
