@@ -35,6 +35,33 @@ def test_joins_without_equality(spark):
     assert {r.id: r.n for r in below.collect()} == {1: 4, 2: 1, 3: 1, 4: None}
 
 
+def test_ranges_of_any_width(spark):
+    import random
+
+    rng = random.Random(81)
+    ranges = [(k, lo := rng.uniform(-1e6, 1e6), lo + 10 ** rng.uniform(-3, 7)) for k in range(300)] + [(300, float("-inf"), 0.0), (301, -5.0, float("inf")), (302, None, 5.0), (303, 5.0, float("nan")), (304, 3.0, 3.0), (305, -1e300, 1e300), (306, 0.0, 0.01), (307, -0.01, 0.0)]
+    values = [(k, rng.uniform(-1e6, 1e6)) for k in range(300)] + [(300, 0.0), (301, -0.01), (302, None), (303, 1e12), (304, -1e12), (305, 0.005)]
+    t, s = spark.createDataFrame(values, "id int, x double"), spark.createDataFrame(ranges, "name int, low double, high double")
+    found = lookup.in_range(t, s, "x", "low", "high", 0.01)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+    want = sorted((k, n) for k, x in values for n, lo, hi in ranges if x is not None and lo is not None and hi == hi and lo <= x < hi)
+    assert sorted((r.id, r.s_name) for r in found.collect()) == want
+    pieces = spark.createDataFrame([(a, b) for a, b in [(-7, 13), (0, 1), (5, 5), (-(2**60), 2**60), (3, 2**59 + 1)]], "a long, b long").select("a", "b", lookup.dyadic(F.col("a"), F.col("b")).alias("p")).collect()
+    for r in pieces:
+        assert len(r.p) <= 2 * lookup.LEVELS and sum(2**x.level for x in r.p) == r.b - r.a
+        spans = sorted((x.place << x.level, (x.place + 1) << x.level) for x in r.p)
+        assert not spans or (spans[0][0], spans[-1][1]) == (r.a, r.b)
+    assert lookup.in_range(t, s.limit(0), "x", "low", "high", 0.01).count() == 0
+
+
+def test_no_cartesian_product_unasked(spark):
+    t, s = spark.createDataFrame([(1, 5.0)], "id int, x double"), spark.createDataFrame([("a", 1.0), ("b", 9.0)], "name string, y double")
+    with pytest.raises(ValueError):
+        lookup.by_condition(t, s, "id", F.col("x") > F.col("s_y"), {"n": F.count("*")}, broadcast_rows=1)
+    assert lookup.by_condition(t, s, "id", (F.col("x") > F.col("s_y")) & (F.col("id") == F.length("s_name")), {"n": F.count("*")}, broadcast_rows=1).first().n == 1
+
+
 def test_facets(spending):
     values = {(r.kind, r.value, r.parent): r.n for r in facets.facet_values(spending).collect()}
     assert values[("merchant", "Car", "")] == 2 and values[("tag", "monthly", "")] == 2 and values[("subcategory", "Unknown", "Unknown")] == 2 and values[("category", "Pay", "")] == 1
@@ -57,8 +84,22 @@ def test_discovery_and_records(spending):
     (car,) = spend.discover(spending).collect()
     assert (car["count"], car.total, car.has_negative, [e.amount for e in car.examples], car.suggested_merchant, list(car.suggested_tags)) == (2, 1520.0, True, [1500.0, -20.0], "Car 9", ["refund"])
     assert car.suggested_rule.endswith("tags: refund")
-    assert {r.merchant: dict(r.descriptions) for r in sinks.merchant_records(spending).collect()}["Car"] == {"CAR 9": 2}
-    assert sorted((r.merchant, r.month, len(r.transactions)) for r in sinks.report_records(spending).collect()) == [("Car", "2025-02", 1), ("Car", "2025-03", 1), ("Netflix", "2025-01", 1), ("Netflix", "2025-02", 1), ("Work", "2025-03", 1)]
+    assert {r.merchant: (r["count"], r.total, r.months_active) for r in sinks.merchant_records(spending, 2).collect()} == {"Car": (2, 1480.0, 2), "Netflix": (2, 22.0, 2), "Work": (1, 900.0, 1)}
+    assert sorted((r.merchant, r.month, r.amount, r.merchant_category) for r in sinks.report_records(spending).collect())[:2] == [("Car", "2025-02", 1500.0, "Unknown"), ("Car", "2025-03", -20.0, "Unknown")]
+    told = sinks.summary(spending).first()
+    assert (told.total, told.gross_spending, told.credits, told.income, told.num_months, told.net_cash_flow) == (2402.0, 2402.0, 0.0, 900.0, 3, -1502.0)
+    assert {r["item"]: r.amount for r in sinks.report_tables(spending)["transfers"].collect()} == {"in": 0.0, "out": 0.0, "net": 0.0}
+
+
+def test_json_parts_by_detail(spending, tmp_path):
+    assert [sorted(sinks.json_parts(spending, k)) for k in (0, 2)] == [["categories", "credits", "merchants", "months", "summary"], ["categories", "credits", "descriptions", "merchants", "months", "summary", "transactions"]]
+    sinks.write_json(spending, str(tmp_path), 2)
+    assert spending.sparkSession.read.json(f"{tmp_path}/transactions").count() == 5
+
+
+def test_listing_orders_categories_by_total(spending):
+    found = [(r.category, r.merchant, r["rank"]) for r in spend.listing(spend.by_merchant(spending), 5, 2).collect()]
+    assert found == [("Unknown", "Car", 1), ("Pay", "Work", 1)]
 
 
 @pytest.mark.parametrize(

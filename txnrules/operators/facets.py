@@ -55,7 +55,11 @@ KIND_ORDER = {"tag": 0, "category": 1, "subcategory": 2, "location": 3, "merchan
 
 def facet_values(df: DataFrame) -> DataFrame:
     """kind, value, parent, n: every value that can be filtered on, with its number of transactions. One pass over the transactions counts combinations; grouping sets and tags count these."""
-    combined = df.groupBy("category", "subcategory", "location", "merchant", "tags").agg(F.count("*").alias("n"))
+    return values_of(df.groupBy("category", "subcategory", "location", "merchant", "tags").agg(F.count("*").alias("n")))
+
+
+def values_of(combined: DataFrame) -> DataFrame:
+    """`facet_values` from counts of combinations. Two small aggregates over the combinations' own: by text columns, and by tag."""
     sets = [["category"], ["category", "subcategory"], ["location"], ["merchant"]]
     grouped = combined.groupingSets(sets, "category", "subcategory", "location", "merchant").agg(F.sum("n").alias("n"), F.grouping_id().alias("g"))
     # The bits of g, from category to merchant, say which column a set leaves out.

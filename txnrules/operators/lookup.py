@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+LEVELS = 62  # sizes of pieces of a range, as powers of two
+
 
 def exists(df: DataFrame, source: DataFrame, on: dict[str, str], name: str = "found") -> DataFrame:
     """Flag: some row of source has the same key. on: column of df -> column of source."""
@@ -58,21 +60,53 @@ def near_in_time(df: DataFrame, source: DataFrame, days: int, date: str = "date"
     return left.join(right, close).drop("_bucket", "_of")
 
 
-def in_range(df: DataFrame, source: DataFrame, value: str, low: str, high: str, width: float) -> DataFrame:
-    """Pairs where df's value is in [low, high) of a row of source (columns with the prefix s_), of any number of rows on both sides: ranges are put into
-    buckets of `width`, one row for each they touch, and joined by bucket. A width near the usual range keeps that small."""
-    bucket = lambda c: F.floor(c / width)
-    right = source.select(*[F.col(c).alias(f"s_{c}") for c in source.columns]).filter(F.col(f"s_{low}") < F.col(f"s_{high}"))
-    spread = right.withColumn("_of", F.explode(F.sequence(bucket(F.col(f"s_{low}")), bucket(F.col(f"s_{high}")))))
+def dyadic(low: Column, high: Column) -> Column:
+    """The whole numbers from low to before high as aligned pieces: structs (level, place), each of the 2 ** level numbers from place * 2 ** level on; at most 2 * LEVELS of them."""
+
+    def at(k: Column) -> Column:
+        first = -F.call_function("shiftright", -low, k)  # low / 2 ** k, rounded up
+        last = F.call_function("shiftright", high, k)
+        odd_first, odd_last = first.bitwiseAND(1) == 1, last.bitwiseAND(1) == 1
+        after = first + F.when(odd_first, 1).otherwise(0)
+        piece = lambda when, place: F.when(when, F.struct(k.alias("level"), place.alias("place")))
+        return F.array(piece((first < last) & odd_first, first), piece((after < last) & odd_last, last - 1))
+
+    return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), at)), lambda x: x.isNotNull())
+
+
+def _steps(value: Column, unit: float) -> Column:
+    """value in whole units, rounded down; what is too large or infinite counts as the last one."""
+    most = float(2 ** (LEVELS - 2))
+    return F.floor(F.least(F.greatest(value / unit, F.lit(-most)), F.lit(most))).cast("long")
+
+
+def in_range(df: DataFrame, source: DataFrame, value: str, low: str, high: str, unit: float) -> DataFrame:
+    """Pairs where df's value is in [low, high) of a row of source (columns with the prefix s_), of any number of rows on both sides and ranges of any width.
+
+    A range, in steps of `unit`, is cut into aligned pieces whose sizes are powers of two (`dyadic`), at most two of a size. A value belongs to one piece of each size, so it looks for as many
+    pieces as there are sizes among the ranges, and pairs meet in a join of sizes and places. The bounds are tested exactly; `unit` is the width below which ranges share pieces. Ranges with a
+    null or NaN bound, and such values, match nothing.
+    """
+    right = source.select(*[F.col(c).alias(f"s_{c}") for c in source.columns]).filter((F.col(f"s_{low}") < F.col(f"s_{high}")) & ~F.isnan(F.col(f"s_{high}").cast("double")))
+    pieces = right.withColumn("_piece", F.explode(dyadic(_steps(F.col(f"s_{low}"), unit), _steps(F.col(f"s_{high}"), unit) + 1)))
+    levels = [r.level for r in pieces.select("_piece.level").distinct().collect()]  # at most LEVELS
+    steps = df.filter(F.col(value).isNotNull()).withColumn("_step", _steps(F.col(value), unit))
+    looked = steps.withColumn("_level", F.explode(F.array(*[F.lit(k) for k in sorted(levels)]).cast("array<int>")))
     inside = (F.col(value) >= F.col(f"s_{low}")) & (F.col(value) < F.col(f"s_{high}"))
-    return df.withColumn("_bucket", bucket(F.col(value))).join(spread, (F.col("_bucket") == F.col("_of")) & inside).drop("_bucket", "_of")
+    same = (F.col("_level") == F.col("_piece.level")) & (F.expr("shiftright(_step, _level)") == F.col("_piece.place"))
+    return looked.join(pieces, same & inside).drop("_step", "_level", "_piece")
 
 
 def by_condition(df: DataFrame, source: DataFrame, key: str, condition: Column, aggregates: dict[str, Column], broadcast_rows: int = 100_000) -> DataFrame:
     """Any condition between df and source (columns of source with prefix s_); matches are aggregated by df's key. A source of at most broadcast_rows, which is
-    counted, is broadcast, so that a bare inequality is no cartesian product; a larger one needs an equality in the condition, or `near_in_time` or `in_range`."""
+    counted, is broadcast. A larger one needs an equality in the condition; without one Spark would pair all rows with all, and a ValueError says so: `in_range` and
+    `near_in_time` are for such conditions."""
     right = source.select(*[F.col(c).alias(f"s_{c}") for c in source.columns])
-    if source.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        right = F.broadcast(right)
-    found = df.join(right, condition).groupBy(key).agg(*[a.alias(n) for n, a in aggregates.items()])
+    small = source.limit(broadcast_rows + 1).count() <= broadcast_rows
+    joined = df.join(F.broadcast(right) if small else right, condition)
+    if not small:
+        plan = joined._jdf.queryExecution().sparkPlan().toString()
+        if "CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan:
+            raise ValueError(f"the condition has no equality and the source has more than {broadcast_rows} rows: use in_range or near_in_time")
+    found = joined.groupBy(key).agg(*[a.alias(n) for n, a in aggregates.items()])
     return df.join(found, key, "left")

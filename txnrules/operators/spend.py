@@ -54,21 +54,40 @@ def num_months(df: DataFrame) -> DataFrame:
     return df.agg(F.countDistinct("month").alias("n")).select(F.when(F.col("n") > 0, F.col("n")).otherwise(12).alias("num_months"))
 
 
+def merchant_periods(df: DataFrame) -> DataFrame:
+    """merchant, month: what tables of merchants and features of views are made of. Distinct months are then rows, so nothing is expanded to count them."""
+    order, p = F.struct(*ORDER), F.col("effective_amount")
+    rule = F.col("matched_rule") if "matched_rule" in df.columns else F.lit(None).cast("string")
+    return df.groupBy("merchant", "month").agg(
+        F.count("*").alias("n"),
+        total().alias("total"),
+        F.sum(p * p).alias("squares"),
+        F.max(p).alias("max"),
+        F.min(p).alias("min"),
+        F.max(F.struct(order.alias("order"), "category", "subcategory")).alias("last"),
+        F.min(F.when(rule.isNotNull(), F.struct(order.alias("order"), rule.alias("rule")))).alias("first"),
+        F.array_distinct(F.flatten(F.collect_set("tags"))).alias("tags"),
+    )
+
+
 def by_merchant(df: DataFrame) -> DataFrame:
     """Per merchant: count, total, months active, averages, largest payment, tags, category of the last transaction, rule of the first one that has a rule."""
-    order = F.struct(*ORDER)
-    rule = [F.min_by("matched_rule", F.when(F.col("matched_rule").isNotNull(), order)).alias("first_rule")] if "matched_rule" in df.columns else []
-    found = df.groupBy("merchant").agg(
-        F.count("*").alias("count"),
-        total().alias("total"),
-        F.countDistinct("month").alias("months_active"),
-        F.greatest(F.max("effective_amount"), F.lit(0.0)).alias("max_payment"),
-        F.max_by("category", order).alias("category"),
-        F.max_by("subcategory", order).alias("subcategory"),
+    return of_periods(merchant_periods(df))
+
+
+def of_periods(periods: DataFrame) -> DataFrame:
+    """`by_merchant` from the rows of `merchant_periods`; rows without a month count for no month."""
+    found = periods.groupBy("merchant").agg(
+        F.sum("n").alias("count"),
+        total("total").alias("total"),
+        F.count("month").alias("months_active"),
+        F.greatest(F.max("max"), F.lit(0.0)).alias("max_payment"),
+        F.max("last").alias("_last"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("tags")))).alias("tags"),
-        *rule,
+        F.min("first").alias("_first"),
     )
-    return found.withColumns({"avg_when_active": F.col("total") / F.col("months_active"), "monthly_value": F.col("total") / 12})
+    named = found.withColumns({"category": F.col("_last.category"), "subcategory": F.col("_last.subcategory"), "first_rule": F.col("_first.rule")}).drop("_last", "_first")
+    return named.withColumns({"avg_when_active": F.col("total") / F.nullif("months_active", F.lit(0)), "monthly_value": F.col("total") / 12})
 
 
 def payment_statistics(df: DataFrame) -> DataFrame:
@@ -78,14 +97,13 @@ def payment_statistics(df: DataFrame) -> DataFrame:
 
 
 def payments(df: DataFrame, unit: str = "month") -> DataFrame:
-    """merchant, period, payments in order. A list covers one period, so that no merchant's payments are all in one row."""
-    rows = F.array_sort(F.collect_list(F.struct(*ORDER, "effective_amount")))
-    return df.withColumn("period", period_key(unit, F.col("date"))).groupBy("merchant", "period").agg(F.transform(rows, lambda x: x["effective_amount"]).alias("payments"))
+    """merchant, period, the columns of ORDER and the payment, one a row: payments of a merchant and period in their order, in no list that could outgrow a row."""
+    return df.select("merchant", period_key(unit, F.col("date")).alias("period"), *ORDER, F.col("effective_amount").alias("payment"))
 
 
 def transactions(df: DataFrame) -> DataFrame:
-    """merchant, month, its transactions in order."""
-    return df.groupBy("merchant", "month").agg(F.array_sort(F.collect_list(F.struct(*ORDER, "tags"))).alias("transactions"))
+    """merchant, month, the columns of ORDER and tags, one a row."""
+    return df.select("merchant", "month", *ORDER, "tags")
 
 
 def description_counts(df: DataFrame) -> DataFrame:
@@ -190,10 +208,14 @@ def discover(df: DataFrame, limit: int = 0) -> DataFrame:
     # Spark keeps three rows of a description and task before the window.
     first = unknown.withColumn("rank", F.row_number().over(Window.partitionBy("description").orderBy("date", "amount", "source"))).filter(F.col("rank") <= 3)
     examples = first.groupBy("description").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "date", "amount"))), lambda x: F.struct(x["date"].alias("date"), x["amount"].alias("amount"))).alias("examples"))
+    return suggested(found.join(examples, "description"), limit)
+
+
+def suggested(unknown: DataFrame, limit: int = 0) -> DataFrame:
+    """Unknown descriptions with suggested name, pattern, tags and rule; largest first."""
     tags = F.when(F.col("has_negative"), F.array(F.lit("refund"))).otherwise(F.array().cast("array<string>"))
     told = (
-        found.join(examples, "description")
-        .withColumns({"suggested_merchant": suggested_merchant("description"), "suggested_pattern": suggested_pattern("description"), "suggested_tags": tags})
+        unknown.withColumns({"suggested_merchant": suggested_merchant("description"), "suggested_pattern": suggested_pattern("description"), "suggested_tags": tags})
         .withColumn("suggested_rule", suggested_rule("description", F.col("suggested_tags")))
         .orderBy(F.desc("total"), "description")
     )
@@ -228,6 +250,13 @@ def top_in_each(df: DataFrame, group: str, n: int, *keys: Column) -> DataFrame:
     return ranked.join(sizes, group).withColumn("remaining", F.greatest(F.col("size") - n, F.lit(0))).drop("size")
 
 
+def listing(merchants: DataFrame, each: int, rows: int) -> DataFrame:
+    """The largest `each` merchants of every category, categories by the total of their merchants, the first `rows` rows; only merchants with a positive total."""
+    positive = merchants.filter("total > 0")
+    of = positive.groupBy("category").agg(F.sum("total").alias("of_category"))
+    return top_in_each(positive, "category", each, F.desc("total"), F.asc("merchant")).join(of, "category").orderBy(F.desc("of_category"), "category", "rank").limit(rows)
+
+
 def sort_by(df: DataFrame, column: str, descending: bool = True, absolute: bool = False, tie: str = "merchant") -> DataFrame:
     """Ordered by a text column ignoring case or by a number, by size if `absolute`."""
     kind = dict(df.dtypes)[column]

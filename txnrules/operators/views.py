@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txnrules.functions.values import holds, period_key
-from txnrules.operators.spend import SPECIAL, total
+from txnrules.operators.spend import SPECIAL, merchant_periods, total
 
 
 @dataclass
@@ -23,30 +23,19 @@ class View:
     variables: dict[str, str] = field(default_factory=dict)
 
 
-def merchant_periods(df: DataFrame) -> DataFrame:
-    """merchant, month: what features are made of."""
-    order = F.struct("date", "description", "amount", "source")
-    p = F.col("effective_amount")
-    return df.groupBy("merchant", "month").agg(
-        F.count("*").alias("n"),
-        total().alias("sum"),
-        F.sum(p * p).alias("squares"),
-        F.max(p).alias("max"),
-        F.min(p).alias("min"),
-        F.max(F.struct(order, "category", "subcategory")).alias("last"),
-        F.array_distinct(F.transform(F.flatten(F.collect_set("tags")), F.lower)).alias("tags"),
-    )
-
-
 def features(df: DataFrame) -> DataFrame:
     """Per merchant: n_payments, months, total, cv of the monthly totals (signed), avg, max, min, stddev of payments, tags, category, subcategory, and over its months'
     totals and sizes: n_periods, max_sum, min_sum, avg_sum, max_count. One pass over the transactions, into merchant and month; no list of payments is gathered."""
-    n, s = F.sum("n"), F.sum("sum")
+    return features_of(merchant_periods(df))
+
+
+def features_of(periods: DataFrame) -> DataFrame:
+    """`features` from the rows of `spend.merchant_periods`, or of a kept state."""
+    n, s = F.sum("n"), F.sum("total")
     spread = F.sqrt(F.greatest(F.sum("squares") - s * s / n, F.lit(0.0)) / F.nullif(n - 1, F.lit(0)))
-    cv = F.when((F.count("*") < 2) | (F.avg("sum") == 0), 0.0).otherwise(F.stddev_pop("sum") / F.avg("sum"))
+    cv = F.when((F.count("*") < 2) | (F.avg("total") == 0), 0.0).otherwise(F.stddev_pop("total") / F.avg("total"))
     return (
-        merchant_periods(df)
-        .groupBy("merchant")
+        periods.groupBy("merchant")
         .agg(
             n.alias("n_payments"),
             F.count("*").alias("months"),
@@ -56,12 +45,12 @@ def features(df: DataFrame) -> DataFrame:
             F.max("max").alias("max"),
             F.min("min").alias("min"),
             F.coalesce(spread, F.lit(0.0)).alias("stddev"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_set("tags")))).alias("tags"),
+            F.array_sort(F.array_distinct(F.transform(F.flatten(F.collect_set("tags")), F.lower))).alias("tags"),
             F.max("last").alias("last"),
             F.count("*").alias("n_periods"),
-            F.max("sum").alias("max_sum"),
-            F.min("sum").alias("min_sum"),
-            F.avg("sum").alias("avg_sum"),
+            F.max("total").alias("max_sum"),
+            F.min("total").alias("min_sum"),
+            F.avg("total").alias("avg_sum"),
             F.max("n").alias("max_count"),
         )
         .select("*", "last.category", "last.subcategory")
@@ -71,7 +60,11 @@ def features(df: DataFrame) -> DataFrame:
 
 def months_in(df: DataFrame) -> DataFrame:
     """One row: n_months in the data, 12 if there are none; shares the pass of `features`."""
-    found = merchant_periods(df).agg(F.countDistinct("month").alias("n"))
+    return months_of(merchant_periods(df))
+
+
+def months_of(periods: DataFrame) -> DataFrame:
+    found = periods.agg(F.countDistinct("month").alias("n"))
     return found.select(F.when(F.col("n") > 0, F.col("n")).otherwise(12).alias("n_months"))
 
 

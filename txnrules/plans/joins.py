@@ -92,6 +92,18 @@ def j09c(spark, sf_dir):
     return lookup.in_range(orders, parts, "tenth", "low", "high", 50.0).groupBy(c("s_p_partkey").alias("p_partkey")).agg(F.count("*").alias("n"))
 
 
+_MIXED = """p AS (SELECT p_partkey, p_retailprice * 50 AS low, p_retailprice * 50 + CASE WHEN p_partkey % 97 = 0 THEN 1000000 ELSE 0.01 * (1::BIGINT << (p_size % 21)::INT) END AS high FROM part)"""
+
+
+@register("j09_mixed_ranges", f"WITH {_MIXED} SELECT p_partkey, count(*) AS n, round(max(o_totalprice), 2) AS largest FROM orders JOIN p ON o_totalprice >= low AND o_totalprice < high GROUP BY 1")
+def j09d(spark, sf_dir):
+    """Orders in ranges from a cent to nearly everything, in one table."""
+    width = F.when(c("p_partkey") % 97 == 0, 1000000.0).otherwise(F.expr("0.01D * shiftleft(1L, CAST(p_size % 21 AS INT))"))
+    parts = tables.table(spark, sf_dir, "part").select("p_partkey", (c("p_retailprice") * 50).alias("low"), (c("p_retailprice") * 50 + width).alias("high"))
+    orders = tables.table(spark, sf_dir, "orders").select("o_totalprice")
+    return lookup.in_range(orders, parts, "o_totalprice", "low", "high", 0.01).groupBy(c("s_p_partkey").alias("p_partkey")).agg(F.count("*").alias("n"), F.round(F.max("o_totalprice"), 2).alias("largest"))
+
+
 @register("j10_two_sources", f"{BOTH}, j AS (SELECT orderkey, count(*) AS n, count(DISTINCT p_brand) AS brands FROM osrc JOIN part ON o2 = p_partkey WHERE amount > 1000 AND p_size > 10 GROUP BY 1) SELECT txn_id, coalesce(n, 0) AS n, coalesce(brands, 0) AS brands FROM otxn LEFT JOIN j ON txn_id = orderkey")
 def j10(spark, sf_dir):
     t, s = sides(spark, sf_dir)

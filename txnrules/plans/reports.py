@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from txnrules.functions import values as V
 from txnrules.functions.similarity import closest
-from txnrules.operators import facets, spend
+from txnrules.operators import facets, spend, state
 from txnrules.operators.facets import Facet
 from txnrules.plans import tables
 from txnrules.plans.aggregations import MERCHANTS_SQL, PLACED_SQL, placed
@@ -43,12 +43,12 @@ _VALUES = f"""{SPENDING_SQL}, vals AS (SELECT 'tag' AS kind, t AS value, '' AS p
 
 @register("x06_facet_values", f"WITH {_VALUES} SELECT * FROM vals")
 def x06(spark, sf_dir):
-    return facets.facet_values(tables.spending(spark, sf_dir))
+    return facets.values_of(state.combinations(tables.kept(spark, sf_dir, "facets")))
 
 
 @register("x06_suggestions", f"WITH {_VALUES} SELECT kind, value FROM vals WHERE contains(lower(value), 'co') ORDER BY list_position(['tag', 'category', 'subcategory', 'location', 'merchant'], kind), value, parent LIMIT 8")
 def x06b(spark, sf_dir):
-    return facets.suggestions(facets.facet_values(tables.spending(spark, sf_dir)), "CO").select("kind", "value")
+    return facets.suggestions(facets.values_of(state.combinations(tables.kept(spark, sf_dir, "facets"))), "CO").select("kind", "value")
 
 
 @register("x07_months", f"WITH {SPENDING_SQL} SELECT DISTINCT month FROM sp")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from txnrules.operators import state
 from txnrules.operators.rules import Rule, RuleSet
 from txnrules.operators.spend import with_buckets
+from txnrules.sources import store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,8 +90,18 @@ def classified(spark: SparkSession, sf_dir: str, mode: str = "first") -> DataFra
     return RuleSet(RULES, mode).classify(txn(spark, sf_dir))
 
 
+INPUTS = ("lineitem", "orders", "part", "customer", "nation")
+
+
 def spending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_buckets(classified(spark, sf_dir))
+    """Classified transactions with buckets, written by month once a session and read by all queries."""
+    return store.table_once(spark, "classified", [f"{sf_dir}/{n}.parquet" for n in INPUTS], lambda: with_buckets(classified(spark, sf_dir)), "month")
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the state of all transactions, written once a session."""
+    folder = store.folder_once(spark, f"state-{name}", [f"{sf_dir}/{n}.parquet" for n in INPUTS], lambda f: state.add(spending(spark, sf_dir), f, "all", (name,)))
+    return state.read(spark, folder, name) if folder else state.partials(spending(spark, sf_dir))[name]
 
 
 _HITS = [
