@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from txnrules.functions import values as V
 from txnrules.functions.similarity import closest
-from txnrules.operators import facets, spend, state
+from txnrules.operators import facets, search, spend, state
 from txnrules.operators.facets import Facet
 from txnrules.plans import tables
 from txnrules.plans.aggregations import MERCHANTS_SQL, PLACED_SQL, placed
 from txnrules.plans.registry import register
 from txnrules.plans.tables import SPENDING_SQL
+from txnrules.sources import store
 
 c = F.col
 
@@ -74,6 +75,27 @@ def x10(spark, sf_dir):
     return facets.text_matches(tables.spending(spark, sf_dir), "red").withColumn("size", F.round("size", 2))
 
 
+_SHOWN = "merchant string, description string, location string, source string, amount double"
+
+
+def index(spark, sf_dir):
+    """The text index over classified transactions, written once a session."""
+    rows = tables.spending(spark, sf_dir).select("merchant", "description", "location", "source", "amount")
+    return store.folder_once(spark, "text-index", [f"{sf_dir}/{n}.parquet" for n in tables.INPUTS], lambda folder: search.write_index(rows, folder, ["description", "location"]))
+
+
+@register("x04_indexed_search", f"WITH {SPENDING_SQL} SELECT description, location, source, count(*) AS n, round(sum(amount), 2) AS total FROM sp WHERE contains(lower(description), 'd anv') OR contains(lower(location), 'd anv') GROUP BY ALL")
+def x04_indexed(spark, sf_dir):
+    found = search.search(spark, index(spark, sf_dir), _SHOWN, ["description", "location"], "D ANV")
+    return found.groupBy("description", "location", "source").agg(F.count("*").alias("n"), F.round(F.sum("amount"), 2).alias("total"))
+
+
+@register("x10_indexed_matches", f"WITH {SPENDING_SQL} SELECT merchant, count(*) AS n, round(sum(abs(amount)), 2) AS size FROM sp WHERE contains(lower(description), 'brand#13') GROUP BY merchant")
+def x10_indexed(spark, sf_dir):
+    found = search.search(spark, index(spark, sf_dir), _SHOWN, ["description"], "Brand#13")
+    return found.groupBy("merchant").agg(F.count("*").alias("n"), F.round(F.sum(F.abs("amount")), 2).alias("size"))
+
+
 @register("x11_closest")
 def x11(spark, sf_dir):
     """Names most like a misspelt one; the ratio has no SQL form."""

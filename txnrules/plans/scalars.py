@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from txnrules.functions import text as X
 from txnrules.functions import values as V
-from txnrules.operators import profile
+from txnrules.operators import profile, sketches
 from txnrules.plans import tables
 from txnrules.plans.registry import register
 from txnrules.plans.tables import OTXN_SQL, TXN_SQL
@@ -363,3 +363,29 @@ def k05(spark, sf_dir):
     sinks.write_classified(tables.spending(spark, sf_dir).drop("tag_sources"), path)
     back = spark.read.parquet(path)
     return back.groupBy(F.col("month").cast("string").alias("month"), "category").agg(F.count("*").alias("n"))
+
+
+@register(
+    "t02_merged_sketches",
+    """SELECT 'c_acctbal' AS name, count(*) AS rows, count(c_acctbal) AS filled, count(c_acctbal) AS numeric, true AS distinct_close, true AS median_close, NULL::BIGINT AS most_frequent FROM customer
+    UNION ALL SELECT 'c_mktsegment', count(*), count(c_mktsegment), 0, true, NULL, (SELECT max(n) FROM (SELECT count(*) AS n FROM customer GROUP BY c_mktsegment)) FROM customer""",
+)
+def t02_merged(spark, sf_dir):
+    """Profiles of three parts of the customers, merged; estimates are compared with exact figures and are within their stated errors."""
+    df = tables.table(spark, sf_dir, "customer").select("c_nationkey", "c_acctbal", "c_mktsegment")
+    parts = [sketches.sketched(df.filter(F.pmod("c_nationkey", F.lit(3)) == k).drop("c_nationkey"), str(k)) for k in range(3)]
+    told = sketches.described(sketches.merged(parts[0].unionByName(parts[1]).unionByName(parts[2])))
+    exact = sketches.cells(df.drop("c_nationkey")).groupBy("name").agg(F.countDistinct("value").alias("exact"))
+    middle = F.broadcast(told.filter("name = 'c_acctbal'").select(F.get("quantiles", F.lit(2)).alias("median")))  # one row
+    below = df.join(middle).agg(F.avg((c("c_acctbal") <= c("median")).cast("int")).alias("below"))
+    found = told.join(exact, "name").join(F.broadcast(below))  # one row
+    named = lambda name, value: F.when(c("name") == name, value)
+    return found.select(
+        "name",
+        "rows",
+        "filled",
+        "numeric",
+        (F.abs(c("distinct") / c("exact") - 1) < 0.05).alias("distinct_close"),
+        named("c_acctbal", F.abs(c("below") - 0.5) < 0.03).alias("median_close"),
+        named("c_mktsegment", F.array_max(F.transform("frequent", lambda x: x["n"]))).alias("most_frequent"),
+    )
