@@ -111,8 +111,12 @@ def replace_all(text: Column | str, pattern: str, by: str) -> Column:
 
 
 def strip_prefix(text: Column | str, prefix: str) -> Column:
-    text = _column(text)
-    return F.when(startswith(text, prefix), F.substring(text, F.lit(len(prefix) + 1), F.length(text))).otherwise(text)
+    """Ignoring case. The text is named once, so that a chain of prefixes stays as short as it is written."""
+    return F.regexp_replace(_column(text), rf"(?iU)^{_literally(prefix)}", "")
+
+
+def _literally(text: str) -> str:
+    return re.sub(r"([^\w\s])", r"\\\1", text)
 
 
 def strip_suffix(text: Column | str, suffix: str) -> Column:
