@@ -8,6 +8,7 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from txnrules.llm import alignment as A
+from txnrules.llm.stretches import stretches
 
 PATHS = A.default_vocabularies()
 SCHEMA = "doc_id long, text string, rid string, pair int, n string, key string"
@@ -78,7 +79,7 @@ def frame(spark, texts):
 
 def test_stretches_make_up_the_text():
     for t in [x for x in data() if x]:
-        assert " ".join(A.stretches(t)) == t
+        assert " ".join(stretches(t)) == t
 
 
 @pytest.mark.parametrize("piece", [1, 2, 7, A.PIECE])

@@ -22,7 +22,6 @@ from __future__ import annotations
 import hashlib
 import itertools
 import os
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -33,30 +32,16 @@ from pyspark.sql import functions as F
 from txnrules.llm.bpe import read_vocabulary
 from txnrules.llm.mapped import Writer, opened
 from txnrules.llm.runtime import cut, table
+from txnrules.llm.stretches import stretches
 
 PIECE = 65_536  # merged ends of a piece
 MEMO, MEMO_CHARS, LONGEST = 300_000, 8_000_000, 64  # stretches and characters after which a task forgets; the longest stretch that it looks up again
 FREQUENT = 1_000_000
 CHARS_AT_ONCE = 500_000
 LONG = 100_000  # characters of a text that the regular expressions of tiktoken may not stand
-CLEAN = re.compile(r"\s \s|  |^ | $")
 ALIGNED = "key long, n_a long, n_b long, n_groups long, n_links long, digest string, pairs array<long>, times array<long>"
 
 
-def stretches(text: str) -> list[str]:
-    """Parts that text and a space before it are cut into, without the space that each begins with: cuts are before a space that has no space beside it, nor white space on both sides."""
-    parts = text.split(" ")
-    if not CLEAN.search(text):
-        return parts
-    out = parts[:1]
-    for part in parts[1:]:
-        if part and out[-1] and out[-1][-1] != " " and not (out[-1][-1].isspace() and part[0].isspace()):
-            out.append(part)
-        else:
-            out[-1] += " " + part
-    return out
-
-
 def diagonals(a: np.ndarray, b: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Merge path: how many of a and of b (sorted) are among the first `at` of their merge, by binary search along each diagonal; equal ends stay together."""
     low, high = np.maximum(0, at - len(b)), np.minimum(at, len(a))

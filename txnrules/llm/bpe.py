@@ -140,7 +140,10 @@ class Merges:
             keep[at + 1] = False
             now = at - np.arange(len(at))  # each merge before it took one token away
             ids, word, rank = ids[keep], word[keep], rank[keep]
-            stale = np.unique(np.concatenate([now, now[now > 0] - 1]))
+            changed = np.zeros(len(ids), bool)
+            changed[now] = True
+            changed[now[now > 0] - 1] = True
+            stale = np.flatnonzero(changed)
             rank[stale] = NEVER
             stale = stale[stale + 1 < len(ids)]
             stale = stale[word[stale] == word[stale + 1]]
