@@ -75,9 +75,16 @@ class Rule:
     def condition(self) -> Column:
         return holds(self.when if isinstance(self.when, Column) else F.expr(self.bound(self.when)))
 
-    def expressions(self) -> list[Column]:
-        """Everything of the rule that has to be analysed."""
-        return [self.condition(), _entries(self), *[F.expr(self.bound(v)) for v in self.fields.values()]]
+    def texts(self) -> list[str]:
+        """All SQL of the rule: the condition, as a yes or no, tags that are worked out per row, and fields."""
+        condition = [f"coalesce(({self.bound(self.when)}), false)"] if isinstance(self.when, str) else []
+        return condition + [f"CAST({self.bound(t[1:-1])} AS {'array<string>' if t[0] == '[' else 'string'})" for t in self.tags if t[:1] in "{["] + [self.bound(v) for v in self.fields.values()]
+
+    def analysed(self, df: DataFrame) -> None:
+        """Raises an error if the rule can't be used on df."""
+        df.selectExpr("1", *self.texts())
+        if isinstance(self.when, Column):
+            df.select(self.condition())
 
     def patterns(self) -> list[str]:
         """Quoted regular expressions of the condition, as Spark reads them."""
@@ -143,11 +150,12 @@ class RuleSet:
             for pattern in r.patterns():
                 tried(k, f"pattern {pattern}", lambda p=pattern: compile_("(?iU)" + p))
         try:
-            df.select(*[e for k, r in enumerate(self.rules) if k not in reasons for e in r.expressions()])
+            df.selectExpr("1", *[t for k, r in enumerate(self.rules) if k not in reasons for t in r.texts()])
+            df.select(F.lit(1), *[r.condition() for k, r in enumerate(self.rules) if k not in reasons and isinstance(r.when, Column)])
         except PySparkException:
             for k, r in enumerate(self.rules):
                 if k not in reasons:
-                    tried(k, "expression", lambda r=r: df.select(*r.expressions()))
+                    tried(k, "expression", lambda r=r: r.analysed(df))
         finally:
             log.setLevel(level)
         return reasons

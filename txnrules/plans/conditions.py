@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from txnrules.functions import text as X
 from txnrules.functions import values as V
 from txnrules.functions.similarity import with_similarity
+from txnrules.operators import packed
 from txnrules.operators import rules as R
 from txnrules.plans import tables
 from txnrules.plans.registry import register
@@ -331,3 +332,26 @@ def r16_many(spark, sf_dir):
 @register("r16_rejected_rules", "SELECT c_custkey::INT AS ord, '(' || c_name AS pattern, 'invalid pattern' AS reason FROM customer WHERE c_custkey % 100 = 0")
 def r16_rejected(spark, sf_dir):
     return R.rejected_rows(_customer_rules(spark, sf_dir))
+
+
+@register("r01_packed_hits", f"WITH {CLASSIFIED_SQL} SELECT category, subcategory, merchant, coalesce(matched_rule, 'none') AS rule, array_to_string(tags, '|') AS tags, {TOTALS} FROM cls GROUP BY ALL")
+def r01_packed(spark, sf_dir):
+    """The same rules with hits as bits."""
+    X.register_sql_functions(spark)
+    found = packed.classify(tables.txn(spark, sf_dir), R.RuleSet(RULES))
+    return totals(found.withColumns({"rule": F.coalesce("matched_rule", F.lit("none")), "tags": F.array_join("tags", "|")}), "category", "subcategory", "merchant", "rule", "tags")
+
+
+_BRANDS = [R.Rule(f"Brand {k}", f"description LIKE '%BRAND#{k}'", f"Brand {k}", tags=[f"b{k % 5}"]) for k in range(200)] + [R.Rule("Thirteen again", "has(description, 'BRAND#13')", "Late"), R.Rule("Any", "amount > 0", "Any")]
+
+
+@register(
+    "r20_shadowed",
+    f"""WITH {TXN_SQL}, b AS (SELECT regexp_extract(description, 'BRAND#(.*)$', 1)::INT AS k, amount FROM txn), r AS (SELECT unnest(range(202))::INT AS ord)
+    SELECT ord, CASE WHEN ord < 200 THEN ord IN (SELECT k FROM b) WHEN ord = 200 THEN 13 IN (SELECT k FROM b) ELSE (SELECT count(*) > 0 FROM b WHERE amount > 0) END AS ever,
+           CASE WHEN ord < 200 THEN false WHEN ord = 200 THEN 13 IN (SELECT k FROM b) ELSE (SELECT count(*) > 0 FROM b WHERE amount > 0) AND NOT EXISTS (SELECT 1 FROM b WHERE amount > 0 AND k >= 200) END AS shadowed FROM r""",
+)
+def r20_shadowed(spark, sf_dir):
+    """Rules that hit but never come first, from bits OR-ed over all rows."""
+    X.register_sql_functions(spark)
+    return packed.usage(tables.txn(spark, sf_dir), R.RuleSet(_BRANDS)).select("ord", "ever", "shadowed")
