@@ -66,7 +66,9 @@ spent("a07_by_month", "SELECT month, count(*) AS count, round(sum(eff), 2) AS to
 spent("a08_num_months", "SELECT count(DISTINCT month) AS num_months FROM sp", spend.num_months)
 merchants("a09_when_active", "SELECT merchant, months_active, round(total / months_active, 2) AS avg_when_active FROM mer", lambda m: m.select("merchant", "months_active", r2("avg_when_active").alias("avg_when_active")))
 spent("a10_variation", "SELECT merchant, round(cv, 4) AS cv, cv < 0.3 AS consistent FROM cvs", lambda d: spend.variation(d).withColumn("cv", F.round("cv", 4)), CV_SQL)
-merchants("a11_monthly_value", "SELECT merchant, round(total / 12, 2) AS monthly_value FROM mer", lambda m: m.select("merchant", r2("monthly_value").alias("monthly_value")))
+# A twelfth of a sum of cents is often half a cent: sums are brought to cents first, or the noise of summing doubles, in whatever order, would decide.
+TWELFTH_SQL, twelfth = "round(round({}, 2) / 12, 2)", lambda total: r2(r2(total) / 12)
+merchants("a11_monthly_value", f"SELECT merchant, {TWELFTH_SQL.format('total')} AS monthly_value FROM mer", lambda m: m.select("merchant", twelfth("total").alias("monthly_value")))
 _FLOW = """flow AS (SELECT coalesce(sum(abs(amount)) FILTER (bucket = 'income'), 0) AS income, coalesce(sum(amount) FILTER (bucket = 'spending'), 0) AS spending, coalesce(sum(-amount) FILTER (bucket = 'credit'), 0) AS credit,
     coalesce(sum(amount) FILTER (bucket = 'transfer_in'), 0) AS transfer_in, coalesce(sum(-amount) FILTER (bucket = 'transfer_out'), 0) AS transfer_out, coalesce(sum(abs(amount)) FILTER (bucket = 'investment'), 0) AS investment,
     sum(amount) AS raw_total, sum(eff) AS merchant_total, count(*) AS count, count(DISTINCT month) AS num_months FROM sp)"""
@@ -97,9 +99,9 @@ spent(
 )
 spent(
     "a17_hierarchy",
-    """SELECT category, subcategory, merchant, round(sum(eff), 2) AS ytd, round(sum(eff) / 12, 2) AS monthly, count(*) AS count, CASE grouping_id(category, subcategory, merchant) WHEN 7 THEN 0 WHEN 3 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS level
+    f"""SELECT category, subcategory, merchant, round(sum(eff), 2) AS ytd, {TWELFTH_SQL.format('sum(eff)')} AS monthly, count(*) AS count, CASE grouping_id(category, subcategory, merchant) WHEN 7 THEN 0 WHEN 3 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS level
     FROM (SELECT CASE WHEN category = 'Unknown' THEN 'Uncategorized' ELSE category END AS category, subcategory, merchant, eff FROM sp) GROUP BY ROLLUP (category, subcategory, merchant)""",
-    lambda d: spend.hierarchy(d).withColumns({"ytd": r2("ytd"), "monthly": r2("monthly")}),
+    lambda d: spend.hierarchy(d).withColumns({"monthly": twelfth("ytd"), "ytd": r2("ytd")}),
 )
 spent(
     "a18_category_types",
@@ -313,7 +315,7 @@ spent(
     "SELECT month, category, round(sum(amount), 2) AS total FROM sp WHERE bucket = 'spending' AND category IN (SELECT category FROM sp WHERE bucket = 'spending' GROUP BY category ORDER BY sum(amount) DESC, category LIMIT 8) GROUP BY ALL",
     lambda d: d.filter("bucket = 'spending'").join(spend.top(d.filter("bucket = 'spending'").groupBy("category").agg(F.sum("amount").alias("t")), 8, F.desc("t"), "category").select("category"), "category", "left_semi").groupBy("month", "category").agg(r2(F.sum("amount")).alias("total")),
 )
-ranked("w10_by_monthly_value", "SELECT merchant, round(total / 12, 2) AS monthly FROM mer ORDER BY total / 12 DESC, merchant", lambda m: m.orderBy(F.desc("monthly_value"), "merchant").select("merchant", r2("monthly_value").alias("monthly")))
+ranked("w10_by_monthly_value", f"SELECT merchant, {TWELFTH_SQL.format('total')} AS monthly FROM mer ORDER BY total / 12 DESC, merchant", lambda m: m.orderBy(F.desc("monthly_value"), "merchant").select("merchant", twelfth("total").alias("monthly")))
 
 # Set operations
 register("u01_union", "SELECT 'orders' AS kind, count(*) AS n FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem")(

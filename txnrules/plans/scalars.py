@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from txnrules.functions import text as X
@@ -13,7 +14,7 @@ from txnrules.operators import profile, sketches
 from txnrules.plans import tables
 from txnrules.plans.registry import register
 from txnrules.plans.tables import OTXN_SQL, TXN_SQL
-from txnrules.sources import ingest, sinks
+from txnrules.sources import ingest, records, sinks
 
 c = F.col
 
@@ -365,6 +366,23 @@ def k05(spark, sf_dir):
     return back.groupBy(F.col("month").cast("string").alias("month"), "category").agg(F.count("*").alias("n"))
 
 
+@register(
+    "s01_ordered_records",
+    """WITH r AS (SELECT o_orderkey, o_orderpriority, o_totalprice, row_number() OVER (PARTITION BY o_orderkey % 3 ORDER BY o_orderkey) AS nth FROM orders)
+    SELECT o_orderpriority AS priority, count(*) AS n, round(sum(o_totalprice), 2) AS total, sum(nth * (o_orderkey % 1000))::BIGINT AS order_sum FROM r GROUP BY 1""",
+)
+def s01_records(spark, sf_dir):
+    """Orders exported to three files with line ends in quoted cells, read back with each row's place in its file."""
+    path = scratch(spark)
+    orders = tables.table(spark, sf_dir, "orders").withColumn("file", c("o_orderkey") % 3)
+    line = F.concat_ws(",", c("o_orderkey").cast("string"), F.concat(F.lit('"'), c("o_orderpriority"), F.lit('\nsecond ""line""'), F.lit('"')), c("o_totalprice").cast("string"))
+    orders.repartition("file").sortWithinPartitions("file", "o_orderkey").select(line.alias("value"), "file").write.partitionBy("file").text(path)
+    rows = records.read_ordered(spark, path, 3, header=False)
+    place = F.row_number().over(Window.partitionBy("file").orderBy("offset"))
+    read = rows.select(F.split_part("c1", F.lit("\n"), F.lit(1)).alias("priority"), c("c0").cast("long").alias("key"), c("c2").cast("double").alias("amount"), place.alias("nth"))
+    return read.groupBy("priority").agg(F.count("*").alias("n"), F.round(F.sum("amount"), 2).alias("total"), F.sum(c("nth") * (c("key") % 1000)).alias("order_sum"))
+
+
 @register(
     "t02_merged_sketches",
     """SELECT 'c_acctbal' AS name, count(*) AS rows, count(c_acctbal) AS filled, count(c_acctbal) AS numeric, true AS distinct_close, true AS median_close, NULL::BIGINT AS most_frequent FROM customer

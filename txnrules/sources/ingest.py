@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txnrules.functions.text import trimmed
+from txnrules.sources import records
 
 
 @dataclass
@@ -66,11 +67,13 @@ def location_of(own: Column | None, description: Column) -> Column:
 def read_delimited(spark: SparkSession, path: str, width: int, separator: str = ",", header: bool = True, multiline: bool = False) -> DataFrame:
     """All columns as text, by position c0 ... ; short lines have nulls at the end, and their number of cells in _cells. `separator` may be 'tab'.
 
-    With `multiline` quoted cells may hold line ends; a file is then read by one task.
+    With `multiline` quoted cells may hold line ends; records are then put together by `records.read_ordered`, by any number of tasks.
     """
+    if multiline:
+        return records.read_ordered(spark, path, width, separator, header).drop("file", "offset", "line")
     separator = "\t" if separator == "tab" else separator
     schema = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(width)] + [T.StructField("_line", T.StringType())])
-    read = spark.read.option("columnPruning", False).csv(path, schema=schema, sep=separator, header=header, quote='"', escape='"', multiLine=multiline, enforceSchema=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_line")
+    read = spark.read.option("columnPruning", False).csv(path, schema=schema, sep=separator, header=header, quote='"', escape='"', enforceSchema=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_line")
     # Spark keeps the whole line where it has another number of cells than the schema.
     cells = F.size(F.split(F.regexp_replace("_line", '"(?:[^"]|"")*"', ""), re.escape(separator)))
     return read.select(*[f"c{k}" for k in range(width)], F.when(F.col("_line").isNotNull(), cells).alias("_cells"))
