@@ -93,3 +93,41 @@ def test_arrays_come_in_runs(spark, monkeypatch):
     monkeypatch.setattr(L, "RUN", 7)
     parts = L.train(rows)
     assert (whole.entropies(["thing ein eau"]) == parts.entropies(["thing ein eau"])).all() and whole.size == parts.size
+
+
+def test_whole_query_matches_the_definition(spark, tmp_path, monkeypatch):
+    """Every prediction and score from dictionaries of n-gram strings; without calibration documents the temperature is 1."""
+    import zlib
+
+    monkeypatch.setattr(L, "CALIBRATION", 0)
+    monkeypatch.setattr(L.train, "__defaults__", ("doc_id", "text", "lang", 0))
+    rows = data(90) + [(200, "", "aa"), (201, None, "bb"), (202, "42", None), (203, "thing Eau", None)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    models = {x: brute_entropy([t for i, t, lang in rows if lang == x and t and not held(i)], "") for x in SYLLABLES}
+
+    def entropy(text, model):
+        counts, total, kinds, discount, fold = model
+        floor = 1 / (len(counts[1]) + 1)
+
+        def p(g, k):
+            if not k:
+                return floor
+            g = g[-k:]
+            if g[:-1] not in total[k]:
+                return p(g, k - 1)
+            return max(counts[k].get(g, 0) - discount[k], 0) / total[k][g[:-1]] + discount[k] * kinds[k][g[:-1]] / total[k][g[:-1]] * p(g, k - 1)
+
+        s = fold(text)
+        return -sum(math.log(p(s[i - 3 : i + 1], 4)) for i in range(3, len(s))) / (len(s) - 3)
+
+    got = {r.doc_id: r for r in L.op9_kneser_ney(spark, str(tmp_path)).collect()}
+    for i, t, _ in rows:
+        assert got[i].held_out == held(i)
+        if not t or not any(c.isalpha() for c in t):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        e = {x: entropy(t, m) for x, m in models.items()}
+        best = min(sorted(e), key=e.get)
+        share = math.exp(-e[best]) / sum(math.exp(-v) for v in e.values())
+        assert got[i].lang_pred == best and abs(got[i].score - share) < 1e-3

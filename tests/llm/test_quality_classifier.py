@@ -70,3 +70,48 @@ def test_no_labels_of_both_kinds():
     assert Q.Network(np.zeros((0, 64)), np.zeros(0), np.zeros(0, bool)).score(np.zeros((2, 64))).tolist() == [0.5, 0.5]
     assert Q.Network(np.zeros((3, 64)), np.ones(3), np.zeros(3, bool)).score(np.zeros((1, 64))).tolist() == [1.0]
     assert Q.pooled(pa.array([None, ""]), np.ones((1 << Q.SLOT_BITS, Q.DIM), np.float32)).sum() == 0
+
+
+def test_whole_query_matches_the_definition(spark, tmp_path):
+    """Word vectors, documents' vectors, sample and score with dictionaries and loops; the network itself is fitted by the same routine."""
+    import random
+    import re
+    import zlib
+
+    rng = random.Random(88)
+    word = lambda good: "".join(rng.choice(["the", "ing", "er"] if good else ["xq", "zz", "kj"]) for _ in range(rng.randrange(1, 4)))
+    good = {k: rng.random() < 0.5 for k in range(240)}
+    docs = [(k, rng.choice(["", "é ", "a_1! "]) + " ".join(word(good[k] or rng.random() < 0.2) for _ in range(rng.randrange(0, 40)))) for k in good] + [(240, None), (241, ""), (3, "the the")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, int(good[k])) for k in range(200)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    columns, signs = Q.index_vectors()
+
+    def slots(text):
+        out = []
+        for t in re.findall(rb"[0-9A-Za-z_\x80-\xff]+|[^0-9A-Za-z_\x80-\xff \t\n\x0b\x0c\r]+", (text or "").encode()):
+            h = sum((b + 1) * int(Q.PLACES[i & 255]) for i, b in enumerate(t)) % 2**64
+            h ^= h >> 31
+            out.append(h * int(Q.SPREAD) % 2**64 >> 64 - Q.SLOT_BITS)
+        return out
+
+    sums = {}
+    for _, text in docs:
+        row = slots(text)
+        for i, s in enumerate(row):
+            for j in range(max(0, i - Q.REACH), min(len(row), i + Q.REACH + 1)):
+                if j != i:
+                    for c, sign in zip(columns[row[j]], signs[row[j]], strict=True):
+                        sums.setdefault(s, np.zeros(Q.DIM))[c] += sign
+    unit = {s: v / max(np.linalg.norm(v), 1e-9) for s, v in sums.items()}
+
+    def features(text):
+        v = np.array([unit.get(s, np.zeros(Q.DIM)) for s in slots(text)]).reshape(-1, Q.DIM)
+        return np.concatenate([v.mean(axis=0), v.std(axis=0)]) if len(v) else np.zeros(2 * Q.DIM)
+
+    hashes = {r.doc_id: r.h for r in spark.range(242).selectExpr("id AS doc_id", "xxhash64(id) AS h").collect()}
+    taught = sorted((hashes[k], good[k], features(t).tolist()) for k, t in docs if k < 200 and zlib.crc32(str(k).encode()) % 3 != 1)
+    h = np.array([x[0] for x in taught])
+    network = Q.Network(np.array([x[2] for x in taught]), np.array([float(x[1]) for x in taught]), (h // 7) % 5 == 0)
+    want = sorted((k, zlib.crc32(str(k).encode()) % 3 == 1, s) for (k, _), s in zip(docs, network.score(np.array([features(t) for _, t in docs])), strict=True))
+    got = sorted((r.doc_id, r.held_out, r.score, r.predicted) for r in Q.op8_random_indexing(spark, str(tmp_path)).collect())
+    assert [x[:2] for x in got] == [x[:2] for x in want] and all(abs(x[2] - y[2]) < 0.02 and x[3] == (x[2] >= 0.5) for x, y in zip(got, want, strict=True))
