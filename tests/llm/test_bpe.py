@@ -83,3 +83,13 @@ def test_query_digests(spark, tmp_path):
         assert r.n_tokens == len(want)
         assert r.ids_sha256 == hashlib.sha256(",".join(map(str, want)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_words_are_what_the_pattern_finds():
+    rng = random.Random(17)
+    parts = ["word", "Été", "'s", "'ll", "'", " ", "  ", "\n", "\t", "\x85", "\x1c", "12", "½", "!", "...", "日本", "👩‍👩", "é", " 'd", "\u0378", "\u2028", "\xa0", "s", "l"]
+    texts = ["", " ", "'", "'s", "a ", " a", "'re've", "it's 'tis", "x\n\n y", "  "] + ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 25))) for _ in range(5000)]
+    texts += ["".join(f"a{chr(c)}1{chr(c)} {chr(c)}b  {chr(c)}'s" for c in range(a, a + 64) if not 0xD800 <= c < 0xE000) for a in range(0, 0x20000, 64)]
+    for a in range(0, len(texts), 300):
+        for t, words in zip(texts[a : a + 300], bpe.words_of(texts[a : a + 300]), strict=True):
+            assert words == bpe.WORD.findall(t), repr(t)

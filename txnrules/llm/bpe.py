@@ -32,10 +32,12 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from txnrules.llm.characters import LETTER, UNKNOWN, WHITE, kinds
 from txnrules.llm.runtime import table
 
 LEXICON = 32_768
@@ -44,6 +46,7 @@ MEMO = 200_000
 SMALL = 256  # documents encoded at a time
 SHORT = 48  # bytes of a word that is merged together with others
 NEVER = 1 << 40
+END = "\U0010ffff"  # ends a text or a word where several are one; it is no character, so texts that have it are of an unknown kind
 ENCODED = "key long, ids array<int>, decoded string"
 
 # The pre-tokenizer's fixed pattern, with white space by its Unicode property.
@@ -60,6 +63,46 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+def split_words(texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """What WORD finds in all texts, with numpy over their characters, and how many words each text has; the texts hold no character of an unknown kind.
+
+    Runs of letters, digits or other marks are words, with the one space before them. White space before a word is a word but for its last character, which is one of its own if it is no
+    space; at the end of a text it is one word. An apostrophe that begins a word takes the ending after it.
+    """
+    chars = np.frombuffer(END.join([*texts, ""]).encode("utf-32-le"), np.uint32)
+    kind = kinds()[chars]
+    over = chars == ord(END)
+    kind[over] = UNKNOWN
+    start = ~over
+    start[1:] &= kind[1:] != kind[:-1]
+    after = 1 + np.flatnonzero((kind[:-1] == WHITE) & (kind[1:] != WHITE))
+    after = after[~over[after]]
+    start[after - 1] = True
+    start[after[chars[after - 1] == 32]] = False
+    at = np.flatnonzero((chars == 39) & start)
+    if len(at):
+        first, second = chars[at + 1], chars[np.minimum(at + 2, len(chars) - 1)]
+        one = np.isin(first, [ord(c) for c in "stmd"])
+        two = ((second == ord("e")) & np.isin(first, [ord("r"), ord("v")])) | ((first == ord("l")) & (second == ord("l")))
+        start[at[one | two] + 1] = False
+        for ends in (at[one] + 2, at[two] + 3):
+            start[ends[kind[ends] == LETTER]] = True
+    kept = np.flatnonzero(~over)
+    begins = start[kept]
+    spaced = np.full(len(kept) + int(begins.sum()), ord(END), np.uint32)
+    spaced[np.arange(len(kept)) + np.cumsum(begins)] = chars[kept]
+    words = spaced.tobytes().decode("utf-32-le").split(END)[1:]
+    return words, np.diff(np.concatenate([[0], np.cumsum(start)[over]]))
+
+
+def words_of(texts: list[str]) -> list[list[str]]:
+    """Words of each text; texts with characters of an unknown kind go through the pattern."""
+    plain = [t.isascii() or not (kinds()[np.frombuffer(t.encode("utf-32-le"), np.uint32)] == UNKNOWN).any() for t in texts]
+    words, counts = split_words([t if ok else "" for t, ok in zip(texts, plain, strict=True)])
+    ends = np.cumsum(counts).tolist()
+    return [words[a:b] if ok else WORD.findall(t) for t, ok, a, b in zip(texts, plain, [0, *ends], ends, strict=False)]
+
+
 class Merges:
     """Token bytes and ranked merges; encodes one word exactly."""
 
@@ -72,6 +115,9 @@ class Merges:
         self.pairs, self.pair_rank = keys[order], order
         self.rank = {(a, b): (k, m) for k, (a, b, m) in enumerate(zip(left.tolist(), right.tolist(), merged.tolist(), strict=True))}
 
+    def encode_ordinary(self, word: str) -> list[int]:
+        return self.encode(word.encode())
+
     def encode(self, word: bytes) -> list[int]:
         ids = [self.single[b] for b in word]
         n = len(ids)
@@ -254,6 +300,16 @@ def compile_lexicon(words: list[str], vocabulary: dict[str, np.ndarray], path: s
         f.write(len(top).to_bytes(8, "little") + top + b"".join(body))
 
 
+def one_word(merges: Merges, arrays) -> Merges | tiktoken.Encoding:
+    """What merges a word that is not in the lexicon: tiktoken, which goes by the rank of the merged bytes, where the file's ids are the ranks of its merges; else `Merges`."""
+    ids = arrays["merged"]
+    if len(ids) and (np.diff(ids) <= 0).any():
+        return merges
+    added = set(arrays["added"].tolist())
+    ranks = {t: k for k, t in enumerate(merges.tokens) if t and k not in added}
+    return tiktoken.Encoding("words", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
+
+
 class Lexicon:
     """The memory-mapped file, and a memo of words: their ids (as int32 bytes) and decoded bytes."""
 
@@ -265,6 +321,7 @@ class Lexicon:
         self.merges = merges_of(arrays)
         self.arc, self.target, self.out, self.final, self.ids_at, self.ids = (arrays[n] for n in ("arc", "target", "out", "final", "ids_at", "ids"))
         self.root = int(arrays["root"][0])
+        self.merged = one_word(self.merges, arrays)
         self.memo: dict[str, tuple[bytes, bytes]] = {}
         self.added = {self.merges.tokens[k].decode(): k for k in arrays["added"].tolist()}
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
@@ -295,7 +352,7 @@ class Lexicon:
         """Put words into the memo: from the lexicon where they are in it, else by merging."""
         spelled = [w.encode() for w in words]
         places = self.places(spelled).tolist()
-        unseen = iter(self.merges.encode_many([w for w, k in zip(spelled, places, strict=True) if k < 0]))
+        unseen = map(self.merged.encode_ordinary, [w for w, k in zip(words, places, strict=True) if k < 0])
         starts, ids = self.ids_at.tolist(), self.ids
         for w, k in zip(words, places, strict=True):
             found = ids[starts[k] : starts[k + 1]].tolist() if k >= 0 else next(unseen)
@@ -305,15 +362,17 @@ class Lexicon:
         tokens = self.merges.tokens
         return b"".join([tokens[i] for i in ids])
 
-    def words(self, text: str) -> list[str]:
+    def words(self, texts: list[str]) -> list[list[str]]:
         """Pre-tokenized words; an added token is a word of its own."""
-        if self.split and any(x in text for x in self.added):
-            return [w for part in self.split.split(text) for w in ([part] if part in self.added else WORD.findall(part))]
-        return WORD.findall(text)
+        special = {k: self.split.split(t) for k, t in enumerate(texts) if any(x in t for x in self.added)} if self.split else {}
+        lists = words_of(["" if k in special else t for k, t in enumerate(texts)])
+        for k, parts in special.items():
+            lists[k] = [w for part in parts for w in ([part] if part in self.added else WORD.findall(part))]
+        return lists
 
     def encode(self, texts: list[str]) -> list[list[tuple[bytes, bytes]]]:
         """Per text, the memo's entries of its words."""
-        memo, lists = self.memo, [self.words(t) for t in texts]
+        memo, lists = self.memo, self.words(texts)
         if len(memo) > MEMO:
             memo.clear()
         for token, k in self.added.items():
@@ -328,8 +387,9 @@ def frequent_words(docs: DataFrame, text: str = "text", size: int = LEXICON, sum
     def summarise(batches):
         counts: Counter = Counter()
         for batch in batches:
-            for t in batch.column(0):
-                counts.update(WORD.findall(t.as_py() or ""))
+            for at in range(0, batch.num_rows, SMALL):
+                for words in words_of([t or "" for t in batch.column(0).slice(at, SMALL).to_pylist()]):
+                    counts.update(words)
                 if len(counts) > 8 * summary:
                     counts = shrunk(counts, summary)
         counts = shrunk(counts, summary)

@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txnrules.llm.bpe import byte_letters
+from txnrules.llm.characters import NUMBER, UNKNOWN, WHITE, kinds
 from txnrules.llm.runtime import table
 
 TOKENS, SEGMENTS, LOSS = 4096, 256, 4096
@@ -39,21 +40,6 @@ POOL = 1024  # pieces that wait in a task
 MEMO = 400_000  # words that a task remembers
 CHARS_AT_ONCE = 500_000
 PACKED = "key long, start long, ids binary, loss_tokens long, doc_tokens long, sequence long, offset long"
-OTHER, LETTER, NUMBER, WHITE, UNKNOWN = range(5)
-# The characters that Unicode calls white space.
-WHITE_SPACE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-
-_kinds: list[np.ndarray] = []
-
-
-def kinds() -> np.ndarray:
-    """Code point to its kind; built once per worker."""
-    if not _kinds:
-        of = {"L": LETTER, "N": NUMBER}
-        found = np.array([UNKNOWN if (k := unicodedata.category(chr(c))) == "Cn" else of.get(k[0], OTHER) for c in range(0x110000)], np.uint8)
-        found[WHITE_SPACE] = WHITE
-        _kinds.append(found)
-    return _kinds[0]
 
 
 def normal(text: str) -> str:
