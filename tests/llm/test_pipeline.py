@@ -105,3 +105,14 @@ def test_stages_keep_the_columns(spark, folder):
 def test_held_out_labels_are_not_learnt(spark, folder):
     labels = spark.read.parquet(f"{folder}/labels.parquet")
     assert 0 < labels.filter(~Q.held_out()).count() < labels.count()
+
+
+def test_copies_with_other_line_ends_are_near_duplicates(spark, tmp_path):
+    """Two texts of the same words in lines of other lengths share no line, so the lines stage keeps both, and the next one keeps one."""
+    words = [f"w{k * 7919 % 1000}x{k}" for k in range(400)]
+    wrap = lambda n: "\n".join(" ".join(words[k : k + n]) for k in range(0, len(words), n))
+    docs = spark.createDataFrame([(1, wrap(37)), (2, wrap(50)), (3, "quite another text of its own\nin two lines")], "doc_id long, text string")
+    kept = corpus_pipeline.lines(spark, docs, str(tmp_path))
+    assert sorted((r.doc_id, len(r.text.split())) for r in kept.collect()) == [(1, 400), (2, 400), (3, 9)]
+    kept = spark.createDataFrame(kept.collect(), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, kept, str(tmp_path)).collect()) == [1, 3]
