@@ -3,6 +3,7 @@
 import datetime
 
 from txnrules.operators import spend, views
+from txnrules.plans import registry
 
 SCHEMA = "description string, amount double, date date, merchant string, category string, subcategory string, tags array<string>, source string, location string"
 
@@ -40,3 +41,19 @@ def test_empty(spark):
     d = frame(spark, ("a", 1, 1, "x", [])).limit(0)
     assert spend.by_merchant(d).count() == 0 and spend.cash_flow(d).first()["count"] == 0
     assert views.classify_views(views.features(d), views.default_views()).count() == 0
+
+
+def unordered(spark):
+    """Rows of two merchants and a null date, shuffled, with equal rows and amounts that only their tags tell apart."""
+    day = datetime.date
+    made = [("b", -5.0, day(2025, 2, 1), ["income"]), ("a", 1.5, day(2025, 1, 9), []), ("b", -5.0, day(2025, 2, 1), []), ("a", 1.5, day(2025, 1, 9), []), ("c", 7.25, None, []), ("a", 3.0, day(2025, 2, 1), ["x"])]
+    rows = [(d, a, when, "Shop", "Food", "s", tags, "src", None) for d, a, when, tags in made] + [("z", 2.0, day(2025, 1, 1), "Other", "Food", "s", [], "src", None)]
+    return spend.with_buckets(spark.createDataFrame(rows, SCHEMA).repartition(3))
+
+
+def test_merchants_list_their_descriptions(spark):
+    found = spend.listed_descriptions(spend.description_counts(unordered(spark)))
+    assert {r.merchant: r.descriptions for r in found.collect()} == {"Shop": "a:3|b:2|c:1", "Other": "z:1"}
+    query, sql = registry.queries()["a04_by_merchant"](spark, "/root/testdata/sf0.001"), registry.oracle_sql()["a04_by_merchant"]
+    listed = {r.merchant: (r["count"], r.descriptions) for r in query.collect()}
+    assert "descriptions" in sql and all(n == sum(int(x.rsplit(":", 1)[1]) for x in told.split("|")) for n, told in listed.values())

@@ -110,6 +110,14 @@ def description_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("merchant", "description").agg(F.count("*").alias("n"))
 
 
+def listed_descriptions(counts: DataFrame) -> DataFrame:
+    """merchant and its descriptions with their numbers, as description:n, in order: as long as the merchant has different descriptions, however many transactions."""
+    each = F.collect_list(F.when(F.col("description").isNotNull(), F.struct("description", "n")))
+    told = counts.groupBy("merchant").agg(F.array_sort(each).alias("each"))
+    text = F.array_join(F.transform("each", lambda x: F.concat_ws(":", x["description"], x["n"].cast("string"))), "|")
+    return told.select("merchant", F.when(F.size("each") > 0, text).alias("descriptions"))
+
+
 def credit_groups(df: DataFrame, *keys: str) -> DataFrame:
     """Groups (merchants, or finer ones) whose total is negative."""
     return by(df, *keys).filter("total < 0")

@@ -44,16 +44,21 @@ def from_state(name: str, table: str, sql: str, build, base: str) -> None:
     register(name, f"WITH {base} {sql}")(lambda spark, sf_dir: build(tables.kept(spark, sf_dir, table)))
 
 
-from_state(
+def by_merchant(spark, sf_dir):
+    """Merchants with their descriptions, from two tables of the kept state."""
+    found = spend.of_periods(state.merchant_periods(tables.kept(spark, sf_dir, "totals")))
+    listed = spend.listed_descriptions(state.description_counts(tables.kept(spark, sf_dir, "descriptions")))
+    return found.join(listed, "merchant").select(
+        "merchant", "count", r2("total").alias("total"), "months_active", r2("max_payment").alias("max_payment"), "category", "subcategory", F.array_join("tags", "|").alias("tags"), "first_rule", "descriptions"
+    )
+
+
+register(
     "a04_by_merchant",
-    "totals",
-    f"""SELECT merchant, count, round(total, 2) AS total, months_active, round(max_payment, 2) AS max_payment, category, subcategory, array_to_string(tags, '|') AS tags, first_rule
-    FROM mer JOIN (SELECT merchant, arg_min(matched_rule, {ORDER_SQL}) FILTER (matched_rule IS NOT NULL) AS first_rule FROM sp GROUP BY merchant) USING (merchant)""",
-    lambda t: spend.of_periods(state.merchant_periods(t)).select(
-        "merchant", "count", r2("total").alias("total"), "months_active", r2("max_payment").alias("max_payment"), "category", "subcategory", F.array_join("tags", "|").alias("tags"), "first_rule"
-    ),
-    MERCHANTS_SQL,
-)
+    f"""WITH {MERCHANTS_SQL} SELECT merchant, count, round(total, 2) AS total, months_active, round(max_payment, 2) AS max_payment, category, subcategory, array_to_string(tags, '|') AS tags, first_rule, descriptions
+    FROM mer JOIN (SELECT merchant, arg_min(matched_rule, {ORDER_SQL}) FILTER (matched_rule IS NOT NULL) AS first_rule FROM sp GROUP BY merchant) USING (merchant)
+    JOIN (SELECT merchant, string_agg(description || ':' || n, '|' ORDER BY description) AS descriptions FROM (SELECT merchant, description, count(*) AS n FROM sp GROUP BY ALL) GROUP BY merchant) USING (merchant)""",
+)(by_merchant)
 spent(
     "a04_from_transactions",
     "SELECT merchant, count, round(total, 2) AS total, months_active, array_to_string(tags, '|') AS tags FROM mer",
