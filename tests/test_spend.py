@@ -1,6 +1,7 @@
 """Totals on small tables."""
 
 import datetime
+import hashlib
 
 from txnrules.operators import spend, views
 from txnrules.plans import registry
@@ -51,6 +52,24 @@ def unordered(spark):
     return spend.with_buckets(spark.createDataFrame(rows, SCHEMA).repartition(3))
 
 
+def md5(text):
+    return hashlib.md5(text.encode()).hexdigest()
+
+
+def test_transactions_are_grouped_in_order(spark):
+    found = sorted((r.merchant, r.place, r.month, r.description, r.tags, r.n, r.digest) for r in spend.transactions(unordered(spark)).collect())
+    january, february = md5("2025-01-09 a\n2025-01-09 a"), md5("2025-02-01 a\n2025-02-01 b\n2025-02-01 b")
+    assert found[0] == ("Other", 1, "2025-01", "z", [], 1, md5("2025-01-01 z"))
+    assert found[1:] == [
+        ("Shop", 1, "2025-01", "a", [], 2, january),
+        ("Shop", 2, "2025-01", "a", [], 2, january),
+        ("Shop", 3, "2025-02", "a", ["x"], 3, february),
+        ("Shop", 4, "2025-02", "b", [], 3, february),
+        ("Shop", 5, "2025-02", "b", ["income"], 3, february),
+        ("Shop", 6, None, "c", [], 1, None),  # nothing tells when it was
+    ]
+
+
 def test_merchants_list_their_descriptions(spark):
     found = spend.listed_descriptions(spend.description_counts(unordered(spark)))
     assert {r.merchant: r.descriptions for r in found.collect()} == {"Shop": "a:3|b:2|c:1", "Other": "z:1"}

@@ -6,6 +6,10 @@ Lists and "first" or "last" follow an explicit order of columns, never the order
 
 from __future__ import annotations
 
+import hashlib
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,8 +106,54 @@ def payments(df: DataFrame, unit: str = "month") -> DataFrame:
 
 
 def transactions(df: DataFrame) -> DataFrame:
-    """merchant, month, the columns of ORDER and tags, one a row."""
-    return df.select("merchant", "month", *ORDER, "tags")
+    """merchant, month, the columns of ORDER and tags, one a row, with `in_order`'s columns."""
+    return in_order(df.select("merchant", "month", *ORDER, "tags"), "month", "tags", F.concat(F.date_format("date", "yyyy-MM-dd"), F.lit(" "), "description"), "\n")
+
+
+def in_order(rows: DataFrame, period: str, last: str, line: Column, between: str) -> DataFrame:
+    """Rows with their place in their merchant's, and with n and digest of their merchant and period (see `digests`). ORDER and the column `last` order them, nulls last.
+
+    Places are counted within a period and go on from the periods before it, so no merchant is one window; rows that nothing tells apart are equal.
+    """
+    order = [F.asc_nulls_last(c) for c in (*ORDER, last)]
+    before = Window.partitionBy("merchant").orderBy(F.asc_nulls_last(period)).rowsBetween(Window.unboundedPreceding, -1)
+    groups = digests(rows, ["merchant", period], line, order, between).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    at = rows.withColumn("at", F.row_number().over(Window.partitionBy("merchant", period).orderBy(*order)))
+    same = at["merchant"].eqNullSafe(groups["merchant"]) & at[period].eqNullSafe(groups[period])
+    return at.join(groups, same).select(*[at[c] for c in rows.columns], (F.col("at") + F.col("before")).alias("place"), "n", "digest")
+
+
+def digests(rows: DataFrame, keys: list[str], line: Column, order: list[Column], between: str) -> DataFrame:
+    """keys (texts), n and digest: the number of rows, and the MD5 of their lines in order, without null ones, joined by `between`. A group streams through its task and is never held."""
+
+    def run(batches):
+        group, n, digest = None, 0, None
+        for batch in batches:
+            done = []
+            *of, lines = [c.to_pylist() for c in batch.columns]
+            for key, found in groupby(zip(zip(*of, strict=True), lines, strict=True), lambda x: x[0]):
+                if key != group:
+                    if group is not None:
+                        done.append((*group, n, digest and digest.hexdigest()))
+                    group, n, digest = key, 0, None
+                found = [x for _, x in found]
+                n += len(found)
+                if told := [x for x in found if x is not None]:
+                    if digest is None:
+                        digest = hashlib.md5(usedforsecurity=False)
+                    else:
+                        digest.update(between.encode())
+                    digest.update(between.join(told).encode())
+            yield rows_of(done)
+        if group is not None:
+            yield rows_of([(*group, n, digest and digest.hexdigest())])
+
+    def rows_of(done):
+        kinds = [pa.string()] * len(keys) + [pa.int64(), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in done], kind) for k, kind in enumerate(kinds)], [*keys, "n", "digest"])
+
+    lined = rows.repartition(*keys).sortWithinPartitions(*keys, *order).select(*keys, line.alias("line"))
+    return lined.mapInArrow(run, ", ".join(f"{k} string" for k in keys) + ", n long, digest string")
 
 
 def description_counts(df: DataFrame) -> DataFrame:

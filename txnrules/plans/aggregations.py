@@ -163,10 +163,14 @@ spent(
     lambda d: d.groupBy("category", "subcategory").agg(F.countDistinct("merchant").alias("merchants"), F.count("*").alias("n"), r2(F.sum("effective_amount")).alias("total"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("tags")))), "|").alias("tags")),
 )
 spent("a30_income_transfers", "SELECT sum(list_contains(tags, 'income')::INT) AS income, sum(list_contains(tags, 'transfer')::INT) AS transfers FROM sp", lambda d: d.agg(F.sum(spend.tagged("income").cast("int")).alias("income"), F.sum(spend.tagged("transfer").cast("int")).alias("transfers")))
+# Rows with their place in their merchant's order, and number and digest of the rows of their merchant and month.
+_PLACED = """row_number() OVER (PARTITION BY sp.merchant ORDER BY sp.date, sp.description, sp.amount, sp.source, sp.{0}) AS place, n, digest
+    FROM sp JOIN g ON sp.merchant IS NOT DISTINCT FROM g.merchant AND sp.month IS NOT DISTINCT FROM g.month"""
 spent(
     "a31_transactions_by_merchant",
-    "SELECT merchant, month, date, description, round(amount, 2) AS amount, source, array_to_string(tags, '|') AS tags FROM sp",
-    lambda d: spend.transactions(d).select("merchant", "month", "date", "description", r2("amount").alias("amount"), "source", F.array_join("tags", "|").alias("tags")),
+    f"SELECT sp.merchant, sp.month, sp.date, sp.description, round(sp.amount, 2) AS amount, sp.source, array_to_string(sp.tags, '|') AS tags, {_PLACED.format('tags')}",
+    lambda d: spend.transactions(d).select("merchant", "month", "date", "description", r2("amount").alias("amount"), "source", F.array_join("tags", "|").alias("tags"), "place", "n", "digest"),
+    f"{SPENDING_SQL}, g AS (SELECT merchant, month, count(*) AS n, md5(string_agg(strftime(date, '%Y-%m-%d') || ' ' || description, chr(10) ORDER BY {ORDER_SQL[1:-1]})) AS digest FROM sp GROUP BY ALL)",
 )
 spent("a32_latest_date", "SELECT max(date) AS latest FROM sp", lambda d: d.agg(F.max("date").alias("latest")))
 spent("a33_averages", "SELECT round((spending + transfer_out) / num_months, 2) AS per_month, round(spending / num_months, 2) AS spending FROM flow", lambda d: spend.cash_flow(d).select(r2("monthly_average").alias("per_month"), r2(c("spending") / c("num_months")).alias("spending")), FLOW_SQL)
