@@ -3,6 +3,8 @@
 import datetime
 import hashlib
 
+from pyspark.sql import functions as F
+
 from txnrules.operators import spend, views
 from txnrules.plans import registry
 
@@ -70,9 +72,26 @@ def test_transactions_are_grouped_in_order(spark):
     ]
 
 
+def test_payments_are_listed_in_order(spark):
+    found = sorted((r.merchant, r.place, r.period, r.payment, r.n, r.digest) for r in spend.payments(unordered(spark), "year").filter("merchant = 'Shop'").collect())
+    assert [x[1:4] for x in found] == [(1, "2025", 1.5), (2, "2025", 1.5), (3, "2025", 3.0), (4, "2025", -5.0), (5, "2025", 5.0), (6, None, 7.25)]
+    assert {x[4:] for x in found} == {(5, md5("150,150,300,-500,500")), (1, md5("725"))}
+    assert spend.payments(unordered(spark).limit(0)).count() == 0
+
+
 def test_merchants_list_their_descriptions(spark):
     found = spend.listed_descriptions(spend.description_counts(unordered(spark)))
     assert {r.merchant: r.descriptions for r in found.collect()} == {"Shop": "a:3|b:2|c:1", "Other": "z:1"}
     query, sql = registry.queries()["a04_by_merchant"](spark, "/root/testdata/sf0.001"), registry.oracle_sql()["a04_by_merchant"]
     listed = {r.merchant: (r["count"], r.descriptions) for r in query.collect()}
     assert "descriptions" in sql and all(n == sum(int(x.rsplit(":", 1)[1]) for x in told.split("|")) for n, told in listed.values())
+
+
+def test_a_group_streams_through_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        d = spend.with_buckets(spark.range(1000).selectExpr("'x' AS description", "CAST(id AS double) AS amount", "date'2025-01-01' AS date", "'M' AS merchant", "'c' AS category", "'s' AS source", "array() AS tags").withColumn("tags", F.col("tags").cast("array<string>")))
+        found = spend.payments(d).orderBy("place").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [(r.place, r.payment) for r in found] == [(k + 1, float(k)) for k in range(1000)] and {(r.n, r.digest) for r in found} == {(1000, md5(",".join(f"{k}00" if k else "0" for k in range(1000))))}

@@ -101,8 +101,9 @@ def payment_statistics(df: DataFrame) -> DataFrame:
 
 
 def payments(df: DataFrame, unit: str = "month") -> DataFrame:
-    """merchant, period, the columns of ORDER and the payment, one a row: payments of a merchant and period in their order, in no list that could outgrow a row."""
-    return df.select("merchant", period_key(unit, F.col("date")).alias("period"), *ORDER, F.col("effective_amount").alias("payment"))
+    """merchant, period, the columns of ORDER and the payment, one a row, with `in_order`'s columns: payments of a merchant in their order, in no list that could outgrow a row."""
+    rows = df.select("merchant", period_key(unit, F.col("date")).alias("period"), *ORDER, F.col("effective_amount").alias("payment"))
+    return in_order(rows, "period", "payment", F.round(F.col("payment") * 100).cast("long").cast("string"), ",")
 
 
 def transactions(df: DataFrame) -> DataFrame:

@@ -217,8 +217,9 @@ for _id, _sql, _name in (
     spent(_id, f"SELECT merchant, {_sql} AS value FROM sp GROUP BY merchant", lambda d, n=_name: spend.payment_statistics(d).select("merchant", (c(n) if n == "count" else r2(n)).alias("value")))
 spent(
     "v01_payments",
-    "SELECT merchant, month AS period, date, description, round(amount, 2) AS amount, source, round(eff, 2) AS payment FROM sp",
-    lambda d: spend.payments(d).select("merchant", "period", "date", "description", r2("amount").alias("amount"), "source", r2("payment").alias("payment")),
+    f"SELECT sp.merchant, sp.month AS period, sp.date, sp.description, round(sp.amount, 2) AS amount, sp.source, round(sp.eff, 2) AS payment, {_PLACED.format('eff')}",
+    lambda d: spend.payments(d).select("merchant", "period", "date", "description", r2("amount").alias("amount"), "source", r2("payment").alias("payment"), "place", "n", "digest"),
+    f"{SPENDING_SQL}, g AS (SELECT merchant, month, count(*) AS n, md5(array_to_string(list((round(eff * 100)::BIGINT)::VARCHAR ORDER BY {ORDER_SQL[1:-1]}, eff), ',')) AS digest FROM sp GROUP BY ALL)",
 )
 for _unit, _form in (("month", "%Y-%m"), ("year", "%Y"), ("week", "%Y-W%W"), ("day", "%Y-%m-%d")):
     spent(
