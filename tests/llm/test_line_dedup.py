@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from txnrules.llm import groups
 from txnrules.llm import line_dedup as D
@@ -103,3 +104,34 @@ def test_a_million_equal_lines_take_seconds(spark):
     rows = D.dedup(docs).orderBy("doc_id").collect()
     assert time.time() - began < 60
     assert [r.text for r in rows] == ["one line of words, and more of it\n", "another line that is quite different\nand its end"]
+
+
+def test_small_buckets_together_equal_brute_force():
+    rng = random.Random(17)
+    stretches = ["".join(rng.choices("abcdefgh éß", k=rng.randrange(8, 60))) for _ in range(30)]
+    groups = [[f"xy{k}".encode() for k in range(2)], [b"same text twice", b"same text twice"], [b"ab", b"ab", b"abc"]]
+    for size in [2, 2, 3, 4, 7, 15, 40, D.SMALL] * 3:
+        base = rng.sample(stretches, 6)
+        lines = [list(base if rng.random() < 0.7 else rng.sample(stretches, 6)) for _ in range(size)]
+        for x in lines:
+            for _ in range(rng.randrange(3)):
+                x[rng.randrange(6)] = rng.choice(stretches)[: rng.randrange(5, 60)]
+        groups.append([" ".join(x).encode() for x in lines])
+    flat, group = [x for g in groups for x in g], np.repeat(np.arange(len(groups)), [len(g) for g in groups])
+    found = D.groups_joined(*S.char_shingles(flat), group)
+    sets = [{t[i : i + 7] for i in range(max(1, len(t) - 6))} for t in (x.decode() for x in flat)]
+    root, begin, similar = list(range(len(flat))), 0, 0
+    for g in groups:
+        own = range(begin, begin + len(g))
+        for i in own:
+            for j in own:
+                if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                    similar += 1
+                    low, high = sorted((root[i], root[j]))
+                    root = [low if r == high else r for r in root]
+        begin += len(g)
+    assert found.tolist() == root and similar > 300
+    begin = np.flatnonzero(np.diff(group, prepend=-1))
+    table = pa.table({"node": np.arange(len(flat)), "line": pa.array(flat, pa.binary())})
+    (told,) = D._verify(table, begin.tolist(), np.ones(len(flat), bool))
+    assert sorted(zip(*told.to_pydict().values(), strict=True)) == [(k, r) for k, r in enumerate(root) if k != r]

@@ -7,7 +7,7 @@ similarity of at least OVER / UNDER verifies them bucket by bucket, and distribu
 component the first line stays: first by document id, then by place in the document; all other lines of the component go, equal ones
 included. Lines without a letter, digit or other visible character are kept where they are and belong to no component.
 
-A task that verifies a bucket compares its lines only until they are one component, so buckets of thousands of
+Buckets of at most SMALL lines are verified together. A task that verifies a larger one compares its lines only until they are one component, so buckets of thousands of
 variants cost little more than one comparison each. Lines are known by 64-bit hashes of their normal forms, and shingles by 64-bit hashes; only the
 lines that have a candidate are shuffled with their text, each once.
 
@@ -32,6 +32,7 @@ from txnrules.llm.runtime import cut, table
 ROWS, BANDS = 4, 20
 VALUES = ROWS * BANDS
 OVER, UNDER = 4, 5
+SMALL = 64  # lines of a bucket that is compared together with others
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -111,7 +112,7 @@ def joined_up(shingles: np.ndarray, counts: np.ndarray, left: np.ndarray, over:
     n = len(counts)
     root = np.arange(n)
     row = np.repeat(root, counts)
-    order = np.lexsort((row, shingles))
+    order = np.argsort(shingles, kind="stable")
     members, row = shingles[order], row[order]
     distinct = np.ones(len(members), bool)
     distinct[1:] = (members[1:] != members[:-1]) | (row[1:] != row[:-1])
@@ -140,39 +141,66 @@ def joined_up(shingles: np.ndarray, counts: np.ndarray, left: np.ndarray, over:
     return root
 
 
-def pairs_joined(shingles: np.ndarray, counts: np.ndarray, over: int = OVER, under: int = UNDER) -> np.ndarray:
-    """For sets two by two: whether each pair (0, 1), (2, 3) ... is similar; all pairs at once."""
-    row = np.repeat(np.arange(len(counts)), counts)
-    order = np.lexsort((row, shingles, row >> 1))
-    members, row = shingles[order], row[order]
-    distinct = np.ones(len(members), bool)
-    distinct[1:] = (members[1:] != members[:-1]) | (row[1:] != row[:-1])
-    members, row = members[distinct], row[distinct]
-    sizes = np.bincount(row, minlength=len(counts))
-    both = (members[1:] == members[:-1]) & (row[1:] == row[:-1] + 1) & (row[1:] % 2 == 1)
-    common = np.bincount(row[1:][both] >> 1, minlength=len(counts) // 2)
-    return (under * common >= over * (sizes[::2] + sizes[1::2] - common)) & (common > 0)
+def groups_joined(shingles: np.ndarray, counts: np.ndarray, group: np.ndarray, over: int = OVER, under: int = UNDER) -> np.ndarray:
+    """Least index of each row's component under exact similarity within its group, of at most SMALL rows; groups are numbered from 0, one after the other.
+
+    Which rows of a group have a member is a mask of bits. Lines share whole stretches, so few masks differ: the sizes of all intersections of a group come from the masks
+    and how often each occurs. Members are told apart by 64 bits less those that number the rows.
+    """
+    n = len(counts)
+    bits = np.uint64(max(1, n - 1).bit_length())
+    packed = np.sort(S.mixed(shingles) >> bits << bits | np.repeat(np.arange(n, dtype=np.uint64), counts))
+    packed = packed[np.diff(packed, prepend=~packed[:1]) != 0]
+    row, member = (packed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64), packed >> bits
+    size, of, begin = np.bincount(row, minlength=n), group[row], np.searchsorted(group, np.arange(int(group[-1]) + 2))
+    first = np.flatnonzero(np.concatenate([[True], (member[1:] != member[:-1]) | (of[1:] != of[:-1])]))
+    mask, of = np.bitwise_or.reduceat(np.uint64(1) << (row - begin[of]).astype(np.uint64), first), of[first]
+    several = np.diff(np.append(first, len(row))) > 1
+    mask, of = mask[several], of[several]
+    root = np.arange(n)
+    two = np.flatnonzero(np.diff(begin) == 2)
+    a, common = begin[two], np.bincount(of, minlength=len(begin) - 1)[two]
+    a = a[(common > 0) & (under * common >= over * (size[a] + size[a + 1] - common))]
+    root[a + 1] = a
+    order = np.lexsort((mask, of))
+    mask, of = mask[order], of[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(mask)), bool), (mask[1:] != mask[:-1]) | (of[1:] != of[:-1])]))
+    mask, of, times = mask[first], of[first], np.diff(np.append(first, len(mask)))
+    ends = np.searchsorted(of, np.arange(len(begin)))
+    for g in np.flatnonzero((np.diff(begin) > 2) & (np.diff(ends) > 0)).tolist():
+        a, b, lo, hi = begin[g], begin[g + 1], ends[g], ends[g + 1]
+        has = (mask[lo:hi, None] >> np.arange(b - a, dtype=np.uint64) & np.uint64(1)).astype(np.float64)
+        common = (has.T * times[lo:hi]) @ has
+        good = (common > 0) & (under * common >= over * (size[a:b, None] + size[a:b] - common))
+        np.fill_diagonal(good, True)
+        now = np.arange(b - a)
+        while (low := np.where(good, now, b - a).min(axis=1)).tolist() != now.tolist():
+            now = low
+        root[a:b] = a + now
+    return root
 
 
 def _verify(t: pa.Table, starts: list[int], left: np.ndarray):
-    """Groups of rows begin at `starts`."""
+    """Groups of rows begin at `starts`; small whole groups are compared together, about S.AT_ONCE bytes at a time."""
     node, lines = t["node"].to_numpy(), t["line"].to_pylist()
     begin = np.array(starts, np.int64)
     sizes = np.diff(np.append(begin, len(node)))
+    whole = np.logical_and.reduceat(left, begin)
+    small = np.flatnonzero(whole & (sizes <= SMALL))
     out_node, out_root = [], []
-    of_two = np.flatnonzero(sizes == 2)
-    for k in range(0, len(of_two), 2000):
-        rows = np.repeat(begin[of_two[k : k + 2000]], 2)
-        rows[1::2] += 1
-        good = pairs_joined(*S.char_shingles([lines[r] for r in rows.tolist()]))
-        out_node.append(node[rows[1::2][good]])
-        out_root.append(node[rows[::2][good]])
-    for g in np.flatnonzero(sizes > 2).tolist():
-        a, b = begin[g], begin[g] + sizes[g]
-        root = joined_up(*S.char_shingles(lines[a:b]), left[a:b])
+
+    def tell(rows: np.ndarray, root: np.ndarray) -> None:
         other = np.flatnonzero(root != np.arange(len(root)))
-        out_node.append(node[a + other])
-        out_root.append(node[a + root[other]])
+        out_node.append(node[rows[other]])
+        out_root.append(node[rows[root[other]]])
+
+    for a, b in S.runs([b"".join(lines[begin[g] : begin[g] + sizes[g]]) for g in small.tolist()]):
+        many = sizes[small[a:b]]
+        rows = np.repeat(begin[small[a:b]] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        tell(rows, groups_joined(*S.char_shingles([lines[r] for r in rows.tolist()]), np.repeat(np.arange(b - a), many)))
+    for g in np.flatnonzero(~whole | (sizes > SMALL)).tolist():
+        rows = np.arange(begin[g], begin[g] + sizes[g])
+        tell(rows, joined_up(*S.char_shingles(lines[rows[0] : rows[-1] + 1]), left[rows]))
     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (out_node, out_root)], ["node", "root"])
 
 
