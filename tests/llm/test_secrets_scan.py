@@ -1,4 +1,5 @@
 import math
+import pickle
 import random
 import re
 import string
@@ -132,3 +133,10 @@ def test_query(spark, tmp_path):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert S.scan(docs, S.learn(S.survey(docs))).count() == 0
+
+
+def test_the_tree_is_not_shipped():
+    rng = random.Random(5)
+    automaton = pickle.loads(pickle.dumps(S.Automaton(["".join(rng.choices("0123456789abcdef", k=40)) for _ in range(400)])))
+    assert not {"arcs", "rest", "depth"} & vars(automaton).keys()
+    assert np.isfinite(automaton.score_texts(["0123456789" * 4])[1]).all() and not np.isfinite(automaton.score_texts(["0123456789"])[1]).any()

@@ -260,6 +260,7 @@ class Automaton:
                 elif of := heirs.get(int(CLASS[c])) or heirs.get(-1):
                     self.target[k, c] = max(of, key=lambda t: (of[t], -t))
         self.expected = (np.exp(self.log_p) * self.log_p).sum(axis=1)
+        del self.arcs, self.rest, self.depth  # scoring needs the tables only, so the tree is not shipped
 
     def score(self, symbols: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Per run of symbols, its end included: the log-likelihood, and by how much that exceeds what the states on its path expect; -inf if it ends
