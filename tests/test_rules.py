@@ -168,6 +168,17 @@ def test_many_rules_match_as_by_brute_force(spark, monkeypatch):
     assert {r.ord for r in R.rejected_rows(rules).collect()} == bad and len(bad) == 4
 
 
+def test_rules_are_looked_up_by_the_literal_that_fewest_texts_have(spark):
+    texts = spark.createDataFrame([(f"Customer#{k:09d}",) for k in range(1, 3000)], "description string")
+    patterns = [rf"customer\S0*{k}\b" for k in range(1000, 1400)] + [rf"^customer#{k:09d}$" for k in range(200)] + ["^customer"]
+    known = rule_rows(spark, patterns).select("ord", F.col("pattern").alias("java")).withColumn("choices", R._choices("java"))
+    n = {r.ord: r.n for r in R._least(texts, known).collect()}
+    assert max(n[k] for k in range(600)) < 30 and n[600] == 2999
+    found = {(r.description, r.ord) for r in R.matching_rules(texts, rule_rows(spark, patterns)).collect()}
+    exact = {(f"Customer#{1000 + k:09d}", k) for k in range(400)} | {(f"Customer#{k:09d}", 400 + k) for k in range(1, 200)}
+    assert found == exact | {(f"Customer#{k:09d}", 600) for k in range(1, 3000)}
+
+
 def test_an_invalid_pattern_is_left_out(spark):
     rows = spark.createDataFrame([("SHOP 1", 11.0), ("bar", 1.0), (None, 2.0)], "description string, amount double").withColumn("date", F.lit("2025-01-05").cast("date"))
     got = R.match_table(rows, rule_rows(spark, ["(", "shop", "[z"])).collect()

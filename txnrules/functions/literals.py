@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 GRAM = 3
+SIZES = (3, 4, 5, 6, 8, 16)  # characters of the keys that literals are looked up by
 MOST = 8  # alternatives that are looked for one by one
 # The characters outside ASCII that Java matches with an ASCII letter when it ignores case.
 SAME_LETTERS = ("ſKıİ", "skii")
@@ -29,18 +30,21 @@ def folded(text: Column | str) -> Column:
 
 def required(pattern: str | None) -> list[str] | None:
     """Lower-case literals of GRAM characters and more, one of which is in every match; None if there is no telling."""
+    return max(choices(pattern), key=_worth, default=None)
+
+
+def choices(pattern: str | None) -> list[list[str]]:
+    """All sets of such literals that are known: of each set, one literal is in every match."""
     if pattern is None or _OTHER_MEANING.search(pattern):
-        return None
+        return []
     read = _UNICODE_CLASS.sub(".", pattern)
     if "(?<=" not in read and "(?<!" not in read:
         read = read.replace("(?<", "(?P<")  # a named group in Java's form
     try:
         parsed = _parser.parse(read)
     except (re.error, OverflowError, RecursionError):
-        return None
-    options = _options(parsed)
-    best = max(options, key=_worth, default=None)
-    return sorted(set(best)) if best and _worth(best)[0] >= GRAM else None
+        return []
+    return [sorted(set(option)) for option in _options(parsed) if option and _worth(option)[0] >= GRAM]
 
 
 def _worth(option: list[str]) -> tuple[int, int]:
@@ -88,3 +92,17 @@ def grams(text: Column) -> Column:
     """Distinct sequences of GRAM characters of an array of characters."""
     return F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(text) - GRAM), lambda i: F.concat(*[F.get(text, i + k) for k in range(GRAM)])))
 
+
+def key_size(literal: Column | str) -> Column:
+    """The largest of SIZES that isn't longer than the literal."""
+    size = F.lit(SIZES[0])
+    for k in SIZES[1:]:
+        size = F.when(F.length(literal) >= k, k).otherwise(size)
+    return size
+
+
+def keys(text: Column | str, sizes: Column) -> Column:
+    """Distinct parts of a text, of as many characters as any of the sizes."""
+    text = text if isinstance(text, Column) else F.col(text)
+    starts = lambda n: F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.flatten(F.transform(sizes, lambda n: F.transform(starts(n), lambda i: F.substring(text, i, n)))))

@@ -34,6 +34,7 @@ QUOTED = re.compile(r"'((?:[^'\\]|\\.)*)'")
 RULES_AT_ONCE = 1000  # rows of a rule table in one array
 ARRAYS_AT_ONCE = 100  # arrays of so many rules that are broadcast together
 SALTS = 16
+COMMON = 50  # a literal that more than one in so many texts have leads to no rule
 
 
 @contextmanager
@@ -302,22 +303,27 @@ def rejected_rows(rules: DataFrame) -> DataFrame:
     return rules.select("ord", "pattern", reason.alias("reason")).filter("reason IS NOT NULL")
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _required(patterns: pd.Series) -> pd.Series:
-    """Literals of rule patterns; rules only, no transactions, go through it."""
-    return patterns.map(literals.required)
+@F.pandas_udf(ArrayType(ArrayType(StringType())))
+def _choices(patterns: pd.Series) -> pd.Series:
+    """Sets of literals of rule patterns; rules only, no transactions, go through it."""
+    return patterns.map(literals.choices)
 
 
 def matching_rules(texts: DataFrame, rules: DataFrame) -> DataFrame:
     """Distinct (description, ord) where the rule's pattern is found in the text; texts has distinct descriptions.
 
-    Rules are looked up by a literal that their matches must have: each literal goes into an index under the one of its grams that fewest texts have, texts are joined with the index
-    on their grams, and candidates are tested for the literal, then for the pattern. Rules without such a literal are tested on every text, as arrays of
-    RULES_AT_ONCE rules that are broadcast ARRAYS_AT_ONCE at a time. So no rule set of any size gives a nested-loop join.
+    Rules are looked up by a literal that their matches must have: of all the literals of a pattern, the one that fewest texts may have. It goes into an index under the one of its keys (parts of
+    as many characters as the largest of literals.SIZES that fits) that fewest texts have; texts are joined with the index on their keys, and candidates are tested for the literal, then for the pattern.
+    Rules without such a literal, or whose literals more than one in COMMON texts have, are tested on every text, as arrays of RULES_AT_ONCE rules that are broadcast ARRAYS_AT_ONCE at a time. So no
+    rule set of any size gives a nested-loop join, and no key brings many texts and many rules into one task.
     """
-    known = rules.filter(F.col("pattern").isNotNull()).select("ord", _java(F.col("pattern")).alias("java"), _required("pattern").alias("literals")).filter(_compiles(F.col("java")))
-    found = _by_literal(texts, known.filter("literals IS NOT NULL"))
-    plain = known.filter("literals IS NULL").select("ord", "java")
+    tasks = rules.sparkSession.sparkContext.defaultParallelism  # tables of few bytes make much work here, and would be read by one task
+    spread, texts = rules.filter(F.col("pattern").isNotNull()).select("ord", "pattern").repartition(tasks), texts.repartition(tasks)
+    known = spread.select("ord", _java(F.col("pattern")).alias("java"), _choices("pattern").alias("choices")).filter(_compiles(F.col("java")))
+    most = texts.count() / COMMON
+    least = _least(texts, known.filter(F.size("choices") > 0))
+    found = _by_literal(texts, least.filter(F.col("n") <= most))
+    plain = known.filter(F.size("choices") == 0).select("ord", "java").unionByName(least.filter(F.col("n") > most).select("ord", "java"))
     arrays = -(-plain.count() // RULES_AT_ONCE)
     for first in range(0, arrays, ARRAYS_AT_ONCE):
         last = min(first + ARRAYS_AT_ONCE, arrays) - 1
@@ -329,15 +335,24 @@ def matching_rules(texts: DataFrame, rules: DataFrame) -> DataFrame:
     return found
 
 
+def _keys_of(texts: DataFrame, sizes: list[int]) -> DataFrame:
+    """A row per text and key."""
+    return texts.select("description", F.explode(literals.keys(literals.folded("description"), F.array(*[F.lit(k) for k in sizes]))).alias("_key"))
+
+
+def _least(texts: DataFrame, rules: DataFrame) -> DataFrame:
+    """ord, java, n, literals (structs n, _literal, _key): of a rule's sets of literals the one that at most n texts can have, the least of its sets."""
+    each = rules.select("ord", "java", F.posexplode("choices").alias("_choice", "_of")).select("ord", "java", "_choice", F.explode("_of").alias("_literal"))
+    of_rules = each.withColumn("_key", F.explode(literals.keys("_literal", F.array(literals.key_size("_literal")))))
+    common = _keys_of(texts, list(literals.SIZES)).select("_key").join(of_rules.select("_key").distinct(), "_key").groupBy("_key").agg(F.count("*").alias("_n"))
+    rarest = of_rules.join(common, "_key", "left").groupBy("ord", "java", "_choice", "_literal").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_key")).alias("_least"))
+    told = rarest.groupBy("ord", "java", "_choice").agg(F.sum("_least.n").alias("n"), F.collect_list(F.struct("_least.n", "_literal", "_least._key")).alias("literals"))
+    return told.groupBy("ord", "java").agg(F.min(F.struct("n", "_choice", "literals")).alias("_best")).select("ord", "java", "_best.n", "_best.literals")
+
+
 def _by_literal(texts: DataFrame, rules: DataFrame) -> DataFrame:
-    chars = texts.withColumn("_folded", literals.folded("description")).withColumn("_chars", F.split("_folded", "")).filter(F.size("_chars") >= literals.GRAM)
-    of_texts = chars.withColumn("_gram", F.explode(literals.grams(F.col("_chars"))))
-    each = rules.select("ord", "java", F.explode("literals").alias("_literal")).withColumn("_letters", F.split("_literal", ""))
-    of_rules = each.withColumn("_gram", F.explode(literals.grams(F.col("_letters")))).drop("_letters")
-    common = of_texts.select("_gram").join(of_rules.select("_gram").distinct(), "_gram").groupBy("_gram").agg(F.count("*").alias("_n"))
-    rarest = of_rules.join(common, "_gram", "left").groupBy("ord", "java", "_literal").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_gram")).alias("_least"))
-    index = rarest.filter("_least.n > 0").select("ord", "java", "_literal", "_least._gram")  # a gram that no text has: the rule matches none
-    candidates = of_texts.select("description", "_folded", "_gram").join(index, "_gram").filter(F.contains("_folded", F.col("_literal")))
+    index = rules.select("ord", "java", F.explode("literals").alias("_one")).filter("_one.n > 0").select("ord", "java", "_one._literal", "_one._key")  # a key that no text has: the rule matches none
+    candidates = _keys_of(texts, list(literals.SIZES)).join(index, "_key").filter(F.contains(literals.folded("description"), F.col("_literal")))
     return candidates.filter(F.rlike("description", F.col("java"))).select("description", "ord").distinct()
 
 
