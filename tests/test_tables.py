@@ -55,6 +55,37 @@ def test_ranges_of_any_width(spark):
     assert lookup.in_range(t, s.limit(0), "x", "low", "high", 0.01).count() == 0
 
 
+def test_totals_of_ranges_without_pairs(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(lookup, "BUCKETS", 7)
+    monkeypatch.setattr(lookup, "COARSE", 4)
+    rng = random.Random(83)
+    ranges = [(k, lo := rng.uniform(-1e3, 1e3), lo + 10 ** rng.uniform(-3, 4)) for k in range(300)] + [(300, float("-inf"), 0.0), (301, -5.0, float("inf")), (302, None, 5.0), (303, 5.0, float("nan")), (304, 3.0, 3.0), (305, -0.0, 7.0), (306, -0.0, 7.0), (307, 1e6, 2e6)]
+    values = [(k, round(rng.uniform(-1e3, 1e3), rng.choice([0, 1, 9]))) for k in range(900)] + [(900, 0.0), (901, -0.0), (902, None), (903, 1e12), (904, float("nan")), (905, float("inf"))]
+    t, s = spark.createDataFrame(values, "id int, x double"), spark.createDataFrame(ranges, "name int, low double, high double")
+    asked = {"n": (F.count("*"), F.sum), "last": (F.max("x"), F.max), "ids": (F.sum("id"), F.sum)}
+    found = lookup.aggregated_in_range(t, s, "x", "low", "high", asked)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+    want = {}
+    for name, lo, hi in ranges:
+        inside = [(k, x) for k, x in values if x is not None and lo is not None and hi == hi and lo <= x < hi]
+        if inside:
+            want[name] = (lo, hi, len(inside), max(x for _, x in inside), sum(k for k, _ in inside))
+    assert {r.name: (r.low, r.high, r.n, r["last"], r.ids) for r in found.collect()} == want and len(want) > 150
+    assert lookup.aggregated_in_range(t.limit(0), s, "x", "low", "high", asked).count() == 0
+
+
+def test_ranges_make_no_pairs_and_no_broadcast_of_pieces(spark, tmp_path):
+    from txnrules.plans import joins
+
+    spark.range(300000).selectExpr("CAST(id % 500000 AS DOUBLE) + 0.5 AS o_totalprice").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(3000).selectExpr("id AS p_partkey", "CAST(0 AS INT) AS p_size", "CAST(0 AS DOUBLE) AS p_retailprice").withColumn("p_partkey", F.col("p_partkey") * 97).write.parquet(str(tmp_path / "part.parquet"))
+    found = joins.j09d(spark, str(tmp_path))  # 900 million pairs
+    assert {(r.n, r.largest) for r in found.collect()} == {(300000, 299999.5)} and found.count() == 3000
+
+
 def test_no_cartesian_product_unasked(spark):
     t, s = spark.createDataFrame([(1, 5.0)], "id int, x double"), spark.createDataFrame([("a", 1.0), ("b", 9.0)], "name string, y double")
     with pytest.raises(ValueError):
