@@ -1,5 +1,8 @@
 """Look-ups, facets, profiles, suggestions and sinks on small tables."""
 
+import os
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,3 +180,28 @@ def test_column_profile(spark):
     found = {r.name: r for r in profile.column_profile(spark.createDataFrame(rows, "d string, fee string, t string"), 0.6).collect()}
     assert (found["d"].type, found["d"].filled, list(found["d"].samples)) == ("date MM-dd-yyyy", 4, ["1-2-2025", "11-12-2025"])
     assert found["fee"].type == "currency" and found["t"].type == "categorical"
+
+
+def test_the_classified_table_leaves_no_shuffle_files(spark, monkeypatch, tmp_path):
+    from txnrules.plans import tables
+    from txnrules.sources import store
+
+    monkeypatch.setattr(store, "shared_folder", lambda s: str(tmp_path))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    folders = [f.getPath() for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    shuffled = lambda: {f"{at}/{n}" for folder in folders for at, _, names in os.walk(folder) for n in names if n.startswith("shuffle_")}
+    try:
+        before = shuffled()
+        found = tables.spending(spark, "/root/testdata/sf0.001")
+        plan = tables.classified(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        left = shuffled() - before
+        assert plan.count("SortMergeJoin") == 4 and plan.count("Exchange hashpartitioning(l_") == 2  # line items are shuffled twice
+        assert found.count() == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    for _ in range(50):  # they go a little later
+        if not (left := left & shuffled()):
+            break
+        time.sleep(0.1)
+    assert not left

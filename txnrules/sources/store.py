@@ -6,7 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +41,18 @@ def state_of(spark: SparkSession, paths: list[str]) -> tuple:
     return tuple(found)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What is run inside leaves no shuffle files: Spark removes them when a query ends, not when the driver happens to collect garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
 def folder_once(spark: SparkSession, name: str, paths: list[str], write: Callable[[str], None]) -> str | None:
     """A folder that `write` has filled from the tables at `paths`: once a session, and anew if they have changed. None where no folder is shared."""
     base = shared_folder(spark)
@@ -48,13 +61,14 @@ def folder_once(spark: SparkSession, name: str, paths: list[str], write: Callabl
     key = (spark.sparkContext.applicationId, base, name, state_of(spark, paths))
     if key not in _written:
         folder = f"{base}/{name}-{uuid.uuid4().hex}"
-        write(folder)
+        with shuffles_removed(spark):
+            write(folder)
         _written[key] = folder
     return _written[key]
 
 
 def table_once(spark: SparkSession, name: str, paths: list[str], build: Callable[[], DataFrame], by: str | None = None) -> DataFrame:
-    """The DataFrame that `build` makes from the tables at `paths`, written once (in folders by the column `by`, of evened-out files) and read back."""
+    """The DataFrame that `build` makes from the tables at `paths`, written once and read back. By a column `by` it is written in folders of evened-out files, for which all rows are shuffled."""
     made = build()
-    folder = folder_once(spark, name, paths, lambda f: (made.hint("rebalance", by).write.partitionBy(by) if by else made.write).parquet(f))
+    folder = folder_once(spark, name, paths, lambda f: (made.hint("rebalance", by).write.partitionBy(by) if by else made.write).option("compression", "zstd").parquet(f))
     return spark.read.schema(made.schema).parquet(folder) if folder else made
