@@ -182,6 +182,15 @@ def test_column_profile(spark):
     assert found["fee"].type == "currency" and found["t"].type == "categorical"
 
 
+def test_distinct_texts_are_compared_once(spark):
+    from txnrules.functions.similarity import closest
+
+    found = closest(spark.createDataFrame([("Gizmo Inc",)] * 5 + [("Bolt Co",), (None,)], "merchant string"), "Gizmoo Ink", "merchant")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.index("ArrowEvalPython") < plan.index("Aggregate")  # the comparison is made of what the aggregate leaves
+    assert [r.merchant for r in found.collect()] == ["Gizmo Inc"]
+
+
 def test_the_classified_table_leaves_no_shuffle_files(spark, monkeypatch, tmp_path):
     from txnrules.plans import tables
     from txnrules.sources import store

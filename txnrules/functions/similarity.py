@@ -50,5 +50,6 @@ def closest(df: DataFrame, wanted: str, column: str, n: int = 3, least: float =
 
         return values.map(one)
 
-    told = df.select(column).filter(F.col(column).isNotNull()).distinct().withColumn("ratio", ratio(column))
+    # Else Spark would move the condition on the ratio, and with it the comparison, to before the distinct.
+    told = df.select(column).filter(F.col(column).isNotNull()).distinct().withColumn("ratio", ratio.asNondeterministic()(column))
     return told.filter(F.col("ratio") >= least).orderBy(F.desc("ratio"), column).limit(n)
