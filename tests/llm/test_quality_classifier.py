@@ -115,3 +115,13 @@ def test_whole_query_matches_the_definition(spark, tmp_path):
     want = sorted((k, zlib.crc32(str(k).encode()) % 3 == 1, s) for (k, _), s in zip(docs, network.score(np.array([features(t) for _, t in docs])), strict=True))
     got = sorted((r.doc_id, r.held_out, r.score, r.predicted) for r in Q.op8_random_indexing(spark, str(tmp_path)).collect())
     assert [x[:2] for x in got] == [x[:2] for x in want] and all(abs(x[2] - y[2]) < 0.02 and x[3] == (x[2] >= 0.5) for x, y in zip(got, want, strict=True))
+
+
+def test_pooling_is_the_same_however_many_texts_are_pooled_together(monkeypatch):
+    texts = pa.array(["", "a b", None, "one two three " * 50, "x", "é!? ü", " "])
+    vectors = np.random.default_rng(5).normal(size=(1 << Q.SLOT_BITS, Q.DIM)).astype(np.float32)
+    whole = Q.pooled(texts, vectors)
+    monkeypatch.setattr(Q, "AT_ONCE", 2)
+    assert np.array_equal(Q.pooled(texts, vectors), whole) and whole[[0, 2, 6]].sum() == 0 and (whole[[1, 3, 4, 5]] != 0).any(axis=1).all()
+    slot, doc = Q.tokens([b"ab  " + b"c" * 600, b"", b"ab!"])
+    assert doc.tolist() == [0, 0, 2, 2] and slot[0] == slot[2] and len(set(slot.tolist())) == 3

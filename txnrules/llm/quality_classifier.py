@@ -33,26 +33,31 @@ SPACE, MARK, WORD = 0, 1, 2
 KIND = np.array([WORD if chr(b).isalnum() and b < 128 or b == 95 or b >= 128 else SPACE if b in b" \t\n\x0b\x0c\r" else MARK for b in range(256)], np.int8)
 PLACES = np.random.default_rng(9).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
+# What a byte adds to its token's hash, by the byte and its place in the token.
+TERMS = np.where((KIND == SPACE)[:, None], np.uint64(0), (np.arange(256, dtype=np.uint64)[:, None] + np.uint64(1)) * PLACES).ravel()
+AT_ONCE = 8192  # tokens whose vectors are pooled together, so that they stay in a core's cache
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Slot of every token of all texts, and the text it is in. A token is a run of word bytes or a run of marks."""
     b = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     kind = KIND[b]
-    change = np.flatnonzero(np.diff(kind, prepend=np.int8(SPACE)))
+    change = np.flatnonzero(kind[1:] != kind[:-1]) + 1
+    if kind[0] != SPACE:
+        change = np.concatenate([[0], change])
     start = change[kind[change] != SPACE]
     if not len(start):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    place = np.arange(len(b)) - np.repeat(np.concatenate([[0], start]), np.diff(np.concatenate([[0], start, [len(b)]])))
-    inside = np.where(kind == SPACE, np.uint64(0), (b.astype(np.uint64) + np.uint64(1)) * PLACES[place & 255])
-    h = np.add.reduceat(inside, start)
+    place = np.arange(len(b), dtype=np.uint32).astype(np.uint8)  # places count modulo 256
+    place[start[0] :] -= np.repeat(start.astype(np.uint8), np.diff(start, append=len(b)))
+    h = np.add.reduceat(TERMS[(b.astype(np.uint16) << 8) | place], start)
     h ^= h >> np.uint64(31)
     doc = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), start, "right")
     return ((h * SPREAD) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), doc
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """Columns and signs of the nonzero entries of every slot's index vector."""
+    """Columns and signs of the nonzero entries of every slot's index vector; an entry's sign is the same in all slots."""
     rng = np.random.default_rng(20)
     columns = np.argsort(rng.random((1 << SLOT_BITS, DIM)), axis=1)[:, :NONZERO]
     signs = np.tile(np.array([1, -1] * (NONZERO // 2)), (1 << SLOT_BITS, 1))
@@ -76,20 +81,26 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
     """A row of DIM per slot, summed over all documents; each row scaled to length 1, rows never seen are 0."""
 
     def run(batches):
-        all_columns, all_signs = index_vectors()
+        columns_of, signs_of = index_vectors()
+        all_columns, signs = np.ascontiguousarray(columns_of.T), signs_of[0]
         rows = np.zeros((1 << SLOT_BITS, DIM))
+        number = np.zeros(1 << SLOT_BITS, np.int64)
         for batch in batches:
             for _, texts in batches_of(batch.column(0)):
                 slot, doc = tokens(texts)
-                used, slot = np.unique(slot, return_inverse=True)
-                columns, signs = all_columns[used], all_signs[used]
-                sums = np.zeros(len(used) * DIM)
+                used = np.flatnonzero(np.bincount(slot, minlength=1 << SLOT_BITS))
+                number[used] = np.arange(len(used))
+                slot, columns = number[slot], all_columns[:, used]
+                here, there = [], []
                 for d in range(1, REACH + 1):
                     both = doc[:-d] == doc[d:]
                     a, b = slot[:-d][both], slot[d:][both]
-                    for here, there in ((a, b), (b, a)):
-                        for k in range(NONZERO):
-                            sums += np.bincount(here * DIM + columns[there, k], signs[there, k], len(sums))
+                    here += [a, b]
+                    there += [b, a]
+                here, there = np.concatenate(here) * DIM, np.concatenate(there)
+                sums = np.zeros(len(used) * DIM, np.int64)
+                for column, sign in zip(columns, signs, strict=True):
+                    sums += sign * np.bincount(here + column[there], minlength=len(sums))
                 rows[used] += sums.reshape(-1, DIM)
         some = np.flatnonzero(np.abs(rows).sum(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(rows[some, k].astype(np.int64)) for k in range(DIM)]], ["slot", *[f"v{k}" for k in range(DIM)]])
@@ -108,11 +119,19 @@ def pooled(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
         slot, doc = tokens(taken)
         if not len(slot):
             continue
-        v = vectors[slot]
         some, first, n = np.unique(doc, return_index=True, return_counts=True)
+        ends, at = first + n, 0
+        mean, squares = np.empty((2, len(some), vectors.shape[1]), np.float32)
+        while at < len(some):
+            to = max(at + 1, int(np.searchsorted(ends, first[at] + AT_ONCE, "right")))  # whole texts
+            v = vectors[slot[first[at] : ends[to - 1]]]
+            mean[at:to] = np.add.reduceat(v, first[at:to] - first[at], axis=0)
+            v *= v
+            squares[at:to] = np.add.reduceat(v, first[at:to] - first[at], axis=0)
+            at = to
         n = n[:, None].astype(np.float32)
-        mean = np.add.reduceat(v, first, axis=0) / n
-        spread = np.sqrt(np.maximum(np.add.reduceat(v * v, first, axis=0) / n - mean * mean, 0))
+        mean /= n
+        spread = np.sqrt(np.maximum(squares / n - mean * mean, 0))
         out[start + some] = np.hstack([mean, spread])
     return out
 
